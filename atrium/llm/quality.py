@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from atrium.llm import textbuf
 
 _U = np.uint64
-LABELLERS = ("words", "symbols", "capitals", "doubled_marks", "bars", "sentences", "word_length", "repetition")
+LABELLERS = ("words", "symbols", "capitals", "doubled_marks", "bars", "sentences", "word_length", "repetition", "letters", "lone_marks", "runs")
 
 
 @dataclass(frozen=True)
@@ -25,18 +25,20 @@ class QualityConfig:
     """``sample`` bounds the training documents of either class, ``dimensions`` the scorer's weights.
 
     Documents whose pattern's posterior is at least ``clear`` (or at most one minus it) are
-    training material; ``prior`` is the expected share of good documents before any is seen.
+    training material; ``prior`` is the expected share of good documents before any is seen; ``anchor``
+    is the weight of the first guess of the labellers' chances, as a share of all documents.
     """
 
     sample: int = 2000
     dimensions: int = 1 << 12
     clear: float = 0.9
     prior: float = 0.8
+    anchor: float = 0.05
     em_rounds: int = 200
     steps: int = 300
     rate: float = 0.5
     decay: float = 1e-4
-    threshold: float = 0.5
+    threshold: float = 0.3
 
 
 def _table(members: str) -> np.ndarray:
@@ -47,6 +49,7 @@ def _table(members: str) -> np.ndarray:
 
 _UPPER, _LOWER = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _table("abcdefghijklmnopqrstuvwxyz")
 _LOWER[0xC3:0xF8] = True  # the first byte of a letter of several bytes, most often a small one
+_DIGIT = _table("0123456789")
 _SYMBOL = _table("#$%&*<>{}[]~^\\=_+@")
 _MARK = _table("!?$%&*#")
 _STOP = _table(".!?")
@@ -72,6 +75,16 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     hashes = textbuf.word_hashes(data, starts, ends)
     distinct = np.array([len(np.unique(hashes[a:b])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], np.float64)
     some = np.maximum(words, 1.0)
+    same = np.zeros(len(hashes), bool)
+    same[1:] = hashes[1:] == hashes[:-1]
+    same[bounds[:-1][bounds[:-1] < len(hashes)]] = False
+    lone = (ends - starts == 1) & ~(_LOWER | _UPPER | _DIGIT)[data[starts]] if len(starts) else np.zeros(0, bool)
+
+    def per_text(mask: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(mask)])
+        return (sums[bounds[1:]] - sums[bounds[:-1]]).astype(np.float64)
+
+    runs, lone = per_text(same), per_text(lone)
     mean_length = (letters + symbols) / some
 
     out = np.full((n, len(LABELLERS)), -1, np.int8)
@@ -80,14 +93,18 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[good, k] = 1
         out[bad, k] = 0
 
+    none = np.zeros(n, bool)
     judge(0, words >= 20, words < 3)
-    judge(1, symbols <= 0.01 * size, symbols >= 0.05 * size)
-    judge(2, upper <= 0.15 * letters, upper >= 0.4 * np.maximum(letters, 1))
-    judge(3, doubled <= 0.01 * some, doubled >= 0.1 * some)
-    judge(4, bars == 0, bars >= 0.1 * some)
+    judge(1, none, symbols >= 0.04 * np.maximum(size, 1))
+    judge(2, none, (upper >= 0.35 * np.maximum(letters, 1)) & (letters >= 20))
+    judge(3, none, (doubled >= 0.1 * some) & (words >= 5))
+    judge(4, none, (bars >= 0.08 * some) & (words >= 5))
     judge(5, stops * 60 >= words, (stops * 150 < words) & (words >= 20))
     judge(6, (mean_length >= 2.5) & (mean_length <= 12), (mean_length < 1.5) | (mean_length > 20))
-    judge(7, distinct >= 0.3 * some, (distinct < 0.1 * some) & (words >= 100))
+    judge(7, none, (distinct < 0.15 * some) & (words >= 50))
+    judge(9, none, (lone >= 0.08 * some) & (words >= 5))
+    judge(10, none, (runs >= 0.1 * some) & (words >= 10))
+    judge(8, letters >= 0.7 * size, letters < 0.5 * size)
     return out
 
 
@@ -129,41 +146,51 @@ _SHAPE = _shape_table()
 def fit_labellers(patterns: list[tuple[tuple[int, ...], int]], config: QualityConfig) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
     """Posterior of "good" for each vote pattern, and the labellers' accuracies (2, labellers).
 
-    Starts from labellers that are right four times in five. Row 0 has the chance of a bad
-    vote on a bad document, row 1 that of a good vote on a good one, where they vote.
+    Either class has for each labeller its own chances of a bad vote, of none and of a good vote.
+    They start from ``_START`` (a defect is rarely seen on a good document; good votes say
+    little), which goes on as a small prior so that the classes cannot change places.
+    Row 0 of the accuracies has the chance that a vote on a bad document is bad, row 1 that a
+    vote on a good one is good.
     """
     if not patterns:
-        return {}, np.full((2, len(LABELLERS)), 0.8)
+        return {}, np.full((2, len(LABELLERS)), 0.5)
     grid = np.array([p for p, _ in patterns], np.int64)
     weight = np.array([n for _, n in patterns], np.float64)
-    good, bad = grid == 1, grid == 0
-    accuracy, prior = np.full((2, grid.shape[1]), 0.8), config.prior
+    outcomes = np.stack([grid == 0, grid == -1, grid == 1]).astype(np.float64)  # (votes, patterns, labellers)
+    start = np.repeat(_START[:, :, None], grid.shape[1], axis=2)  # (classes, votes, labellers)
+    chances, prior, held = start, config.prior, config.anchor * weight.sum() + 1.0
     for _ in range(config.em_rounds):
-        for_good = np.log(prior) + good @ np.log(accuracy[1]) + bad @ np.log(1 - accuracy[1])
-        for_bad = np.log(1 - prior) + bad @ np.log(accuracy[0]) + good @ np.log(1 - accuracy[0])
-        posterior = 1.0 / (1.0 + np.exp(np.clip(for_bad - for_good, -700, 700)))
-        one, zero = weight * posterior, weight * (1 - posterior)
-        right = np.vstack([(zero @ bad + 4) / (zero @ (bad | good) + 5), (one @ good + 4) / (one @ (bad | good) + 5)])
-        new = np.clip(right, 0.02, 0.999)
-        prior = float(np.clip((one.sum() + 4) / (weight.sum() + 5), 0.05, 0.98))
-        done = np.abs(new - accuracy).max() < 1e-7
-        accuracy = new
+        logs = np.einsum("vpl,cvl->cp", outcomes, np.log(chances))
+        margin = logs[1] - logs[0] + np.log(prior / (1 - prior))
+        posterior = 1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700)))
+        mass = np.stack([weight * (1 - posterior), weight * posterior])
+        counts = np.einsum("cp,vpl->cvl", mass, outcomes) + held * start
+        new = counts / counts.sum(axis=1, keepdims=True)
+        prior = float(np.clip(mass[1].sum() / weight.sum(), 0.05, 0.98))
+        done = np.abs(new - chances).max() < 1e-7
+        chances = new
         if done:
             break
+    accuracy = np.stack([chances[0, 0] / (chances[0, 0] + chances[0, 2]), chances[1, 2] / (chances[1, 0] + chances[1, 2])])
     return {tuple(p): float(x) for (p, _), x in zip(patterns, posterior)}, accuracy
 
 
+#: First chances of a bad vote, no vote and a good vote, on a bad document and on a good one.
+_START = np.array([[0.4, 0.35, 0.25], [0.01, 0.44, 0.55]])
+
+
 def _train(rows: np.ndarray, target: np.ndarray, config: QualityConfig) -> tuple[np.ndarray, float]:
     """Logistic regression by full-batch gradient steps; both classes weigh the same."""
-    weights, bias = np.zeros(rows.shape[1]), 0.0
-    share = np.where(target > 0.5, 0.5 / max((target > 0.5).sum(), 1), 0.5 / max((target <= 0.5).sum(), 1))
-    speed = np.zeros_like(weights)
+    rows, target = rows.astype(np.float32, copy=False), target.astype(np.float32)
+    weights, speed, bias = np.zeros(rows.shape[1], np.float32), np.zeros(rows.shape[1], np.float32), np.float32(0)
+    share = np.where(target > 0.5, 0.5 / max((target > 0.5).sum(), 1), 0.5 / max((target <= 0.5).sum(), 1)).astype(np.float32)
+    rate, decay, one = np.float32(config.rate), np.float32(config.decay), np.float32(1)
     for _ in range(config.steps):
-        error = share * (1.0 / (1.0 + np.exp(-np.clip(rows @ weights + bias, -500, 500))) - target)
-        speed = 0.9 * speed + (rows.T @ error + config.decay * weights)
-        weights -= 10 * config.rate * speed
-        bias -= config.rate * error.sum()
-    return weights, bias
+        error = share * (one / (one + np.exp(-np.clip(rows @ weights + bias, -60, 60))) - target)
+        speed = np.float32(0.9) * speed + (error @ rows + decay * weights)
+        weights -= 10 * rate * speed
+        bias -= rate * error.sum()
+    return weights.astype(np.float64), float(bias)
 
 
 @dataclass(frozen=True)

@@ -74,6 +74,13 @@ def op9_kneser_ney_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (remainder == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus pipeline from documents to packed pieces."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def op10_metric_range_join(spark: SparkSession, folder: str) -> DataFrame:
     """All embeddings linked at a cosine of 0.95."""
     return metric_join.join_embeddings(table(spark, folder, "embeddings"))
@@ -92,6 +99,7 @@ QUERIES = {
         op8_guess_cost_secrets,
         op9_kneser_ney_scores,
         op10_metric_range_join,
+        pipeline,
     )
 }
 

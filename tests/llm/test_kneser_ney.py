@@ -15,6 +15,9 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + [None]
 
 
+START = object()
+
+
 class Brute:
     """The same model from plain dictionaries."""
 
@@ -23,7 +26,7 @@ class Brute:
         for t in texts:
             ts = tokens(t)
             self.words.update(ts)
-            self.pairs.update(zip(["<s>", *ts[:-1]], ts))
+            self.pairs.update(zip([START, *ts[:-1]], ts))
         self.context = Counter()
         self.after = defaultdict(lambda: [0, 0, 0])
         self.before = Counter()
@@ -54,7 +57,7 @@ class Brute:
         ts = tokens(text)
         n, v = sum(self.words.values()), len(self.words)
         base = sum(math.log10((self.words[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts)
-        return len(ts), sum(self.words[t] > 0 for t in ts), base, sum(math.log10(self.chance(h, w)) for h, w in zip(["<s>", *ts[:-1]], ts))
+        return len(ts), sum(self.words[t] > 0 for t in ts), base, sum(math.log10(self.chance(h, w)) for h, w in zip([START, *ts[:-1]], ts))
 
 
 def agree(got, want):
@@ -88,7 +91,7 @@ def test_many_shards_and_spread_contexts(spark, documents):
 
 def test_probabilities_add_up(documents):
     model = Brute([t for _, t in documents[:20]])
-    for h in ["<s>", *list(model.words)[:5]]:
+    for h in [START, *list(model.words)[:5]]:
         total = sum(model.chance(h, w) for w in model.words) + model.chance(h, "never seen")
         assert total == pytest.approx(1.0, abs=1e-9)
 

@@ -5,7 +5,7 @@ from atrium.llm import quality, registry, textbuf
 
 
 def test_scores_follow_the_held_labels(spark):
-    folder = "/root/testdata/sf0.1"
+    folder = "/root/testdata/sf0.01"
     found = {r.doc_id: r for r in registry.op5_weak_label_quality(spark, folder).collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     assert len(found) == spark.read.parquet(f"{folder}/documents.parquet").count()
@@ -19,11 +19,11 @@ def test_scores_follow_the_held_labels(spark):
 def test_em_finds_the_labellers_accuracies():
     rng = np.random.default_rng(2)
     truth = rng.random(20_000) < 0.7
-    right = np.array([0.95, 0.9, 0.85, 0.8, 0.75, 0.9, 0.7, 0.6])
-    votes = np.where(rng.random((20_000, 8)) < right, truth[:, None], ~truth[:, None]).astype(int)
+    right = np.array([0.95, 0.9, 0.85, 0.8, 0.75, 0.9, 0.7, 0.6, 0.8, 0.85, 0.9])
+    votes = np.where(rng.random((20_000, 11)) < right, truth[:, None], ~truth[:, None]).astype(int)
     votes[rng.random(votes.shape) < 0.2] = -1
     distinct, counts = np.unique(votes, axis=0, return_counts=True)
-    posteriors, accuracy = quality.fit_labellers([(tuple(v), int(n)) for v, n in zip(distinct.tolist(), counts)], quality.QualityConfig())
+    posteriors, accuracy = quality.fit_labellers([(tuple(v), int(n)) for v, n in zip(distinct.tolist(), counts)], quality.QualityConfig(anchor=0.001))
     assert np.abs(accuracy - right).max() < 0.04
     guess = np.array([posteriors[tuple(v)] > 0.5 for v in votes.tolist()])
     assert (guess == truth).mean() > 0.95
