@@ -61,3 +61,35 @@ def component_stars(edges: DataFrame, scratch: Scratch, name: str = "stars", max
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).collect()[0]
     return tuple(row)
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """Least cost from ``source`` to ``target`` for all pairs of all venues together.
+
+    ``edges``: ``venue_id, from_id, to_id, cost`` (directed, cost of 0 or more); ``pairs``: ``od_id, venue_id,
+    source, target``. Returns ``od_id, cost, hops``; a pair without a path has null in both. Each round relaxes the
+    edges behind the rows that improved in the last one, all searches at once, and drops rows that cost
+    more than their pair's best arrival so far. Ties go to fewer hops.
+    """
+    spark = edges.sparkSession
+    scratch = Scratch(spark, "paths")
+    links = edges.groupBy("venue_id", "from_id", "to_id").agg(F.min("cost").alias("step"))
+    links = scratch.keep("edges", links.where("from_id <> to_id").withColumnRenamed("from_id", "node"))
+    asked = scratch.keep("pairs", pairs.select("od_id", "venue_id", "source", "target"))
+    state = asked.select("od_id", "venue_id", "target", F.col("source").alias("node"), F.lit(0).cast("double").alias("cost"), F.lit(0).alias("hops"), F.lit(True).alias("fresh"))
+    state = scratch.keep("state-0", state)
+    for turn in range(1, max_rounds + 1):
+        found = state.where("fresh").join(links, ["venue_id", "node"])
+        found = found.select("od_id", "venue_id", "target", F.col("to_id").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.lit(True).alias("fresh"))
+        arrived = state.where("node = target").groupBy("od_id").agg(F.min("cost").alias("_best"))
+        found = found.join(arrived, "od_id", "left").where("_best is null or cost < _best").drop("_best")
+        both = state.withColumn("fresh", F.lit(False)).unionByName(found)
+        best = both.groupBy("od_id", "venue_id", "target", "node").agg(F.min(F.struct("cost", "hops", "fresh")).alias("b"))
+        state = scratch.keep(f"state-{turn}", best.select("od_id", "venue_id", "target", "node", "b.cost", "b.hops", "b.fresh"))
+        scratch.drop(f"state-{turn - 1}")
+        if not state.where("fresh").limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
+    reached = state.where("node = target").select("od_id", "cost", "hops")
+    return asked.select("od_id").join(reached, "od_id", "left")

@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from atrium.plans import network_queries
+
+MODULES = (network_queries,)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in MODULES:
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
