@@ -5,7 +5,7 @@ embeddings are a range join. A bounded sample of vectors serves as pivots and ev
 home is its nearest one. If a vector has a partner within the range in another cell, the
 triangle inequality puts it within that range of the plane between the two pivots and within
 the cell's radius plus the range of its pivot; only then is it copied there. Cells join independently,
-in pairs of blocks, and the larger side of each pair of copies is confirmed by the cosine itself.
+in pairs of packed blocks, and doubles decide on every candidate that single precision finds.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ class MetricJoinConfig:
     cosine: float = 0.95
     cell: int = 2048
     max_pivots: int = 512
-    block: int = 2048
+    block: int = 1024
 
 
 def _keyed(vectors: DataFrame) -> DataFrame:
@@ -52,22 +52,33 @@ def _unit(rows) -> np.ndarray:
 
 
 def linked_pairs(a: np.ndarray, b: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of two blocks of unit vectors with at least that cosine; one block: each pair once."""
+    """Row pairs of two blocks of unit vectors with at least that cosine; one block: each pair once.
+
+    Products in single precision, whose error is far below the margin, find the candidates; doubles decide.
+    """
     other = a if b is None else b
+    low, high = a.astype(np.float32), np.ascontiguousarray(other.astype(np.float32).T)
     left, right = [], []
     for start in range(0, len(a), 512):
-        hit = a[start : start + 512] @ other.T >= cosine
+        i, j = np.nonzero(low[start : start + 512] @ high >= np.float32(cosine - 1e-3))
+        i = i + start
         if b is None:
-            hit = np.triu(hit, k=start + 1)
-        i, j = np.nonzero(hit)
-        left.append(i + start)
-        right.append(j)
+            i, j = i[i < j], j[i < j]
+        exact = np.einsum("ij,ij->i", a[i], other[j]) >= cosine
+        left.append(i[exact])
+        right.append(j[exact])
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    return np.frombuffer(b"".join(flat.to_pylist()), np.float64).reshape(len(flat), -1)
+def _near(rows: np.ndarray, own: np.ndarray, other: np.ndarray, extent: float, reach: float) -> np.ndarray:
+    """Which rows of a cell may have a partner in another cell: pivots of both, the other's radius.
+
+    The partner lies on the other side of the plane between the pivots, so a row is within ``reach`` of that
+    plane; and it lies within the other cell's radius of its pivot.
+    """
+    far, close = _distances(rows, other[None, :])[:, 0], _distances(rows, own[None, :])[:, 0]
+    gap = max(float(np.linalg.norm(own - other)), 1e-12)
+    return ((far * far - close * close) / (2.0 * gap) <= reach) & (far <= extent + reach)
 
 
 def join_embeddings(vectors: DataFrame, config: MetricJoinConfig = MetricJoinConfig()) -> DataFrame:
@@ -117,49 +128,55 @@ def join_embeddings(vectors: DataFrame, config: MetricJoinConfig = MetricJoinCon
     for r in placed.groupBy("dim", "home").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # one row for each pivot
         extent[r.dim, r.home] = (r.far, r.n)
     known = spark.sparkContext.broadcast(extent)
-    dealt = "dim int, cell int, low int, high int, own int, home int, key string, rep long, size long, unit binary"
-
-    def spread(batches):
-        gaps = {dim: _distances(p, p) for dim, p in shared.value.items()}
-        radius = {dim: np.array([known.value.get((dim, j), (-np.inf, 0))[0] for j in range(len(p))]) for dim, p in shared.value.items()}
-        parts = {dim: np.array([max(1, -(-known.value.get((dim, j), (0, 0))[1] // config.block)) for j in range(len(p))]) for dim, p in shared.value.items()}
-        for batch in batches:
-            out = []
-            columns = [c.to_pylist() for c in batch.columns]
-            for key, rep, size, dim, home, far, unit in zip(*columns):
-                d = _distances(np.frombuffer(unit, np.float64)[None, :], shared.value[dim])[0]
-                gap = np.maximum(gaps[dim][home], 1e-12)
-                near = ((d * d - far * far) / (2.0 * gap) <= reach) & (d <= radius[dim] + reach)
-                near[home] = True
-                # a pair of two cells is looked for once, in the cell of the smaller number
-                near[home + 1 :] = False
-                for cell in np.flatnonzero(near).tolist():
-                    n = int(parts[dim][cell])
-                    slot = rep % n
-                    for other in range(n):
-                        out.append((dim, cell, min(slot, other), max(slot, other), slot, home, key, rep, size, unit))
-                if len(out) >= 2000:
-                    yield _dealt(out)
-                    out = []
-            if out:
-                yield _dealt(out)
+    counts = placed.groupBy("dim", "home").agg(F.ceil(F.count("*") / config.block).alias("parts")).select((-F.col("dim")).alias("_d"), (-F.col("home")).alias("_h"), "parts")
+    slotted = placed.withColumns({"_d": -F.col("dim"), "_h": -F.col("home")}).join(F.broadcast(counts), ["_d", "_h"])  # one row for each pivot
+    slotted = slotted.select("dim", "home", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("slot"), "key", "rep", "size", "unit")
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("key").to_numpy(zero_copy_only=False), kind="stable")))
+        dim, home = table.column("dim")[0].as_py(), table.column("home")[0].as_py()
+        unit, pivot = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(-1, dim), shared.value[dim]
+        # a pair of two cells is looked for once, with the cell of the smaller number as host
+        hosts = [j for j in range(home) if (dim, j) in known.value and _near(unit, pivot[home], pivot[j], known.value[dim, j][0], reach).any()]
+        return pa.table(
+            [
+                pa.array([dim], pa.int32()), pa.array([home], pa.int32()), table.column("slot").slice(0, 1).cast(pa.int32()), pa.array([[*hosts, home]], pa.list_(pa.int32())),
+                pa.array([table.column("key").to_pylist()], pa.list_(pa.string())), pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())),
+                pa.array([table.column("size").to_pylist()], pa.list_(pa.int64())), pa.array([unit.tobytes()], pa.binary()),
+            ],
+            names=["dim", "home", "slot", "hosts", "keys", "reps", "sizes", "units"],
+        )
+
+    packed = slotted.groupBy("dim", "home", "slot").applyInArrow(pack, "dim int, home int, slot int, hosts array<int>, keys array<string>, reps array<long>, sizes array<long>, units binary")
+    blocks = scratch.keep("blocks", packed)
+    names = blocks.select("dim", "home", "slot")
+    guests = blocks.select("dim", F.explode("hosts").alias("cell"), F.col("home").alias("guest"), F.col("slot").alias("guest_slot"))
+    pairs = guests.join(names.select("dim", F.col("home").alias("cell"), F.col("slot").alias("cell_slot")), ["dim", "cell"])
+    pairs = pairs.where("cell < guest or cell_slot <= guest_slot")
+    content = ["keys", "reps", "sizes", "units"]
+    order = ["dim", "cell", "cell_slot", "guest", "guest_slot"]
+    host = pairs.join(blocks.select("dim", F.col("home").alias("cell"), F.col("slot").alias("cell_slot"), *content), ["dim", "cell", "cell_slot"])
+    guest = pairs.where("cell < guest or cell_slot < guest_slot").join(blocks.select("dim", F.col("home").alias("guest"), F.col("slot").alias("guest_slot"), *content), ["dim", "guest", "guest_slot"])
+    dealt = host.select(*order, F.lit(0).alias("side"), *content).union(guest.select(*order, F.lit(1).alias("side"), *content))
 
     def confirm(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("key").to_numpy(zero_copy_only=False), table.column("rep").to_numpy()))
-        table = table.take(pa.array(order))
-        unit = _matrix(table.column("unit"))
-        reps, sizes = table.column("rep").to_numpy(), table.column("size").to_numpy()
-        home, cell = table.column("home").to_numpy(), table.column("cell")[0].as_py()
-        own, low, high = table.column("own").to_numpy(), table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        if low == high:
-            i, j = linked_pairs(unit, None, config.cosine)
+        table = table.take(pa.array(np.argsort(table.column("side").to_numpy(), kind="stable")))
+        dim, cell, guest = (table.column(c)[0].as_py() for c in ("dim", "cell", "guest"))
+        keys = [np.array(k, object) for k in table.column("keys").to_pylist()]
+        reps = [np.array(r, np.int64) for r in table.column("reps").to_pylist()]
+        sizes = [np.array(n, np.int64) for n in table.column("sizes").to_pylist()]
+        units = [np.frombuffer(u, np.float64).reshape(-1, dim) for u in table.column("units").to_pylist()]
+        if len(units) == 1:
+            i, j = linked_pairs(units[0], None, config.cosine)
         else:
-            a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
-            i, j = linked_pairs(unit[a], unit[b], config.cosine)
-            i, j = a[i], b[j]
-        # of two copies that are both guests here, their own cells see the pair
-        mine = (home[i] == cell) | (home[j] == cell)
-        i, j = i[mine], j[mine]
+            mine, theirs = np.arange(len(units[0])), np.arange(len(units[1]))
+            if cell != guest:
+                pivot = shared.value[dim]
+                mine = np.flatnonzero(_near(units[0], pivot[cell], pivot[guest], known.value[dim, guest][0], reach))
+                theirs = np.flatnonzero(_near(units[1], pivot[guest], pivot[cell], known.value[dim, cell][0], reach))
+            i, j = linked_pairs(units[0][mine], units[1][theirs], config.cosine)
+            i, j = mine[i], theirs[j] + len(units[0])
+        keys, reps, sizes = np.concatenate(keys), np.concatenate(reps), np.concatenate(sizes)
         n = np.zeros(len(reps), np.int64)
         np.add.at(n, i, sizes[j])
         np.add.at(n, j, sizes[i])
@@ -172,17 +189,15 @@ def join_embeddings(vectors: DataFrame, config: MetricJoinConfig = MetricJoinCon
                 x = parent[x]
             return x
 
-        up = np.full(len(reps), -1, np.int64)
         for x, y in zip(i.tolist(), j.tolist()):
             x, y = root(x), root(y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        for x in range(len(reps)):
-            up[x] = reps[root(x)]
         some = np.flatnonzero(n)
-        return pa.table({"key": table.column("key").take(pa.array(some)), "rep": pa.array(reps[some]), "links": pa.array(n[some]), "up": pa.array(up[some])})
+        up = np.array([reps[root(x)] for x in some.tolist()], np.int64)
+        return pa.table({"key": pa.array(keys[some].tolist(), pa.string()), "rep": pa.array(reps[some]), "links": pa.array(n[some]), "up": pa.array(up)})
 
-    found = placed.mapInArrow(spread, dealt).groupBy("dim", "cell", "low", "high").applyInArrow(confirm, "key string, rep long, links long, up long")
+    found = dealt.groupBy(*order).applyInArrow(confirm, "key string, rep long, links long, up long")
     found = scratch.keep("found", found)
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     linked = component_stars(found.select(F.col("rep").alias("a"), F.col("up").alias("b")), scratch, "components")
@@ -195,9 +210,3 @@ def join_embeddings(vectors: DataFrame, config: MetricJoinConfig = MetricJoinCon
     part = keyed.select("vec_id", F.reverse("key").alias("_k")).join(named, "_k").select("vec_id", "n_links", "component_id")
     rest = every.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return part.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-
-
-def _dealt(rows: list) -> pa.RecordBatch:
-    kinds = [pa.int32()] * 6 + [pa.string(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["dim", "cell", "low", "high", "own", "home", "key", "rep", "size", "unit"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
