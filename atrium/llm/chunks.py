@@ -9,6 +9,7 @@ Arrow batch tile its text buffer; Arrow's dictionary encoding finds the distinct
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,20 @@ from atrium.llm import textbuf
 TABLE_LIMIT = 400_000
 TABLE_CHARS = 16 << 20
 
+#: ASCII punctuation but the apostrophe, which contractions bind to letters.
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')] = True
+_NO_LETTER = np.zeros(256, bool)
+_NO_LETTER[[c for c in range(128) if not chr(c).isalpha()]] = True
+
 
 def chunk_array(data: np.ndarray, offsets: np.ndarray, marker_only: bool) -> tuple[pa.Array, np.ndarray]:
     """Chunks that tile the buffer, and for each text the number of chunks before it (n + 1).
 
     With ``marker_only`` every run of spaces opens a chunk (and nothing else does), which is
-    the rule for a vocabulary whose pieces hold the space marker only in front. Otherwise a
-    single space between two non-spaces opens one, the rule for byte-level pre-tokenising.
+    the rule for a vocabulary whose pieces hold the space marker only in front. Otherwise, by the
+    rule of byte-level pre-tokenising, a single space between two non-spaces opens one, and so do a
+    single line feed between two non-spaces, what follows it, and punctuation after a letter.
     """
     if not len(data):
         return pa.array([], pa.large_string()), np.zeros(len(offsets), np.int64)
@@ -41,6 +49,13 @@ def chunk_array(data: np.ndarray, offsets: np.ndarray, marker_only: bool) -> tup
         tail = plain.copy()
         tail[1:] |= (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xC9)
         opens[1:-1] = space[1:-1] & tail[:-2] & letter[2:]
+        feed = (data[1:-1] == 0x0A) & tail[:-2] & letter[2:]
+        opens[1:-1] |= feed
+        opens[2:] |= feed
+        # of the two-byte characters all but the signs of multiplication and division are letters
+        ends_letter = tail & ~_NO_LETTER[data]
+        ends_letter[1:] &= ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+        opens[1:] |= _PUNCTUATION[data[1:]] & ends_letter[:-1]
     filled = offsets[1:] > offsets[:-1]
     firsts = offsets[:-1][filled]
     opens[firsts] = True
@@ -59,10 +74,10 @@ def chunk_array(data: np.ndarray, offsets: np.ndarray, marker_only: bool) -> tup
 class ChunkTable:
     """Ids of distinct chunks, filled as new ones appear.
 
-    ``encode`` maps a list of chunk texts to a list of id lists.
+    ``encode`` maps a list of chunk texts to a list of sequences of ids.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = TABLE_LIMIT):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = TABLE_LIMIT):
         self.encode, self.limit = encode, limit
         self.generation = 0
         self._clear()
@@ -85,9 +100,9 @@ class ChunkTable:
             ids = self.encode(new)
             ends = np.cumsum([len(x) for x in ids]) + self.starts[-1]
             self.starts = np.concatenate([self.starts, ends])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(ends[-1] - len(self.flat)))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1] - len(self.flat)))])
         known = self.known
-        return np.fromiter((known[c] for c in chunks), np.int64, len(chunks))
+        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
 
     def ids(self, array: pa.Array, bounds: np.ndarray, lead: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in order, each text's bounds in them (n + 1), and each chunk's row of the table.

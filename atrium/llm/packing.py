@@ -100,15 +100,33 @@ class TextTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table = ChunkTable(self._encode)
 
     def _encode(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        array, bounds = chunk_array(*textbuf.text_buffer(column), marker_only=False)
-        ids, at, _ = self.table.ids(array, bounds)
-        return ids, at
+        """Ids of all texts, text after text, and their n + 1 bounds."""
+        data, offsets = textbuf.text_buffer(column)
+        whole = self._with_added_token(data, offsets)
+        if not whole:
+            return self.table.ids(*chunk_array(data, offsets, marker_only=False))[:2]
+        # such a token may lie across a cut, so these texts are encoded as they are
+        texts = column.to_pylist()
+        rest = pa.array([None if k in whole else t for k, t in enumerate(texts)], pa.string())
+        ids, at = self.ids(rest)
+        parts = [self.tokenizer.encode(texts[k], add_special_tokens=False).ids if k in whole else ids[at[k] : at[k + 1]] for k in range(len(texts))]
+        return np.concatenate([np.asarray(p, np.uint32) for p in parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _with_added_token(self, data: np.ndarray, offsets: np.ndarray) -> set[int]:
+        raw, found = data.tobytes(), set()
+        for token in self.added:
+            place = raw.find(token)
+            while place >= 0:
+                found.add(int(np.searchsorted(offsets, place, "right")) - 1)
+                place = raw.find(token, place + 1)
+        return {k for k in found if any(t in raw[offsets[k] : offsets[k + 1]] for t in self.added)}
 
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -167,7 +185,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, config: PackConfig = PackCon
     def run(batches):
         pool, tokens, out = _Pool(config, TaskContext.get().partitionId()), TextTokens(tokenizer), []
         for whole in batches:
-            for batch in textbuf.slices(whole, "text"):
+            for batch in textbuf.slices(whole, "text", 8 << 20):
                 ids, at = tokens.ids(batch.column(1))
                 keys = batch.column(0).to_pylist()
                 for k, doc_id in enumerate(keys):
