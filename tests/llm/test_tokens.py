@@ -130,3 +130,14 @@ def test_costs_are_balanced():
 def test_sequence_sizes():
     assert packing.capacities(0, 2048) == []
     assert packing.capacities(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1]
+
+
+def test_chunks_do_not_change_the_ids(tokenizer):
+    """Texts of awkward neighbours, alone and side by side in a batch."""
+    rng = np.random.default_rng(8)
+    bits = ["a", "Word", " ", "  ", "\n", "\n\n", "\t", ".", ",", "'s", "'", "’", "é", "ß", "×", "÷", "ñ", "12", "　", " ", " ", "|", "!!", "<|endoftext|>", "\x1c", "\x85", "中", "\U0001f600", "_", "-", "'ll", "\r\n", "ǆ", "λ"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(6000)]
+    tokens = packing.TextTokens(registry.vocabulary_file("byte_bpe_50k.json"))
+    ids, at = tokens.ids(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
