@@ -124,14 +124,14 @@ FIXTURES: dict[str, str] = {
                     when 14 then cast(doc_id % 25 as varchar(9)) || 'floor east' else source end as label
         from {documents}""",
     "fx_search": """
-        select 'V' || cast(p_partkey % 5 as varchar(9)) as venue_id, 'E' || cast(p_partkey as varchar(9)) as entry_id, p_name as label_en, p_brand as label_ja, p_type as alt_label,
+        select 'V' || cast(p_partkey % 5 as varchar(9)) as venue_id, 'E' || cast(p_partkey as varchar(9)) as entry_id, p_name as label_en, p_brand as label_ja, p_type as alt_label, p_partkey as pos,
                case p_size % 4 when 0 then 'retail' when 1 then 'restaurant' when 2 then 'service' else 'transit' end as category,
                case p_size % 3 when 0 then 'unit' when 1 then 'occupant' else 'amenity' end as feature_type, cast(p_partkey % 5 - 2 as double) as ordinal
         from {part}""",
     "fx_queries": """
         select cast(p_partkey as bigint) as query_id, 'V' || cast(p_partkey % 5 as varchar(9)) as venue_id,
                case p_partkey % 4 when 0 then lower(p_brand) when 1 then upper(substr(p_name, 1, 4)) when 2 then '' else substr(p_type, 2, 5) end as text,
-               case p_partkey % 3 when 0 then 'all' when 1 then 'retail' else 'transit' end as category, cast(p_partkey % 5 - 2 as double) as level_ordinal
+               case p_partkey % 3 when 0 then 'all' when 1 then 'shops' else 'facilities' end as category, cast(p_partkey % 5 - 2 as double) as level_ordinal
         from {part} where p_partkey % 10 = 0""",
     "fx_mutations": """
         select event_id, user_id % 10 as version_id, user_id as author, 'r' || cast(event_id - event_id % 7 * (event_id % 2) as varchar(20)) as request_id, event_type,
