@@ -138,6 +138,16 @@ FIXTURES: dict[str, str] = {
                case event_type when 'signup' then 'create_root' when 'click' then 'create_reply' when 'view' then 'patch' when 'purchase' then 'attach' else 'delete' end as op,
                ts, value, SHA[event_type || cast(event_id % 3 as varchar(9))]SHA as request_hash
         from {events}""",
+    "fx_triangles": """
+        select 'V' || cast(l_suppkey % 5 as varchar(9)) as venue_id, 'm' || cast(l_suppkey % 3 as varchar(9)) as member, 'T' || cast(l_suppkey % 6 as varchar(9)) as level_key, l_orderkey as feature_id, l_linenumber as line_no, t.half,
+               case l_orderkey % 6 when 0 then 'Floors' when 1 then 'Walls' when 2 then 'Ceilings' when 3 then 'Floors' when 4 then 'Stairs' else 'Site' end as category,
+               8 * (l_partkey % 10) as x0, 8 * l_linenumber as y0, (case l_suppkey % 6 when 5 then 50000 else (l_suppkey % 6 - 2) * 4200 end) + (l_orderkey % 3) * 4 as z_mm
+        from {lineitem} join (select 0 as half union all select 1 as half) t on true""",
+    "fx_layers": """
+        select 'Station' || cast(n_regionkey as varchar(9)) || '_' || t.token || '_' || k.kind as layer_name, n_nationkey as pos,
+               case (n_nationkey + k.n) % 5 when 0 then 'polygon' when 1 then 'polygon' when 2 then 'line' when 3 then 'point' else 'none' end as family, n_nationkey % 7 as feature_count
+        from {nation} join (select 'B1' as token, 0 as n union all select 'F2', 1 union all select 'M2', 2 union all select 'R', 3 union all select '0', 4) t on t.n = n_nationkey % 5
+        join (select 'Floor' as kind, 0 as n union all select 'Space', 1 union all select 'Opening', 2 union all select 'Drawing', 3 union all select 'Facility', 4 union all select 'x_to_y_link', 5 union all select 'notes', 6) k on true""",
     "fx_versions": """
         select o_orderkey as version_id, o_custkey % 20 as venue_no, row_number() over (partition by o_custkey % 20 order by o_orderkey) as seq,
                case o_orderstatus when 'F' then 'published' when 'O' then 'draft' else 'failed' end as status,
