@@ -173,3 +173,37 @@ def route_segments(spark, folder):
     order = Window.partitionBy("venue_id").orderBy((F.col("node_id") * 7919) % 1009, "node_id")
     route = fixture(spark, folder, "fx_nodes").select(F.col("venue_id").alias("route_id"), F.row_number().over(order).alias("position"), "node_id", "ordinal")
     return spatial.route_segments(route)
+
+
+from atrium.operators import synthesis  # noqa: E402
+
+
+@query("vertical_links")
+def vertical_links(spark, folder):
+    return synthesis.vertical_links(vertical_candidates(spark, folder))
+
+
+@query("hub_network")
+def hub_network(spark, folder):
+    return synthesis.hub_network(opening_hub_links(spark, folder), shared_boundary_links(spark, folder), vertical_links(spark, folder))
+
+
+@query("band_pairs", f"select venue_id, source, target, round(metres, 5) as metres from (select a.venue_id, a.node_id as source, b.node_id as target, {HAV.format(a='a', b='b')} as metres from fx_nodes a join fx_nodes b on b.venue_id = a.venue_id and b.ordinal = a.ordinal and b.node_id > a.node_id) where metres > 10 and metres <= 20")
+def band_pairs(spark, folder):
+    return synthesis.band_pairs(fixture(spark, folder, "fx_nodes"), 10.0, 20.0).withColumn("metres", F.round("metres", 5))
+
+
+@query("walkable", f"""with {SEG}, near as (select n.venue_id, n.node_id, n.lon, n.lat, s.* exclude (venue_id, ordinal) from fx_nodes n join segs s on s.venue_id = n.venue_id and s.ordinal = n.ordinal where s.category in ('walkway', 'corridor')), {OFFSET},
+    inn as (select n.node_id, u.category from fx_nodes n join fx_units u on u.level_id = n.level_id and n.i > u.i0 and n.i < u.i1 and n.j > u.j0 and n.j < u.j1)
+    select n.venue_id, n.node_id as point_id, (exists (select 1 from inn i where i.node_id = n.node_id and i.category in ('walkway', 'corridor')) or exists (select 1 from dist d where d.node_id = n.node_id and d.metres <= 0.3e0))
+      and not exists (select 1 from inn i where i.node_id = n.node_id and i.category = 'room') as walkable from fx_nodes n""")
+def walkable(spark, folder):
+    floors = spatial.ring_segments(unit_rings(spark, folder, "category in ('walkway', 'corridor')"))
+    return synthesis.walkable(node_points(spark, folder), floors, spatial.ring_segments(unit_rings(spark, folder, "category = 'room'")))
+
+
+@query("near_wall", f"""with {SEG}, near as (select n.venue_id, n.node_id, n.lon, n.lat, s.* exclude (venue_id, ordinal) from fx_nodes n join segs s on s.venue_id = n.venue_id and s.ordinal = n.ordinal where s.category = 'room'), {OFFSET}
+    select distinct venue_id, node_id as point_id from dist where metres <= 6.0e0 and node_id % 5 <> 0""")
+def near_wall(spark, folder):
+    locks = fixture(spark, folder, "fx_nodes").where("node_id % 5 = 0")
+    return synthesis.near_wall(node_points(spark, folder), spatial.ring_segments(unit_rings(spark, folder, "category = 'room'")), locks, reach_m=6.0)

@@ -169,3 +169,26 @@ def test_scratch_follows_the_shared_folder(spark):
     scratch.drop("t")
     with pytest.raises(Exception):
         kept.count()
+
+
+def test_matching_is_one_to_one_and_global():
+    from atrium.operators.synthesis import best_matching
+
+    pairs = lambda *rows: [(a, b) for a, b, _ in best_matching([(str(x), str(y), d) for x, y, d in rows])]
+    assert pairs((1, 10, 1.0), (2, 10, 1.1), (2, 11, 2.0)) == [("1", "10"), ("2", "11")]
+    assert pairs((1, 10, 1), (1, 11, 2), (2, 10, 1.1), (2, 11, 100)) == [("1", "11"), ("2", "10")]
+    assert pairs((1, 10, 1), (1, 11, 0), (2, 10, 2), (2, 11, 1)) == [("1", "10"), ("2", "11")]
+
+
+def test_large_matching_equals_all_assignments():
+    from itertools import permutations
+
+    from atrium.operators.synthesis import best_matching
+
+    rng = random.Random(6)
+    lows, highs = [f"a{k}" for k in range(7)], [f"b{k}" for k in range(7)]
+    rows = [(a, b, rng.random()) for a in lows for b in highs]
+    cost = {(a, b): round(d * 1e6) for a, b, d in rows}
+    least = min(sum(cost[a, b] for a, b in zip(lows, order)) for order in permutations(highs))
+    got = best_matching(rows)
+    assert len(got) == 7 and sum(cost[a, b] for a, b, _ in got) == least
