@@ -230,3 +230,32 @@ def attachment_refs(body: Column) -> Column:
 def request_hash(*fields: Column) -> Column:
     """SHA-256 of the fields as JSON; pass them in order of name."""
     return F.sha2(F.to_json(F.struct(*fields)), 256)
+
+
+#: Categories of internal codes, by prefix letter and number, with each letter's default.
+CATEGORY_CODES = {
+    "A": {
+        1: "transitstation", 2: "airport", 3: "stadium", 4: "shoppingcenter", 5: "conventioncenter", 6: "governmentfacility", 7: "medicalfacility", 8: "welfare", 9: "communitycenter", 10: "hotel",
+        11: "parkingfacility", 12: "university", 13: "theater", 14: "aquarium", 15: "museum", 16: "other", 17: "retailstore", 18: "shoppingcenter", 19: "resort", 20: "themepark", 21: "casino", 22: "other",
+        23: "businesscampus", 24: "publictoilet", 999: "other",
+    },
+    "B": {
+        1: "retail", 2: "office", 3: "publicfacility", 4: "waitingroom", 5: "tickets", 6: "information", 7: "restroom.male", 8: "restroom.female", 9: "restroom.unisex", 10: "restroom", 11: "restroom",
+        12: "restroom", 13: "restroom", 14: "restroom", 15: "smokingarea", 16: "mothersroom", 17: "firstaid", 18: "room", 19: "room", 20: "opentobelow", 21: "stairs", 22: "elevator", 23: "escalator",
+        24: "walkway", 25: "walkway", 26: "nonpublic", 27: "parking", 28: "platform", 29: "walkway",
+    },
+    "C": {
+        1: "column", 2: "bench", 3: "reception", 4: "cubicle", 5: "rubbishbin", 6: "furniture", 7: "kiosk", 8: "obstruction", 9: "vegetation", 10: "wall", 11: "water", 12: "locker", 13: "vendingmachine",
+        14: "atm", 15: "stage", 16: "fence", 17: "twsi.hazard", 18: "twsi.guidance", 19: "twsi.crossing", 101: "platform.screen", 102: "platform.gate", 103: "ticket.vending", 104: "ticketgate",
+        201: "baggage.carousel", 202: "checkin.kiosk", 999: "unspecified",
+    },
+}
+CATEGORY_DEFAULTS = {"A": "other", "B": "unspecified", "C": "unspecified"}
+
+
+def map_category_code(raw: Column) -> Column:
+    """Category of an internal code (letter and number); a code without an entry gets its letter's default, other text stays."""
+    known = F.create_map(*[F.lit(x) for p, rows in CATEGORY_CODES.items() for n, name in rows.items() for x in (f"{p}{n:03d}", name)])
+    default = F.create_map(*[F.lit(x) for pair in CATEGORY_DEFAULTS.items() for x in pair])
+    code = F.trim(raw)
+    return F.when(code.rlike("^[ABC][0-9]+$"), F.coalesce(F.try_element_at(known, code), default[F.substring(code, 1, 1)])).otherwise(raw)

@@ -153,3 +153,84 @@ def validate_issue_rows(issues: DataFrame) -> DataFrame:
     bad_request = ~F.coalesce(F.lower("request_uuid").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"), F.lit(False))
     codes = F.array(F.when(bad_body, F.lit("body")), F.when(bad_due, F.lit("due_date")), F.when(bad_place, F.lit("position")), F.when(bad_request, F.lit("request_id")))
     return issues.select("issue_id", F.explode(F.array_compact(codes)).alias("code"))
+
+
+def issue_threads(comments: DataFrame, users: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Root comments with author, assignee, ordered replies and numbers of live attachments.
+
+    ``comments``: ``comment_id, root_id (null for a root), author, assignee, created_at``. Replies are in order of
+    (created_at, comment_id).
+    """
+    name = lambda key, out: users.select(F.col("user_id").alias(key), F.col("user_name").alias(out))
+    replies = comments.where("root_id is not null").groupBy(F.col("root_id").alias("comment_id")).agg(F.array_sort(F.collect_list(F.struct("created_at", F.col("comment_id").alias("id")))).alias("r"))
+    files = attachments.where("state = 'attached'").groupBy("comment_id").agg(F.count("*").alias("files"))
+    roots = comments.where("root_id is null").join(name("author", "author_name"), "author", "left").join(name("assignee", "assignee_name"), "assignee", "left")
+    rows = roots.join(replies, "comment_id", "left").join(files, "comment_id", "left")
+    return rows.select("comment_id", "author_name", "assignee_name", F.coalesce(F.array_join(F.transform("r", lambda x: x["id"].cast("string")), ","), F.lit("")).alias("replies"), F.coalesce("files", F.lit(0)).alias("files"))
+
+
+def servable_media(attachments: DataFrame, comments: DataFrame, versions: DataFrame) -> DataFrame:
+    """Attached files of live comments in published versions that have a bundle."""
+    live = comments.where("deleted_at is null").select("comment_id", "version_id")
+    published = versions.where("status = 'published' and bundle_hash is not null").select("version_id")
+    return attachments.where("state = 'attached'").join(live, "comment_id").join(published, "version_id").select("attachment_id", "comment_id", "version_id")
+
+
+def anchor_violations(issues: DataFrame, levels: DataFrame, features: DataFrame) -> DataFrame:
+    """Issues whose level or feature does not exist, or whose feature lies on another level (one without a level may)."""
+    known = levels.select("venue_id", "level_id", F.lit(True).alias("_level"))
+    placed = features.select("venue_id", "feature_id", F.col("level_ref").alias("_on"), F.lit(True).alias("_feature"))
+    rows = issues.join(known, ["venue_id", "level_id"], "left").join(placed, ["venue_id", "feature_id"], "left")
+    reason = (
+        F.when(F.col("_level").isNull(), "level_missing")
+        .when(F.col("feature_id").isNotNull() & F.col("_feature").isNull(), "feature_missing")
+        .when(F.col("_on").isNotNull() & (F.col("_on") != F.col("level_id")), "feature_on_other_level")
+    )
+    return rows.withColumn("reason", reason).where("reason is not null").select("issue_id", "reason")
+
+
+def package_integrity(members: DataFrame, blobs: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members whose content is not in the store, and packages that no version refers to."""
+    lost = members.join(blobs.select("hash").distinct(), "hash", "left_anti").select("package_id", "path", "hash")
+    idle = members.select("package_id").distinct().join(references.select("package_id").distinct(), "package_id", "left_anti")
+    return lost, idle
+
+
+def orphans(versions: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+    """Draft versions without a live job, and running jobs whose lease has run out."""
+    live = jobs.where(F.col("state").isin("queued", "running")).select("version_id").distinct()
+    drafts = versions.where("status = 'draft'").join(live, "version_id", "left_anti").select(F.lit("draft_without_job").alias("code"), F.col("version_id").alias("subject"))
+    stale = jobs.where((F.col("state") == "running") & (seconds(F.col("lease_until")) < seconds(now))).select(F.lit("lease_expired").alias("code"), F.col("job_id").alias("subject"))
+    return drafts.union(stale)
+
+
+def recent_evaluation(evaluations: DataFrame, targets: DataFrame) -> DataFrame:
+    """Newest evaluation of each package, and whether the current target has another version or bundle."""
+    order = Window.partitionBy("package_id").orderBy(F.col("evaluated_at").desc(), F.col("evaluation_id").desc())
+    newest = evaluations.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    current = targets.select("venue_no", F.col("version_id").alias("_version"), F.col("bundle_hash").alias("_bundle"))
+    rows = newest.join(current, "venue_no", "left")
+    same = (F.col("version_id") == F.col("_version")) & (F.col("bundle_hash") == F.col("_bundle"))
+    return rows.select("package_id", "evaluation_id", (~F.coalesce(same, F.lit(False))).alias("stale"))
+
+
+def tile_member_closure(members: DataFrame, refs: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:
+    """Members of each package that its root reaches over references, with their depth; deeper than ``max_depth`` is left out.
+
+    ``members``: ``package_id, path``; ``refs``: ``package_id, path, target``; ``roots``: ``package_id, path``. Each round joins
+    the last round's new members to the references, so rounds are bounded by the depth.
+    """
+    from atrium.scratch import Scratch
+
+    scratch = Scratch(members.sparkSession, "closure")
+    seen = roots.join(members, ["package_id", "path"], "left_semi").select("package_id", "path").distinct().withColumn("depth", F.lit(0))
+    seen = scratch.keep("depth-0", seen)
+    for depth in range(1, max_depth + 1):
+        step = seen.where(F.col("depth") == depth - 1).join(refs, ["package_id", "path"]).select("package_id", F.col("target").alias("path")).distinct()
+        fresh = step.join(members, ["package_id", "path"], "left_semi").join(seen, ["package_id", "path"], "left_anti").withColumn("depth", F.lit(depth))
+        following = scratch.keep(f"depth-{depth}", seen.unionByName(fresh))
+        scratch.drop(f"depth-{depth - 1}")
+        seen = following
+        if not seen.where(F.col("depth") == depth).limit(1).count():
+            break
+    return seen

@@ -213,3 +213,88 @@ def attachment_refs(spark, folder):
     a, b = (f"![x](attachment:{UUID.format(k)})" for k in (1, 2))
     body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(a), F.col("text"), F.lit(b + a))).otherwise(F.concat(F.col("text"), F.lit("![x](attachment:nope)")))
     return fixture(spark, folder, "documents").select("doc_id", F.array_join(scalars.attachment_refs(body), ",").alias("refs"))
+
+
+def comments(spark, folder):
+    """Orders as comments: two thirds are replies to the root before them."""
+    rows = fixture(spark, folder, "orders")
+    k = F.col("o_orderkey")
+    return rows.select(
+        k.alias("comment_id"), F.when(k % 3 != 0, k - k % 3).alias("root_id"), (F.col("o_custkey") % 50).alias("author"), F.when(k % 4 != 0, F.col("o_custkey") % 7).alias("assignee"), ((k * 7) % 1000).alias("created_at"),
+        (k % 40).alias("version_id"), F.when(k % 11 == 0, F.lit(1)).alias("deleted_at"),
+    )
+
+
+def users(spark, folder):
+    return fixture(spark, folder, "customer").where("c_custkey < 45").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("user_name"))
+
+
+def files(spark, folder):
+    return fixture(spark, folder, "events").select(F.col("event_id").alias("attachment_id"), (F.col("event_id") % 500).alias("comment_id"), F.expr("case event_id % 3 when 0 then 'staged' else 'attached' end").alias("state"))
+
+
+@query("issue_threads", """with c as (select o_orderkey as k, o_custkey % 50 as author, case when o_orderkey % 4 <> 0 then o_custkey % 7 end as assignee, (o_orderkey * 7) % 1000 as t from orders),
+    u as (select c_custkey, c_name from customer where c_custkey < 45)
+    select k as comment_id, (select c_name from u where c_custkey = author) as author_name, (select c_name from u where c_custkey = assignee) as assignee_name,
+      coalesce((select string_agg(cast(r.k as varchar), ',' order by r.t, r.k) from c r where r.k % 3 <> 0 and r.k - r.k % 3 = c.k), '') as replies,
+      (select count(*) from events where event_id % 500 = c.k and event_id % 3 <> 0) as files from c where k % 3 = 0""")
+def issue_threads(spark, folder):
+    return records.issue_threads(comments(spark, folder), users(spark, folder), files(spark, folder))
+
+
+@query("servable_media", """select e.event_id as attachment_id, e.event_id % 500 as comment_id, (e.event_id % 500) % 40 as version_id from events e join fx_versions v on v.version_id = (e.event_id % 500) % 40 and v.status = 'published' and v.bundle_hash is not null
+    where e.event_id % 3 <> 0 and (e.event_id % 500) % 11 <> 0 and exists (select 1 from orders where o_orderkey = e.event_id % 500)""")
+def servable_media(spark, folder):
+    return records.servable_media(files(spark, folder), comments(spark, folder), fixture(spark, folder, "fx_versions"))
+
+
+@query("anchor_violations", """with i as (select f.venue_id, f.feature_id, f.level_ref, f.pos, case when f.pos % 7 = 0 then 'L99' else coalesce(case when f.pos % 5 = 0 then 'L' || cast(f.pos % 25 as varchar) end, f.level_ref, 'L0') end as lv, case when f.pos % 11 = 0 then 'none' else f.feature_id end as ft from fx_features f where feature_type = 'unit')
+    select ft0 as issue_id, reason from (select i.feature_id as ft0, case when not exists (select 1 from fx_levels l where l.venue_id = i.venue_id and l.level_id = i.lv) then 'level_missing' when i.ft = 'none' then 'feature_missing' when i.level_ref is not null and i.level_ref <> i.lv then 'feature_on_other_level' end as reason from i) where reason is not null""")
+def anchor_violations(spark, folder):
+    features = fixture(spark, folder, "fx_features")
+    pos = F.col("pos")
+    level = F.when(pos % 7 == 0, "L99").otherwise(F.coalesce(F.when(pos % 5 == 0, F.concat(F.lit("L"), (pos % 25).cast("string"))), "level_ref", F.lit("L0")))
+    issues = features.where("feature_type = 'unit'").select("venue_id", F.col("feature_id").alias("issue_id"), level.alias("level_id"), F.when(pos % 11 == 0, "none").otherwise(F.col("feature_id")).alias("feature_id"))
+    return records.anchor_violations(issues, fixture(spark, folder, "fx_levels"), features)
+
+
+@query("package_integrity", """select 'lost:' || cast(l_suppkey as varchar) || ':' || cast(l_orderkey as varchar) || ':' || cast(l_linenumber as varchar) as finding from lineitem where l_partkey % 9 = 0
+    union all select distinct 'idle:' || cast(l_suppkey as varchar) from lineitem where l_suppkey % 4 = 1""")
+def package_integrity(spark, folder):
+    rows = fixture(spark, folder, "lineitem")
+    members = rows.select(F.col("l_suppkey").alias("package_id"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("path"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("hash"))
+    blobs = rows.where("l_partkey % 9 <> 0").select(F.sha2(F.col("l_partkey").cast("string"), 256).alias("hash"))
+    lost, idle = records.package_integrity(members, blobs, members.where("package_id % 4 <> 1"))
+    return lost.select(F.concat_ws(":", F.lit("lost"), "package_id", "path").alias("finding")).union(idle.select(F.concat_ws(":", F.lit("idle"), "package_id").alias("finding")))
+
+
+@query("orphans", """with j as (select o_orderkey as k, case o_orderkey % 4 when 0 then 'queued' when 1 then 'running' else 'done' end as state, (o_orderkey * 13) % 600 as lease from orders where o_orderkey % 5 <> 0)
+    select 'draft_without_job' as code, v.version_id as subject from fx_versions v where v.status = 'draft' and not exists (select 1 from j where j.k = v.version_id and j.state in ('queued', 'running')) union all select 'lease_expired', k from j where state = 'running' and lease < 300""")
+def orphans(spark, folder):
+    k = F.col("o_orderkey")
+    jobs = fixture(spark, folder, "orders").where("o_orderkey % 5 <> 0").select(k.alias("job_id"), k.alias("version_id"), F.expr("case o_orderkey % 4 when 0 then 'queued' when 1 then 'running' else 'done' end").alias("state"), F.timestamp_seconds(k * 13 % 600).alias("lease_until"))
+    return records.orphans(fixture(spark, folder, "fx_versions"), jobs, F.timestamp_seconds(F.lit(300)))
+
+
+@query("recent_evaluation", """with e as (select o_orderkey as evaluation_id, o_custkey as package_id, o_custkey % 20 as venue_no, o_orderkey % 50 as evaluated, v.version_id, v.bundle_hash from orders join fx_versions v on v.version_id = o_orderkey - o_orderkey % 4),
+    n as (select *, row_number() over (partition by package_id order by evaluated desc, evaluation_id desc) as n from e), t as (select venue_no, version_id, bundle_hash from (select *, row_number() over (partition by venue_no order by seq desc) as n from fx_versions where status = 'published' and bundle_hash is not null) where n = 1)
+    select package_id, evaluation_id, not coalesce(n.version_id = t.version_id and n.bundle_hash = t.bundle_hash, false) as stale from n left join t on t.venue_no = n.venue_no where n = 1""")
+def recent_evaluation(spark, folder):
+    versions = fixture(spark, folder, "fx_versions")
+    k = F.col("o_orderkey")
+    rows = fixture(spark, folder, "orders").select(k.alias("evaluation_id"), F.col("o_custkey").alias("package_id"), (F.col("o_custkey") % 20).alias("venue_no"), (k % 50).alias("evaluated_at"), (k - k % 4).alias("version_id"))
+    return records.recent_evaluation(rows.join(versions.select("version_id", "bundle_hash"), "version_id"), records.latest_published(versions))
+
+
+@query("tile_member_closure", """with recursive m as (select distinct p_partkey as k from part where p_partkey % 13 <> 5), r as (select k, k * 2 + 1 as t from m union all select k, k * 2 + 2 from m),
+    walk(k, depth) as (select 0, 0 union select r.t, depth + 1 from walk w join r on r.k = w.k join m on m.k = r.t where depth < 8) select 'p' as package_id, k as path, min(depth) as depth from walk group by 2""")
+def tile_member_closure(spark, folder):
+    members = fixture(spark, folder, "part").where("p_partkey % 13 <> 5").select(F.lit("p").alias("package_id"), F.col("p_partkey").cast("bigint").alias("path"))
+    refs = members.select("package_id", "path", F.explode(F.array(F.col("path") * 2 + 1, F.col("path") * 2 + 2)).alias("target"))
+    return records.tile_member_closure(members, refs, members.where("path = 0"))
+
+
+@query("map_category_code", """select p_partkey, case p_partkey % 6 when 0 then 'elevator' when 1 then 'museum' when 2 then 'ticketgate' when 3 then 'unspecified' when 4 then 'b022' else 'hall' end as category from part""")
+def map_category_code(spark, folder):
+    raw = F.element_at(F.array(*[F.lit(x) for x in ("B022", " A015 ", "C104", "B777", "b022", "hall")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return fixture(spark, folder, "part").select("p_partkey", scalars.map_category_code(raw).alias("category"))

@@ -207,3 +207,28 @@ def walkable(spark, folder):
 def near_wall(spark, folder):
     locks = fixture(spark, folder, "fx_nodes").where("node_id % 5 = 0")
     return synthesis.near_wall(node_points(spark, folder), spatial.ring_segments(unit_rings(spark, folder, "category = 'room'")), locks, reach_m=6.0)
+
+
+from atrium.functions import geometry  # noqa: E402
+
+
+@query("ring_measures", "select unit_id, round((i1 - i0) * (j1 - j0) / 40000000000.0e0 * 1e9, 6) as area_e9, round((27953200 + (i0 + i1) / 2.0e0) / 200000.0e0, 9) as lon, round((7136000 + (j0 + j1) / 2.0e0) / 200000.0e0, 9) as lat from fx_units")
+def ring_measures(spark, folder):
+    rings = unit_rings(spark, folder).withColumn("c", geometry.ring_centroid(F.col("points")))
+    return rings.select(F.col("shape_id").alias("unit_id"), F.round(geometry.ring_area(F.col("points")) * 1e9, 6).alias("area_e9"), F.round("c.lon", 9).alias("lon"), F.round("c.lat", 9).alias("lat"))
+
+
+@query("geometry_center", "select unit_id, case when k % 4 <> 0 then round((27953200 + (i0 + i1) / 2.0e0) / 200000.0e0, 9) end as lon, case when k % 4 <> 0 then round((7136000 + (j0 + j1) / 2.0e0) / 200000.0e0, 9) end as lat from fx_units")
+def geometry_center(spark, folder):
+    odd = F.array(F.struct(F.lit(float("nan")).alias("lon"), F.lit(1.0).alias("lat")))
+    rings = unit_rings(spark, folder).join(fixture(spark, folder, "fx_units").select(F.col("unit_id").alias("shape_id"), "k"), "shape_id")
+    points = F.when(F.col("k") % 4 == 0, odd).otherwise(F.concat(F.col("points"), odd))
+    return rings.withColumn("c", geometry.geometry_center(points)).select(F.col("shape_id").alias("unit_id"), F.round("c.lon", 9).alias("lon"), F.round("c.lat", 9).alias("lat"))
+
+
+@query("sample_line", f"""with p as (select o.opening_id, o.lon, (7136000 + j0) / 200000.0e0 as lat, (7136000 + j1) / 200000.0e0 as lat2 from fx_openings o), n as (select p.*, cast(ceil({HAV.format(a="p", b="q")} / 0.5e0) as bigint) as n from p join (select opening_id, lon, lat2 as lat from p) q using (opening_id))
+    select opening_id, n + 1 as ends_included, n as middles from n""")
+def sample_line(spark, folder):
+    lat = lambda j: ((F.col(j) + 7136000) / F.lit(200000.0)).alias("lat")
+    a, b = F.struct("lon", lat("j0")), F.struct("lon", lat("j1"))
+    return fixture(spark, folder, "fx_openings").select("opening_id", F.size(geometry.sample_line(a, b, 0.5)).alias("ends_included"), F.size(geometry.sample_cells(a, b, 0.5)).alias("middles"))
