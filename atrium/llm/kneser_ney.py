@@ -35,10 +35,14 @@ _BLOCK = "shard int, keys binary, counts binary"
 
 @dataclass(frozen=True)
 class LanguageModelConfig:
-    """``flush`` tokens are counted at once in a task; a shard holds about ``shard_tokens`` tokens."""
+    """``flush`` tokens are counted at once in a task; a shard holds about ``shard_tokens`` tokens.
+
+    The per-word arrays are kept in files of ``span`` ids, so their number follows the vocabulary.
+    """
 
     flush: int = 3 << 20
     shard_tokens: int = 4 << 20
+    span: int = 1 << 18
     base_alpha: float = 0.1
 
 
@@ -50,6 +54,7 @@ class KneserNeyModel:
     word_sizes: tuple[int, ...]
     pair_shards: int
     heavy: int
+    span: int
     texts: int
     train_tokens: int
     pair_types: int
@@ -259,7 +264,7 @@ def fit(train: DataFrame, config: LanguageModelConfig = LanguageModelConfig()) -
             loud = np.isin(first, np.fromiter(weights, _U, len(weights)))
             yield _blocks(pair_shard(first, keys & _U(0xFFFFFFFF), loud, pair_shards), keys, counts)
 
-    span = -(-(vocabulary + 1) // pair_shards)  # ids of one range of the per-word arrays
+    span = config.span
 
     def merge_pairs(table: pa.Table) -> pa.Table:
         shard, keys, counts = _merged(table)
@@ -300,7 +305,7 @@ def fit(train: DataFrame, config: LanguageModelConfig = LanguageModelConfig()) -
     types, *tops = [int(x or 0) for x in sums]
     seen, *lone = singles
     return KneserNeyModel(
-        folder, word_sizes, pair_shards, heavy, n_texts, tokens, types, seen,
+        folder, word_sizes, pair_shards, heavy, span, n_texts, tokens, types, seen,
         discounts(tops), discounts(lone), (lone[0], lone[1], seen - lone[0] - lone[1]),
     )
 
@@ -330,9 +335,9 @@ class Scorer:
             n = os.path.getsize(path) // 8 if os.path.exists(path) else 0
             self.keys.append(_mapped(path, _U, n))
             self.counts.append(_mapped(f"{folder}/pair-{k}.count", np.uint32, n))
-        self.span = -(-(model.vocabulary + 1) // model.pair_shards)
+        self.span = model.span
         self.ranges = {}
-        for k in range(model.pair_shards):
+        for k in range(-(-(model.vocabulary + 1) // self.span)):
             path = f"{folder}/range-{k}"
             if os.path.exists(path):
                 self.ranges[k] = np.memmap(path, np.uint32, "r", shape=(4, self.span))
@@ -340,10 +345,14 @@ class Scorer:
     def per_word(self, ids: np.ndarray) -> np.ndarray:
         """Array (4, n): types seen once, twice, more often after the word, and types before it."""
         out = np.zeros((4, len(ids)), np.int64)
-        where = ids // self.span
-        for k in np.unique(where[ids >= 0]).tolist():
+        order = np.argsort(ids, kind="stable")
+        order = order[np.searchsorted(ids[order], 0) :]
+        where = ids[order] // self.span
+        cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
+        for a, b in zip(cuts, np.append(cuts[1:], len(where))):
+            k = int(where[a])
             if k in self.ranges:
-                mine = np.flatnonzero((where == k) & (ids >= 0))
+                mine = order[a:b]
                 out[:, mine] = self.ranges[k][:, ids[mine] - k * self.span]
         return out
 

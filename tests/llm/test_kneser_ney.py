@@ -37,14 +37,14 @@ class Brute:
         tops = lambda xs: [sum(x == c for x in xs) for c in (1, 2, 3, 4)]
         self.cut = (0.0, *kneser_ney.discounts(tops(self.pairs.values())))
         self.single_cut = (0.0, *kneser_ney.discounts(tops(self.before.values())))
+        self.freed = sum(self.single_cut[min(n, 3)] for n in self.before.values()) / max(len(self.pairs), 1)
 
     def single(self, w):
         types, uniform = len(self.pairs), 1 / (len(self.words) + 1)
         if not types:
             return uniform
-        freed = sum(self.single_cut[min(n, 3)] for n in self.before.values()) / types
         n = self.before[w]
-        return (n - self.single_cut[min(n, 3)]) / types + freed * uniform
+        return (n - self.single_cut[min(n, 3)]) / types + self.freed * uniform
 
     def chance(self, h, w):
         total, c = self.context[h], self.pairs[h, w]
@@ -81,7 +81,7 @@ def test_scores_equal_plain_dictionaries(spark, folder, documents):
 def test_many_shards_and_spread_contexts(spark, documents):
     texts = [t for _, t in documents[:60]] + ["the the of the " * 50] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    config = kneser_ney.LanguageModelConfig(flush=700, shard_tokens=1500)
+    config = kneser_ney.LanguageModelConfig(flush=700, shard_tokens=1500, span=100)
     model = kneser_ney.fit(docs, config)
     assert model.pair_shards > 5 and len(model.word_sizes) > 1
     brute = Brute(texts)
