@@ -205,8 +205,9 @@ def fit_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> Qua
     """Estimate the labellers on all texts and train the scorer on a bounded sample of clear ones.
 
     Vote patterns are counted over all documents (at most three to the power of the labellers
-    reach the driver). The sample is the first ``sample`` clear documents of either class by hash of
-    their text. If a class has none, the model has no weights and the posterior is the score.
+    reach the driver). The sample is the first ``sample`` different clear texts of either class by hash;
+    as the number of clear documents is known, hashes far above the last one wanted are left out before
+    any sort, so no task gets more than a small multiple of the sample. If a class has none, the model has no weights and the posterior is the score.
     """
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
 
@@ -233,7 +234,11 @@ def fit_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> Qua
                     found = shape_features(*textbuf.text_buffer(batch.column(0)), config.dimensions)
                     yield pa.RecordBatch.from_arrays([textbuf.binaries([x.tobytes() for x in found.astype(np.float32)])], ["features"])
 
-        drawn = voted.where(F.col("pattern").isin(clear)).orderBy(F.xxhash64("text"), F.xxhash64("text", F.lit(1))).limit(config.sample)
+        rows_of_class = sum(r.n for r in counted if r.pattern in clear)
+        share = min(1.0, 2.0 * config.sample / rows_of_class)
+        hashed = voted.where(F.col("pattern").isin(clear)).withColumns({"_h": F.xxhash64("text"), "_i": F.xxhash64("text", F.lit(1))})
+        few = hashed.where(F.pmod("_h", F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+        drawn = few.groupBy("_h", "_i").agg(F.first("text").alias("text")).orderBy("_h", "_i").limit(config.sample)
         found = drawn.select("text").mapInArrow(features, "features binary").toArrow().column("features").to_pylist()
         rows += [np.frombuffer(x, np.float32) for x in found]
         target += [float(good)] * len(found)
