@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from atrium.operators import resolve, spatial
+from atrium.functions import geometry
+from atrium.operators import resolve, spatial, synthesis
 from atrium.plans.fixtures import fixture, oracle
 
 QUERIES: dict = {}
@@ -175,9 +176,6 @@ def route_segments(spark, folder):
     return spatial.route_segments(route)
 
 
-from atrium.operators import synthesis  # noqa: E402
-
-
 @query("vertical_links")
 def vertical_links(spark, folder):
     return synthesis.vertical_links(vertical_candidates(spark, folder))
@@ -209,9 +207,6 @@ def near_wall(spark, folder):
     return synthesis.near_wall(node_points(spark, folder), spatial.ring_segments(unit_rings(spark, folder, "category = 'room'")), locks, reach_m=6.0)
 
 
-from atrium.functions import geometry  # noqa: E402
-
-
 @query("ring_measures", "select unit_id, round((i1 - i0) * (j1 - j0) / 40000000000.0e0 * 1e9, 6) as area_e9, round((27953200 + (i0 + i1) / 2.0e0) / 200000.0e0, 9) as lon, round((7136000 + (j0 + j1) / 2.0e0) / 200000.0e0, 9) as lat from fx_units")
 def ring_measures(spark, folder):
     rings = unit_rings(spark, folder).withColumn("c", geometry.ring_centroid(F.col("points")))
