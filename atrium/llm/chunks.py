@@ -17,8 +17,8 @@ import pyarrow as pa
 from atrium.llm import textbuf
 
 #: Entries, and characters, after which a task's table is emptied; it only saves repeated work.
-TABLE_LIMIT = 400_000
-TABLE_CHARS = 16 << 20
+TABLE_LIMIT = 300_000
+TABLE_CHARS = 8 << 20
 
 #: ASCII punctuation but the apostrophe, which contractions bind to letters.
 _PUNCTUATION = np.zeros(256, bool)

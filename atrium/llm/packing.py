@@ -104,7 +104,10 @@ class TextTokens:
         self.table = ChunkTable(self._encode)
 
     def _encode(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        out: list[list[int]] = []
+        for start in range(0, len(chunks), 4000):  # the library's own records of a chunk are large
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(chunks[start : start + 4000], add_special_tokens=False)]
+        return out
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, text after text, and their n + 1 bounds."""
@@ -185,7 +188,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, config: PackConfig = PackCon
     def run(batches):
         pool, tokens, out = _Pool(config, TaskContext.get().partitionId()), TextTokens(tokenizer), []
         for whole in batches:
-            for batch in textbuf.slices(whole, "text", 8 << 20):
+            for batch in textbuf.slices(whole, "text", 2 << 20):
                 ids, at = tokens.ids(batch.column(1))
                 keys = batch.column(0).to_pylist()
                 for k, doc_id in enumerate(keys):

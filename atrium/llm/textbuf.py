@@ -6,6 +6,7 @@ n-gram hashes come from whole-buffer numpy operations instead of a Python loop o
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,8 +67,18 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[low:high], offsets - low
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about ``most`` bytes of text, or one row."""
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks and shares its container with others."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part holds about ``most`` bytes of text, or one row; afterwards free what it took."""
     if not batch.num_rows:
         return
     _, offsets = text_buffer(batch.column(batch.schema.get_field_index(column)))
@@ -77,6 +88,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
         end = min(end, batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
+    release_memory()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
