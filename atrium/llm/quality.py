@@ -29,7 +29,7 @@ class QualityConfig:
     is the weight of the first guess of the labellers' chances, as a share of all documents.
     """
 
-    sample: int = 2000
+    sample: int = 1000
     dimensions: int = 1 << 12
     clear: float = 0.9
     prior: float = 0.8
@@ -239,10 +239,15 @@ def fit_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> Qua
         hashed = voted.where(F.col("pattern").isin(clear)).withColumns({"_h": F.xxhash64("text"), "_i": F.xxhash64("text", F.lit(1))})
         few = hashed.where(F.pmod("_h", F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
         drawn = few.groupBy("_h", "_i").agg(F.first("text").alias("text")).orderBy("_h", "_i").limit(config.sample)
-        found = drawn.select("text").mapInArrow(features, "features binary").toArrow().column("features").to_pylist()
-        rows += [np.frombuffer(x, np.float32) for x in found]
-        target += [float(good)] * len(found)
+        found = drawn.select("text").mapInArrow(features, "features binary").toArrow().column("features")
+        parts = [np.frombuffer(x.as_buffer(), np.float32) for x in found]  # views of the table, not copies
+        rows.append(np.vstack(parts))
+        target += [float(good)] * len(parts)
+        del found, parts
+        textbuf.release_memory()
     weights, bias = _train(np.vstack(rows), np.array(target), config)
+    del rows
+    textbuf.release_memory()
     return QualityModel(posteriors, accuracies, weights, bias)
 
 
