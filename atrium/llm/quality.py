@@ -205,9 +205,10 @@ def fit_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> Qua
     """Estimate the labellers on all texts and train the scorer on a bounded sample of clear ones.
 
     Vote patterns are counted over all documents (at most three to the power of the labellers
-    reach the driver). The sample is the first ``sample`` different clear texts of either class by hash;
-    as the number of clear documents is known, hashes far above the last one wanted are left out before
-    any sort, so no task gets more than a small multiple of the sample. If a class has none, the model has no weights and the posterior is the score.
+    reach the driver). The sample is the first ``sample`` different clear texts of either class by hash, or
+    all of them where there are fewer. Hashes far above the last one wanted are left out before any sort, by
+    the estimated number of different texts; if too few are found, the bound is widened. A text leaves a task once,
+    however many copies it has. If a class has none, the model has no weights and the posterior is the score.
     """
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
 
@@ -219,7 +220,7 @@ def fit_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> Qua
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes)], ["text", "pattern"])
 
     voted = texts.mapInArrow(vote, "text string, pattern long")
-    counted = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
+    counted = voted.groupBy("pattern").agg(F.count("*").alias("n"), F.approx_count_distinct("text").alias("different")).orderBy("pattern").collect()
     patterns = [(tuple(int(r.pattern // 3**k % 3) - 1 for k in range(len(LABELLERS))), r.n) for r in counted]
     posteriors, accuracies = fit_labellers(patterns, config)
     rows, target = [], []
@@ -234,12 +235,30 @@ def fit_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> Qua
                     found = shape_features(*textbuf.text_buffer(batch.column(0)), config.dimensions)
                     yield pa.RecordBatch.from_arrays([textbuf.binaries([x.tobytes() for x in found.astype(np.float32)])], ["features"])
 
-        rows_of_class = sum(r.n for r in counted if r.pattern in clear)
-        share = min(1.0, 2.0 * config.sample / rows_of_class)
-        hashed = voted.where(F.col("pattern").isin(clear)).withColumns({"_h": F.xxhash64("text"), "_i": F.xxhash64("text", F.lit(1))})
-        few = hashed.where(F.pmod("_h", F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
-        drawn = few.groupBy("_h", "_i").agg(F.first("text").alias("text")).orderBy("_h", "_i").limit(config.sample)
-        found = drawn.select("text").mapInArrow(features, "features binary").toArrow().column("features")
+        def draw(batches):
+            seen = set()
+            for whole in batches:
+                for batch in textbuf.slices(whole, "text"):
+                    fresh = []
+                    for k, key in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                        if key not in seen:
+                            seen.add(key)
+                            fresh.append(k)
+                    batch = batch.take(pa.array(fresh, pa.int64()))
+                    codes = ((votes(*textbuf.text_buffer(batch.column(0))).astype(np.int64) + 1) * 3 ** np.arange(len(LABELLERS))).sum(axis=1)
+                    yield batch.filter(pa.array(np.isin(codes, clear)))
+
+        # equal texts have equal patterns, so the patterns' different texts add up
+        share = min(1.0, 2.0 * config.sample / max(1, sum(r.different for r in counted if r.pattern in clear)))
+        hashed = texts.withColumns({"_h": F.xxhash64("text"), "_i": F.xxhash64("text", F.lit(1))})
+        place = F.pmod("_h", F.lit(1 << 40))
+        while True:
+            few = hashed.where(place < F.lit(int(share * (1 << 40)))).mapInArrow(draw, "text string, _h long, _i long")
+            drawn = few.groupBy("_h", "_i").agg(F.first("text").alias("text")).orderBy(place, "_h", "_i").limit(config.sample)
+            found = drawn.select("text").mapInArrow(features, "features binary").toArrow().column("features")
+            if share == 1.0 or len(found) == config.sample:
+                break
+            share = min(1.0, 4.0 * share)
         parts = [np.frombuffer(x.as_buffer(), np.float32) for x in found]  # views of the table, not copies
         rows.append(np.vstack(parts))
         target += [float(good)] * len(parts)

@@ -49,3 +49,16 @@ def test_odd_texts(spark, odd, empty, folder):
     assert quality.score_quality(empty, model).count() == 0
     bare = quality.fit_quality(empty)
     assert bare.weights is None and quality.score_quality(odd, bare).count() == len(rows)
+
+
+def test_a_class_of_copies_trains_on_all_its_texts(spark, monkeypatch):
+    good = [f"This is sentence number {k} of a plain text. It goes on for a while, as most of them do, and then it ends here." for k in range(300)]
+    bad = [f"!!## {k} $$ ## !! ** && || %% !! ## $$" for k in range(150)]
+    docs = spark.createDataFrame([(t,) for t in good + bad + bad[:1] * 20_000], "text string").repartition(4)
+    seen = []
+    train = quality._train
+    monkeypatch.setattr(quality, "_train", lambda rows, target, config: seen.append((rows, target)) or train(rows, target, config))
+    for sample, want in ((40, 40), (1000, 150)):
+        quality.fit_quality(docs, quality.QualityConfig(sample=sample))
+        rows, target = seen.pop()
+        assert (target == 0).sum() == want and (target == 1).sum() == min(sample, 300)
