@@ -61,8 +61,9 @@ def op7_distinct_chunk_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_guess_cost_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    """Secrets in all documents."""
-    return secrets.span_digests(table(spark, folder, "documents"))
+    """Secrets in all documents, with the words of all of them."""
+    docs = table(spark, folder, "documents")
+    return secrets.span_digests(docs, ranks=secrets.word_ranks(docs))
 
 
 def op9_kneser_ney_scores(spark: SparkSession, folder: str) -> DataFrame:

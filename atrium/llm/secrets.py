@@ -2,7 +2,8 @@
 
 The guess cost of a value is the least sum of log10 guesses over all ways to cut it into
 common words, dates, repeats, keyboard walks and brute-force characters, by dynamic programming. A
-value that is dear to guess is a secret. A vectorised look at the bytes finds the texts that can
+value that is dear to guess is a secret. The words are those of the whole corpus, by the number of
+texts that hold them, after a short list of common passwords. A vectorised look at the bytes finds the texts that can
 match at all; only those are searched.
 """
 
@@ -11,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,62 +41,110 @@ COMMON = (
     "token key example sample demo"
 ).split()
 _RANK = {word: rank + 1 for rank, word in enumerate(COMMON)}
-_LONGEST = max(map(len, COMMON))
+#: Letters of the longest word, and of the shortest one taken from a corpus.
+_LONGEST, _SHORTEST = 24, 3
+_WORD = re.compile(r"[^\W\d_]{%d,}" % _SHORTEST)
 #: Rows of a keyboard.
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _NEXT = {(a, b) for row in _ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in _ROWS for a, b in zip(row, row[1:])}
 _LEET = str.maketrans("04135$@7", "oalessat")
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
 
-#: Most units of one repeat, and keys of one walk; longer ones are several segments.
-_REPEATS = 64
+#: A repeat or walk that starts within ``_ENTRY`` characters of its stretch's start (the farthest that a word, date or
+#: other repeat reaches into it) has any length; later starts, which gain little, are tried up to so many units.
+_REPEATS, _ENTRY = 64, _LONGEST + 16
 
 
 @dataclass(frozen=True)
 class SecretConfig:
-    """A value is a secret from ``log10_guesses`` on."""
+    """A value is a secret from ``log10_guesses`` on; the ``words`` most frequent words of a corpus are broadcast.
+
+    At most 24 letters a word, these are under 20 MB at the default, and as a rule about 2 MB.
+    """
 
     log10_guesses: float = 9.0
+    words: int = 200_000
 
 
 def _character_cost(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33)
 
 
-def guess_cost(value: str) -> float:
-    """Least log10 number of guesses over all segmentations of the value."""
+def word_ranks(docs: DataFrame, config: SecretConfig = SecretConfig()) -> dict[str, int]:
+    """Ranks of the common words and of the ``words`` most frequent ones of all texts.
+
+    A word is a run of 3 to 24 letters in lower case; it ranks by the number of texts that hold it, then by its
+    letters. Values in a credential's place are left out, so that a copied secret is not a word.
+    """
+
+    def count(batches):
+        held: Counter = Counter()
+
+        def block():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), textbuf.int64s(list(held.values()))], ["word", "n"])
+
+        for whole in batches:
+            for batch in textbuf.slices(whole, "text"):
+                possible = possible_kinds(*textbuf.text_buffer(batch.column(0)))
+                for text, kinds in zip(batch.column(0).to_pylist(), possible):
+                    if text:
+                        text = _CONTEXT.sub(" ", text) if "guess" in kinds else text
+                        held.update(set(_WORD.findall(text.lower())))
+                if len(held) > 300_000:
+                    yield block()
+                    held.clear()
+        yield block()
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    counted = texts.mapInArrow(count, "word string, n long").where(F.length("word") <= _LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
+    ranked = counted.orderBy(F.desc("n"), "word").limit(config.words).select("word").toArrow().column("word").to_pylist()
+    return _RANK | {w: len(COMMON) + k for k, w in enumerate((w for w in ranked if w not in _RANK), 1)}
+
+
+def guess_cost(value: str, ranks: Mapping[str, int] = _RANK) -> float:
+    """Least log10 number of guesses over all segmentations of the value, with the words of ``ranks``."""
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
     dates = [_DATE.match(value, i) for i in range(n)]
+    # for each unit: where its stretch starts, and the first place after which the text differs from the unit before
+    opened, turns = [0] * 9, [0] * 9
+    walk_opened = walk_end = 0
     for i in range(n):
         base = best[i]
         best[i + 1] = min(best[i + 1], base + _character_cost(value[i]))
         for j in range(i + 2, min(n, i + _LONGEST) + 1):
             piece, rank = value[i:j], None
-            if (rank := _RANK.get(low[i:j])) is not None:
+            if (rank := ranks.get(low[i:j])) is not None:
                 extra = 0.0 if piece == low[i:j] else 0.3 if piece.istitle() or piece.isupper() else 0.9
-            elif (rank := _RANK.get(plain[i:j])) is not None:
+            elif (rank := ranks.get(plain[i:j])) is not None:
                 extra = 0.9
             if rank is not None:
                 best[j] = min(best[j], base + math.log10(rank + 1) + extra)
         if dates[i]:
             best[dates[i].end()] = min(best[dates[i].end()], base + math.log10(366 * 120 if dates[i].end() - i > 4 else 120))
-        end = i + 1
-        while end < min(n, i + _REPEATS) and (low[end - 1], low[end]) in _NEXT:
-            end += 1
+        if i >= walk_end:
+            walk_opened, walk_end = i, i + 1
+            while walk_end < n and (low[walk_end - 1], low[walk_end]) in _NEXT:
+                walk_end += 1
+        end = walk_end if i - walk_opened <= _ENTRY else min(walk_end, i + _REPEATS)
         for j in range(i + 3, end + 1):
             best[j] = min(best[j], base + math.log10(len("".join(_ROWS)) * 2 * (j - i)))
         for unit in range(1, min(8, (n - i) // 2) + 1):
-            end, limit = i + unit, i + unit * _REPEATS
-            while end < limit and value.startswith(value[i : i + unit], end):
-                end += unit
-                cost = sum(map(_character_cost, value[i : i + unit])) + math.log10((end - i) // unit)
-                best[end] = min(best[end], base + cost)
+            if i >= turns[unit]:
+                opened[unit] = turn = i
+                while turn + unit < n and value[turn] == value[turn + unit]:
+                    turn += 1
+                turns[unit] = turn
+            times = 1 + (turns[unit] - i) // unit
+            if times > 1:
+                once = base + sum(map(_character_cost, value[i : i + unit]))
+                for k in range(2, (times if i - opened[unit] <= _ENTRY else min(times, _REPEATS)) + 1):
+                    best[i + k * unit] = min(best[i + k * unit], once + math.log10(k))
     return best[n]
 
 
-def find_spans(text: str, config: SecretConfig = SecretConfig(), kinds: frozenset[str] = frozenset(KINDS)) -> list[tuple[int, str, int]]:
+def find_spans(text: str, config: SecretConfig = SecretConfig(), kinds: frozenset[str] = frozenset(KINDS), ranks: Mapping[str, int] = _RANK) -> list[tuple[int, str, int]]:
     """All spans of a text as (start, kind, end), by start, then kind as listed, then end."""
     found = set()
     if "assign" in kinds:
@@ -103,7 +154,7 @@ def find_spans(text: str, config: SecretConfig = SecretConfig(), kinds: frozense
     if "hex" in kinds:
         found |= {(m.start(), "hex", m.end()) for m in _HEX.finditer(text) if m.end() - m.start() >= 24}
     if "guess" in kinds:
-        found |= {(m.start(1), "guess", m.end(1)) for m in _CONTEXT.finditer(text) if guess_cost(m[1]) >= config.log10_guesses}
+        found |= {(m.start(1), "guess", m.end(1)) for m in _CONTEXT.finditer(text) if guess_cost(m[1], ranks) >= config.log10_guesses}
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
@@ -141,36 +192,39 @@ def possible_kinds(data: np.ndarray, offsets: np.ndarray) -> list[set[str]]:
     return out
 
 
-def _scanned(batch: pa.RecordBatch, column: int, config: SecretConfig) -> list[tuple[str, list]]:
+def _scanned(batch: pa.RecordBatch, column: int, config: SecretConfig, ranks: Mapping[str, int]) -> list[tuple[str, list]]:
     """Text (only where something may be found) and spans of each row."""
     texts = batch.column(column)
     possible = possible_kinds(*textbuf.text_buffer(texts))
     rows = []
     for k, kinds in enumerate(possible):
         text = texts[k].as_py() if kinds else None
-        rows.append((text, find_spans(text, config, frozenset(kinds)) if text else []))
+        rows.append((text, find_spans(text, config, frozenset(kinds), ranks) if text else []))
     return rows
 
 
-def scan(docs: DataFrame, config: SecretConfig = SecretConfig()) -> DataFrame:
+def scan(docs: DataFrame, config: SecretConfig = SecretConfig(), ranks: Mapping[str, int] = _RANK) -> DataFrame:
     """Spans of every text: ``doc_id, spans`` (array of kind, start, end in code points, end exclusive).
 
+    The words of ``ranks`` are cheap to guess (see ``word_ranks``; by default the common ones alone).
     A null text is an empty one and has none. Rows do not depend on one another: repeated rows
     and null ids give rows of their own; other columns are ignored; an empty table gives an empty result.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(dict(ranks))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
+        known = shared.value
         for whole in batches:
             for batch in textbuf.slices(whole, "text"):
-                spans = [[{"kind": k, "start": a, "end": b} for a, k, b in found] for _, found in _scanned(batch, 1, config)]
+                spans = [[{"kind": k, "start": a, "end": b} for a, k, b in found] for _, found in _scanned(batch, 1, config, known)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
-def span_digests(docs: DataFrame, config: SecretConfig = SecretConfig()) -> DataFrame:
+def span_digests(docs: DataFrame, config: SecretConfig = SecretConfig(), ranks: Mapping[str, int] = _RANK) -> DataFrame:
     """Counts and digests of ``scan``'s spans: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``."""
 
     def run(batches):
@@ -185,7 +239,7 @@ def span_digests(docs: DataFrame, config: SecretConfig = SecretConfig()) -> Data
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return scan(docs, config).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return scan(docs, config, ranks).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: list[tuple[int, str, int]], mark: str = "[SECRET]") -> str:
@@ -201,15 +255,17 @@ def redact(text: str, spans: list[tuple[int, str, int]], mark: str = "[SECRET]")
     return "".join(out) + text[at:]
 
 
-def redact_secrets(docs: DataFrame, config: SecretConfig = SecretConfig()) -> DataFrame:
+def redact_secrets(docs: DataFrame, config: SecretConfig = SecretConfig(), ranks: Mapping[str, int] = _RANK) -> DataFrame:
     """All rows and columns of ``docs`` with the secrets in ``text`` replaced by a mark; ``n_chars`` follows, where present."""
     names = docs.columns
     place = names.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(dict(ranks))
 
     def run(batches):
+        known = shared.value
         for whole in batches:
             for batch in textbuf.slices(whole, "text"):
-                rows = _scanned(batch, place, config)
+                rows = _scanned(batch, place, config, known)
                 if any(found for _, found in rows):
                     old = batch.column(place).to_pylist()
                     new = [redact(text, found) if found else before for (text, found), before in zip(rows, old)]

@@ -42,7 +42,7 @@ def dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Replace the secrets in every text; all documents stay."""
-    return secrets.redact_secrets(docs)
+    return secrets.redact_secrets(docs, ranks=secrets.word_ranks(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

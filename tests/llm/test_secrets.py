@@ -99,3 +99,20 @@ def test_redaction_replaces_covered_stretches(spark):
     assert rows[1].text == "key é [SECRET] end [SECRET]" and rows[1].n_chars == len(rows[1].text)
     assert rows[2].text is None
     assert secrets.redact("abcdef", [(0, "a", 3), (2, "b", 4), (5, "c", 6)], "#") == "#e#"
+
+
+def test_clean_prose_is_no_secret(spark):
+    clean = ["credentials: available on demand", "bearer: required for every call", "passphrase: Authentication fails"]
+    texts = ["The data are available on demand.", "A login is required.", "authentication", *clean, *["credentials: kqzvwxjyhb"] * 50, "pwd=kqzvwxjyhb", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ranks = secrets.word_ranks(frame)
+    assert "available" in ranks and "kqzvwxjyhb" not in ranks
+    got = {r.doc_id: r.text for r in secrets.redact_secrets(frame, ranks=ranks).collect()}
+    assert all(got[k] == t for k, t in enumerate(texts[:6])) and got[6] == "credentials: [SECRET]" and got[56] == "pwd=[SECRET]"
+    assert len(secrets.word_ranks(frame, secrets.SecretConfig(words=5))) <= len(secrets.COMMON) + 5
+
+
+def test_repeats_and_walks_of_any_length_are_one_segment():
+    for value in ("*" * 150, "=" * 5000, "ab" * 3000, "qwertrew" * 100):
+        assert secrets.find_spans(f"credentials: {value}", kinds=frozenset(["guess"])) == []
+    assert abs(secrets.guess_cost("password" + "d" * 1000) - secrets.guess_cost("password") - secrets.guess_cost("d" * 1000)) < 1e-9
