@@ -116,6 +116,20 @@ def shared_boundary_links(vertices: DataFrame, centres: DataFrame, reach_m: floa
     return both.where(F.col("metres") <= reach_m).select("venue_id", "ordinal", "shape_id", "other_id", "common", "metres")
 
 
+def transit_touch_links(transit: DataFrame, hubs: DataFrame, linked: DataFrame, tolerance_m: float = 3.0, reach_m: float = 30.0) -> DataFrame:
+    """Pairs of a transit unit and another hub of its floor whose boundary its centre is within the tolerance of.
+
+    ``transit``: ``venue_id, ordinal, point_id, lon, lat`` of the centres; ``hubs``: segments with the hub's centre. Centres
+    are at most ``reach_m`` apart, and pairs of ``linked`` (``venue_id, shape_id, other_id``) are left out. The smaller id comes
+    first; a pair that touches from both sides is one.
+    """
+    near = near_segments(transit, hubs, tolerance_m).where("point_id <> shape_id")
+    far = scalars.haversine_m(F.col("lon"), F.col("lat"), F.col("centre_lon"), F.col("centre_lat"))
+    both = near.withColumn("metres", far).where(F.col("metres") <= reach_m)
+    pairs = both.groupBy("venue_id", "ordinal", F.least("point_id", "shape_id").alias("shape_id"), F.greatest("point_id", "shape_id").alias("other_id")).agg(F.min("metres").alias("metres"))
+    return pairs.join(linked.select("venue_id", "shape_id", "other_id"), ["venue_id", "shape_id", "other_id"], "left_anti").select("venue_id", "ordinal", "shape_id", "other_id", "metres")
+
+
 def vertical_candidates(transit: DataFrame, adjacent: DataFrame, reach_m: float = 5.0) -> DataFrame:
     """Pairs of transit units of one category on adjacent floors whose centres are within reach."""
     pad_lat = reach_m / scalars.DEGREE_M * 1.01

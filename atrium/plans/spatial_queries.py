@@ -135,6 +135,15 @@ def shared_boundary_links(spark, folder):
     return spatial.shared_boundary_links(corners.select("venue_id", "ordinal", "shape_id", "p.*"), centres).withColumn("metres", F.round("metres", 5))
 
 
+TRANSIT = "category in ('elevator', 'escalator', 'stairs')"
+
+
+def transit_touch_links(spark, folder):
+    units = fixture(spark, folder, "fx_units").where(TRANSIT)
+    centres = units.select("venue_id", "ordinal", F.col("unit_id").alias("point_id"), _at(F.col("i0") + 4, F.col("j0") + 4).alias("c")).select("venue_id", "ordinal", "point_id", "c.*")
+    return spatial.transit_touch_links(centres, hubs(spark, folder), shared_boundary_links(spark, folder)).withColumn("metres", F.round("metres", 5))
+
+
 @query("vertical_candidates", f"""with u as (select *, (27953200 + i0 + 4) / 200000.0e0 as lon, (7136000 + j0 + 4) / 200000.0e0 as lat from fx_units where category in ('elevator', 'escalator', 'stairs')),
     adj as (select venue_id, ordinal as lower, lead(ordinal) over (partition by venue_id order by ordinal) as upper from (select distinct venue_id, ordinal from fx_levels))
     select * from (select a.venue_id, a.category, a.unit_id as lower_id, b.unit_id as upper_id, round({HAV.format(a="a", b="b")}, 5) as metres
@@ -183,7 +192,7 @@ def vertical_links(spark, folder):
 
 @query("hub_network")
 def hub_network(spark, folder):
-    return synthesis.hub_network(opening_hub_links(spark, folder), shared_boundary_links(spark, folder), vertical_links(spark, folder))
+    return synthesis.hub_network(opening_hub_links(spark, folder), shared_boundary_links(spark, folder), transit_touch_links(spark, folder), vertical_links(spark, folder))
 
 
 @query("band_pairs", f"select venue_id, source, target, round(metres, 5) as metres from (select a.venue_id, a.node_id as source, b.node_id as target, {HAV.format(a='a', b='b')} as metres from fx_nodes a join fx_nodes b on b.venue_id = a.venue_id and b.ordinal = a.ordinal and b.node_id > a.node_id) where metres > 10 and metres <= 20")

@@ -192,3 +192,20 @@ def test_large_matching_equals_all_assignments():
     least = min(sum(cost[a, b] for a, b in zip(lows, order)) for order in permutations(highs))
     got = best_matching(rows)
     assert len(got) == 7 and sum(cost[a, b] for a, b, _ in got) == least
+
+
+def test_transit_units_join_the_hubs_that_they_touch(spark):
+    from atrium.operators import synthesis
+
+    metre = 1 / scalars.DEGREE_M
+    box = lambda v, s, x, y, w, h: [(v, 0, s, x * metre, y * metre, (x + w) * metre, y * metre, (x + w / 2) * metre, (y + h / 2) * metre), (v, 0, s, x * metre, (y + h) * metre, x * metre, y * metre, (x + w / 2) * metre, (y + h / 2) * metre)]
+    boxes = [("near", 3, 0, 4, 4), ("linked", 0, 3, 4, 4), ("off", 6, 6, 4, 4), ("long", 2.5, -50, 0.5, 200)]
+    rows = [r for s, *b in boxes for r in box("v", s, *b)] + box("v", "lift", -1, -1, 2, 2) + box("w", "other", 1, 0, 4, 4)
+    hubs = spark.createDataFrame(rows, "venue_id string, ordinal int, shape_id string, ax double, ay double, bx double, by double, centre_lon double, centre_lat double")
+    lift = spark.createDataFrame([("v", 0, "lift", 0.0, 0.0)], "venue_id string, ordinal int, point_id string, lon double, lat double")
+    walls = spark.createDataFrame([("v", "lift", "linked", 5.4)], "venue_id string, shape_id string, other_id string, metres double")
+    touching = spatial.transit_touch_links(lift, hubs, walls)
+    assert [(r.venue_id, r.shape_id, r.other_id, round(r.metres, 1)) for r in touching.collect()] == [("v", "lift", "near", 5.4)]
+    none = spark.createDataFrame([], "venue_id string, opening_id string, hub_id string, metres double, category string, lower_id string, upper_id string")
+    edges = synthesis.hub_network(none, walls, touching, none).collect()
+    assert sorted((r.kind, r.a, r.b) for r in edges) == [("shared", "lift", "linked"), ("touch", "lift", "near")]
