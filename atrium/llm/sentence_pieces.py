@@ -3,7 +3,8 @@
 Where no piece of the vocabulary holds the space marker behind another character, a piece
 never spans the start of a run of spaces. Each distinct chunk (a run of spaces and what
 follows it) is then segmented once for a task and its ids are joined back by position.
-A vocabulary without that property is used on whole texts.
+A marker that stands in the text itself is to the library the same as a space, and is read as one here.
+A vocabulary without that property, or a model that rewrites texts, is used on whole texts.
 """
 
 from __future__ import annotations
@@ -19,14 +20,32 @@ from atrium.llm import textbuf
 from atrium.llm.chunks import ChunkTable, chunk_array, gather
 
 MARKER = "▁"
+#: White space, ligatures, wide and combined characters, controls: a model that normalises texts changes one of these.
+_PROBE = f" a  {MARKER} ﬁ　\u00a0b\te\u0301 Ａ½\x01\u200b "
 
 
 def pieces_keep_to_words(processor) -> bool:
-    """Whether no piece holds the marker behind another character."""
+    """Whether no piece holds the marker behind another character, and texts are taken as they are."""
     crossing = re.compile(f"[^{MARKER}]{MARKER}")
+    if processor.normalize(_PROBE) != MARKER + _PROBE.replace(" ", MARKER):
+        return False
     return not any(crossing.search(processor.id_to_piece(i)) for i in range(processor.vocab_size()))
 
 
+def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buffer with every marker in the texts replaced by a space, and its offsets."""
+    raw = data.tobytes()
+    marker = MARKER.encode()
+    if marker not in raw:
+        return data, offsets
+    a, b, c = marker
+    first = np.flatnonzero((data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c))
+    out, keep = data.copy(), np.ones(len(data), bool)
+    out[first] = 0x20
+    keep[first + 1] = keep[first + 2] = False
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+
+
 class PieceCodec:
     """Encodes and decodes the texts of Arrow batches; one for each task."""
 
@@ -50,8 +69,7 @@ class PieceCodec:
         """Ids of all texts without begin and end, their bounds, and each text decoded again."""
         if not self.by_chunk:
             return self._whole(column)
-        data, offsets = textbuf.text_buffer(column)
-        array, bounds = chunk_array(data, offsets, marker_only=True)
+        array, bounds = chunk_array(*spaced(*textbuf.text_buffer(column)), marker_only=True)
         ids, at, rows = self.table.ids(array, bounds, lead=" ")
         flat, starts = self._decode_table()
         octets, ends = gather(flat, starts, rows, bounds)

@@ -58,6 +58,41 @@ def test_table_that_overflows_gives_the_same(pieces):
             assert decoded[k].decode() == (t or "")
 
 
+def test_pieces_of_random_texts(pieces):
+    """Markers in the text, runs of them and of spaces, controls, ligatures: ids and decoded texts of the library."""
+    rng = np.random.default_rng(4)
+    bits = ["a", "the", "▁", "▁▁", " ", "  ", "\n", "\t", "\x00", "\x01", "ﬁ", "　", "\u00a0", "e\u0301", "½", "<s>", "</s>", "<0x41>", "é", "\U0001f600", "\u200b", "b"]
+    texts = ["a▁ \n", "▁ ", "▁", " ▁", "▁▁ a", *("".join(rng.choice(bits, rng.integers(0, 10))) for _ in range(12_000))]
+    codec = sentence_pieces.PieceCodec(registry.vocabulary_file("piece_bpe_32k.model"))
+    assert codec.by_chunk
+    for start in range(0, len(texts), 997):
+        part = texts[start : start + 997]
+        ids, at, decoded = codec.encode(pa.array(part))
+        for k, t in enumerate(part):
+            want = pieces.encode(t)
+            assert ids[at[k] : at[k + 1]].tolist() == want, repr(t)
+            assert decoded[k].decode() == pieces.decode(want), repr(t)
+
+
+class _Rewriting:
+    """A processor of a model that normalises texts."""
+
+    def __init__(self, processor):
+        self.processor = processor
+
+    def __getattr__(self, name):
+        return getattr(self.processor, name)
+
+    def normalize(self, text):
+        import unicodedata
+
+        return self.processor.normalize(unicodedata.normalize("NFKC", text))
+
+
+def test_model_that_rewrites_texts_is_used_on_whole_texts(pieces):
+    assert not sentence_pieces.pieces_keep_to_words(_Rewriting(pieces))
+
+
 def test_vocabulary_whose_pieces_cross_words_is_used_on_whole_texts(pieces):
     codec = sentence_pieces.PieceCodec(registry.vocabulary_file("piece_bpe_32k.model"))
     assert codec.by_chunk
