@@ -43,12 +43,12 @@ def capacities(total: int, length: int) -> list[int]:
 def pack(sizes: list[int], config: PackConfig) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Place pieces of at most ``length`` tokens each: rows (piece, start in it, tokens, sequence, offset).
 
-    Also returns the number of sequences. All sequences are full.
+    Also returns the number of sequences. All sequences are full. A piece is cut only if no sequence has
+    room for it when its turn comes; of sequences of equal cost the first is taken, of equal pieces the earlier.
     """
     rooms = capacities(sum(sizes), config.length)
     used = [0] * len(rooms)
     cost = [0.0] * len(rooms)
-    heap = [(0.0, s) for s in range(len(rooms))]
     out: list[tuple[int, int, int, int, int]] = []
 
     def put(piece: int, start: int, tokens: int, s: int) -> None:
@@ -56,26 +56,25 @@ def pack(sizes: list[int], config: PackConfig) -> tuple[list[tuple[int, int, int
         used[s] += tokens
         cost[s] += config.linear * tokens + config.quadratic * tokens * tokens
 
+    # sizes only go down, so a sequence waits, by its room, until the pieces are small enough for it
+    open_now: list[tuple[float, int]] = []
+    waiting = [(-room, s) for s, room in enumerate(rooms)]
+    heapq.heapify(waiting)
     left: list[int] = []
     for piece in sorted(range(len(sizes)), key=lambda p: (-sizes[p], p)):
-        tried = []
-        while heap:
-            c, s = heapq.heappop(heap)
-            if rooms[s] == used[s]:
-                continue
-            if rooms[s] - used[s] >= sizes[piece]:
-                put(piece, 0, sizes[piece], s)
-                if rooms[s] > used[s]:
-                    tried.append((cost[s], s))
-                break
-            tried.append((c, s))
-            if len(tried) >= 64:  # the cheapest ones are too full; cut this piece at the end instead
-                left.append(piece)
-                break
-        else:
+        while waiting and -waiting[0][0] >= sizes[piece]:
+            _, s = heapq.heappop(waiting)
+            heapq.heappush(open_now, (cost[s], s))
+        if not open_now:
             left.append(piece)
-        for x in tried:
-            heapq.heappush(heap, x)
+            continue
+        _, s = heapq.heappop(open_now)
+        put(piece, 0, sizes[piece], s)
+        room = rooms[s] - used[s]
+        if room >= sizes[piece]:
+            heapq.heappush(open_now, (cost[s], s))
+        elif room:
+            heapq.heappush(waiting, (-room, s))
     gaps = [(used[s] - rooms[s], s) for s in range(len(rooms)) if used[s] < rooms[s]]
     heapq.heapify(gaps)
     for piece in left:

@@ -162,6 +162,35 @@ def test_costs_are_balanced():
     assert np.std(full) < 0.7 * np.std([shuffled[k] for k in range(fresh)])
 
 
+def plain_pack(sizes, config):
+    """Looks at every sequence for every piece: pieces placed whole as (piece, sequence), and those left over."""
+    rooms = packing.capacities(sum(sizes), config.length)
+    cost, placed, left = [0.0] * len(rooms), {}, []
+    for p in sorted(range(len(sizes)), key=lambda p: (-sizes[p], p)):
+        fits = [s for s in range(len(rooms)) if rooms[s] >= sizes[p]]
+        if fits:
+            placed[p] = s = min(fits, key=lambda s: (cost[s], s))
+            rooms[s] -= sizes[p]
+            cost[s] += config.linear * sizes[p] + config.quadratic * sizes[p] ** 2
+        else:
+            left.append(p)
+    return placed, left
+
+
+def test_lowest_cost_sequence_with_room_is_found_among_all():
+    rng = np.random.default_rng(6)
+    config = packing.PackConfig()
+    # the small piece comes after hundreds of sequences that are cheaper but too full
+    cases = [rng.integers(1, 2048, 1000).tolist(), [1500] * 300 + [600] * 10 + [1], rng.integers(1, 30, 500).tolist(), [2047], []]
+    for sizes in cases:
+        placed, left = plain_pack(sizes, config)
+        rows, _ = packing.pack(sizes, config)
+        whole = {p: s for p, start, tokens, s, _ in rows if tokens == sizes[p]}
+        assert all(whole[p] == s for p, s in placed.items())
+        assert {p for p, *_ in rows} - set(placed) == set(left)
+        assert sum(n for _, _, n, _, _ in rows) == sum(sizes)
+
+
 def test_sequence_sizes():
     assert packing.capacities(0, 2048) == []
     assert packing.capacities(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1]
