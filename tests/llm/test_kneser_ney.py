@@ -21,43 +21,39 @@ START = object()
 class Brute:
     """The same model from plain dictionaries."""
 
-    def __init__(self, texts):
-        self.words, self.pairs = Counter(), Counter()
-        for t in texts:
-            ts = tokens(t)
-            self.words.update(ts)
-            self.pairs.update(zip([START, *ts[:-1]], ts))
-        self.context = Counter()
-        self.after = defaultdict(lambda: [0, 0, 0])
-        self.before = Counter()
-        for (h, w), c in self.pairs.items():
-            self.context[h] += c
-            self.after[h][min(c, 3) - 1] += 1
-            self.before[w] += 1
-        tops = lambda xs: [sum(x == c for x in xs) for c in (1, 2, 3, 4)]
-        self.cut = (0.0, *kneser_ney.discounts(tops(self.pairs.values())))
-        self.single_cut = (0.0, *kneser_ney.discounts(tops(self.before.values())))
-        self.freed = sum(self.single_cut[min(n, 3)] for n in self.before.values()) / max(len(self.pairs), 1)
-
-    def single(self, w):
-        types, uniform = len(self.pairs), 1 / (len(self.words) + 1)
-        if not types:
-            return uniform
-        n = self.before[w]
-        return (n - self.single_cut[min(n, 3)]) / types + self.freed * uniform
-
-    def chance(self, h, w):
-        total, c = self.context[h], self.pairs[h, w]
+    def __init__(self, texts, order=3):
+        self.order = order
+        self.words = Counter(t for text in texts for t in tokens(text))
+        counts = Counter(g for text in texts for g in self.windows(text))
+        self.levels = {}
+        for k in range(order, 0, -1):
+            context, after = Counter(), defaultdict(lambda: [0, 0, 0])
+            for g, c in counts.items():
+                context[g[:-1]] += c
+                after[g[:-1]][min(c, 3) - 1] += 1
+            tops = [sum(x == c for x in counts.values()) for c in (1, 2, 3, 4)]
+            self.levels[k] = counts, context, after, (0.0, *kneser_ney.discounts(tops))
+            counts = Counter(g[1:] for g in counts)  # the next order counts different words on the left
+
+    def windows(self, text):
+        ts = [START] * (self.order - 1) + tokens(text)
+        return [tuple(ts[i : i + self.order]) for i in range(len(ts) - self.order + 1)]
+
+    def chance(self, gram):
+        if not gram:
+            return 1 / (len(self.words) + 1)
+        counts, context, after, cut = self.levels[len(gram)]
+        total, c = context[gram[:-1]], counts[gram]
         if not total:
-            return self.single(w)
-        spare = sum(d * n for d, n in zip(self.cut[1:], self.after[h]))
-        return (c - self.cut[min(c, 3)]) / total + spare / total * self.single(w)
+            return self.chance(gram[1:])
+        spare = sum(d * n for d, n in zip(cut[1:], after[gram[:-1]]))
+        return (c - cut[min(c, 3)]) / total + spare / total * self.chance(gram[1:])
 
     def score(self, text):
         ts = tokens(text)
         n, v = sum(self.words.values()), len(self.words)
         base = sum(math.log10((self.words[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts)
-        return len(ts), sum(self.words[t] > 0 for t in ts), base, sum(math.log10(self.chance(h, w)) for h, w in zip([START, *ts[:-1]], ts))
+        return len(ts), sum(self.words[t] > 0 for t in ts), base, sum(math.log10(self.chance(g)) for g in self.windows(text))
 
 
 def agree(got, want):
@@ -78,24 +74,51 @@ def test_scores_equal_plain_dictionaries(spark, folder, documents):
     assert sum(r.score for r in kept) > sum(r.base_score for r in kept)
 
 
-def test_many_shards_and_spread_contexts(spark, documents):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_orders_shards_spread_words_and_rounds_of_sums(spark, documents, order):
     texts = [t for _, t in documents[:60]] + ["the the of the " * 50] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    config = kneser_ney.LanguageModelConfig(flush=700, shard_tokens=1500, span=100)
+    config = kneser_ney.LanguageModelConfig(order=order, flush=700, shard_tokens=1500, span=100, fan=2, open_files=40)
     model = kneser_ney.fit(docs, config)
-    assert model.pair_shards > 5 and len(model.word_sizes) > 1
-    brute = Brute(texts)
+    assert model.shards > 5 and len(model.word_sizes) > 1 and model.order == order
+    brute = Brute(texts, order)
     for r in kneser_ney.score_texts(docs, model, config).collect():
         agree((r.n_tokens, r.n_known, r.base_score, r.score), brute.score(texts[r.doc_id]))
 
 
+def test_model_folder_that_is_not_mounted(spark, documents, monkeypatch):
+    """Files of such a folder go through a file system of their own and are read, not mapped."""
+    from pyarrow.fs import LocalFileSystem
+
+    def remote(self, address):
+        self.files, self.path = LocalFileSystem(), address.removeprefix("file://")
+
+    monkeypatch.setattr(kneser_ney.ModelFolder, "__init__", remote)
+    folder = kneser_ney.ModelFolder("file:///" + __import__("tempfile").mkdtemp(prefix="spark-") + "/sub")
+    folder.save("x", {"a": np.arange(5), "b": np.zeros((0, 3), np.uint8)})
+    back = folder.open("x")
+    assert back["a"].tolist() == [0, 1, 2, 3, 4] and back["b"].shape == (0, 3) and folder.open("y") is None
+
+
 def test_probabilities_add_up(documents):
     model = Brute([t for _, t in documents[:20]])
-    for h in [START, *list(model.words)[:5]]:
-        total = sum(model.chance(h, w) for w in model.words) + model.chance(h, "never seen")
+    words = list(model.words)
+    for h in [(START, START), (START, words[3]), *list(model.levels[3][1])[5:9], ("never", "seen")]:
+        total = sum(model.chance((*h, w)) for w in words) + model.chance((*h, "never seen"))
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def test_tables_of_hashes():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        values = np.stack([rng.integers(0, 3000, len(keys)), rng.integers(0, 3, len(keys))], axis=1)
+        table = kneser_ney.hash_table(keys, values)
+        shuffled = rng.permutation(len(keys))
+        assert np.array_equal(kneser_ney.table_rows(table, "", keys[shuffled]), values[shuffled])
+        assert not kneser_ney.table_rows(table, "", rng.integers(0, 2**64, 100, dtype=np.uint64)).any()
+
+
 def test_odd_texts(spark, odd, empty):
     model = kneser_ney.fit(odd)
     brute = Brute([t for _, t in ODD_TEXTS])
@@ -115,3 +138,7 @@ def test_blocks_pack_and_unpack():
     keys = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
     assert np.array_equal(kneser_ney.unpack_keys(kneser_ney.pack_keys(keys)), keys)
     assert len(kneser_ney.unpack_keys(kneser_ney.pack_keys(keys[:0]))) == 0
+    columns, counts = kneser_ney.merge_rows([rng.integers(0, 300, 2000).astype(np.uint32) for _ in range(3)], None)
+    back = kneser_ney.unpack_rows(kneser_ney.pack_rows(columns, 2), 3, 2)
+    assert all(np.array_equal(a, b) for a, b in zip(columns, back)) and counts.sum() == 2000
+    assert all(len(c) == 0 for c in kneser_ney.unpack_rows(kneser_ney.pack_rows([c[:0] for c in columns], 2), 3, 2))
