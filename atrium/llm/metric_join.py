@@ -1,11 +1,13 @@
 """Exact range join of embeddings in a metric space, partitioned by pivots.
 
 For unit vectors a cosine of c is a Euclidean distance of sqrt(2 - 2c), so near-duplicate
-embeddings are a range join. A bounded sample of vectors serves as pivots and every vector's
-home is its nearest one. If a vector has a partner within the range in another cell, the
+embeddings are a range join. A cell with too many vectors draws pivots from among its own, and every
+vector's home is the nearest one. If a vector has a partner within the range in another cell, the
 triangle inequality puts it within that range of the plane between the two pivots and within
-the cell's radius plus the range of its pivot; only then is it copied there. Cells join independently,
-in pairs of packed blocks, and doubles decide on every candidate that single precision finds.
+the cell's radius plus the range of its pivot; only such a vector, and no neighbour of it, is copied there, and
+only into the cell of the smaller number. Cells are cut again in the same way until they are small, each by itself; a bit
+for each round marks copies, so that two vectors are compared in one cell only. Where pivots would
+copy vectors more often than ``copies`` times on average, the cell is joined in pairs of blocks instead.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from atrium.llm import textbuf
 from atrium.operators.graph import component_stars
@@ -23,62 +26,185 @@ from atrium.scratch import Scratch
 
 @dataclass(frozen=True)
 class MetricJoinConfig:
-    """``pivots`` is one for every ``cell`` distinct vectors, at most ``max_pivots``; blocks bound a task's side."""
+    """Cells of more than ``cell`` vectors are cut by up to ``pivots`` pivots; ``block`` bounds a side of a task.
+
+    A round of cuts may copy each vector ``copies`` times on average; ``rounds`` bounds the rounds (a cell
+    that is still too large is then joined in blocks).
+    """
 
     cosine: float = 0.95
-    cell: int = 2048
-    max_pivots: int = 512
-    block: int = 1024
+    cell: int = 4096
+    pivots: int = 64
+    copies: float = 4.0
+    rounds: int = 9
+    block: int = 4096
 
 
 def _keyed(vectors: DataFrame) -> DataFrame:
-    """All rows with their vector in doubles and a key of its bits; both null for an unusable one."""
-    v = F.col("embedding").cast("array<double>")
+    """All rows with their vector and a key of its numbers; both null for an unusable one."""
+    kind = vectors.schema["embedding"].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    v = F.col("embedding").cast("array<float>" if single else "array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     fine = v.isNotNull() & F.col("vec_id").isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0.0)
-    # adding 0.0 makes -0.0 equal to 0.0
-    known = vectors.select("vec_id", F.when(fine, F.transform(v, lambda x: x + F.lit(0.0))).alias("vector"))
+    # -0.0 is 0.0
+    zero = F.lit(0.0).cast("float" if single else "double")
+    known = vectors.select("vec_id", F.when(fine, F.transform(v, lambda x: F.when(x == zero, zero).otherwise(x))).alias("vector"))
     return known.withColumn("key", F.sha2(F.to_json("vector"), 256))
 
 
-def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2.0 - 2.0 * (rows @ pivots.T), 0.0))
-
-
-def _unit(rows) -> np.ndarray:
-    array = np.array(rows, np.float64)
+def _unit(rows: np.ndarray) -> np.ndarray:
+    array = rows.astype(np.float64)
     array /= np.abs(array).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
     return array / np.linalg.norm(array, axis=1, keepdims=True)
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of two blocks of unit vectors with at least that cosine; one block: each pair once.
+def _units(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return _unit(lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), dim))
 
-    Products in single precision, whose error is far below the margin, find the candidates; doubles decide.
+
+def link_block(a: np.ndarray, b: np.ndarray | None, cosine: float):
+    """Links of two blocks of unit vectors in steps: first row of the step, and a mask (rows of the step, rows of b).
+
+    Without ``b`` the pairs of one block, each once. Products in single precision decide where they are
+    farther from the threshold than their error can be; doubles decide on the rest.
     """
     other = a if b is None else b
-    low, high = a.astype(np.float32), np.ascontiguousarray(other.astype(np.float32).T)
-    left, right = [], []
+    doubt = np.float32(4e-7 * a.shape[1] + 1e-5)
+    high = np.ascontiguousarray(other.astype(np.float32).T)
     for start in range(0, len(a), 512):
-        i, j = np.nonzero(low[start : start + 512] @ high >= np.float32(cosine - 1e-3))
-        i = i + start
+        product = a[start : start + 512].astype(np.float32) @ high
+        linked = product >= np.float32(cosine)
+        i, j = np.nonzero(np.abs(product - np.float32(cosine)) <= doubt)
+        for k in range(0, len(i), 1 << 16):
+            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            linked[x, y] = np.einsum("ij,ij->i", a[x + start], other[y]) >= cosine
         if b is None:
-            i, j = i[i < j], j[i < j]
-        exact = np.einsum("ij,ij->i", a[i], other[j]) >= cosine
-        left.append(i[exact])
-        right.append(j[exact])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            linked &= np.arange(start, start + len(linked))[:, None] < np.arange(len(other))[None, :]
+        yield start, linked
 
 
-def _near(rows: np.ndarray, own: np.ndarray, other: np.ndarray, extent: float, reach: float) -> np.ndarray:
-    """Which rows of a cell may have a partner in another cell: pivots of both, the other's radius.
+def targets(rows: np.ndarray, homes: np.ndarray, pivots: np.ndarray, extents: np.ndarray, reach: float) -> np.ndarray:
+    """Mask (rows, pivots): the cells that each row goes to, its own and those of smaller number that may hold a partner.
 
-    The partner lies on the other side of the plane between the pivots, so a row is within ``reach`` of that
-    plane; and it lies within the other cell's radius of its pivot.
+    A partner lies on the other side of the plane between the pivots, so a row is within ``reach`` of that plane; and it
+    lies within the other cell's radius (``extents``; negative: no vector) of its pivot.
     """
-    far, close = _distances(rows, other[None, :])[:, 0], _distances(rows, own[None, :])[:, 0]
-    gap = max(float(np.linalg.norm(own - other)), 1e-12)
-    return ((far * far - close * close) / (2.0 * gap) <= reach) & (far <= extent + reach)
+    square = np.maximum(2.0 - 2.0 * (rows @ pivots.T), 0.0)
+    close = square[np.arange(len(rows)), homes]
+    gaps = np.maximum(np.sqrt(np.maximum(2.0 - 2.0 * (pivots @ pivots.T), 0.0)), 1e-12)
+    near = (square - close[:, None]) <= 2.0 * reach * gaps[homes] + 1e-9
+    near &= np.sqrt(square) <= extents[None, :] + reach + 1e-9
+    near &= (extents >= 0)[None, :] & (np.arange(len(pivots))[None, :] < homes[:, None])
+    near[np.arange(len(rows)), homes] = True
+    return near
+
+
+def _confirm(config: MetricJoinConfig):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.lexsort((table.column("cid").to_numpy(), table.column("own").to_numpy()))))
+        dim, low, high = (table.column(c)[0].as_py() for c in ("dim", "low", "high"))
+        own, cid, rep, size, copied = (table.column(c).to_numpy() for c in ("own", "cid", "rep", "size", "copied"))
+        unit = _units(table.column("vector"), dim)
+        edge = int(np.searchsorted(own, high)) if low < high else len(own)
+        left, right = slice(0, edge), slice(edge, None) if low < high else slice(0, edge)
+        links, label = np.zeros(len(cid), np.int64), np.arange(len(cid))
+        some_copied = bool(copied.any())
+        for start, linked in link_block(unit[left], unit[right] if low < high else None, config.cosine):
+            if some_copied:
+                linked &= (copied[left][start : start + len(linked), None] & copied[right][None, :]) == 0
+            i, j = np.nonzero(linked)
+            links[left][start : start + len(linked)] += np.bincount(i, size[right][j], len(linked)).astype(np.int64)
+            links[right] += np.bincount(j, size[left][start + i], linked.shape[1]).astype(np.int64)
+            # the smallest row of a component so far is its label
+            for i in np.flatnonzero(linked.any(axis=1)).tolist():
+                near = label[right][linked[i]]
+                mine = label[left][start + i]
+                if (near != mine).any():
+                    both = np.unique(np.append(near, mine))
+                    label[np.isin(label, both)] = both[0]
+        some = np.flatnonzero(links)
+        return pa.table({"cid": pa.array(cid[some]), "rep": pa.array(rep[some]), "links": pa.array(links[some]), "up": pa.array(rep[label[some]])})
+
+    return run
+
+
+def _placed(table: pa.Table, pivots: pa.Table) -> pa.Table:
+    if not table.num_rows:
+        return table.append_column("home", pa.array([], pa.int32())).append_column("far", pa.array([], pa.float64()))
+    dim = table.column("dim")[0].as_py()
+    unit, centre = _units(table.column("vector"), dim), _units(pivots.column("pivot"), dim)[np.argsort(pivots.column("number").to_numpy())]
+    product = unit @ centre.T
+    home = product.argmax(axis=1)
+    far = np.sqrt(np.maximum(2.0 - 2.0 * product[np.arange(len(home)), home], 0.0))
+    return table.append_column("home", pa.array(home.astype(np.int32))).append_column("far", pa.array(far))
+
+
+def _routed(reach: float):
+    def run(table: pa.Table, pivots: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return table.append_column("targets", pa.array([], pa.list_(pa.int32())))
+        dim, order = table.column("dim")[0].as_py(), np.argsort(pivots.column("number").to_numpy())
+        centre, extents = _units(pivots.column("pivot"), dim)[order], pivots.column("extent").to_numpy()[order]
+        homes = table.column("home").to_numpy()
+        found = targets(_units(table.column("vector"), dim), homes, centre, extents, reach)
+        ends = np.concatenate([[0], np.cumsum(found.sum(axis=1))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(found)[1].astype(np.int32)))
+        return table.append_column("targets", lists)
+
+    return run
+
+
+_SLOT = 8192  # vectors that a task places at once
+_CARRIED = ("dim", "cell", "cid", "rep", "size", "copied", "vector")
+
+
+def _cut(rows: DataFrame, scratch: Scratch, config: MetricJoinConfig, turn: int, reach: float) -> tuple[DataFrame, DataFrame | None]:
+    """Cells that are ready to be joined, with ``blocks``, and the vectors of those that were cut, in new cells."""
+    counts = scratch.keep(f"counts-{turn}", rows.groupBy("dim", "cell").agg(F.count("*").alias("n")))
+    large = counts.where(F.col("n") > config.cell)
+    small = _keyed_by_cell(counts.where(F.col("n") <= config.cell).withColumn("blocks", F.lit(1)), "blocks")
+    done = _with_cell(rows, small)
+    if turn == config.rounds or not large.limit(1).count():
+        big = large.withColumn("blocks", F.ceil(F.col("n") / config.block).cast("int"))
+        return done.unionByName(_with_cell(rows, _keyed_by_cell(big, "blocks"))), None
+    dealt = _with_cell(rows, _keyed_by_cell(large, "n"))
+    drawn = dealt.withColumn("_h", F.pmod(F.xxhash64("cid", F.lit(turn)), F.col("n"))).where(F.col("_h") < 4 * config.pivots)
+    by_cell = Window.partitionBy("dim", "cell").orderBy("_h", "cid")
+    pivots = drawn.withColumn("number", F.row_number().over(by_cell) - 1).where(F.col("number") < config.pivots).select("dim", "cell", "number", F.col("vector").alias("pivot"), "n")
+    pivots = scratch.keep(f"pivots-{turn}", pivots)
+    slots = F.ceil(F.col("n") / F.lit(_SLOT)).cast("int")
+    dealt = dealt.withColumn("slot", F.pmod(F.xxhash64("cid", F.lit(-1)), slots).cast("int"))
+    in_slots = lambda f: f.withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1))).drop("n")
+    key = ["dim", "cell", "slot"]
+    carried = dealt.select(*_CARRIED, "slot", "n")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema)
+    placed = carried.groupBy(*key).cogroup(in_slots(pivots).groupBy(*key)).applyInArrow(_placed, f"{kind}, home int, far double")
+    placed = scratch.keep(f"placed-{turn}", placed)
+    extents = placed.groupBy("dim", "cell", F.col("home").alias("number")).agg(F.max("far").alias("extent"))
+    about = pivots.join(extents, ["dim", "cell", "number"], "left").fillna(-1.0, ["extent"])
+    routed = placed.groupBy(*key).cogroup(in_slots(about).groupBy(*key)).applyInArrow(_routed(reach), f"{kind}, home int, far double, targets array<int>")
+    routed = scratch.keep(f"routed-{turn}", routed)
+    scratch.drop(f"placed-{turn}")
+    worth = routed.groupBy("dim", "cell").agg(F.sum(F.size("targets")).alias("t"), F.count("*").alias("n"), F.countDistinct("home").alias("split"))
+    # one cell is no cut; too many copies cost more than pairs of blocks
+    worth = worth.withColumn("blocks", F.when((F.col("t") <= config.copies * F.col("n")) & (F.col("split") > 1), F.lit(0)).otherwise(F.ceil(F.col("n") / config.block).cast("int")))
+    worth = scratch.keep(f"worth-{turn}", worth)
+    ready = _with_cell(routed.select(*_CARRIED), _keyed_by_cell(worth.where("blocks > 0"), "blocks"))
+    again = _with_cell(routed.select(*_CARRIED, "home", "targets"), _keyed_by_cell(worth.where("blocks = 0"), "blocks")).withColumn("target", F.explode("targets"))
+    copied = F.when(F.col("target") == F.col("home"), F.col("copied")).otherwise(F.col("copied").bitwiseOR(F.lit(1 << turn).cast("long")))
+    again = again.select("dim", (F.col("cell") * (config.pivots + 1) + F.col("target") + 1).alias("cell"), "cid", "rep", "size", copied.alias("copied"), "vector")
+    return done.unionByName(ready), scratch.keep(f"rows-{turn + 1}", again)
+
+
+def _keyed_by_cell(cells: DataFrame, *columns: str) -> DataFrame:
+    return cells.select((-F.col("dim")).alias("_d"), (-F.col("cell")).alias("_c"), *columns)
+
+
+def _with_cell(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """Join figures of cells; both sides are plain exchanges, so that adaptive execution may split a large cell."""
+    return rows.withColumns({"_d": -F.col("dim"), "_c": -F.col("cell")}).join(cells, ["_d", "_c"]).drop("_d", "_c")
 
 
 def join_embeddings(vectors: DataFrame, config: MetricJoinConfig = MetricJoinConfig()) -> DataFrame:
@@ -99,111 +225,25 @@ def join_embeddings(vectors: DataFrame, config: MetricJoinConfig = MetricJoinCon
     classes = keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
     # rows that repeat an id with another vector would share a node; the key tells classes apart
     first = keyed.select("key", F.col("vec_id").alias("rep"), "vector").dropDuplicates(["key", "rep"])
-    chosen = scratch.keep("classes", classes.join(first, ["key", "rep"]).withColumn("dim", F.size("vector")))
-    by_dim = {r["dim"]: r["n"] for r in chosen.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").limit(4096).collect()}
-    pivots = {}
-    for dim, n in by_dim.items():
-        want = int(min(config.max_pivots, max(1, n // config.cell)))
-        drawn = chosen.where(F.col("dim") == dim).orderBy("key").limit(want).select("vector").collect()
-        pivots[dim] = _unit([r.vector for r in drawn])
-    shared = spark.sparkContext.broadcast(pivots)
+    chosen = classes.join(first, ["key", "rep"]).withColumns({"dim": F.size("vector"), "cid": F.monotonically_increasing_id()})
+    chosen = scratch.keep("classes", chosen)
     reach = float(np.sqrt(max(2.0 - 2.0 * config.cosine, 0.0))) + 1e-9
-
-    def homes(batches):
-        for batch in batches:
-            reps, dims = batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()
-            for dim in np.unique(dims).tolist():
-                mine = np.flatnonzero(dims == dim)
-                unit = _unit(batch.column(1).take(pa.array(mine)).flatten().to_numpy().reshape(len(mine), dim))
-                d = _distances(unit, shared.value[dim])
-                home = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(2).take(pa.array(mine)), pa.array(reps[mine]), batch.column(3).take(pa.array(mine)), pa.array(np.full(len(mine), dim, np.int32)), pa.array(home.astype(np.int32)), pa.array(d[np.arange(len(mine)), home]), textbuf.binaries([u.tobytes() for u in unit])],
-                    ["key", "rep", "size", "dim", "home", "far", "unit"],
-                )
-
-    placed = chosen.select("rep", "vector", "key", "size").mapInArrow(homes, "key string, rep long, size long, dim int, home int, far double, unit binary")
-    placed = scratch.keep("placed", placed)
-    extent = {}
-    for r in placed.groupBy("dim", "home").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # one row for each pivot
-        extent[r.dim, r.home] = (r.far, r.n)
-    known = spark.sparkContext.broadcast(extent)
-    counts = placed.groupBy("dim", "home").agg(F.ceil(F.count("*") / config.block).alias("parts")).select((-F.col("dim")).alias("_d"), (-F.col("home")).alias("_h"), "parts")
-    slotted = placed.withColumns({"_d": -F.col("dim"), "_h": -F.col("home")}).join(F.broadcast(counts), ["_d", "_h"])  # one row for each pivot
-    slotted = slotted.select("dim", "home", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("slot"), "key", "rep", "size", "unit")
-
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.take(pa.array(np.argsort(table.column("key").to_numpy(zero_copy_only=False), kind="stable")))
-        dim, home = table.column("dim")[0].as_py(), table.column("home")[0].as_py()
-        unit, pivot = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(-1, dim), shared.value[dim]
-        # a pair of two cells is looked for once, with the cell of the smaller number as host
-        hosts = [j for j in range(home) if (dim, j) in known.value and _near(unit, pivot[home], pivot[j], known.value[dim, j][0], reach).any()]
-        return pa.table(
-            [
-                pa.array([dim], pa.int32()), pa.array([home], pa.int32()), table.column("slot").slice(0, 1).cast(pa.int32()), pa.array([[*hosts, home]], pa.list_(pa.int32())),
-                pa.array([table.column("key").to_pylist()], pa.list_(pa.string())), pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())),
-                pa.array([table.column("size").to_pylist()], pa.list_(pa.int64())), pa.array([unit.tobytes()], pa.binary()),
-            ],
-            names=["dim", "home", "slot", "hosts", "keys", "reps", "sizes", "units"],
-        )
-
-    packed = slotted.groupBy("dim", "home", "slot").applyInArrow(pack, "dim int, home int, slot int, hosts array<int>, keys array<string>, reps array<long>, sizes array<long>, units binary")
-    blocks = scratch.keep("blocks", packed)
-    names = blocks.select("dim", "home", "slot")
-    guests = blocks.select("dim", F.explode("hosts").alias("cell"), F.col("home").alias("guest"), F.col("slot").alias("guest_slot"))
-    pairs = guests.join(names.select("dim", F.col("home").alias("cell"), F.col("slot").alias("cell_slot")), ["dim", "cell"])
-    pairs = pairs.where("cell < guest or cell_slot <= guest_slot")
-    content = ["keys", "reps", "sizes", "units"]
-    order = ["dim", "cell", "cell_slot", "guest", "guest_slot"]
-    host = pairs.join(blocks.select("dim", F.col("home").alias("cell"), F.col("slot").alias("cell_slot"), *content), ["dim", "cell", "cell_slot"])
-    guest = pairs.where("cell < guest or cell_slot < guest_slot").join(blocks.select("dim", F.col("home").alias("guest"), F.col("slot").alias("guest_slot"), *content), ["dim", "guest", "guest_slot"])
-    dealt = host.select(*order, F.lit(0).alias("side"), *content).union(guest.select(*order, F.lit(1).alias("side"), *content))
-
-    def confirm(table: pa.Table) -> pa.Table:
-        table = table.take(pa.array(np.argsort(table.column("side").to_numpy(), kind="stable")))
-        dim, cell, guest = (table.column(c)[0].as_py() for c in ("dim", "cell", "guest"))
-        keys = [np.array(k, object) for k in table.column("keys").to_pylist()]
-        reps = [np.array(r, np.int64) for r in table.column("reps").to_pylist()]
-        sizes = [np.array(n, np.int64) for n in table.column("sizes").to_pylist()]
-        units = [np.frombuffer(u, np.float64).reshape(-1, dim) for u in table.column("units").to_pylist()]
-        if len(units) == 1:
-            i, j = linked_pairs(units[0], None, config.cosine)
-        else:
-            mine, theirs = np.arange(len(units[0])), np.arange(len(units[1]))
-            if cell != guest:
-                pivot = shared.value[dim]
-                mine = np.flatnonzero(_near(units[0], pivot[cell], pivot[guest], known.value[dim, guest][0], reach))
-                theirs = np.flatnonzero(_near(units[1], pivot[guest], pivot[cell], known.value[dim, cell][0], reach))
-            i, j = linked_pairs(units[0][mine], units[1][theirs], config.cosine)
-            i, j = mine[i], theirs[j] + len(units[0])
-        keys, reps, sizes = np.concatenate(keys), np.concatenate(reps), np.concatenate(sizes)
-        n = np.zeros(len(reps), np.int64)
-        np.add.at(n, i, sizes[j])
-        np.add.at(n, j, sizes[i])
-        # a spanning forest of the links is enough for components
-        parent = list(range(len(reps)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for x, y in zip(i.tolist(), j.tolist()):
-            x, y = root(x), root(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        some = np.flatnonzero(n)
-        up = np.array([reps[root(x)] for x in some.tolist()], np.int64)
-        return pa.table({"key": pa.array(keys[some].tolist(), pa.string()), "rep": pa.array(reps[some]), "links": pa.array(n[some]), "up": pa.array(up)})
-
-    found = dealt.groupBy(*order).applyInArrow(confirm, "key string, rep long, links long, up long")
+    rows = chosen.select("dim", F.lit(0).cast("long").alias("cell"), "cid", "rep", "size", F.lit(0).cast("long").alias("copied"), "vector")
+    turn, ready = 0, None
+    while rows is not None:
+        done, rows = _cut(rows, scratch, config, turn, reach)
+        ready = done if ready is None else ready.unionByName(done)
+        turn += 1
+    own = F.pmod(F.xxhash64("cid", F.lit(-2)), F.col("blocks")).cast("int")
+    dealt = ready.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("dim", "cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cid", "rep", "size", "copied", "vector")
+    found = dealt.groupBy("dim", "cell", "low", "high").applyInArrow(_confirm(config), "cid long, rep long, links long, up long")
     found = scratch.keep("found", found)
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     linked = component_stars(found.select(F.col("rep").alias("a"), F.col("up").alias("b")), scratch, "components")
     named = (
-        chosen.select("key", "rep", "size")
-        .join(links, "key", "left")
+        chosen.select("cid", "key", "rep", "size")
+        .join(links, "cid", "left")
         .join(linked, F.col("rep") == F.col("node"), "left")
         .select(F.reverse("key").alias("_k"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )

@@ -110,18 +110,49 @@ def test_links_equal_brute_force(spark, scale):
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute_links(vectors_of(spark, folder))
 
 
-def test_links_over_cells_and_blocks(spark):
+SMALL = {
+    "cells": metric_join.MetricJoinConfig(cell=30, pivots=5, copies=9.0, block=11),
+    "blocks": metric_join.MetricJoinConfig(cell=30, pivots=5, copies=0.5, block=11),
+    "both": metric_join.MetricJoinConfig(cell=25, pivots=4, copies=1.6, rounds=2, block=40),
+}
+
+
+@pytest.mark.parametrize("way", sorted(SMALL))
+def test_links_over_cells_and_blocks(spark, way):
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(12, 5))
     rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=5) * 0.25]) for i in range(400)]
     rows += [(i, rows[3][1]) for i in range(400, 460)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    config = metric_join.MetricJoinConfig(cell=30, block=11)
-    got = metric_join.join_embeddings(frame, config).collect()
+    got = metric_join.join_embeddings(frame, SMALL[way]).collect()
     as_floats = [(i, np.array(v, np.float32).tolist()) for i, v in rows]
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute_links(as_floats)
 
 
+def test_only_rows_near_another_cell_are_copied():
+    """Every pair within reach meets in one cell; most rows of separate clusters go nowhere."""
+    rng = np.random.default_rng(9)
+    rows = metric_join._unit(rng.normal(size=(6, 8)).repeat(200, axis=0) + rng.normal(size=(1200, 8)) * 0.03)
+    pivots = rows[::100]
+    reach = float(np.sqrt(2 - 2 * 0.95))
+    product = rows @ pivots.T
+    homes = product.argmax(axis=1)
+    far = np.sqrt(2 - 2 * product[np.arange(1200), homes].clip(max=1))
+    extents = np.array([far[homes == k].max(initial=-1) for k in range(12)])
+    goes = metric_join.targets(rows, homes, pivots, extents, reach)
+    linked = rows @ rows.T >= 0.95
+    low = np.minimum(homes[:, None], homes[None, :])
+    assert goes[np.arange(1200)[:, None], low][linked].all()
+    assert goes.sum() < 3 * 1200
+
+
+def test_links_of_many_vector_lengths(spark):
+    rows = [(i, [1.0] * (1 + i % 5000)) for i in range(5003)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in metric_join.join_embeddings(frame).collect()}
+    assert got == {i: (int(i % 5000 < 3), i % 5000) for i in range(5003)}
+
+
 def test_links_of_odd_vectors(odd_vectors):
     got = metric_join.join_embeddings(odd_vectors).collect()
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v, _ in ODD]
