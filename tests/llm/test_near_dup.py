@@ -45,7 +45,8 @@ def test_components_equal_brute_force(spark, scale):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(texts)
 
 
-def test_chains_of_edits_are_connected_over_blocks(spark):
+@pytest.mark.parametrize("block", [16, 1024])
+def test_chains_of_edits_are_connected_over_blocks(spark, block):
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in range(120)]
     texts = []
@@ -55,7 +56,7 @@ def test_chains_of_edits_are_connected_over_blocks(spark):
             words[k] = f"v{rng.integers(1_000_000)}"
         texts.append((i, " ".join(words)))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    config = near_dup.NearDupConfig(width=2, block=16)
+    config = near_dup.NearDupConfig(width=2, block=block, block_bytes=block * 512)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, config).collect()}
     assert got == brute(texts, 2)
     assert len({c for _, c in got.values()}) > 1
@@ -72,6 +73,29 @@ def test_odd_texts(odd, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_rows_that_share_an_id_are_one_node(spark):
+    texts = [(5, "a b c d e f g"), (1, "h i j k l m n"), (5, "h i j k l m n"), (2, "a b c d e f g")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect()} == {(5, 1), (1, 1), (2, 1)}
+
+
+def test_pairs_in_bands_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    config = near_dup.NearDupConfig(percent=0, slack=2.0)
+    bands, groups = np.sort(rng.integers(0, 9, 60)), rng.integers(0, 4, 60)
+    sides = np.where(bands == 3, rng.integers(0, 2, 60), -1)
+    i, j, _ = near_dup.possible_pairs(bands, sides, groups, np.ones(60, int), rng.integers(0, 2**63, (60, 16), dtype=np.uint64), config)
+    want = [(a, b) for a in range(60) for b in range(a + 1, 60) if bands[a] == bands[b] and groups[a] != groups[b] and (sides[a] < 0 or sides[a] != sides[b])]
+    assert sorted(zip(i.tolist(), j.tolist())) == want
+
+
+def test_stage_passes_on_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g h i j", 1, 2, 3, "x"), (2, "a b c d e f g h i j", 4, 5, 6, "y"), (3, None, 7, 8, 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _rows int, _id int, _k int, `a.b` string")
+    kept = near_dup.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+
+
 def test_stage_keeps_one_of_each_with_all_columns(odd):
     kept = near_dup.keep_one_of_each(odd)
     assert kept.columns == odd.columns
