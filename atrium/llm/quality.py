@@ -13,10 +13,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from atrium.llm import textbuf
+from atrium.scratch import Scratch
 
 _U = np.uint64
+#: Texts whose dense features are held at once.
+_ROWS = 256
 LABELLERS = ("words", "symbols", "capitals", "doubled_marks", "bars", "sentences", "word_length", "repetition", "letters", "lone_marks", "runs")
 
 
@@ -204,66 +208,57 @@ class QualityModel:
 def fit_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> QualityModel:
     """Estimate the labellers on all texts and train the scorer on a bounded sample of clear ones.
 
-    Vote patterns are counted over all documents (at most three to the power of the labellers
-    reach the driver). The sample is the first ``sample`` different clear texts of either class by hash, or
+    All documents are voted on once and their patterns kept by the hash of the text; at most three to the power of the
+    labellers counts reach the driver. The sample is the first ``sample`` different clear texts of either class by hash, or
     all of them where there are fewer. Hashes far above the last one wanted are left out before any sort, by
-    the estimated number of different texts; if too few are found, the bound is widened. A text leaves a task once,
-    however many copies it has. If a class has none, the model has no weights and the posterior is the score.
+    the estimated number of different texts; if too few are found, the bound is widened. Copies of a
+    text count once. If a class has none, the model has no weights and the posterior is the score.
     """
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    hashed = texts.withColumns({"_h": F.xxhash64("text"), "_i": F.xxhash64("text", F.lit(1))})
 
     def vote(batches):
         for whole in batches:
             for batch in textbuf.slices(whole, "text"):
-                given = votes(*textbuf.text_buffer(batch.column(0)))
-                codes = ((given.astype(np.int64) + 1) * 3 ** np.arange(given.shape[1])).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes)], ["text", "pattern"])
+                codes = ((votes(*textbuf.text_buffer(batch.column(0))).astype(np.int64) + 1) * 3 ** np.arange(len(LABELLERS))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(codes)], ["_h", "_i", "pattern"])
 
-    voted = texts.mapInArrow(vote, "text string, pattern long")
-    counted = voted.groupBy("pattern").agg(F.count("*").alias("n"), F.approx_count_distinct("text").alias("different")).orderBy("pattern").collect()
+    voted = Scratch(docs.sparkSession, "quality").keep("votes", hashed.mapInArrow(vote, "_h long, _i long, pattern long"))
+    counted = voted.groupBy("pattern").agg(F.count("*").alias("n"), F.approx_count_distinct("_h").alias("different")).orderBy("pattern").collect()
     patterns = [(tuple(int(r.pattern // 3**k % 3) - 1 for k in range(len(LABELLERS))), r.n) for r in counted]
     posteriors, accuracies = fit_labellers(patterns, config)
-    rows, target = [], []
+    place = F.pmod("_h", F.lit(1 << 40))
+    drawn, target = [], []
     for good in (0, 1):
         clear = [r.pattern for r, (p, _) in zip(counted, patterns) if (posteriors[p] >= config.clear if good else posteriors[p] <= 1 - config.clear)]
         if not clear:
             return QualityModel(posteriors, accuracies, None, 0.0)
-
-        def features(batches):
-            for whole in batches:
-                for batch in textbuf.slices(whole, "text", 1 << 20):
-                    found = shape_features(*textbuf.text_buffer(batch.column(0)), config.dimensions)
-                    yield pa.RecordBatch.from_arrays([textbuf.binaries([x.tobytes() for x in found.astype(np.float32)])], ["features"])
-
-        def draw(batches):
-            seen = set()
-            for whole in batches:
-                for batch in textbuf.slices(whole, "text"):
-                    fresh = []
-                    for k, key in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                        if key not in seen:
-                            seen.add(key)
-                            fresh.append(k)
-                    batch = batch.take(pa.array(fresh, pa.int64()))
-                    codes = ((votes(*textbuf.text_buffer(batch.column(0))).astype(np.int64) + 1) * 3 ** np.arange(len(LABELLERS))).sum(axis=1)
-                    yield batch.filter(pa.array(np.isin(codes, clear)))
-
         # equal texts have equal patterns, so the patterns' different texts add up
         share = min(1.0, 2.0 * config.sample / max(1, sum(r.different for r in counted if r.pattern in clear)))
-        hashed = texts.withColumns({"_h": F.xxhash64("text"), "_i": F.xxhash64("text", F.lit(1))})
-        place = F.pmod("_h", F.lit(1 << 40))
         while True:
-            few = hashed.where(place < F.lit(int(share * (1 << 40)))).mapInArrow(draw, "text string, _h long, _i long")
-            drawn = few.groupBy("_h", "_i").agg(F.first("text").alias("text")).orderBy(place, "_h", "_i").limit(config.sample)
-            found = drawn.select("text").mapInArrow(features, "features binary").toArrow().column("features")
-            if share == 1.0 or len(found) == config.sample:
+            few = voted.where(F.col("pattern").isin(clear) & (place < F.lit(int(share * (1 << 40)))))
+            keys = few.select("_h", "_i").distinct().orderBy(place, "_h", "_i").limit(config.sample).collect()
+            if share == 1.0 or len(keys) == config.sample:
                 break
             share = min(1.0, 4.0 * share)
-        parts = [np.frombuffer(x.as_buffer(), np.float32) for x in found]  # views of the table, not copies
-        rows.append(np.vstack(parts))
-        target += [float(good)] * len(parts)
-        del found, parts
-        textbuf.release_memory()
+        drawn += [(r._h, r._i) for r in keys]
+        target += [float(good)] * len(keys)
+
+    def features(batches):
+        for whole in batches:
+            for batch in textbuf.slices(whole, "text", rows=_ROWS):
+                found = shape_features(*textbuf.text_buffer(batch.column(0)), config.dimensions)
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), textbuf.binaries([x.tobytes() for x in found.astype(np.float32)])], ["_h", "_i", "features"])
+
+    # at most two samples of keys
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(drawn, "_h long, _i long"))
+    once = hashed.join(wanted, ["_h", "_i"], "left_semi").groupBy("_h", "_i").agg(F.first("text").alias("text"))
+    found = once.select("text", "_h", "_i").mapInArrow(features, "_h long, _i long, features binary").toArrow()
+    at = {key: k for k, key in enumerate(zip(found.column("_h").to_pylist(), found.column("_i").to_pylist()))}
+    column = found.column("features")
+    rows = [np.vstack([np.frombuffer(column[at[key]].as_buffer(), np.float32) for key in drawn])]  # views of the table, not copies
+    del found, column
+    textbuf.release_memory()
     weights, bias = _train(np.vstack(rows), np.array(target), config)
     del rows
     textbuf.release_memory()
@@ -271,19 +266,19 @@ def fit_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> Qua
 
 
 def score_quality(docs: DataFrame, model: QualityModel, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """All columns of ``docs`` in a struct ``doc``, with ``weak_label``, ``score`` and ``kept``.
+    """All columns of ``docs``, whatever their names, in a struct ``doc``, with ``weak_label``, ``score`` and ``kept``.
 
     ``weak_label`` is the labellers' posterior of the whole text, ``score`` the scorer's probability that
     it is good (0 to 1), ``kept`` whether the score reaches the threshold. A null or wordless text has
     score 0 and is not kept. Rows do not depend on one another; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    packed = docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("doc"))
 
     def run(batches):
         known = shared.value
         for whole in batches:
-            for batch in textbuf.slices(whole, "text", 1 << 20):
+            for batch in textbuf.slices(whole, "text", rows=_ROWS):
                 data, offsets = textbuf.text_buffer(batch.column(0))
                 given = votes(data, offsets)
                 weak = np.array([known.posteriors.get(tuple(v), 0.5) for v in given.tolist()])
@@ -296,5 +291,5 @@ def score_quality(docs: DataFrame, model: QualityModel, config: QualityConfig =
                 score[words == 0] = weak[words == 0] = 0.0
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(weak), pa.array(score), pa.array((score >= config.threshold) & (words > 0))], ["doc", "weak_label", "score", "kept"])
 
-    kind = packed.schema["doc"].dataType.simpleString()
-    return packed.mapInArrow(run, f"doc {kind}, weak_label double, score double, kept boolean")
+    kind = StructType([packed.schema["doc"], *StructType.fromDDL("weak_label double, score double, kept boolean")])
+    return packed.mapInArrow(run, kind)

@@ -77,15 +77,15 @@ def release_memory() -> None:
         _trim(0)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about ``most`` bytes of text, or one row; afterwards free what it took."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part holds about ``most`` bytes of text, or one row, and at most ``rows`` rows; afterwards free what it took."""
     if not batch.num_rows:
         return
     _, offsets = text_buffer(batch.column(batch.schema.get_field_index(column)))
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
-        end = min(end, batch.num_rows)
+        end = min(end, batch.num_rows, start + rows)
         yield batch.slice(start, end - start)
         start = end
     release_memory()

@@ -62,3 +62,64 @@ def test_a_class_of_copies_trains_on_all_its_texts(spark, monkeypatch):
         quality.fit_quality(docs, quality.QualityConfig(sample=sample))
         rows, target = seen.pop()
         assert (target == 0).sum() == want and (target == 1).sum() == min(sample, 300)
+
+
+def plain_em(patterns, start, prior, held, rounds):
+    """The same estimate with loops over documents, labellers and votes."""
+    labellers = len(patterns[0][0])
+    total = sum(n for _, n in patterns)
+    chances = [[{0: start[c][0], -1: start[c][1], 1: start[c][2]} for _ in range(labellers)] for c in (0, 1)]
+    posterior = {}
+    for _ in range(rounds):
+        for votes, _ in patterns:
+            weigh = [1 - prior, prior]
+            for c in (0, 1):
+                for k, v in enumerate(votes):
+                    weigh[c] *= chances[c][k][v]
+            posterior[votes] = weigh[1] / (weigh[0] + weigh[1])
+        new = [[{v: held * x for v, x in zip((0, -1, 1), start[c])} for _ in range(labellers)] for c in (0, 1)]
+        for votes, n in patterns:
+            for c in (0, 1):
+                for k, v in enumerate(votes):
+                    new[c][k][v] += n * (posterior[votes] if c else 1 - posterior[votes])
+        chances = [[{v: x / sum(d.values()) for v, x in d.items()} for d in row] for row in new]
+        prior = min(max(sum(n * posterior[v] for v, n in patterns) / total, 0.05), 0.98)
+    return posterior
+
+
+def test_em_equals_plain_loops():
+    rng = np.random.default_rng(8)
+    distinct, counts = np.unique(rng.integers(-1, 2, (300, 11)), axis=0, return_counts=True)
+    patterns = [(tuple(v), int(n)) for v, n in zip(distinct.tolist(), counts)]
+    config = quality.QualityConfig(em_rounds=6)
+    got, _ = quality.fit_labellers(patterns, config)
+    want = plain_em(patterns, quality._START, config.prior, config.anchor * sum(counts) + 1.0, 6)
+    assert max(abs(got[v] - want[v]) for v in want) < 1e-9
+
+
+def test_many_short_texts_take_little_memory():
+    """One Arrow batch of ten thousand short texts, in a process of its own."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import resource, pyarrow as pa, numpy as np
+from atrium.llm import quality, textbuf
+batch = pa.RecordBatch.from_arrays([pa.array([f"text number {k:06d} ." for k in range(10_000)])], ["text"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = 0
+for part in textbuf.slices(batch, "text", rows=quality._ROWS):
+    n += len(quality.shape_features(*textbuf.text_buffer(part.column(0)), 4096))
+assert n == 10_000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": here})
+    assert int(said.stdout) < 200, said
+
+
+def test_scores_carry_columns_of_any_name(spark, folder):
+    model = quality.fit_quality(spark.read.parquet(f"{folder}/documents.parquet"))
+    docs = spark.createDataFrame([(1, "Some text, as it were.", 3, "x")], "doc_id long, text string, score int, `a.b` string")
+    assert [tuple(r) for r in quality.score_quality(docs, model).select("doc.*").collect()] == [(1, "Some text, as it were.", 3, "x")]
