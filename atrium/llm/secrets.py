@@ -53,6 +53,11 @@ _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|
 #: A repeat or walk that starts within ``_ENTRY`` characters of its stretch's start (the farthest that a word, date or
 #: other repeat reaches into it) has any length; later starts, which gain little, are tried up to so many units.
 _REPEATS, _ENTRY = 64, _LONGEST + 16
+#: Inside a longer stretch only so many characters at its end are looked at one by one: whatever starts
+#: before them is no cheaper than the stretch itself.
+_LONG, _EXIT = 256, _REPEATS + _LONGEST
+#: Characters between looks at the least cost so far.
+_LOOK = 16
 
 
 @dataclass(frozen=True)
@@ -101,49 +106,101 @@ def word_ranks(docs: DataFrame, config: SecretConfig = SecretConfig()) -> dict[s
     return _RANK | {w: len(COMMON) + k for k, w in enumerate((w for w in ranked if w not in _RANK), 1)}
 
 
-def guess_cost(value: str, ranks: Mapping[str, int] = _RANK) -> float:
-    """Least log10 number of guesses over all segmentations of the value, with the words of ``ranks``."""
+def _repeat_end(value: str, start: int, unit: int) -> int:
+    """The first place from ``start`` on whose character differs from the one a unit later, or has none."""
+    at, last, step = start, len(value) - unit, 16
+    while at < last:
+        end = min(at + step, last)
+        if value[at:end] == value[at + unit : end + unit]:
+            at, step = end, 2 * step
+        elif end - at == 1:
+            break
+        else:
+            step = (end - at) // 2
+    return at
+
+
+def _walk_end(low: str, start: int) -> int:
+    end = start + 1
+    while end < len(low) and (low[end - 1], low[end]) in _NEXT:
+        end += 1
+    return end
+
+
+def guess_cost(value: str, ranks: Mapping[str, int] = _RANK, limit: float = math.inf) -> float:
+    """Least log10 number of guesses over all segmentations of the value, with the words of ``ranks``.
+
+    Every segmentation has a cut between the place reached and the farthest one that a segment from before it ends at; once the
+    least cost of these reaches ``limit``, that cost, which is not above the result, is returned. A value of
+    any length so takes a time that follows from the limit.
+    """
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
-    dates = [_DATE.match(value, i) for i in range(n)]
     # for each unit: where its stretch starts, and the first place after which the text differs from the unit before
     opened, turns = [0] * 9, [0] * 9
     walk_opened = walk_end = 0
-    for i in range(n):
+    i, farthest, seen = 0, 0, 0
+
+    def reach(j: int, cost: float) -> None:
+        nonlocal farthest
+        if cost < best[j]:
+            best[j] = cost
+        if j > farthest:
+            farthest = j
+
+    while i < n:
+        if i >= seen:
+            least = min(best[i : farthest + 1])
+            if least >= limit:
+                return least
+            seen = i + _LOOK
         base = best[i]
-        best[i + 1] = min(best[i + 1], base + _character_cost(value[i]))
+        reach(i + 1, base + _character_cost(value[i]))
+        words = {}
         for j in range(i + 2, min(n, i + _LONGEST) + 1):
-            piece, rank = value[i:j], None
+            piece = value[i:j]
             if (rank := ranks.get(low[i:j])) is not None:
                 extra = 0.0 if piece == low[i:j] else 0.3 if piece.istitle() or piece.isupper() else 0.9
             elif (rank := ranks.get(plain[i:j])) is not None:
                 extra = 0.9
             if rank is not None:
-                best[j] = min(best[j], base + math.log10(rank + 1) + extra)
-        if dates[i]:
-            best[dates[i].end()] = min(best[dates[i].end()], base + math.log10(366 * 120 if dates[i].end() - i > 4 else 120))
+                words[j] = math.log10(rank + 1) + extra
+                reach(j, base + words[j])
+        if date := _DATE.match(value, i):
+            reach(date.end(), base + math.log10(366 * 120 if date.end() - i > 4 else 120))
         if i >= walk_end:
-            walk_opened, walk_end = i, i + 1
-            while walk_end < n and (low[walk_end - 1], low[walk_end]) in _NEXT:
-                walk_end += 1
+            walk_opened, walk_end = i, _walk_end(low, i)
         end = walk_end if i - walk_opened <= _ENTRY else min(walk_end, i + _REPEATS)
-        for j in range(i + 3, end + 1):
-            best[j] = min(best[j], base + math.log10(len("".join(_ROWS)) * 2 * (j - i)))
+        beyond = i + 1  # where the next place to look at is
+        if walk_end - walk_opened > _LONG and walk_opened + _ENTRY < beyond:
+            beyond = max(beyond, walk_end - _EXIT)
+        for j in _ends(i, 1, 3, end - i, walk_end):
+            reach(j, base + math.log10(len("".join(_ROWS)) * 2 * (j - i)))
         for unit in range(1, min(8, (n - i) // 2) + 1):
             if i >= turns[unit]:
-                opened[unit] = turn = i
-                while turn + unit < n and value[turn] == value[turn + unit]:
-                    turn += 1
-                turns[unit] = turn
+                opened[unit], turns[unit] = i, _repeat_end(value, i, unit)
             times = 1 + (turns[unit] - i) // unit
+            stretch = turns[unit] + unit
+            if stretch - opened[unit] > _LONG and opened[unit] + _ENTRY < i + 1:
+                beyond = max(beyond, stretch - _EXIT)
             if times > 1:
-                once = base + sum(map(_character_cost, value[i : i + unit]))
-                for k in range(2, (times if i - opened[unit] <= _ENTRY else min(times, _REPEATS)) + 1):
-                    best[i + k * unit] = min(best[i + k * unit], once + math.log10(k))
+                once = base + min(sum(map(_character_cost, value[i : i + unit])), words.get(i + unit, math.inf))
+                for j in _ends(i, unit, 2, times if i - opened[unit] <= _ENTRY else min(times, _REPEATS), stretch):
+                    reach(j, once + math.log10((j - i) // unit))
+        i = beyond
     return best[n]
 
 
+def _ends(start: int, unit: int, least: int, most: int, stretch: int) -> list[int]:
+    """Places ``least`` to ``most`` units after ``start``; of many only those near it and near the end of its stretch."""
+    if (most - least) * unit <= _LONG:
+        return [start + k * unit for k in range(least, most + 1)]
+    near = range(least, max(least, (_ENTRY + _LONGEST) // unit) + 1)
+    far = range(max(near[-1] + 1, (stretch - _EXIT - start) // unit), most + 1)
+    return [start + k * unit for k in (*near, *far)]
+
+
 def find_spans(text: str, config: SecretConfig = SecretConfig(), kinds: frozenset[str] = frozenset(KINDS), ranks: Mapping[str, int] = _RANK) -> list[tuple[int, str, int]]:
     """All spans of a text as (start, kind, end), by start, then kind as listed, then end."""
     found = set()
@@ -154,7 +211,7 @@ def find_spans(text: str, config: SecretConfig = SecretConfig(), kinds: frozense
     if "hex" in kinds:
         found |= {(m.start(), "hex", m.end()) for m in _HEX.finditer(text) if m.end() - m.start() >= 24}
     if "guess" in kinds:
-        found |= {(m.start(1), "guess", m.end(1)) for m in _CONTEXT.finditer(text) if guess_cost(m[1], ranks) >= config.log10_guesses}
+        found |= {(m.start(1), "guess", m.end(1)) for m in _CONTEXT.finditer(text) if guess_cost(m[1], ranks, config.log10_guesses) >= config.log10_guesses}
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
@@ -256,7 +313,11 @@ def redact(text: str, spans: list[tuple[int, str, int]], mark: str = "[SECRET]")
 
 
 def redact_secrets(docs: DataFrame, config: SecretConfig = SecretConfig(), ranks: Mapping[str, int] = _RANK) -> DataFrame:
-    """All rows and columns of ``docs`` with the secrets in ``text`` replaced by a mark; ``n_chars`` follows, where present."""
+    """All rows and columns of ``docs`` with the secrets in ``text`` replaced by a mark; ``n_chars`` follows, where present.
+
+    A null text stays null. Rows do not depend on one another, so repeats stay; the names of other columns do not
+    matter; an empty table gives an empty result.
+    """
     names = docs.columns
     place = names.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(dict(ranks))
@@ -264,13 +325,17 @@ def redact_secrets(docs: DataFrame, config: SecretConfig = SecretConfig(), ranks
     def run(batches):
         known = shared.value
         for whole in batches:
-            for batch in textbuf.slices(whole, "text"):
+            for batch in textbuf.slices(whole, f"c{place}"):
                 rows = _scanned(batch, place, config, known)
                 if any(found for _, found in rows):
                     old = batch.column(place).to_pylist()
                     new = [redact(text, found) if found else before for (text, found), before in zip(rows, old)]
-                    batch = batch.set_column(place, "text", pa.array(new, batch.column(place).type))
+                    batch = batch.set_column(place, f"c{place}", pa.array(new, batch.column(place).type))
                 yield batch
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    out = numbered.mapInArrow(run, numbered.schema)
+    if "n_chars" in names:
+        k = names.index("n_chars")
+        out = out.withColumn(f"c{k}", F.length(f"c{place}").cast(docs.schema[k].dataType))
+    return out.toDF(*names)

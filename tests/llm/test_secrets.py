@@ -116,3 +116,34 @@ def test_repeats_and_walks_of_any_length_are_one_segment():
     for value in ("*" * 150, "=" * 5000, "ab" * 3000, "qwertrew" * 100):
         assert secrets.find_spans(f"credentials: {value}", kinds=frozenset(["guess"])) == []
     assert abs(secrets.guess_cost("password" + "d" * 1000) - secrets.guess_cost("password") - secrets.guess_cost("d" * 1000)) < 1e-9
+
+
+def test_limits_change_no_decision():
+    rng = random.Random(11)
+    bits = ["password", "monkey", "2021-03-14", "aaaa", "qwerty", "x", "K", "7", "#", "ab" * 40, "=" * 90, "qwertrew" * 20, "z" * 300, "Dragon"]
+    for _ in range(400):
+        value = "".join(rng.choices(bits, k=rng.randint(1, 7)))
+        cost = secrets.guess_cost(value)
+        for limit in (2.0, 9.0, 14.0):
+            bounded = secrets.guess_cost(value, limit=limit)
+            assert (bounded >= limit) == (cost >= limit) and bounded <= cost + 1e-9, value
+
+
+def test_values_of_a_million_characters_take_no_time():
+    import time
+
+    rng = random.Random(12)
+    dear = "".join(rng.choices("abcdefghijkXYZ0123456789#", k=1_000_000))
+    cases = [(dear, True), ("a" * 1_000_000, False), ("password" * 125_000, False), ("qw" * 500_000, False), ("a" * 500_000 + "b" * 500_000, True), ("=" * 300_000 + "Dragon", False), ("monkeydragon7" * 80_000, True)]
+    for value, secret in cases:
+        began = time.time()
+        spans = secrets.find_spans(f"credentials: {value}", kinds=frozenset(["guess"]))
+        assert time.time() - began < 2, value[:20]
+        assert spans == ([(13, "guess", 13 + len(value))] if secret else []), value[:20]
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "token=abcdefgh12", 2, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, c1 int, `a.b` string")
+    out = secrets.redact_secrets(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "[SECRET]", 2, "x")]
