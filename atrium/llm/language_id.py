@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from atrium.llm import textbuf
 
@@ -181,7 +182,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, config: LanguageCo
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     carried = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in columns]).alias("carried"))
-    kind = carried.schema["carried"].dataType.simpleString()
+    kind = StructType([carried.schema["carried"], *StructType.fromDDL("lang_pred string, score double, lang_shares map<string,double>")])
 
     def run(batches):
         known = shared.value
@@ -211,7 +212,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, config: LanguageCo
                     ["carried", "lang_pred", "score", "lang_shares"],
                 )
 
-    found = carried.mapInArrow(run, f"carried {kind}, lang_pred string, score double, lang_shares map<string,double>")
+    found = carried.mapInArrow(run, kind)
     return found.select(*[F.col("carried").getField(c).alias(c) for c in columns], "lang_pred", "score", "lang_shares")
 
 

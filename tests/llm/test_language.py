@@ -66,3 +66,23 @@ def test_em_only_raises_the_likelihood():
         share, value = language_id._fit(weights, ratio, share, 1)
         assert value >= last - 1e-9 and abs(share.sum() - 1) < 1e-9
         last = value
+
+
+def test_shares_equal_the_best_of_a_grid():
+    """Likelihoods of all mixtures on a grid, all language sets, against the fitted ones."""
+    rng = np.random.default_rng(6)
+    config = language_id.LanguageConfig(buckets=60, margin=3.0, rounds=60)
+    for case in range(12):
+        table = rng.dirichlet(np.full(60, 0.3), 3).T
+        model = language_id.LanguageModel(("x", "y", "z"), np.log(table))
+        true = ((1.0, 0.0, 0.0), (0.7, 0.3, 0.0), (0.5, 0.3, 0.2))[case % 3]
+        weights = rng.multinomial(400, table @ np.array(true)).astype(float)
+        at = np.flatnonzero(weights)
+        share = language_id.infer((at, weights[at]), model, config)
+        likelihood = lambda p: weights[at] @ np.log(table[at] @ p)
+        penalty = 0.5 * np.log(weights.sum() + 1) + config.margin
+        steps = np.arange(0, 101) / 100
+        grid = [np.array([a, b, 1 - a - b]) for a in steps for b in steps if a + b <= 1 + 1e-9]
+        best = max(grid, key=lambda p: likelihood(p.clip(0)) - penalty * (p > 1e-9).sum())
+        assert set(np.flatnonzero(share)) == set(np.flatnonzero(best > 1e-9)), case
+        assert np.abs(share - best).max() < 0.02

@@ -75,3 +75,13 @@ def test_odd_documents_pass_through_all_stages(spark, odd, empty):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
             docs.count()
         assert corpus_pipeline.pack(spark, docs, FOLDER).count() >= 0
+
+
+def test_stages_pass_on_columns_of_any_name(spark):
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(300).selectExpr("*", "1 as score", "2 as kept", "3 as doc", "4 as `a.b`", "5 as lang_pred", "6 as _h")
+    docs = documents
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER)
+        assert docs.columns == documents.columns
+    row = docs.first()
+    assert row is not None and tuple(row)[-6:] == (1, 2, 3, 4, 5, 6)
