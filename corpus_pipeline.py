@@ -30,23 +30,38 @@ def identify(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def assess(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Drop documents that the quality scorer rejects; null and wordless texts are among them."""
+    """Drop documents that the quality scorer rejects; null and wordless texts are among them.
+
+    A score at the threshold is kept. Repeated rows are scored alike and all stay or go; their texts train once. With no
+    clear text of either class, as in an empty table, the labellers' posterior is the score.
+    """
     scored = quality.score_quality(docs, quality.fit_quality(docs))
     return scored.where("kept").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keep one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """Keep one document of each group of near duplicates (five-word shingles, similarity 0.8).
+
+    The smallest doc_id of a group stays; of rows that repeat it the first by text. Null and wordless texts and rows
+    with a null doc_id are in no group and stay. An empty table stays empty.
+    """
     return near_dup.keep_one_of_each(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Replace the secrets in every text; all documents stay."""
+    """Replace the secrets in every text; all documents stay, repeated rows too.
+
+    A null text stays null, an empty table empty. Of words that equally many texts hold, the first by letters ranks first.
+    """
     return secrets.redact_secrets(docs, ranks=secrets.word_ranks(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Tokenize and pack what is left into sequences of 2048 tokens."""
+    """Tokenize and pack what is left into sequences of 2048 tokens.
+
+    A null or empty text is one piece of one id; repeated rows are packed each; of equal costs the earlier sequence, of
+    equal pieces the earlier one goes first. An empty table gives no piece.
+    """
     return packing.pack_documents(docs, registry.vocabulary_file("byte_bpe_50k.json"))
 
 
