@@ -9,8 +9,8 @@ texts by search, without a shuffle.
 
 A shard holds all windows with the same second word, so that it sees every extension of its
 contexts (all but the last word) and every left extension of its suffixes (all but the first), whose
-numbers are the counts of the next order. A second word that would outweigh a shard is spread twice: by
-context for the n-grams, by suffix for the next order, whose context totals are then added up from parts. Orders below
+numbers are the counts of the next order. A second word that would outweigh a shard is spread by context; its
+suffixes' partial numbers are then dealt by suffix, and their context totals added up from parts. Orders below
 are dealt by their first word in the same way, down to single words, which are kept in ranges of ids. Sums
 over shards are taken in rounds of at most ``fan`` parts, so no task reads more than that.
 
@@ -387,7 +387,7 @@ def padded(values: np.ndarray, bounds: np.ndarray, lead: int, fill: int) -> tupl
     return out, at
 
 
-#: Parts of a shard: dealt by a word; n-grams of a heavy word by context; the next order of a heavy word by suffix.
+#: Parts of a shard: dealt by a word; windows of a heavy word dealt by context; n-grams below of a heavy word by all words.
 _PLAIN, _CONTEXTS, _SUFFIXES = 0, 1, 2
 #: Rows that a merging task returns: numbers of types by count, parts of sums, and n-grams of the order below.
 _TOPS, _SUMS, _ROWS = 0, 1, 2
@@ -518,10 +518,8 @@ def _fit_orders(texts: DataFrame, scratch: Scratch, config: LanguageModelConfig,
             if order == 2:
                 rows = _row_blocks(columns, counts, *_dealt(columns, loud, shards), width)
             else:
-                rows = []
-                by_word, by_context, by_suffix = hash_shard(hash_rows(natural[1:2]), shards), hash_shard(hash_rows(natural[:-1]), shards), hash_shard(hash_rows(natural[1:]), shards)
-                for name, mine, shard in ((_PLAIN, ~loud, by_word), (_CONTEXTS, loud, by_context), (_SUFFIXES, loud, by_suffix)):
-                    rows += _row_blocks([c[mine] for c in columns], counts[mine], np.full(int(mine.sum()), name), shard[mine], width)
+                dealt = np.where(loud, hash_shard(hash_rows(natural[:-1]), shards), hash_shard(hash_rows(natural[1:2]), shards))
+                rows = _row_blocks(columns, counts, np.where(loud, _CONTEXTS, _PLAIN), dealt, width)
             names, kinds = ("part", "shard", "rows", "counts"), (pa.int32(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], list(names))
 
@@ -547,8 +545,11 @@ def _fit_orders(texts: DataFrame, scratch: Scratch, config: LanguageModelConfig,
             out.sums(1, ids[0].astype(np.int64) // span, shard, ids[0].astype(_U), lefts[:, None])
         else:
             suffixes, lefts = merge_rows(columns[1:], None)
-            # a word is heavy by its own count, which only the vocabulary knows: ids alone tell it from there
-            out.rows += [(_ROWS, level - 1, s, p, rows, n, None) for p, s, rows, n in _row_blocks(suffixes, lefts, *_dealt(suffixes, heavy_ids(suffixes[0]), shards), width)]
+            send(out, level - 1, suffixes, lefts, heavy_ids(suffixes[0]))
+
+    def send(out: _Rows, level: int, columns: list[np.ndarray], counts: np.ndarray, loud: np.ndarray) -> None:
+        """Partial counts of n-grams for the tasks of their order."""
+        out.rows += [(_ROWS, level, shard, part, rows, n, None) for part, shard, rows, n in _row_blocks(columns, counts, *_dealt(columns, loud, shards), width)]
 
     def heavy_ids(ids: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(ids, return_inverse=True)
@@ -561,14 +562,16 @@ def _fit_orders(texts: DataFrame, scratch: Scratch, config: LanguageModelConfig,
             lower(out, 2, part, shard, columns, counts)
             return out.table()
         natural = [columns[sorting.index(k)] for k in range(order)]
-        if part != _SUFFIXES:
-            _, totals = _context_totals(columns, counts)
-            firsts = _firsts(columns[:-1])
-            tables = _named("gram.", hash_table(hash_rows(natural), counts[:, None])) | _named("context.", hash_table(hash_rows([c[firsts] for c in natural[:-1]]), totals))
-            ModelFolder(address).save(f"gram-{order}-{part}-{shard}", tables)
-            out.tops(order, counts)
-        if part != _CONTEXTS:
-            lower(out, order - 1, part, shard, *merge_rows(natural[1:], None))
+        _, totals = _context_totals(columns, counts)
+        firsts = _firsts(columns[:-1])
+        tables = _named("gram.", hash_table(hash_rows(natural), counts[:, None])) | _named("context.", hash_table(hash_rows([c[firsts] for c in natural[:-1]]), totals))
+        ModelFolder(address).save(f"gram-{order}-{part}-{shard}", tables)
+        out.tops(order, counts)
+        suffixes, lefts = merge_rows(natural[1:], None)
+        if part == _PLAIN:
+            lower(out, order - 1, part, shard, suffixes, lefts)
+        else:
+            send(out, order - 1, suffixes, lefts, np.ones(len(lefts), bool))
         return out.table()
 
     def merge_level(level: int):
@@ -603,33 +606,34 @@ def _fit_orders(texts: DataFrame, scratch: Scratch, config: LanguageModelConfig,
 
     found = scratch.keep("merged-top", texts.mapInArrow(count_windows, _ROW_BLOCK).groupBy("part", "shard").applyInArrow(merge_top, _MERGED))
     results = [found]
-    for level in range(order - 2, 1, -1):
-        rows = results[-1].where((F.col("what") == _ROWS) & (F.col("level") == level))
+    for level in range(order - 1, 1, -1):
+        rows = _union(results).where((F.col("what") == _ROWS) & (F.col("level") == level))
         rows = rows.select("part", F.col("place").alias("shard"), F.col("keys").alias("rows"), F.col("values").alias("counts"))
         results.append(scratch.keep(f"merged-{level}", rows.groupBy("part", "shard").applyInArrow(merge_level(level), _MERGED)))
-    sums = [f.where(F.col("what") == _SUMS) for f in results]
+    sums = _union(results).where(F.col("what") == _SUMS)
     parts, turn, tops = shards, 0, list(results)
     while True:
         last = parts <= config.fan
-        keyed = [f.withColumn("deal", F.lit(0) if last else F.floor(F.col("part") / config.fan).cast("int")) for f in sums]
-        both = keyed[0]
-        for f in keyed[1:]:
-            both = both.union(f)
-        found = scratch.keep(f"sums-{turn}", both.groupBy("level", "place", "deal").applyInArrow(add_up(last), _MERGED))
+        dealt = sums.withColumn("deal", F.lit(0) if last else F.floor(F.col("part") / config.fan).cast("int"))
+        found = scratch.keep(f"sums-{turn}", dealt.groupBy("level", "place", "deal").applyInArrow(add_up(last), _MERGED))
         tops.append(found)
         if last:
             break
-        sums, parts, turn = [found], -(-parts // config.fan), turn + 1
-    figures: dict[int, list[int]] = {}
-    for f in tops:
-        counted = f.where(F.col("what") == _TOPS).groupBy("level").agg(*[F.sum(F.col("tops")[k]).alias(f"t{k}") for k in range(6)])
-        for r in counted.collect():  # one row for each order
-            figures[r.level] = [int(r[f"t{k}"]) for k in range(6)]
-    for name in ["merged-top", *(f"merged-{k}" for k in range(order - 2, 1, -1)), *(f"sums-{k}" for k in range(turn + 1))]:
+        sums, parts, turn = found.where(F.col("what") == _SUMS), -(-parts // config.fan), turn + 1
+    counted = _union(tops).where(F.col("what") == _TOPS).groupBy("level").agg(*[F.sum(F.col("tops")[k]).alias(f"t{k}") for k in range(6)])
+    figures = {r.level: [int(r[f"t{k}"]) for k in range(6)] for r in counted.collect()}  # one row for each order
+    for name in ["merged-top", *(f"merged-{k}" for k in range(order - 1, 1, -1)), *(f"sums-{k}" for k in range(turn + 1))]:
         scratch.drop(name)
     return figures
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
 def _counts_of_ids(folder: ModelFolder, sizes: tuple[int, ...], ids: np.ndarray, n_texts: int) -> np.ndarray:
     """Training counts of sorted ids; the start id counts once for each text."""
     base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
