@@ -214,23 +214,60 @@ def recent_evaluation(evaluations: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.select("package_id", "evaluation_id", (~F.coalesce(same, F.lit(False))).alias("stale"))
 
 
-def tile_member_closure(members: DataFrame, refs: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Members of each package that its root reaches over references, with their depth; deeper than ``max_depth`` is left out.
+def _resolved(path: Column, target: Column) -> tuple[Column, Column]:
+    """A reference's path inside its package, and what is wrong with the reference."""
+    folder = F.regexp_extract(path, "^(.*/)?[^/]*$", 1)
+    clean = F.regexp_replace(F.regexp_replace(F.concat(folder, target), "(^|/)(\\./)+", "$1"), "//+", "/")
+    # as many parents as the folders before them; each replacement takes one away
+    for _ in range(8):
+        clean = F.regexp_replace(clean, "(^|/)(?!\\.\\./)[^/]+/\\.\\./", "$1")
+    wrong = (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), "external_reference")
+        .when(target.rlike("^[/\\\\]"), "absolute_reference")
+        .when(clean.rlike("^\\.\\./|/\\.\\.(/|$)|^\\.\\.$"), "escaping_reference")
+    )
+    return clean, wrong
+
 
-    ``members``: ``package_id, path``; ``refs``: ``package_id, path, target``; ``roots``: ``package_id, path``. Each round joins
-    the last round's new members to the references, so rounds are bounded by the depth.
+def tile_member_closure(members: DataFrame, refs: DataFrame, roots: DataFrame, max_depth: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Members of each package that its root reaches over references, with their depth, and the refusals.
+
+    ``members``: ``package_id, path``; ``refs``: ``package_id, path, target`` (relative to the member's folder); ``roots``:
+    ``package_id, path``. Refusals are rows ``package_id, code, subject``: a package without root or with several, references that are
+    external, absolute or leave the package, that name no member, tilesets (``.json``) that are referred to more than once or
+    are the root, other members than ``.glb``, and members only deeper than ``max_depth``. Each round joins the last round's
+    new members to the references, so rounds are bounded by the depth.
     """
     from atrium.scratch import Scratch
 
     scratch = Scratch(members.sparkSession, "closure")
-    seen = roots.join(members, ["package_id", "path"], "left_semi").select("package_id", "path").distinct().withColumn("depth", F.lit(0))
-    seen = scratch.keep("depth-0", seen)
-    for depth in range(1, max_depth + 1):
-        step = seen.where(F.col("depth") == depth - 1).join(refs, ["package_id", "path"]).select("package_id", F.col("target").alias("path")).distinct()
+    clean, wrong = _resolved(F.col("path"), F.col("target"))
+    links = scratch.keep("links", refs.select("package_id", "path", F.when(wrong.isNull(), clean).otherwise(F.col("target")).alias("target"), wrong.alias("wrong")).distinct())
+    found = roots.join(members, ["package_id", "path"], "left_semi").select("package_id", "path").distinct()
+    seen = scratch.keep("depth-0", found.withColumn("depth", F.lit(0)))
+    for depth in range(1, max_depth + 2):
+        step = seen.where(F.col("depth") == depth - 1).join(links.where("wrong is null"), ["package_id", "path"]).select("package_id", F.col("target").alias("path")).distinct()
         fresh = step.join(members, ["package_id", "path"], "left_semi").join(seen, ["package_id", "path"], "left_anti").withColumn("depth", F.lit(depth))
         following = scratch.keep(f"depth-{depth}", seen.unionByName(fresh))
         scratch.drop(f"depth-{depth - 1}")
         seen = following
         if not seen.where(F.col("depth") == depth).limit(1).count():
             break
-    return seen
+    inside = seen.where(F.col("depth") <= max_depth)
+    used = links.join(inside.select("package_id", "path"), ["package_id", "path"], "left_semi")
+    row = lambda frame, code, subject: frame.select("package_id", F.lit(code).alias("code") if isinstance(code, str) else code.alias("code"), F.col(subject).alias("subject"))
+    known = members.select("package_id", F.col("path").alias("target"))
+    counted = members.select("package_id").distinct().join(found.groupBy("package_id").agg(F.count("*").alias("n"), F.min("path").alias("root")), "package_id", "left")
+    fine = used.where("wrong is null")
+    twice = fine.where("target like '%.json'").groupBy("package_id", "target").agg(F.count("*").alias("n"))
+    twice = twice.join(found.select("package_id", F.col("path").alias("target"), F.lit(1).alias("_root")), ["package_id", "target"], "left").where("n > 1 or _root = 1")
+    refused = (
+        row(counted.where("n is null").withColumn("subject", F.lit("")), "missing_root", "subject")
+        .union(row(counted.where("n > 1"), "several_roots", "root"))
+        .union(row(used.where("wrong is not null"), F.col("wrong"), "target"))
+        .union(row(fine.join(known, ["package_id", "target"], "left_anti").select("package_id", "target").distinct(), "unresolved_reference", "target"))
+        .union(row(fine.where("target not like '%.json' and target not like '%.glb'").select("package_id", "target").distinct(), "foreign_content", "target"))
+        .union(row(twice, "tileset_cycle", "target"))
+        .union(row(seen.where(F.col("depth") > max_depth), "too_deep", "path"))
+    )
+    return inside, refused

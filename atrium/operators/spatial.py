@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from atrium.functions import scalars
+from atrium.scratch import Scratch
 
 
 def cells(value: Column, pad: Column, size: float) -> Column:
@@ -26,22 +27,58 @@ def ring_segments(rings: DataFrame) -> DataFrame:
 CELL = 0.00025
 
 
-def near_segments(points: DataFrame, segments: DataFrame, reach_m: float) -> DataFrame:
-    """Pairs of a point and a segment of its floor within ``reach_m``; adds ``metres``.
+def near_segments(points: DataFrame, segments: DataFrame, reach_m: float | None) -> DataFrame:
+    """Pairs of a point and a segment of its floor within ``reach_m`` (None: all of them); adds ``metres`` and ``share``.
 
-    Segments are dealt to every cell of their padded box, so a point looks in one cell only.
+    Segments are dealt to every cell of their padded box, so a point looks in one cell only; cells grow with the reach.
     """
+    metres, share = scalars.segment_offset(*[F.col(c) for c in ("lon", "lat", "ax", "ay", "bx", "by")])
+    if reach_m is None:
+        return points.join(segments, ["venue_id", "ordinal"]).withColumns({"metres": metres, "share": share})
     pad_lat = reach_m / scalars.DEGREE_M * 1.01
-    pad_lon = F.lit(pad_lat) / F.cos(F.radians(F.greatest(F.abs("ay"), F.abs("by")) + pad_lat))
-    grid = lambda low, high, pad: F.sequence(F.floor((low - pad) / CELL).cast("bigint"), F.floor((high + pad) / CELL).cast("bigint"))
+    cell = max(CELL, pad_lat)
+    pad_lon = F.lit(pad_lat) / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("ay"), F.abs("by")) + pad_lat)))
+    grid = lambda low, high, pad: F.sequence(F.floor((low - pad) / cell).cast("bigint"), F.floor((high + pad) / cell).cast("bigint"))
     dealt = segments.withColumn("cx", F.explode(grid(F.least("ax", "bx"), F.greatest("ax", "bx"), pad_lon)))
     dealt = dealt.withColumn("cy", F.explode(grid(F.least("ay", "by"), F.greatest("ay", "by"), F.lit(pad_lat))))
-    placed = points.withColumns({"cx": F.floor(F.col("lon") / CELL).cast("bigint"), "cy": F.floor(F.col("lat") / CELL).cast("bigint")})
+    placed = points.withColumns({"cx": F.floor(F.col("lon") / cell).cast("bigint"), "cy": F.floor(F.col("lat") / cell).cast("bigint")})
     both = placed.join(dealt, ["venue_id", "ordinal", "cx", "cy"]).drop("cx", "cy")
-    metres, share = scalars.segment_offset(*[F.col(c) for c in ("lon", "lat", "ax", "ay", "bx", "by")])
     return both.withColumns({"metres": metres, "share": share}).where(F.col("metres") <= reach_m)
 
 
+#: The first reach of a nearest search, its growth, and the reach beyond which a floor's shapes are looked at as a whole.
+FIRST_M, GROWTH, FLOOR_M = 60.0, 4.0, 100_000.0
+
+
+def until_enough(points: DataFrame, shapes: DataFrame, k: int, find) -> DataFrame:
+    """Rows of ``find(points, reach_m)`` at a reach that holds ``k`` shapes, or all of the floor's, for each point.
+
+    ``find`` returns ``venue_id, point_id, shape_id`` and more, each pair once; ``shapes`` has ``venue_id, ordinal, shape_id``. The
+    reach grows for the points that have not enough, so each round looks at fewer of them.
+    """
+    scratch = Scratch(points.sparkSession, "nearest")
+    have = shapes.groupBy("venue_id", "ordinal").agg(F.countDistinct("shape_id").alias("_have"))
+    rest = scratch.keep("rest-0", points.join(have, ["venue_id", "ordinal"]))
+    reach, turn, done = FIRST_M, 0, []
+    while True:
+        found = scratch.keep(f"found-{turn}", find(rest.drop("_have"), reach))
+        if reach is None:
+            done.append(found)
+            break
+        seen = found.groupBy("venue_id", "point_id").agg(F.count("*").alias("_seen"))
+        short = rest.join(seen, ["venue_id", "point_id"], "left").where(F.coalesce("_seen", F.lit(0)) < F.least(F.lit(k), F.col("_have"))).drop("_seen")
+        turn += 1
+        rest = scratch.keep(f"rest-{turn}", short)
+        done.append(found.join(rest.select("venue_id", "point_id"), ["venue_id", "point_id"], "left_anti"))
+        if not rest.limit(1).count():
+            break
+        reach = reach * GROWTH if reach * GROWTH <= FLOOR_M else None
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def inside_shapes(points: DataFrame, segments: DataFrame) -> DataFrame:
     """Pairs of a point and a shape of its floor that holds it, by even-odd crossings over all the shape's rings.
 
@@ -69,23 +106,67 @@ def building_by_containment(points: DataFrame, segments: DataFrame, buildings: D
     return found.where("n = 1").drop("n")
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, reach_m: float, k: int = 1) -> DataFrame:
-    """The ``k`` nearest nodes of the same floor within ``reach_m``; ties go to the smaller node id."""
-    pad_lat = reach_m / scalars.DEGREE_M * 1.01
-    pad_lon = F.lit(pad_lat) / F.cos(F.radians(F.abs("lat") + pad_lat))
-    dealt = points.withColumn("cx", F.explode(cells(F.col("lon"), pad_lon, CELL))).withColumn("cy", F.explode(cells(F.col("lat"), F.lit(pad_lat), CELL)))
-    placed = nodes.select("venue_id", "ordinal", "node_id", F.col("lon").alias("node_lon"), F.col("lat").alias("node_lat"), F.floor(F.col("lon") / CELL).cast("bigint").alias("cx"), F.floor(F.col("lat") / CELL).cast("bigint").alias("cy"))
+def _node_pairs(points: DataFrame, nodes: DataFrame, reach_m: float | None) -> DataFrame:
+    """Pairs of a point and a node of its floor within ``reach_m`` (None: all of them)."""
     metres = scalars.haversine_m(F.col("lon"), F.col("lat"), F.col("node_lon"), F.col("node_lat"))
-    both = dealt.join(placed, ["venue_id", "ordinal", "cx", "cy"]).withColumn("metres", metres).where(F.col("metres") <= reach_m)
+    at = nodes.select("venue_id", "ordinal", "node_id", F.col("lon").alias("node_lon"), F.col("lat").alias("node_lat"))
+    if reach_m is None:
+        return points.join(at, ["venue_id", "ordinal"]).withColumn("metres", metres)
+    pad_lat = reach_m / scalars.DEGREE_M * 1.01
+    cell = max(CELL, pad_lat)
+    pad_lon = F.lit(pad_lat) / F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + pad_lat)))
+    dealt = points.withColumn("cx", F.explode(cells(F.col("lon"), pad_lon, cell))).withColumn("cy", F.explode(cells(F.col("lat"), F.lit(pad_lat), cell)))
+    placed = at.withColumns({"cx": F.floor(F.col("node_lon") / cell).cast("bigint"), "cy": F.floor(F.col("node_lat") / cell).cast("bigint")})
+    return dealt.join(placed, ["venue_id", "ordinal", "cx", "cy"]).drop("cx", "cy").withColumn("metres", metres).where(F.col("metres") <= reach_m)
+
+
+def nodes_within(points: DataFrame, nodes: DataFrame, reach_m: float) -> DataFrame:
+    """All nodes of a point's floor within ``reach_m``: ``venue_id, point_id, node_id, metres``."""
+    return _node_pairs(points, nodes, reach_m).select("venue_id", "point_id", "node_id", "metres")
+
+
+def nearest_nodes(points: DataFrame, nodes: DataFrame, reach_m: float | None = None, k: int = 1) -> DataFrame:
+    """The ``k`` nearest nodes of the same floor, within ``reach_m`` where one is given; ties go to the smaller node id."""
+    if reach_m is None:
+        find = lambda rest, reach: _node_pairs(rest, nodes, reach).select("venue_id", "point_id", F.col("node_id").alias("shape_id"), "metres")
+        both = until_enough(points, nodes.select("venue_id", "ordinal", F.col("node_id").alias("shape_id")), k, find).withColumnRenamed("shape_id", "node_id")
+    else:
+        both = nodes_within(points, nodes, reach_m)
     order = Window.partitionBy("venue_id", "point_id").orderBy("metres", "node_id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("venue_id", "point_id", "rank", "node_id", "metres")
 
 
-def snap_to_edges(points: DataFrame, segments: DataFrame, k: int = 3, reach_m: float = 60.0) -> DataFrame:
-    """The ``k`` nearest edges (``shape_id``) of the same floor within ``reach_m``, with the share along each; ties by edge id."""
-    both = near_segments(points, segments, reach_m)
+def _on_lines(points: DataFrame, segments: DataFrame, reach_m: float | None) -> DataFrame:
+    """For each point and line within reach: the nearest place on the line, by the share along its nearest segment in degrees."""
+    near = near_segments(points, segments, reach_m)
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    size = dx * dx + dy * dy
+    share = F.when(size > 2.220446049250313e-16, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("lon") - F.col("ax")) * dx + (F.col("lat") - F.col("ay")) * dy) / size))).otherwise(F.lit(0.0))
+    at = near.withColumn("share", share).withColumns({"on_lon": F.col("ax") + F.col("share") * dx, "on_lat": F.col("ay") + F.col("share") * dy})
+    at = at.withColumn("metres", scalars.haversine_m(F.col("lon"), F.col("lat"), F.col("on_lon"), F.col("on_lat")))
+    if reach_m is not None:
+        at = at.where(F.col("metres") <= reach_m)
+    best = at.groupBy("venue_id", "point_id", "shape_id").agg(F.min(F.struct("metres", "part", "share", "on_lon", "on_lat")).alias("b"))
+    return best.select("venue_id", "point_id", "shape_id", "b.*")
+
+
+def snap_to_edges(points: DataFrame, segments: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` nearest edges (``shape_id``) of each point's floor, or of a floor without any the single nearest of another.
+
+    ``points``: ``venue_id, ordinal, point_id, lon, lat``; ``segments``: ``venue_id, ordinal, shape_id`` with end points and, for edges
+    of several segments, ``part`` (their number from 0). Returns ``venue_id, point_id, rank, shape_id, metres, part, share, on_lon, on_lat``: the
+    place on the edge as the share along one of its parts. Ties go to the smaller edge id. A point in a venue without edges has no row.
+    """
+    if "part" not in segments.columns:
+        segments = segments.withColumn("part", F.lit(0))
+    shapes = segments.select("venue_id", "ordinal", "shape_id").distinct()
+    here = until_enough(points, shapes, k, lambda rest, reach: _on_lines(rest, segments, reach))
     order = Window.partitionBy("venue_id", "point_id").orderBy(F.round("metres", 6), "shape_id")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("venue_id", "point_id", "rank", "shape_id", "metres", "share")
+    rank = lambda rows, n: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    # a floor without edges: all floors of the venue are one
+    lost = points.join(shapes.select("venue_id", "ordinal").distinct(), ["venue_id", "ordinal"], "left_anti").withColumn("ordinal", F.lit(0.0))
+    anywhere = until_enough(lost, shapes.withColumn("ordinal", F.lit(0.0)), 1, lambda rest, reach: _on_lines(rest, segments.withColumn("ordinal", F.lit(0.0)), reach))
+    return rank(here, k).unionByName(rank(anywhere, 1)).select("venue_id", "point_id", "rank", "shape_id", "metres", "part", "share", "on_lon", "on_lat")
 
 
 def opening_hub_links(openings: DataFrame, hubs: DataFrame, tolerance_m: float = 3.0) -> tuple[DataFrame, DataFrame]:

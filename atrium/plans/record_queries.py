@@ -286,12 +286,35 @@ def recent_evaluation(spark, folder):
     return records.recent_evaluation(rows.join(versions.select("version_id", "bundle_hash"), "version_id"), records.latest_published(versions))
 
 
-@query("tile_member_closure", """with recursive m as (select distinct p_partkey as k from part where p_partkey % 13 <> 5), r as (select k, k * 2 + 1 as t from m union all select k, k * 2 + 2 from m),
-    walk(k, depth) as (select 0, 0 union select r.t, depth + 1 from walk w join r on r.k = w.k join m on m.k = r.t where depth < 8) select 'p' as package_id, k as path, min(depth) as depth from walk group by 2""")
+#: Parts as members of a package: a binary tree of tilesets, some of which are missing, with a few references to refuse.
+PACKAGE = """m as (select distinct cast(p_partkey as bigint) as k from part where p_partkey % 13 <> 5), r as (select k, k * 2 + 1 as t from m union all select k, k * 2 + 2 from m),
+    walk(k, depth) as (select cast(0 as bigint), 0 union select r.t, depth + 1 from walk w join r on r.k = w.k join m on m.k = r.t where depth < 9), d as (select k, min(depth) as depth from walk group by 1)"""
+
+
+def package(spark, folder):
+    parts = fixture(spark, folder, "part").where("p_partkey % 13 <> 5").select(F.col("p_partkey").cast("bigint").alias("k"))
+    name = lambda c: F.concat(F.lit("a/t"), c.cast("string"), F.lit(".json"))
+    members = parts.select(F.lit("p").alias("package_id"), name(F.col("k")).alias("path"), "k")
+    k = F.col("k")
+    there = lambda c: F.concat(F.lit("./../a/t"), c.cast("string"), F.lit(".json"))
+    odd = F.when(k % 50 == 1, F.lit("https://x/y.glb")).when(k % 50 == 2, F.lit("/abs.glb")).when(k % 50 == 3, F.lit("../../up.glb")).when(k % 50 == 4, F.lit("t0.json")).when(k % 50 == 6, F.lit("note.txt"))
+    refs = members.select("package_id", "path", F.explode(F.array_compact(F.array(there(k * 2 + 1), there(k * 2 + 2), odd))).alias("target"))
+    return members.select("package_id", "path"), refs, members.where("k = 0").select("package_id", "path")
+
+
+@query("tile_member_closure", f"with recursive {PACKAGE} select 'p' as package_id, 'a/t' || k || '.json' as path, depth from d where depth <= 8")
 def tile_member_closure(spark, folder):
-    members = fixture(spark, folder, "part").where("p_partkey % 13 <> 5").select(F.lit("p").alias("package_id"), F.col("p_partkey").cast("bigint").alias("path"))
-    refs = members.select("package_id", "path", F.explode(F.array(F.col("path") * 2 + 1, F.col("path") * 2 + 2)).alias("target"))
-    return records.tile_member_closure(members, refs, members.where("path = 0"))
+    return records.tile_member_closure(*package(spark, folder))[0]
+
+
+@query("tile_refusals", f"""with recursive {PACKAGE}, u as (select r.k, r.t from r join d on d.k = r.k and d.depth <= 8), o as (select k from d where depth <= 8)
+    select 'p' as package_id, 'too_deep' as code, 'a/t' || k || '.json' as subject from d where depth > 8
+    union all select distinct 'p', 'unresolved_reference', 'a/t' || t || '.json' from u where t not in (select k from m)
+    union all select 'p', 'external_reference', 'https://x/y.glb' from o where k % 50 = 1 union all select 'p', 'absolute_reference', '/abs.glb' from o where k % 50 = 2
+    union all select 'p', 'escaping_reference', '../../up.glb' from o where k % 50 = 3 union all select distinct 'p', 'tileset_cycle', 'a/t0.json' from o where k % 50 = 4
+    union all select distinct 'p', x.code, 'a/note.txt' from o, (values ('unresolved_reference'), ('foreign_content')) x(code) where k % 50 = 6""")
+def tile_refusals(spark, folder):
+    return records.tile_member_closure(*package(spark, folder))[1]
 
 
 @query("map_category_code", """select p_partkey, case p_partkey % 6 when 0 then 'elevator' when 1 then 'museum' when 2 then 'ticketgate' when 3 then 'unspecified' when 4 then 'b022' else 'hall' end as category from part""")

@@ -85,14 +85,35 @@ def edge_segments(spark, folder):
     return both.select("venue_id", "ordinal", F.col("path_id").alias("shape_id"), "ax", "ay", "bx", "by")
 
 
-@query("snap_to_edges", f"""with good_nodes as (select * from fx_nodes where floor <> 'R'),
-    segs as (select p.venue_id, a.ordinal, p.path_id as shape_id, a.lon as ax, a.lat as ay, b.lon as bx, b.lat as b_y from fx_paths p join good_nodes a on a.venue_id = p.venue_id and a.node_id = p.from_id join good_nodes b on b.venue_id = p.venue_id and b.node_id = p.to_id
+#: The place on a segment by the share along it in degrees, and its distance in SQL.
+ON_LINE = f"""shares as (select *, case when pow(bx - ax, 2) + pow(b_y - ay, 2) > 2.220446049250313e-16 then greatest(0.0e0, least(1.0e0, ((lon - ax) * (bx - ax) + (lat - ay) * (b_y - ay)) / (pow(bx - ax, 2) + pow(b_y - ay, 2)))) else 0.0e0 end as t from near),
+  places as (select *, ax + t * (bx - ax) as on_lon, ay + t * (b_y - ay) as on_lat from shares), spots as (select *, {HAV.replace("{a}.lon", "lon").replace("{a}.lat", "lat").replace("{b}.lon", "on_lon").replace("{b}.lat", "on_lat")} as metres from places)"""
+
+
+def facility_points(spark, folder):
+    """Facilities as points; those with a junk label are on a floor that has no network."""
+    ordinal = F.when(F.col("facility_id") % 19 == 0, 99.0).otherwise(F.col("ordinal"))
+    return fixture(spark, folder, "fx_facilities").select("venue_id", ordinal.alias("ordinal"), F.col("facility_id").alias("point_id"), "lon", "lat")
+
+
+SNAPPED = f"""good_nodes as (select * from fx_nodes where floor <> 'R'),
+    lines as (select p.venue_id, a.ordinal, p.path_id as shape_id, a.lon as ax, a.lat as ay, b.lon as bx, b.lat as b_y from fx_paths p join good_nodes a on a.venue_id = p.venue_id and a.node_id = p.from_id join good_nodes b on b.venue_id = p.venue_id and b.node_id = p.to_id
       where p.variant = 0 and p.cost >= 0 and a.ordinal = b.ordinal),
-    near as (select f.venue_id, f.facility_id as point_id, f.lon, f.lat, s.* exclude (venue_id, ordinal) from fx_facilities f join segs s on s.venue_id = f.venue_id and s.ordinal = f.ordinal), {OFFSET}
-    select venue_id, point_id, rank, shape_id, round(metres, 5) as metres, round(t, 5) as share from (select *, row_number() over (partition by venue_id, point_id order by round(metres, 6), shape_id) as rank from dist where metres <= 60.0e0) where rank <= 3""")
+    near as (select f.venue_id, f.facility_id as point_id, f.lon, f.lat, f.facility_id % 19 = 0 as lost, s.* exclude (venue_id, ordinal) from fx_facilities f join lines s on s.venue_id = f.venue_id and (s.ordinal = f.ordinal or f.facility_id % 19 = 0)), {ON_LINE},
+    snapped as (select venue_id, point_id, rank, shape_id, metres, t, on_lon, on_lat from (select *, row_number() over (partition by venue_id, point_id order by round(metres, 6), shape_id) as rank from spots) where rank <= case when lost then 1 else 3 end)"""
+
+
+@query("snap_to_edges", f"with {SNAPPED} select venue_id, point_id, rank, shape_id, round(metres, 5) as metres, round(t, 5) as share from snapped")
 def snap_to_edges(spark, folder):
+    found = spatial.snap_to_edges(facility_points(spark, folder), edge_segments(spark, folder))
+    return found.select("venue_id", "point_id", "rank", "shape_id", F.round("metres", 5).alias("metres"), F.round("share", 5).alias("share"))
+
+
+@query("nearest_node_of_floor", f"""select venue_id, point_id, node_id, round(metres, 6) as metres from (select *, row_number() over (partition by venue_id, point_id order by metres, node_id) as rank from (
+    select f.venue_id, f.facility_id as point_id, n.node_id, {HAV.format(a="f", b="n")} as metres from fx_facilities f join fx_nodes n on n.venue_id = f.venue_id and n.ordinal = f.ordinal)) where rank = 1""")
+def nearest_node_of_floor(spark, folder):
     points = fixture(spark, folder, "fx_facilities").select("venue_id", "ordinal", F.col("facility_id").alias("point_id"), "lon", "lat")
-    return spatial.snap_to_edges(points, edge_segments(spark, folder)).withColumns({"metres": F.round("metres", 5), "share": F.round("share", 5)})
+    return spatial.nearest_nodes(points, fixture(spark, folder, "fx_nodes")).select("venue_id", "point_id", "node_id", F.round("metres", 6).alias("metres"))
 
 
 def hubs(spark, folder):
