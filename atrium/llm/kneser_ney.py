@@ -331,10 +331,17 @@ def _gathered(batches, values_of, flush: int):
             held.append(values)
             n += values.shape[-1]
             if n >= flush:
-                yield np.concatenate(held, axis=-1)
-                held, n = [], 0
+                yield _joined(held)
+                n = 0
     if held:
-        yield np.concatenate(held, axis=-1)
+        yield _joined(held)
+
+
+def _joined(held: list[np.ndarray]) -> np.ndarray:
+    """One array of the parts, which are let go."""
+    out = np.concatenate(held, axis=-1)
+    held.clear()
+    return out
 
 
 class _Words:
@@ -514,6 +521,7 @@ def _fit_orders(texts: DataFrame, scratch: Scratch, config: LanguageModelConfig,
             columns = [c[sorted_rows] for c in part[:-1]]
             first = _firsts(columns)
             columns, counts, loud = [c[first] for c in columns], np.diff(np.append(first, len(sorted_rows))), part[-1][sorted_rows[first]].astype(bool)
+            del part, sorted_rows, first
             natural = [columns[sorting.index(k)] for k in range(order)]
             if order == 2:
                 rows = _row_blocks(columns, counts, *_dealt(columns, loud, shards), width)
