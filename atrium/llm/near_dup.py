@@ -323,10 +323,9 @@ def _flipped(frame: DataFrame, column: str, *others: str) -> DataFrame:
     return frame.select((-F.col(column)).alias("_k"), *others)
 
 
-def _hub_links(texts: DataFrame, items: DataFrame, banded: DataFrame, met: DataFrame, scratch: Scratch, config: NearDupConfig) -> DataFrame:
+def _hub_links(texts: DataFrame, items: DataFrame, met: DataFrame, scratch: Scratch, config: NearDupConfig) -> DataFrame:
     """Confirmed edges between documents and the nearest of the first and last documents of their bands."""
-    hubs = _flipped(banded, "band", "doc").join(_flipped(met, "band", "first", "last"), "_k")
-    hubs = hubs.select("doc", F.explode(F.array("first", "last")).alias("hub")).where("doc <> hub").distinct()
+    hubs = met.select("doc", F.explode(F.array("first", "last")).alias("hub")).where("doc <> hub").distinct()
     sides = hubs.join(items.select("doc", "n", "sketch"), "doc")
     sides = _flipped(sides, "hub", "doc", "n", "sketch").join(_flipped(items, "doc", F.col("n").alias("m"), F.col("sketch").alias("other")), "_k")
     sides = sides.select("doc", (-F.col("_k")).alias("hub"), "n", "sketch", "m", "other")
@@ -344,12 +343,14 @@ def _hub_links(texts: DataFrame, items: DataFrame, banded: DataFrame, met: DataF
 
 def _band_links(texts: DataFrame, items: DataFrame, met: DataFrame, components: DataFrame, scratch: Scratch, config: NearDupConfig) -> DataFrame:
     """Confirmed edges between documents of one band that are in different components."""
-    named = items.join(components, items.doc == components.node, "left").select("doc", "n", "sketch", F.coalesce("component", "doc").alias("component"), F.explode("bands").alias("band"))
-    open_bands = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    named = met.join(components, met.doc == components.node, "left").select("doc", "band", "docs", "shingles", F.coalesce("component", "doc").alias("component"))
+    open_bands = named.groupBy("band", "docs", "shingles").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     blocks = F.ceil(F.greatest(F.col("docs") / config.block, 8 * F.col("shingles") / config.block_bytes)).cast("int")
-    open_bands = scratch.keep("open-bands", met.join(open_bands, "band").select("band", "docs", blocks.alias("blocks")))
+    open_bands = scratch.keep("open-bands", open_bands.select("band", "docs", blocks.alias("blocks")))
     chunks = max(1, (open_bands.agg(F.sum("docs")).collect()[0][0] or 0) // (8 * config.block))
-    rows = _flipped(named, "band", "doc", "n", "sketch", "component").join(_flipped(open_bands, "band", "blocks"), "_k").withColumn("band", -F.col("_k"))
+    # sketches join only the documents of bands that are still open
+    rows = _flipped(named, "band", "doc", "component").join(_flipped(open_bands, "band", "blocks"), "_k").select("doc", "component", "blocks", (-F.col("_k")).alias("band"))
+    rows = _flipped(rows, "doc", "component", "blocks", "band").join(_flipped(items, "doc", "n", "sketch"), "_k").withColumn("doc", -F.col("_k"))
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
@@ -391,9 +392,10 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     items = some.join(chosen, some.doc_id == chosen.rep, "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
     items = scratch.keep("items", items.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch", "bands"))
     banded = items.select("doc", "n", F.explode("bands").alias("band"))
-    met = banded.groupBy("band").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    met = scratch.keep("met", met.where("first < last"))
-    by_hub = _hub_links(texts, items, banded, met, scratch, config)
+    met = banded.groupBy("band").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("docs"), F.sum("n").alias("shingles")).where("first < last")
+    met = _flipped(banded, "band", "doc").join(_flipped(met, "band", "first", "last", "docs", "shingles"), "_k")
+    met = scratch.keep("met", met.select((-F.col("_k")).alias("band"), "doc", "first", "last", "docs", "shingles"))
+    by_hub = _hub_links(texts, items, met, scratch, config)
     by_band = _band_links(texts, items, met, component_stars(by_hub, scratch, "clusters"), scratch, config)
     # rows of one id with different sets are one node
     split = some.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y").select(F.col("doc_id").alias("_d"))
