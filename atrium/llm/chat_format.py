@@ -15,7 +15,7 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 _OPEN, _CLOSE = "<|im_start|>", "<|im_end|>"
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -46,6 +46,7 @@ class PartVisitor:
     """Flattens typed parts; ``visit`` dispatches on the part's type."""
 
     config: ChatConfig
+    before: int = 0  # attachments of earlier turns, which their numbers go on from
     pieces: list[str] = field(default_factory=list)
     attachments: list[tuple[str, str, int, int]] = field(default_factory=list)  # kind, reference, tokens, offset
 
@@ -72,12 +73,12 @@ class PartVisitor:
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         offset = sum(map(len, self.pieces))
         self.attachments.append((kind, part.get("ref") or "", tokens, offset))
-        self.pieces.append(f"<|{kind}_{len(self.attachments)}|>")
+        self.pieces.append(f"<|{kind}_{self.before + len(self.attachments)}|>")
 
 
-def format_turn(role: str, parts: list[dict], config: ChatConfig) -> tuple[str, list[tuple[int, int]], list[tuple]]:
-    """Formatted piece, its spans under the loss mask (start, length), and its attachments."""
-    visitor = PartVisitor(config)
+def format_turn(role: str, parts: list[dict], config: ChatConfig, before: int = 0) -> tuple[str, list[tuple[int, int]], list[tuple]]:
+    """Formatted piece, its spans under the loss mask (start, length), and its attachments, numbered after ``before`` others."""
+    visitor = PartVisitor(config, before)
     for part in parts:
         visitor.visit(part)
     head = f"{_OPEN}{escape(role).replace(chr(10), chr(92) + chr(10))}\n"
@@ -100,17 +101,24 @@ def format_turns(conversations: DataFrame, config: ChatConfig = ChatConfig()) ->
     Reads ``conv_id, turn, role, text`` and, where present, ``parts`` (array of structs with ``type``
     and any of ``text, ref, width, height, seconds, pages``); a turn with null parts has its text as the only
     one. Null roles and texts are empty ones. Rows of equal ``conv_id`` and ``turn`` all stay; ``tie`` puts
-    them in order (by role, then text). Other columns are ignored; an empty table gives an empty result.
+    them in order (by role, then text). Attachments are numbered through the conversation in that order. Other columns are
+    ignored; an empty table gives an empty result.
     """
     parts = F.col("parts") if "parts" in conversations.columns else F.lit(None).cast("array<struct<type:string,text:string>>")
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), parts.alias("parts"))
+    if "parts" in conversations.columns:
+        attached = F.coalesce(F.size(F.filter("parts", lambda p: F.coalesce(p["type"], F.lit("text")) != "text")), F.lit(0))
+        earlier = Window.partitionBy("conv_id").orderBy("turn", "role", F.sha2("text", 256)).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("before", F.coalesce(F.sum(attached).over(earlier), F.lit(0)))
+    else:
+        rows = rows.withColumn("before", F.lit(0))
 
     def run(batches):
         for batch in batches:
             formatted, ties = [], []
-            for role, text, parts in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                formatted.append(format_turn(role, [{"type": "text", "text": text}] if parts is None else parts, config))
+            for role, text, parts, before in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                formatted.append(format_turn(role, [{"type": "text", "text": text}] if parts is None else parts, config, before))
                 ties.append(f"{role}\x00{hashlib.sha256(text.encode()).hexdigest()}")
             pieces, loss, attached = zip(*formatted) if formatted else ([], [], [])
             yield pa.RecordBatch.from_arrays(
@@ -131,6 +139,20 @@ def parse_piece(piece: str) -> tuple[str, str]:
     return unescape(head[1]), unescape(piece[head.end() : -len(_CLOSE) - 1])
 
 
+def parse_parts(piece: str, attachments: list[tuple[str, str, int, int]]) -> list[dict]:
+    """Typed parts of a formatted piece: its texts, and where a record (kind, reference, tokens, offset) points, that attachment."""
+    head = _HEADER.match(piece)
+    at, end, out = head.end(), len(piece) - len(_CLOSE) - 1, []
+    for kind, ref, tokens, offset in sorted(attachments, key=lambda a: a[3]):
+        if offset > at:
+            out.append({"type": "text", "text": unescape(piece[at:offset])})
+        out.append({"type": kind, "ref": ref, "tokens": tokens})
+        at = piece.index("|>", offset) + 2
+    if at < end:
+        out.append({"type": "text", "text": unescape(piece[at:end])})
+    return out
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation as parsed from its formatted pieces.
 

@@ -43,6 +43,28 @@ def op4_typed_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(turns.unionByName(extra)))
 
 
+def chat_typed_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations with an image, a recording and a document beside some texts: digests of the formatted pieces and of the attachments."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    n = F.length(F.coalesce("text", F.lit("")))
+    none = {"text": "string", "ref": "string", "width": "int", "height": "int", "seconds": "double", "pages": "int"}
+    part = lambda kind, **given: F.struct(F.lit(kind).alias("type"), *[given.get(k, F.lit(None)).cast(t).alias(k) for k, t in none.items()])
+    ref = F.concat_ws("/", "conv_id", "turn")
+    parts = F.array_compact(
+        F.array(
+            F.when(n % 3 == 0, part("image", ref=ref, width=60 + n % 500, height=30 + n % 100)), part("text", text=F.col("text")),
+            F.when(F.col("turn") % 2 == 1, part("audio", ref=ref, seconds=n / F.lit(8.0))), F.when(F.col("conv_id") % 5 == 0, part("document", ref=ref, pages=1 + n % 4)),
+        )
+    )
+    pieces = chat_format.format_turns(turns.withColumn("parts", parts))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("turn", "tie", c))), lambda x: x[c])
+    attached = F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a["kind"], a["ref"], a["tokens"], a["offset"])), ",")
+    found = pieces.withColumns({"listed": attached, "n": F.size("attachments"), "tokens": F.aggregate("attachments", F.lit(0), lambda s, a: s + a["tokens"])})
+    return found.groupBy("conv_id").agg(
+        F.sum("n").alias("n_attachments"), F.sum("tokens").alias("tokens"), F.sha2(F.array_join(ordered("piece"), ""), 256).alias("pieces_sha256"), F.sha2(F.array_join(ordered("listed"), ";"), 256).alias("attachments_sha256")
+    )
+
+
 def op5_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Weak-label posterior, score and decision for all documents."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -94,6 +116,7 @@ QUERIES = {
         op2_ball_tree_top_k,
         op3_cost_balanced_packing,
         op4_typed_chat_format,
+        chat_typed_parts,
         op5_weak_label_quality,
         op6_minhash_near_dedup,
         op7_distinct_chunk_pieces,
@@ -121,6 +144,17 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
                cast(sum(24 + length(replace(replace(role, '\\', '\\\\'), '<|', '<\\|')) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|'))) as bigint) as formatted_chars
         from c group by conv_id""",
+    "chat_typed_parts": """
+        with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, length(coalesce(text, '')) as n from conversations),
+        e as (select *, replace(replace(text, '\\', '\\\\'), '<|', '<\\|') as body, '<|im_start|>' || replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\' || chr(10)) || chr(10) as head,
+          case when n % 3 = 0 then 1 else 0 end as i, case when turn % 2 = 1 then 1 else 0 end as a, case when conv_id % 5 = 0 then 1 else 0 end as d from c),
+        b as (select *, coalesce(sum(i + a + d) over (partition by conv_id order by turn, role, sha256(text) rows between unbounded preceding and 1 preceding), 0) as k from e),
+        m as (select *, case when i = 1 then '<|image_' || cast(k + 1 as int) || '|>' else '' end as im, case when a = 1 then '<|audio_' || cast(k + i + 1 as int) || '|>' else '' end as au, case when d = 1 then '<|document_' || cast(k + i + a + 1 as int) || '|>' else '' end as doc,
+          cast(ceil((60 + n % 500) / 28.0) * ceil((30 + n % 100) / 28.0) as int) as img, greatest(1, cast(ceil(n / 8.0e0 * 25) as int)) as aud, (1 + n % 4) * 800 as pgs, conv_id || '/' || turn as ref from b),
+        p as (select conv_id, turn, role, text, i + a + d as n, i * img + a * aud + d * pgs as tokens, head || im || body || au || doc || '<|im_end|>' || chr(10) as piece,
+          concat_ws(',', case when i = 1 then 'image:' || ref || ':' || img || ':' || length(head) end, case when a = 1 then 'audio:' || ref || ':' || aud || ':' || (length(head) + length(im) + length(body)) end,
+            case when d = 1 then 'document:' || ref || ':' || pgs || ':' || (length(head) + length(im) + length(body) + length(au)) end) as listed from m)
+        select conv_id, cast(sum(n) as bigint) as n_attachments, cast(sum(tokens) as bigint) as tokens, sha256(string_agg(piece, '' order by turn, role, sha256(text))) as pieces_sha256, sha256(string_agg(listed, ';' order by turn, role, sha256(text))) as attachments_sha256 from p group by 1""",
     "op10_metric_range_join": f"""
         with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings where {_USABLE} and len(list_filter(embedding, lambda x: x <> 0)) > 0),
         links as (select a.vec_id as a, b.vec_id as b from v a join v b on b.vec_id <> a.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95e0),

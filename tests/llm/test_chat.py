@@ -61,3 +61,29 @@ def test_typed_parts_leave_placeholders_and_records(spark):
     assert second.loss and not first.loss
     with pytest.raises(ValueError):
         chat_format.format_turn("user", [{"type": "video"}], chat_format.ChatConfig())
+
+
+def test_attachments_are_numbered_through_a_conversation_and_read_back(spark):
+    kind = "conv_id long, turn long, role string, text string, parts array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
+    image = lambda ref: ("image", None, ref, 28, 28, None, None)
+    text = lambda t: ("text", t, None, None, None, None, None)
+    rows = [(1, 0, "user", "", [image("a"), text("x <|image_1|> \\"), image("b")]), (1, 1, "assistant", "", [text("y"), image("c")]), (2, 0, "user", "", [image("d")]), (1, 2, "user", "z", None)]
+    found = {(r.conv_id, r.turn): r for r in chat_format.format_turns(spark.createDataFrame(rows, kind).repartition(3)).collect()}
+    numbers = [p for key in ((1, 0), (1, 1)) for p in ("<|image_1|>", "<|image_2|>", "<|image_3|>") if p in found[key].piece]
+    assert numbers == ["<|image_1|>", "<|image_2|>", "<|image_3|>"] and "<|image_1|>" in found[2, 0].piece
+    for conv, turn, _, whole, parts in rows:
+        r = found[conv, turn]
+        back = chat_format.parse_parts(r.piece, [tuple(a) for a in r.attachments])
+        want = [{"type": "text", "text": p[1]} if p[0] == "text" else {"type": "image", "ref": p[2], "tokens": 1} for p in parts or [text(whole)]]
+        assert back == want
+
+
+def test_typed_parts_equal_their_sql(spark, folder):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{folder}/conversations.parquet'")
+    frame = registry.chat_typed_parts(spark, folder)
+    columns = sorted(frame.columns)
+    got = sorted(tuple(r) for r in frame.select(*columns).collect())
+    assert got == sorted(con.sql(f"select {', '.join(columns)} from ({registry.ORACLES['chat_typed_parts']})").fetchall()) and got
