@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -101,25 +102,40 @@ def lagging_clients(observed: DataFrame, applied: DataFrame) -> DataFrame:
     return a.join(b, ["client_id", "version_id"], "left").withColumn("stale", F.coalesce(F.col("applied"), F.lit(0)) < F.col("observed"))
 
 
+def judge_uploads(hits: DataFrame, most: int, window_seconds: float) -> DataFrame:
+    """Outcomes of uploads in order: ``author, at, event_id, accepted, fresh``.
+
+    ``hits``: ``author, at (seconds), event_id, accepted``; rows whose outcome is known keep it and are not ``fresh``. Each author's
+    rows stream by in order through one task, which holds the last accepted times only.
+    """
+
+    def run(batches):
+        author, recent, first = None, [], True
+        for batch in batches:
+            outcomes, fresh = [], []
+            for who, at, known in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3))):
+                if first or who != author:
+                    author, recent, first = who, [], False
+                recent = [x for x in recent if x > at - window_seconds]
+                fine = len(recent) < most if known is None else known
+                if fine:
+                    recent.append(at)
+                outcomes.append(fine)
+                fresh.append(known is None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(outcomes, pa.bool_()), pa.array(fresh, pa.bool_())], ["author", "at", "event_id", "accepted", "fresh"])
+
+    dealt = hits.select(F.col("author").cast("long").alias("author"), "at", F.col("event_id").cast("long").alias("event_id"), "accepted").where("at is not null")
+    ordered = dealt.repartition("author").sortWithinPartitions("author", F.col("accepted").isNull(), "at", "event_id")
+    return ordered.mapInArrow(run, "author long, at double, event_id long, accepted boolean, fresh boolean")
+
+
 def upload_rate_limit(hits: DataFrame, most: int, window_seconds: int) -> DataFrame:
     """Which uploads are accepted: fewer than ``most`` accepted ones in the trailing window of the same author.
 
-    A rejection does not count, so acceptance depends on earlier acceptances; each author's times are
-    folded in order inside Spark (``aggregate`` over a sorted array).
+    A rejection does not count, so acceptance depends on earlier acceptances. Uploads without a time are left out.
     """
-    times = hits.groupBy("author").agg(F.array_sort(F.collect_list(F.struct(seconds(F.col("ts")).alias("at"), "event_id"))).alias("t"))
-    start = F.struct(F.array().cast("array<double>").alias("recent"), F.array().cast("array<struct<event_id:bigint,accepted:boolean>>").alias("out"))
-
-    def step(state: Column, hit: Column) -> Column:
-        recent = F.filter(state["recent"], lambda x: x > hit["at"] - window_seconds)
-        fine = F.size(recent) < most
-        return F.struct(
-            F.when(fine, F.concat(recent, F.array(hit["at"]))).otherwise(recent).alias("recent"),
-            F.concat(state["out"], F.array(F.struct(hit["event_id"].alias("event_id"), fine.alias("accepted")))).alias("out"),
-        )
-
-    folded = times.select("author", F.aggregate("t", start, step)["out"].alias("out"))
-    return folded.select("author", F.explode("out").alias("o")).select("author", "o.*")
+    timed = hits.select("author", seconds(F.col("ts")).alias("at"), "event_id", F.lit(None).cast("boolean").alias("accepted"))
+    return judge_uploads(timed, most, window_seconds).select("author", "event_id", "accepted")
 
 
 def lease_expiries(beats: DataFrame, lease_seconds: int = 60) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from atrium.operators import records
 from atrium.plans.fixtures import oracle
-from atrium.plans.record_queries import DEDUPED
+from atrium.plans.record_queries import DEDUPED, RATED
 from atrium.streaming import feeds
 
 QUERIES: dict = {}
@@ -37,12 +38,12 @@ def stream_dedupe_requests(spark, folder):
 
 @query("stream_revision_feed", "select version_id, event_id, row_number() over (partition by version_id order by ts, event_id) as revision from fx_mutations where op <> 'patch'")
 def stream_revision_feed(spark, folder):
-    return feeds.run_to_end(feeds.revision_feed(mutations(spark, folder).where("op <> 'patch'")), "revisions").drop("_batch")
+    return feeds.revision_feed(mutations(spark, folder).where("op <> 'patch'"))
 
 
-@query("stream_upload_rate_limit")
+@query("stream_upload_rate_limit", f"with recursive {RATED} select author, event_id, accepted from r")
 def stream_upload_rate_limit(spark, folder):
-    return feeds.run_to_end(feeds.upload_rate_limit(mutations(spark, folder).where("event_type = 'purchase'"), 2, 7 * 86400), "rate").drop("_batch")
+    return feeds.upload_rate_limit(mutations(spark, folder), 2, 7 * 86400)
 
 
 @query("stream_floor_counts", "select version_id, author % 4 as floor, cast(sum(case op when 'create_root' then 1 when 'delete' then -1 else 0 end) as bigint) as open_issues from fx_mutations group by 1, 2")
@@ -66,7 +67,10 @@ def stream_retention_sweep(spark, folder):
     return feeds.retention_sweep(rows, 24, 5)
 
 
-@query("stream_lease_monitor")
+@query("stream_lease_monitor", """with b as (select user_id as job_id, ts, case when epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts)) < 43200 then 0 else 1 end as o from events),
+    r as (select *, sum(o) over (partition by job_id order by ts rows unbounded preceding) as run from b), s as (select job_id, run, min(ts) as started, max(ts) as last_beat, count(*) as beats from r group by 1, 2)
+    select job_id, epoch(started) as started, epoch(last_beat) as last_beat, beats, epoch(last_beat) + 43200 > epoch((select max(ts) from events)) - 86400 as open from s""")
 def stream_lease_monitor(spark, folder):
-    beats = mutations(spark, folder).select(F.col("author").alias("job_id"), "ts")
-    return feeds.run_to_end(feeds.lease_monitor(beats, "12 hours", "1 day"), "leases").drop("_batch")
+    closed, still, _ = feeds.lease_monitor(mutations(spark, folder).select(F.col("author").alias("job_id"), "ts"), 43200, 86400)
+    both = closed.withColumn("open", F.lit(False)).unionByName(still.withColumn("open", F.lit(True)))
+    return both.select("job_id", records.seconds(F.col("started")).alias("started"), records.seconds(F.col("last_beat")).alias("last_beat"), "beats", "open")

@@ -1,16 +1,18 @@
 """Structured streams over issue mutations. In-order input gives the same rows as the batch operators.
 
-Event time and watermarks are this library's own. A row behind the watermark goes to the side
-table of late rows where an operator has one; it is never dropped in silence.
+Event time and watermarks are this library's own. What a micro-batch writes goes to folders named by its number,
+so a batch that is repeated after a failure replaces its rows. A row behind the watermark goes to a side table of
+late rows where an operator has a watermark; it is never dropped in silence.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from atrium.operators import records
 from atrium.scratch import Scratch
@@ -24,21 +26,45 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now and return what it wrote.
+def _collected(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """Everything that batches wrote under a folder; an empty table where none did."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/b-none")
+    return spark.read.schema(schema).parquet(f"{folder}/b-*")
 
-    Update-mode rows are written batch by batch with their batch number as ``_batch``.
-    """
+
+def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there now and return what it wrote, with the number of the batch as ``_batch``."""
     scratch = Scratch(stream.sparkSession, f"stream-{name}")
-    target = scratch.path("out")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(target)
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(scratch.path(f"out/b-{number:09d}"))
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch.path("checkpoint")).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    schema = stream.schema.add("_batch", "integer")
-    return stream.sparkSession.read.schema(schema).parquet(target)
+    return _collected(stream.sparkSession, scratch.path("out"), StructType([*stream.schema, *StructType.fromDDL("_batch int")]))
+
+
+def fold_to_end(stream: DataFrame, name: str, step: Callable[[DataFrame, DataFrame], dict[str, DataFrame]], kinds: dict[str, str], state: str) -> dict[str, DataFrame]:
+    """Run a stream whose batches read the state that the batch before left, and return its tables.
+
+    ``step(batch, state)`` gives the tables of ``kinds`` (name: schema), of which ``state`` replaces the one before. Batches are sorted
+    and joined by Spark, so no key's rows are held by one Python process.
+    """
+    spark = stream.sparkSession
+    scratch = Scratch(spark, f"stream-{name}")
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = scratch.path(f"{state}/b-{number - 1:09d}")
+        old = spark.read.schema(kinds[state]).parquet(before) if number else spark.createDataFrame([], kinds[state])
+        for key, frame in step(batch, old).items():
+            frame.write.mode("overwrite").parquet(scratch.path(f"{key}/b-{number:09d}"))
+        write.last = number
+
+    write.last = None
+    stream.writeStream.option("checkpointLocation", scratch.path("checkpoint")).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    out = {key: _collected(spark, scratch.path(key), StructType.fromDDL(kind)) for key, kind in kinds.items() if key != state}
+    out[state] = spark.createDataFrame([], kinds[state]) if write.last is None else spark.read.schema(kinds[state]).parquet(scratch.path(f"{state}/b-{write.last:09d}"))
+    return out
 
 
 def dedupe_requests(mutations: DataFrame) -> DataFrame:
@@ -59,41 +85,67 @@ def dedupe_requests(mutations: DataFrame) -> DataFrame:
 
 
 def revision_feed(mutations: DataFrame) -> DataFrame:
-    """Revision of each accepted mutation of its version: ``version_id, event_id, revision``; the last number is the state."""
+    """Revision of each accepted mutation of its version: ``version_id, event_id, revision``; the last number of each is the state."""
+    order = Window.partitionBy("version_id").orderBy("ts", "event_id")
 
-    def number(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        last = state.get[0] if state.exists else 0
-        state.update((last + len(rows),))
-        yield pd.DataFrame({"version_id": key[0], "event_id": rows["event_id"].to_numpy(), "revision": range(last + 1, last + 1 + len(rows))})
+    def step(batch: DataFrame, last: DataFrame) -> dict[str, DataFrame]:
+        numbered = batch.join(last, "version_id", "left").withColumn("revision", F.row_number().over(order) + F.coalesce("last", F.lit(0)))
+        counts = batch.groupBy("version_id").agg(F.count("*").alias("n"))
+        state = last.join(counts, "version_id", "full_outer").select("version_id", (F.coalesce("last", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("last"))
+        return {"out": numbered.select("version_id", "event_id", "revision"), "state": state}
 
-    return mutations.select("version_id", "ts", "event_id").groupBy("version_id").applyInPandasWithState(number, "version_id long, event_id long, revision long", "last long", "append", GroupStateTimeout.NoTimeout)
+    kinds = {"out": "version_id long, event_id long, revision long", "state": "version_id long, last long"}
+    return fold_to_end(mutations.select("version_id", "ts", "event_id"), "revisions", step, kinds, "state")["out"]
 
 
 def upload_rate_limit(hits: DataFrame, most: int, window_seconds: float) -> DataFrame:
-    """Accept an upload if its author has fewer than ``most`` accepted ones in the trailing window; rejections do not count."""
+    """Accept an upload if its author has fewer than ``most`` accepted ones in the trailing window; rejections do not count.
 
-    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        recent = list(state.get[0]) if state.exists else []
-        accepted = []
-        for at in rows["at"]:
-            recent = [x for x in recent if x > at - window_seconds]
-            accepted.append(len(recent) < most)
-            if accepted[-1]:
-                recent.append(float(at))
-        state.update((recent,))
-        yield pd.DataFrame({"author": key[0], "event_id": rows["event_id"].to_numpy(), "accepted": accepted})
+    The state is each author's accepted uploads that the next batch's first one can still see, at most ``most``.
+    """
 
-    timed = hits.select("author", "event_id", records.seconds(F.col("ts")).alias("at"))
-    return timed.groupBy("author").applyInPandasWithState(judge, "author long, event_id long, accepted boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    def step(batch: DataFrame, recent: DataFrame) -> dict[str, DataFrame]:
+        timed = batch.select("author", records.seconds(F.col("ts")).alias("at"), "event_id", F.lit(None).cast("boolean").alias("accepted"))
+        # accepted uploads of the batches before come first and keep their outcome
+        judged = records.judge_uploads(timed.unionByName(recent), most, window_seconds)
+        last = Window.partitionBy("author").orderBy(F.col("at").desc(), F.col("event_id").desc())
+        state = judged.where("accepted").withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= most).select("author", "at", "event_id", "accepted")
+        return {"out": judged.where("fresh").select("author", "event_id", "accepted"), "state": state}
 
+    kinds = {"out": "author long, event_id long, accepted boolean", "state": "author long, at double, event_id long, accepted boolean"}
+    return fold_to_end(hits.select("author", "event_id", "ts"), "rate", step, kinds, "state")["out"]
 
-def lease_monitor(beats: DataFrame, lease: str, lateness: str) -> DataFrame:
-    """Closed heartbeat sessions of each job: a gap of the lease or more ends one."""
-    timed = beats.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    runs = timed.groupBy("job_id", F.session_window("ts", lease).alias("s")).agg(F.min("ts").alias("started"), F.max("ts").alias("last_beat"), F.count("*").alias("beats"))
-    return runs.select("job_id", "started", "last_beat", "beats")
+
+def lease_monitor(beats: DataFrame, lease_seconds: int, lateness_seconds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Heartbeat sessions of each job (a gap of the lease or more ends one): closed ones, those still open, and late beats.
+
+    The watermark is the newest beat of the batches before less the lateness. A session is closed once the watermark is a lease past its last
+    beat; until then it is state. A beat behind the watermark changes nothing any more and goes to the late ones.
+    """
+    order = Window.partitionBy("job_id").orderBy("started", "last_beat")
+
+    def step(batch: DataFrame, state: DataFrame) -> dict[str, DataFrame]:
+        mark = state.agg(F.max("newest").alias("_mark"))
+        timed = batch.select("job_id", F.col("ts").cast("timestamp").alias("ts")).join(F.broadcast(mark))  # one row
+        late = F.coalesce(records.seconds(F.col("ts")) < records.seconds(F.col("_mark")) - lateness_seconds, F.lit(False))
+        fresh = timed.where(~late).select("job_id", F.col("ts").alias("started"), F.col("ts").alias("last_beat"), F.lit(1).cast("bigint").alias("beats"), F.col("ts").alias("newest"))
+        rows = state.unionByName(fresh)
+        reached = F.max("last_beat").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        opened = F.when(reached.isNull() | (records.seconds(F.col("started")) - records.seconds(reached) >= lease_seconds), 1).otherwise(0)
+        runs = rows.where("job_id is not null").withColumn("_o", opened).withColumn("_run", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        sessions = runs.groupBy("job_id", "_run").agg(F.min("started").alias("started"), F.max("last_beat").alias("last_beat"), F.sum("beats").alias("beats"))
+        now = rows.agg(F.max("newest").alias("newest"))
+        dated = sessions.join(F.broadcast(now))  # one row
+        over = records.seconds(F.col("last_beat")) + lease_seconds <= records.seconds(F.col("newest")) - lateness_seconds
+        columns = ["job_id", "started", "last_beat", "beats"]
+        # the clock stays in the state even if no session does
+        clock = now.select(F.lit(None).cast("long").alias("job_id"), F.lit(None).cast("timestamp").alias("started"), F.lit(None).cast("timestamp").alias("last_beat"), F.lit(0).cast("bigint").alias("beats"), "newest")
+        return {"closed": dated.where(over).select(columns), "open": dated.where(~over).select(*columns, "newest").unionByName(clock), "late": timed.where(late).select("job_id", "ts")}
+
+    sessions = "job_id long, started timestamp, last_beat timestamp, beats long"
+    kinds = {"closed": sessions, "open": f"{sessions}, newest timestamp", "late": "job_id long, ts timestamp"}
+    found = fold_to_end(beats.select("job_id", "ts"), "leases", step, kinds, "open")
+    return found["closed"], found["open"].where("job_id is not null").drop("newest"), found["late"]
 
 
 def live_floor_counts(mutations: DataFrame) -> DataFrame:
@@ -117,17 +169,20 @@ def lagging_clients(observed: DataFrame) -> DataFrame:
 def retention_sweep(attachments: DataFrame, staged_hours: int, kept_days: int) -> DataFrame:
     """Attachments that have expired by the newest event time seen, batch by batch.
 
-    Each micro-batch joins the stored rows; the clock is the newest ``changed_at`` so far.
+    The state is the attachments that have not expired yet, so a batch reads those and not all that came before; the clock is
+    the newest ``changed_at`` so far.
     """
-    spark = attachments.sparkSession
-    scratch = Scratch(spark, "retention")
-
-    def sweep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").parquet(scratch.path("seen"))
-        seen = spark.read.schema(batch.schema).parquet(scratch.path("seen"))
-        clock = seen.agg(F.max("changed_at").alias("_now"))
-        gone = records.expired_attachments(seen.join(F.broadcast(clock)), F.col("_now"), staged_hours, kept_days)  # the clock is one row
-        gone.withColumn("batch", F.lit(number)).write.mode("append").parquet(scratch.path("expired"))
-
-    attachments.writeStream.option("checkpointLocation", scratch.path("checkpoint")).trigger(availableNow=True).foreachBatch(sweep).start().awaitTermination()
-    return spark.read.parquet(scratch.path("expired")).select("attachment_id").distinct()
+
+    def step(batch: DataFrame, state: DataFrame) -> dict[str, DataFrame]:
+        rows = state.unionByName(batch.withColumn("newest", F.col("changed_at")))
+        clock = rows.agg(F.max("newest").alias("_now"))
+        dated = rows.join(F.broadcast(clock))  # one row
+        gone = records.expired_attachments(dated.where("attachment_id is not null"), F.col("_now"), staged_hours, kept_days).distinct()
+        left = dated.where("attachment_id is not null").join(gone, "attachment_id", "left_anti").withColumn("newest", F.col("_now")).select(*rows.columns)
+        only_clock = clock.select(*[F.col("_now").alias("newest") if f.name == "newest" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+        return {"expired": gone, "pending": left.unionByName(only_clock)}
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in attachments.schema)
+    newest = attachments.schema["changed_at"].dataType.simpleString()
+    kinds = {"expired": f"attachment_id {attachments.schema['attachment_id'].dataType.simpleString()}", "pending": f"{kind}, newest {newest}"}
+    return fold_to_end(attachments, "retention", step, kinds, "pending")["expired"].distinct()

@@ -158,7 +158,7 @@ def test_rate_limit_ignores_rejections_in_batch_and_stream(spark, tmp_path):
     assert {r.event_id: r.accepted for r in records.upload_rate_limit(frame, 2, 60).collect()} == want
     frame.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(str(tmp_path / "hits"))
     stream = feeds.upload_rate_limit(feeds.read_stream(spark, str(tmp_path / "hits"), 10), 2, 60)
-    assert {r.event_id: r.accepted for r in feeds.run_to_end(stream, "rate").collect()} == want
+    assert {r.event_id: r.accepted for r in stream.collect()} == want
 
 
 def test_scratch_follows_the_shared_folder(spark):
@@ -209,3 +209,35 @@ def test_transit_units_join_the_hubs_that_they_touch(spark):
     none = spark.createDataFrame([], "venue_id string, opening_id string, hub_id string, metres double, category string, lower_id string, upper_id string")
     edges = synthesis.hub_network(none, walls, touching, none).collect()
     assert sorted((r.kind, r.a, r.b) for r in edges) == [("shared", "lift", "linked"), ("touch", "lift", "near")]
+
+
+def test_streams_over_many_batches(spark, tmp_path):
+    """Batches that follow one another give what one batch over everything gives; late beats go to their own table."""
+    import datetime
+    import random
+
+    from atrium.operators import records
+    from atrium.streaming import feeds
+
+    rng = random.Random(4)
+    day = datetime.datetime(2024, 1, 1)
+    rows = sorted((k, rng.randint(0, 3), day + datetime.timedelta(seconds=rng.randint(0, 4000))) for k in range(240))
+    rows.sort(key=lambda r: r[2])
+    rows = [(k, who, ts) for k, (_, who, ts) in enumerate(rows)]
+    kind = "event_id long, author long, ts timestamp"
+    for n in range(6):
+        spark.createDataFrame(rows[40 * n : 40 * n + 40], kind).coalesce(1).write.parquet(str(tmp_path / "hits" / f"part-{n}"))
+    whole = spark.createDataFrame(rows, kind)
+    source = lambda: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "hits"))
+    want = {(r.author, r.event_id, r.accepted) for r in records.upload_rate_limit(whole, 3, 200).collect()}
+    assert {(r.author, r.event_id, r.accepted) for r in feeds.upload_rate_limit(source(), 3, 200).collect()} == want
+    versions = lambda f: f.withColumnRenamed("author", "version_id")
+    numbered = {(r.version_id, r.event_id): r.revision for r in feeds.revision_feed(versions(source())).collect()}
+    assert numbered == {(r.version_id, r.event_id): r.revision for r in records.revision_numbers(versions(whole).selectExpr("*", "'accepted' as outcome")).collect()}
+    beats = lambda f: f.withColumnRenamed("author", "job_id").select("job_id", "ts")
+    closed, still, late = feeds.lease_monitor(beats(source()), 60, 100)
+    got = sorted(map(tuple, closed.union(still).collect()))
+    assert got == sorted((r.job_id, r.started, r.last_beat, r.beats) for r in records.lease_expiries(beats(whole), 60).collect()) and late.count() == 0
+    assert closed.count() > 20 and still.count() >= 1
+    spark.createDataFrame([(999, 1, day)], kind).coalesce(1).write.parquet(str(tmp_path / "hits" / "part-late"))
+    assert [tuple(r) for r in feeds.lease_monitor(beats(source()), 60, 100)[2].collect()] == [(1, day)]
