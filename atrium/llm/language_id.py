@@ -171,7 +171,7 @@ def infer(counts: tuple[np.ndarray, np.ndarray], model: LanguageModel, config: L
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, config: LanguageConfig = LanguageConfig(), columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Add to the given columns ``lang_pred``, ``score`` and ``lang_shares``.
+    """Add to the given columns ``lang_pred``, ``score`` and ``lang_shares``; without columns, to all of them in a struct ``doc``.
 
     ``lang_pred`` is the language with the largest estimated share of the whole text (ties: first by
     name), ``score`` that share (0 to 1), ``lang_shares`` the shares of all languages of the
@@ -181,21 +181,24 @@ def identify_languages(docs: DataFrame, model: LanguageModel, config: LanguageCo
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    carried = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in columns]).alias("carried"))
+    # the text goes to the worker once
+    carried = docs.select(F.col("text"), F.struct(*[F.col(c) for c in columns]).alias("carried")) if columns else docs.select(F.struct("*").alias("carried"))
+    path = ("text",) if columns else ("carried", "text")
     kind = StructType([carried.schema["carried"], *StructType.fromDDL("lang_pred string, score double, lang_shares map<string,double>")])
 
     def run(batches):
         known = shared.value
         for whole in batches:
-            for batch in textbuf.slices(whole, "text"):
-                data, offsets = textbuf.text_buffer(batch.column(0))
+            for batch in textbuf.slices(whole, *path):
+                texts = textbuf.member(batch, path)
+                data, offsets = textbuf.text_buffer(texts)
                 hashed, bounds = ngram_buckets(data, offsets, config)
                 plain = np.concatenate([[0], np.cumsum((_FOLD[data] > 0) & (data < 128))])
                 plain = plain[offsets[1:]] > plain[offsets[:-1]]
                 names, scores, shares = [], [], []
                 for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     # bytes over 0x7F need not be letters; where there are no others, the text tells
-                    if a == b or not known.languages or not (plain[k] or any(c.isalpha() for c in batch.column(0)[k].as_py())):
+                    if a == b or not known.languages or not (plain[k] or any(c.isalpha() for c in texts[k].as_py())):
                         names.append("und")
                         scores.append(0.0)
                         shares.append([])
@@ -208,12 +211,13 @@ def identify_languages(docs: DataFrame, model: LanguageModel, config: LanguageCo
                     scores.append(min(1.0, float(share[top])))
                     shares.append([(known.languages[j], float(share[j])) for j in np.flatnonzero(share)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))],
+                    [textbuf.member(batch, ("carried",)), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))],
                     ["carried", "lang_pred", "score", "lang_shares"],
                 )
 
     found = carried.mapInArrow(run, kind)
-    return found.select(*[F.col("carried").getField(c).alias(c) for c in columns], "lang_pred", "score", "lang_shares")
+    kept = [F.col("carried").getField(c).alias(c) for c in columns] if columns else [F.col("carried").alias("doc")]
+    return found.select(*kept, "lang_pred", "score", "lang_shares")
 
 
 def id_remainder(column: str, modulus: int) -> Column:

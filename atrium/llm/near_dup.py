@@ -197,6 +197,12 @@ def _linked(a: np.ndarray, b: np.ndarray, config: NearDupConfig) -> bool:
     return 100 * common >= config.percent * (len(a) + len(b) - common)
 
 
+def _free(table: pa.Table) -> None:
+    """After a large group, give memory back: a worker lives on between groups and tasks."""
+    if table.nbytes > 4 << 20:
+        textbuf.release_memory()
+
+
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -208,6 +214,8 @@ def _confirm_hub(config: NearDupConfig):
         sets = shingle_sets(table.column("text").combine_chunks(), config.width)
         own = [s for d, s in zip(docs, sets) if d == hub]
         found = sorted({d for d, s in zip(docs, sets) if d != hub and any(_linked(s, x, config) for x in own)})
+        del sets, own
+        _free(table)
         return pa.table([textbuf.int64s(np.array(found, np.int64)), textbuf.int64s(np.full(len(found), hub))], schema=_EDGES)
 
     return run
@@ -313,6 +321,8 @@ def _confirm(config: NearDupConfig):
         for k, c in enumerate(components.tolist()):
             joined.join(seen.setdefault(c, k), k)
         edges = confirmed(sets, joined, possible_pairs(*rows, config), config)
+        del sets, made
+        _free(table)
         return pa.table([textbuf.int64s(docs[[a for a, _ in edges]] if edges else []), textbuf.int64s(docs[[b for _, b in edges]] if edges else [])], schema=_EDGES)
 
     return run

@@ -187,7 +187,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, config: PackConfig = PackCon
     def run(batches):
         pool, tokens, out = _Pool(config, TaskContext.get().partitionId()), TextTokens(tokenizer), []
         for whole in batches:
-            for batch in textbuf.slices(whole, "text", 2 << 20):
+            for batch in textbuf.slices(whole, "text", most=2 << 20):
                 ids, at = tokens.ids(batch.column(1))
                 keys = batch.column(0).to_pylist()
                 for k, doc_id in enumerate(keys):

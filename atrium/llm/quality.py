@@ -273,13 +273,13 @@ def score_quality(docs: DataFrame, model: QualityModel, config: QualityConfig =
     score 0 and is not kept. Rows do not depend on one another; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("doc"))
+    packed = docs.select(F.struct("*").alias("doc"))  # the text goes to the worker once
 
     def run(batches):
         known = shared.value
         for whole in batches:
-            for batch in textbuf.slices(whole, "text", rows=_ROWS):
-                data, offsets = textbuf.text_buffer(batch.column(0))
+            for batch in textbuf.slices(whole, "doc", "text", rows=_ROWS):
+                data, offsets = textbuf.text_buffer(textbuf.member(batch, ("doc", "text")))
                 given = votes(data, offsets)
                 weak = np.array([known.posteriors.get(tuple(v), 0.5) for v in given.tolist()])
                 if known.weights is None:
@@ -289,7 +289,7 @@ def score_quality(docs: DataFrame, model: QualityModel, config: QualityConfig =
                     score = 1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500)))
                 words = np.diff(textbuf.word_bounds(data, offsets)[2])
                 score[words == 0] = weak[words == 0] = 0.0
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(weak), pa.array(score), pa.array((score >= config.threshold) & (words > 0))], ["doc", "weak_label", "score", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weak), pa.array(score), pa.array((score >= config.threshold) & (words > 0))], ["doc", "weak_label", "score", "kept"])
 
     kind = StructType([packed.schema["doc"], *StructType.fromDDL("weak_label double, score double, kept boolean")])
     return packed.mapInArrow(run, kind)

@@ -107,7 +107,7 @@ def encode_texts(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         codec = PieceCodec(model)
         for whole in batches:
-            for batch in textbuf.slices(whole, "text", 2 << 20):
+            for batch in textbuf.slices(whole, "text", most=2 << 20):
                 ids, at, decoded = codec.encode(batch.column(1))
                 n = batch.num_rows
                 sizes = np.diff(at) + 2
@@ -137,7 +137,7 @@ def encode_digests(docs: DataFrame, model: str) -> DataFrame:
         codec = PieceCodec(model)
         first, last = (int(i).to_bytes(4, "little") for i in (codec.begin, codec.end))
         for whole in batches:
-            for batch in textbuf.slices(whole, "text", 2 << 20):
+            for batch in textbuf.slices(whole, "text", most=2 << 20):
                 ids, at, decoded = codec.encode(batch.column(1))
                 raw = memoryview(ids.astype("<u4").tobytes())
                 digests = []

@@ -77,11 +77,19 @@ def release_memory() -> None:
         _trim(0)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+def member(batch: pa.RecordBatch, path: tuple[str, ...]) -> pa.Array:
+    """A column of a batch, or by a longer path a member of a struct column."""
+    out = batch.column(batch.schema.get_field_index(path[0]))
+    for name in path[1:]:
+        out = out.field(out.type.get_field_index(name))
+    return out
+
+
+def slices(batch: pa.RecordBatch, *column: str, most: int = 1 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most`` bytes of text, or one row, and at most ``rows`` rows; afterwards free what it took."""
     if not batch.num_rows:
         return
-    _, offsets = text_buffer(batch.column(batch.schema.get_field_index(column)))
+    _, offsets = text_buffer(member(batch, column))
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
