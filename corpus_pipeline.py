@@ -23,7 +23,7 @@ def identify(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """
     names = docs.columns
     model = language_id.fit_language_model(docs)
-    found = language_id.identify_languages(docs.select(F.struct("*").alias("doc"), "text"), model, columns=("doc",))
+    found = language_id.identify_languages(docs, model, columns=())
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
     columns = [F.coalesce("doc.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in names]
     return kept.select(*columns)
