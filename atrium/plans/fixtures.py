@@ -65,13 +65,12 @@ FIXTURES: dict[str, str] = {
                case when p.k % 60 = 0 then 'vertical' when p.k % 5 = 0 then 'footway' else 'normal' end as edge_kind,
                case when p.k % 60 = 0 then (case p.k % 3 when 0 then 'elevator' when 1 then 'stairs' else 'escalator' end) end as vertical,
                case when p.k % 4 = 0 and p.k % 3 = 0 then (p.k % 30) / 10.0e0 end as clearance
-        from (select cast(o_orderkey as bigint) as k, cast(o_custkey as bigint) as from_id from {orders} where o_orderkey % 4 = 0) p
+        from (select cast(o_orderkey as bigint) as k, cast(o_custkey as bigint) as from_id from {orders}) p
         join {fx_nodes} f on f.node_id = p.from_id
         join (select level_id, count(*) as cnt from {fx_nodes} group by level_id) m on m.level_id = f.level_id
         join (select a.order_key, b.node_id as to_id, d.node_id as other_id
               from (select cast(o_orderkey as bigint) as order_key, n.venue_id, n.level_id, n.ordinal, n.rn, z.cnt
-                    from {orders} join {fx_nodes} n on n.node_id = o_custkey join (select level_id, count(*) as cnt from {fx_nodes} group by level_id) z on z.level_id = n.level_id
-                    where o_orderkey % 4 = 0) a
+                    from {orders} join {fx_nodes} n on n.node_id = o_custkey join (select level_id, count(*) as cnt from {fx_nodes} group by level_id) z on z.level_id = n.level_id) a
               join {fx_nodes} b on b.venue_id = a.venue_id
                    and ((a.order_key % 60 <> 0 and b.level_id = a.level_id and b.rn = (a.rn + a.order_key % 3) % a.cnt + 1)
                      or (a.order_key % 60 = 0 and b.ordinal = a.ordinal + 1 and b.rn = a.rn))
@@ -144,9 +143,9 @@ FIXTURES: dict[str, str] = {
                8 * (l_partkey % 10) as x0, 8 * l_linenumber as y0, (case l_suppkey % 6 when 5 then 50000 else (l_suppkey % 6 - 2) * 4200 end) + (l_orderkey % 3) * 4 as z_mm
         from {lineitem} join (select 0 as half union all select 1 as half) t on true""",
     "fx_layers": """
-        select 'Station' || cast(n_regionkey as varchar(9)) || '_' || t.token || '_' || k.kind as layer_name, n_nationkey as pos,
-               case (n_nationkey + k.n) % 5 when 0 then 'polygon' when 1 then 'polygon' when 2 then 'line' when 3 then 'point' else 'none' end as family, n_nationkey % 7 as feature_count
-        from {nation} join (select 'B1' as token, 0 as n union all select 'F2', 1 union all select 'M2', 2 union all select 'R', 3 union all select '0', 4) t on t.n = n_nationkey % 5
+        select 'Station' || cast(p_partkey % 5 as varchar(9)) || '_' || t.token || '_' || k.kind as layer_name, p_partkey as pos,
+               case (p_size + k.n) % 5 when 0 then 'polygon' when 1 then 'polygon' when 2 then 'line' when 3 then 'point' else 'none' end as family, p_partkey % 7 as feature_count
+        from {part} join (select 'B1' as token, 0 as n union all select 'F2', 1 union all select 'M2', 2 union all select 'R', 3 union all select '0', 4) t on t.n = p_partkey % 5
         join (select 'Floor' as kind, 0 as n union all select 'Space', 1 union all select 'Opening', 2 union all select 'Drawing', 3 union all select 'Facility', 4 union all select 'x_to_y_link', 5 union all select 'notes', 6) k on true""",
     "fx_versions": """
         select o_orderkey as version_id, o_custkey % 20 as venue_no, row_number() over (partition by o_custkey % 20 order by o_orderkey) as seq,
