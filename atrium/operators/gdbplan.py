@@ -82,12 +82,19 @@ def uuid_census(features: DataFrame) -> DataFrame:
 
 
 def synthetic_rectangles(shapes: DataFrame, pad: float = 1e-6) -> DataFrame:
-    """Boxes of levels from their shapes and of venues from their levels; a side of no length is padded."""
+    """Boxes of levels from their shapes, of buildings from their levels (where shapes name one), and of venues from these; a side of no length is padded.
+
+    ``shapes``: ``venue_id, level_id, west, south, east, north`` and, if known, ``building_id``.
+    """
     box = lambda rows, key: rows.groupBy(*key).agg(F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"))
-    levels = box(shapes, ["venue_id", "level_id"])
-    venues = box(levels, ["venue_id"]).withColumn("level_id", F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    named = shapes if "building_id" in shapes.columns else shapes.withColumn("building_id", none)
+    levels = box(named, ["venue_id", "building_id", "level_id"])
+    buildings = box(levels.where("building_id is not null"), ["venue_id", "building_id"]).withColumn("level_id", none)
+    venues = box(levels, ["venue_id"]).withColumns({"level_id": none, "building_id": none})
     wide = lambda a, b: F.when(F.col(a) == F.col(b), F.col(b) + pad).otherwise(F.col(b))
-    return levels.unionByName(venues).withColumns({"east": wide("west", "east"), "north": wide("south", "north")})
+    every = levels.unionByName(buildings).unionByName(venues).withColumns({"east": wide("west", "east"), "north": wide("south", "north")})
+    return every if "building_id" in shapes.columns else every.drop("building_id")
 
 
 def drop_geometryless(features: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from atrium.functions import scalars
 from atrium.operators import importing, spatial
 from atrium.plans.fixtures import fixture, oracle
 from atrium.plans.spatial_queries import unit_rings
+from atrium.sources import collections
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +162,49 @@ def unresolved_source_levels(spark, folder):
 def layer_fallback_counts(spark, folder):
     said = fixture(spark, folder, "part").select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("message"))
     return importing.layer_fallback_counts(source_levels(spark, folder)[0], said)
+
+
+def entries(spark, folder):
+    """File names of each venue: its feature types, by part of the venue's name one that is unknown or lost."""
+    types = fixture(spark, folder, "fx_features").select("venue_id", F.concat("feature_type", F.lit(".geojson")).alias("name")).distinct()
+    venues = types.select("venue_id").distinct()
+    more = lambda test, name: venues.where(test).select("venue_id", F.lit(name).alias("name"))
+    return types.union(more("true", "manifest.json")).union(more("venue_id <> 'V1'", "venue.geojson")).union(more("venue_id < 'V3'", "address.geojson")).union(more("venue_id = 'V2'", "notes.txt"))
+
+
+@query("missing_files", "select distinct venue_id, 'missing_file' as code, 'venue.geojson' as subject from fx_levels where venue_id = 'V1' union all select distinct venue_id, 'missing_file', 'address.geojson' from fx_levels where venue_id >= 'V3'")
+def missing_files(spark, folder):
+    return collections.missing_files(entries(spark, folder))
+
+
+@query("unknown_entries", "select distinct venue_id, 'unknown_archive_entry' as code, 'notes.txt' as subject from fx_levels where venue_id = 'V2'")
+def unknown_entries(spark, folder):
+    return collections.unknown_entries(entries(spark, folder))
+
+
+@query("collection_violations", """with f as (select venue_id, feature_type, pos, case when pos % 6 = 0 then 'x' || (pos % 12) else '0f8fad5b-d9cb-469f-a165-' || lpad(cast(pos as varchar), 12, '0') end as id from fx_features where feature_type in ('unit', 'level') and venue_id <> 'V4' or feature_type = 'unit')
+    select distinct venue_id, 'venue_count' as code, '' as subject from f union all select distinct venue_id, 'level_missing', '' from f where venue_id = 'V4'
+    union all select venue_id, 'duplicate_id', id from f group by 1, 3 having count(*) > 1 union all select venue_id, 'invalid_id', id from f where pos % 6 = 0
+    union all select venue_id, 'type_mismatch', id from f where pos % 5 = 1 union all select distinct venue_id, 'manifest', case venue_id when 'V0' then '2.0.0' else '1.0.0' end from f where venue_id in ('V0', 'V3')""")
+def collection_violations(spark, folder):
+    rows = fixture(spark, folder, "fx_features").where("feature_type = 'unit' or (feature_type = 'level' and venue_id <> 'V4')")
+    uuid = F.concat(F.lit("0f8fad5b-d9cb-469f-a165-"), F.lpad(F.col("pos").cast("string"), 12, "0"))
+    identity = F.when(F.col("pos") % 6 == 0, F.concat(F.lit("x"), (F.col("pos") % 12).cast("string"))).otherwise(uuid)
+    features = rows.select("venue_id", "feature_type", F.when(F.col("pos") % 5 == 1, "other").otherwise(F.col("feature_type")).alias("declared_type"), identity.alias("feature_id"))
+    venues = rows.select("venue_id").distinct()
+    manifest = venues.select("venue_id", F.when(F.col("venue_id") == "V0", "2.0.0").when(F.col("venue_id") == "V3", "1.0.0").otherwise("1.0.0-rc.1").alias("version"), F.when(F.col("venue_id") != "V3", "ja").alias("language"))
+    return collections.collection_violations(features, manifest)
+
+
+@query("request_hash", """select event_id, sha256('{"event":' || event_id || ',"op":"' || event_type || '","version":' || (user_id % 10) || '}') as hash from events""")
+def request_hash(spark, folder):
+    rows = fixture(spark, folder, "events")
+    return rows.select("event_id", scalars.request_hash(F.col("event_id").alias("event"), F.col("event_type").alias("op"), (F.col("user_id") % 10).alias("version")).alias("hash"))
+
+
+@query("composite_level_id", "select l_orderkey, l_linenumber, l_suppkey, 'doc' || (l_suppkey % 3) || '|' || case when l_linenumber = 1 then '' else 'link' end || '|T' || (l_suppkey % 6) || '|' || 'name' || '|' || (l_suppkey * 42) as id from lineitem")
+def composite_level_id(spark, folder):
+    k = F.col("l_suppkey")
+    link = F.when(F.col("l_linenumber") != 1, "link")
+    made = scalars.composite_level_id(F.concat(F.lit("doc"), (k % 3).cast("string")), link, F.concat(F.lit("T"), (k % 6).cast("string")), F.lit("name"), k * 4.2)
+    return fixture(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", made.alias("id"))

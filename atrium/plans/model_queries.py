@@ -188,6 +188,12 @@ def synthetic_rectangles(spark, folder):
     return gdbplan.synthetic_rectangles(units.select("venue_id", "level_id", F.col("i0").cast("double").alias("west"), F.col("j0").cast("double").alias("south"), east.alias("east"), F.col("j1").cast("double").alias("north")))
 
 
+@query("building_rectangles", """with s as (select venue_id, 'H' || (k % 3) as building_id, level_id, i0, j0, i1, j1 from fx_units) select venue_id, building_id, level_id, min(i0)::double as west, min(j0)::double as south, max(i1)::double as east, max(j1)::double as north from s group by grouping sets ((1, 2, 3), (1, 2), (1))""")
+def building_rectangles(spark, folder):
+    box = [F.col(c).cast("double").alias(n) for c, n in (("i0", "west"), ("j0", "south"), ("i1", "east"), ("j1", "north"))]
+    return gdbplan.synthetic_rectangles(fixture(spark, folder, "fx_units").select("venue_id", F.concat(F.lit("H"), (F.col("k") % 3).cast("string")).alias("building_id"), "level_id", *box))
+
+
 @query("drop_geometryless", "select 'L' || cast(p_partkey % 5 as varchar) as layer_name, count(*) filter (where p_partkey % 5 = 4 or p_partkey % 3 = 0) as skipped, count(*) filter (where not (p_partkey % 5 = 4 or p_partkey % 3 = 0)) as kept, count(*) filter (where not (p_partkey % 5 = 4 or p_partkey % 3 = 0)) = 0 as failed from part group by p_partkey % 5")
 def drop_geometryless(spark, folder):
     p = F.struct(F.when(F.col("p_partkey") % 2 == 0, F.lit(float("nan"))).otherwise(float("inf")).alias("lon"), F.lit(1.0).alias("lat"))

@@ -177,12 +177,13 @@ def _edited(spark, folder):
     nodes, edges = clean(spark, folder)
     moved = F.when(F.col("node_id") % 5 == 0, F.col("lon") + 0.5).otherwise(F.col("lon"))
     added = nodes.where("node_id % 8 = 0").withColumn("node_id", F.col("node_id") + 1000000)
-    return nodes, nodes.where("node_id % 11 <> 0").withColumn("lon", moved).unionByName(added), edges, edges.where("path_id % 7 <> 0")
+    fresh = edges.where("path_id % 9 = 0").withColumns({"path_id": F.col("path_id") + 10000000, "rpath_id": F.col("rpath_id") + 10000000})
+    return nodes, nodes.where("node_id % 11 <> 0").withColumn("lon", moved).unionByName(added), edges, edges.where("path_id % 7 <> 0").unionByName(fresh)
 
 
 @query("network_diff", f"""with {CLEAN}, keys as (select distinct venue_id, least(path_id, rpath_id) as a, greatest(path_id, rpath_id) as b, max(case when path_id % 7 <> 0 then 1 else 0 end) over (partition by venue_id, least(path_id, rpath_id), greatest(path_id, rpath_id)) as stays from good_edges)
     select n.venue_id, count(*) filter (where node_id % 8 = 0) as junctions_added, count(*) filter (where node_id % 5 = 0 and node_id % 11 <> 0) as junctions_moved, count(*) filter (where node_id % 11 = 0) as junctions_deleted,
-           cast(0 as bigint) as connections_added, (select count(*) from keys k where k.venue_id = n.venue_id and stays = 0) as connections_deleted
+           (select count(distinct cast(least(path_id, rpath_id) as varchar) || ':' || cast(greatest(path_id, rpath_id) as varchar)) from good_edges e where e.venue_id = n.venue_id and path_id % 9 = 0) as connections_added, (select count(*) from keys k where k.venue_id = n.venue_id and stays = 0) as connections_deleted
     from good_nodes n group by n.venue_id""")
 def network_diff(spark, folder):
     old, new, before, after = _edited(spark, folder)

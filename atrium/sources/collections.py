@@ -32,6 +32,16 @@ def read_feature_collections(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Files that every collection has.
+REQUIRED = ("manifest.json", "venue.geojson", "address.geojson")
+
+
+def missing_files(files: DataFrame) -> DataFrame:
+    """Required files that a venue (``venue_id, name``) does not have."""
+    wanted = files.select("venue_id").distinct().withColumn("name", F.explode(F.array(*[F.lit(x) for x in REQUIRED])))
+    return wanted.join(files.select("venue_id", "name").distinct(), ["venue_id", "name"], "left_anti").select("venue_id", F.lit("missing_file").alias("code"), F.col("name").alias("subject"))
+
+
 def collection_violations(features: DataFrame, manifest: DataFrame) -> DataFrame:
     """Findings of each venue: not exactly one venue feature, no level, repeated ids, ids that are no version-4
     identifiers, declared types that differ from the file's, and manifests of another version or without a language."""
