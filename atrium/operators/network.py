@@ -197,6 +197,43 @@ def network_profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kinds.union(degrees).union(floors)
 
 
+def shape_profile(nodes: DataFrame, edges: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Further counts in long form: components by size (isolated nodes as 1), and edges with a dead end by whole metres of length (10 and more as one).
+
+    ``lengths``: ``venue_id, path_id, metres``.
+    """
+    found = connected_components(nodes, edges).groupBy("venue_id", "component").agg(F.count("*").alias("size"))
+    sizes = found.groupBy("venue_id", F.lit("component_size").alias("measure"), F.col("size").cast("string").alias("bucket")).agg(F.count("*").alias("n"))
+    ends = degree(edges).where("degree = 1").select("venue_id", "node_id")
+    at = lambda end: edges.select("venue_id", F.col(end).alias("node_id"), "path_id").join(ends, ["venue_id", "node_id"], "left_semi").select("venue_id", "path_id")
+    leaves = at("from_id").union(at("to_id")).distinct().join(lengths, ["venue_id", "path_id"])
+    bucket = F.when(F.col("metres") >= 10, "10+").otherwise(F.floor("metres").cast("string"))
+    return sizes.union(leaves.groupBy("venue_id", F.lit("leaf_metres").alias("measure"), bucket.alias("bucket")).agg(F.count("*").alias("n")))
+
+
+def edit_junctions(nodes: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Junctions after bulk edits (``venue_id, request_id, op, node_id, ordinal, lon, lat``), and the refused edits.
+
+    ``add`` makes a junction with an id after the venue's highest, in order of request; of several ``move`` edits of a junction the last
+    counts; ``delete`` wins over moves. Refused are moves and deletions of unknown junctions, and places off the globe. Paths of
+    deleted junctions go with ``apply_node_deletes``.
+    """
+    fine = F.coalesce(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90), F.lit(False))
+    known = nodes.select("venue_id", "node_id", F.lit(True).alias("_known"))
+    rows = edits.join(known, ["venue_id", "node_id"], "left")
+    reason = F.when((F.col("op") != "add") & F.col("_known").isNull(), "unknown_junction").when((F.col("op") != "delete") & ~fine, "off_the_globe")
+    rows = rows.withColumn("reason", reason)
+    good = rows.where("reason is null")
+    last = good.where("op = 'move'").groupBy("venue_id", "node_id").agg(F.max_by(F.struct("lon", "lat"), "request_id").alias("to"))
+    gone = good.where("op = 'delete'").select("venue_id", "node_id")
+    moved = nodes.join(gone, ["venue_id", "node_id"], "left_anti").join(last, ["venue_id", "node_id"], "left")
+    stay = moved.select("venue_id", "node_id", "ordinal", F.coalesce("to.lon", "lon").alias("lon"), F.coalesce("to.lat", "lat").alias("lat"))
+    top = nodes.groupBy("venue_id").agg(F.max("node_id").alias("_top"))
+    number = F.row_number().over(Window.partitionBy("venue_id").orderBy("request_id"))
+    added = good.where("op = 'add'").withColumn("_n", number).join(top, "venue_id", "left").select("venue_id", (F.coalesce("_top", F.lit(0)) + F.col("_n")).alias("node_id"), "ordinal", "lon", "lat")
+    return stay.unionByName(added), rows.where("reason is not null").select("venue_id", "request_id", "reason")
+
+
 def network_diff(base_nodes: DataFrame, nodes: DataFrame, base_edges: DataFrame, edges: DataFrame) -> DataFrame:
     """Per venue: junctions added, moved and deleted, connections added and deleted."""
     old = base_nodes.select("venue_id", "node_id", F.struct("lon", "lat").alias("was"))

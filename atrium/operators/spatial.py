@@ -99,9 +99,19 @@ def clip_to_venue(points: DataFrame, segments: DataFrame, buffer_m: float = 2.0)
     return points.join(held.union(near).distinct(), ["venue_id", "point_id"], "left_semi")
 
 
+#: A point this near to a boundary is on it: far below a coordinate's last digit, above what rounding moves.
+ON_M = 1e-6
+
+
+def in_or_on_shapes(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """Pairs of a point and a shape of its floor that holds it or whose boundary it is on; the inside of a hole is outside."""
+    on = near_segments(points, segments, ON_M).select("venue_id", "ordinal", "point_id", "shape_id")
+    return inside_shapes(points, segments).select("venue_id", "ordinal", "point_id", "shape_id").union(on).distinct()
+
+
 def building_by_containment(points: DataFrame, segments: DataFrame, buildings: DataFrame) -> DataFrame:
-    """The building of each point that lies in shapes of exactly one building (``shape_id, building_id``)."""
-    named = inside_shapes(points, segments).join(buildings, ["venue_id", "shape_id"])
+    """The building of each point that lies in shapes of exactly one building (``shape_id, building_id``); a boundary is inside."""
+    named = in_or_on_shapes(points, segments).join(buildings, ["venue_id", "shape_id"])
     found = named.groupBy("venue_id", "point_id").agg(F.countDistinct("building_id").alias("n"), F.min("building_id").alias("building_id"))
     return found.where("n = 1").drop("n")
 

@@ -173,6 +173,38 @@ def network_profile(spark, folder):
     return network.network_profile(*clean(spark, folder))
 
 
+#: A fifth of the torn network's paths, so that there are dead ends.
+THIN = TORN.replace("and to_id % 41 <> 0)", "and to_id % 41 <> 0 and path_id % 5 = 0)")
+
+
+@query("shape_profile", f"""with recursive {THIN}, {REACH},
+    deg as (select venue_id, node_id from (select venue_id, from_id as node_id from good_edges union all select venue_id, to_id from good_edges where to_id <> from_id) group by 1, 2 having count(*) = 1),
+    leaf as (select e.venue_id, (path_id % 150) / 10.0e0 as m from good_edges e where exists (select 1 from deg d where d.venue_id = e.venue_id and d.node_id in (e.from_id, e.to_id)))
+    select venue_id, 'component_size' as measure, cast(size as varchar) as bucket, count(*) as n from (select venue_id, component, count(*) as size from comp group by 1, 2) group by 1, 3
+    union all select venue_id, 'leaf_metres', case when m >= 10 then '10+' else cast(cast(floor(m) as bigint) as varchar) end, count(*) from leaf group by 1, 3""")
+def shape_profile(spark, folder):
+    nodes, edges = clean(spark, folder)
+    thin = edges.where("from_id % 41 <> 0 and to_id % 41 <> 0 and path_id % 5 = 0")
+    return network.shape_profile(nodes, thin, thin.select("venue_id", "path_id", ((F.col("path_id") % 150) / F.lit(10.0)).alias("metres")))
+
+
+@query("edit_junctions", f"""with {CLEAN}, x as (select venue_id, node_id, ordinal, lon, lat, case node_id % 5 when 0 then 'move' when 1 then 'delete' when 2 then 'add' end as op, row_number() over (partition by venue_id order by node_id) as request_id from good_nodes)
+    select n.venue_id, n.node_id, n.ordinal, case when n.node_id % 5 = 0 and n.node_id % 15 <> 0 then n.lon + 0.25e0 else n.lon end as lon from good_nodes n where n.node_id % 5 <> 1
+    union all select venue_id, (select max(node_id) from good_nodes g where g.venue_id = x.venue_id) + row_number() over (partition by venue_id order by request_id), ordinal, lon + 0.25e0 from x where op = 'add'""")
+def edit_junctions(spark, folder):
+    from pyspark.sql import Window
+
+    nodes, _ = clean(spark, folder)
+    op = F.expr("case node_id % 5 when 0 then 'move' when 1 then 'delete' when 2 then 'add' end")
+    number = F.row_number().over(Window.partitionBy("venue_id").orderBy("node_id"))
+    edits = nodes.withColumns({"op": op, "request_id": number}).where("op is not null")
+    # moves of every third such junction are off the globe, and deletions of unknown ones are refused as well
+    lat = F.when((F.col("op") == "move") & (F.col("node_id") % 15 == 0), 95.0).otherwise(F.col("lat"))
+    edits = edits.select("venue_id", "request_id", "op", "node_id", "ordinal", (F.col("lon") + 0.25).alias("lon"), lat.alias("lat"))
+    stray = edits.where("op = 'delete'").withColumns({"node_id": F.col("node_id") + 10_000_000, "request_id": F.col("request_id") + 10_000_000})
+    return network.edit_junctions(nodes, edits.unionByName(stray))[0].select("venue_id", "node_id", "ordinal", "lon")
+
+
 def _edited(spark, folder):
     nodes, edges = clean(spark, folder)
     moved = F.when(F.col("node_id") % 5 == 0, F.col("lon") + 0.5).otherwise(F.col("lon"))

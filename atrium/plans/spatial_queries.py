@@ -67,6 +67,14 @@ def building_by_containment(spark, folder):
     return spatial.building_by_containment(node_points(spark, folder), spatial.ring_segments(unit_rings(spark, folder)), buildings)
 
 
+@query("building_of_boundary_points", """with p as (select o.venue_id, opening_id, level_id, i, j0 + 2 as j from fx_openings o), h as (select p.venue_id, p.opening_id, (u.k // 50) % 7 as b from p join fx_units u on u.level_id = p.level_id and p.i between u.i0 and u.i1 and p.j between u.j0 and u.j1)
+    select venue_id, opening_id as point_id, 'H' || min(b) as building_id from h group by 1, 2 having count(distinct b) = 1""")
+def building_of_boundary_points(spark, folder):
+    """Middles of openings, which lie on the boundaries of the units beside them."""
+    buildings = fixture(spark, folder, "fx_units").select("venue_id", F.col("unit_id").alias("shape_id"), F.concat(F.lit("H"), (F.floor(F.col("k") / 50) % 7).cast("string")).alias("building_id"))
+    return spatial.building_by_containment(middles(spark, folder), spatial.ring_segments(unit_rings(spark, folder)), buildings)
+
+
 @query("nearest_node", f"""select venue_id, point_id, rank, node_id, round(metres, 6) as metres from (
       select *, row_number() over (partition by venue_id, point_id order by metres, node_id) as rank from (
         select f.venue_id, f.facility_id as point_id, n.node_id, {HAV.format(a="f", b="n")} as metres from fx_facilities f join fx_nodes n on n.venue_id = f.venue_id and n.ordinal = f.ordinal) where metres <= 8.0e0) where rank <= 3""")
@@ -221,6 +229,14 @@ def band_pairs(spark, folder):
     return synthesis.band_pairs(fixture(spark, folder, "fx_nodes"), 10.0, 20.0).withColumn("metres", F.round("metres", 5))
 
 
+@query("stretch_pairs", f"""with b as (select venue_id, source, target, metres from (select a.venue_id, a.node_id as source, b.node_id as target, {HAV.format(a='a', b='b')} as metres from fx_nodes a join fx_nodes b on b.venue_id = a.venue_id and b.ordinal = a.ordinal and b.node_id > a.node_id) where metres > 10 and metres <= 40)
+    select venue_id, source, target, round(metres, 5) as metres from (select *, row_number() over (partition by venue_id order by source, target) as n from b where (source + target) % 3 <> 0) where n <= 50""")
+def stretch_pairs(spark, folder):
+    pairs = synthesis.band_pairs(fixture(spark, folder, "fx_nodes"), 10.0, 40.0)
+    reached = pairs.select("venue_id", "source", "target", F.when((F.col("source") + F.col("target")) % 3 != 0, F.col("metres")).alias("metres"))
+    return synthesis.first_pairs(pairs, reached).select("venue_id", "source", "target", F.round("metres", 5).alias("metres"))
+
+
 @query("walkable", f"""with {SEG}, near as (select n.venue_id, n.node_id, n.lon, n.lat, s.* exclude (venue_id, ordinal) from fx_nodes n join segs s on s.venue_id = n.venue_id and s.ordinal = n.ordinal where s.category in ('walkway', 'corridor')), {OFFSET},
     inn as (select n.node_id, u.category from fx_nodes n join fx_units u on u.level_id = n.level_id and n.i > u.i0 and n.i < u.i1 and n.j > u.j0 and n.j < u.j1)
     select n.venue_id, n.node_id as point_id, (exists (select 1 from inn i where i.node_id = n.node_id and i.category in ('walkway', 'corridor')) or exists (select 1 from dist d where d.node_id = n.node_id and d.metres <= 0.3e0))
