@@ -47,11 +47,11 @@ def near_segments(points: DataFrame, segments: DataFrame, reach_m: float | None)
 
 
 #: The first reach of a nearest search, its growth, and the reach beyond which a floor's shapes are looked at as a whole.
-FIRST_M, GROWTH, FLOOR_M = 60.0, 4.0, 100_000.0
+FIRST_M, GROWTH, FLOOR_M = 30.0, 4.0, 100_000.0
 
 
-def until_enough(points: DataFrame, shapes: DataFrame, k: int, find) -> DataFrame:
-    """Rows of ``find(points, reach_m)`` at a reach that holds ``k`` shapes, or all of the floor's, for each point.
+def until_enough(points: DataFrame, shapes: DataFrame, k: int, find, *order) -> DataFrame:
+    """The first ``k`` rows by ``order`` of ``find(points, reach_m)`` at a reach that holds so many shapes, or all of the floor's, for each point.
 
     ``find`` returns ``venue_id, point_id, shape_id`` and more, each pair once; ``shapes`` has ``venue_id, ordinal, shape_id``. The
     reach grows for the points that have not enough, so each round looks at fewer of them.
@@ -61,7 +61,9 @@ def until_enough(points: DataFrame, shapes: DataFrame, k: int, find) -> DataFram
     rest = scratch.keep("rest-0", points.join(have, ["venue_id", "ordinal"]))
     reach, turn, done = FIRST_M, 0, []
     while True:
-        found = scratch.keep(f"found-{turn}", find(rest.drop("_have"), reach))
+        first = Window.partitionBy("venue_id", "point_id").orderBy(*order)
+        ranked = find(rest.drop("_have"), reach).withColumn("_first", F.row_number().over(first)).where(F.col("_first") <= k).drop("_first")
+        found = scratch.keep(f"found-{turn}", ranked)
         if reach is None:
             done.append(found)
             break
@@ -139,7 +141,7 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, reach_m: float | None = N
     """The ``k`` nearest nodes of the same floor, within ``reach_m`` where one is given; ties go to the smaller node id."""
     if reach_m is None:
         find = lambda rest, reach: _node_pairs(rest, nodes, reach).select("venue_id", "point_id", F.col("node_id").alias("shape_id"), "metres")
-        both = until_enough(points, nodes.select("venue_id", "ordinal", F.col("node_id").alias("shape_id")), k, find).withColumnRenamed("shape_id", "node_id")
+        both = until_enough(points, nodes.select("venue_id", "ordinal", F.col("node_id").alias("shape_id")), k, find, "metres", "shape_id").withColumnRenamed("shape_id", "node_id")
     else:
         both = nodes_within(points, nodes, reach_m)
     order = Window.partitionBy("venue_id", "point_id").orderBy("metres", "node_id")
@@ -170,12 +172,13 @@ def snap_to_edges(points: DataFrame, segments: DataFrame, k: int = 3) -> DataFra
     if "part" not in segments.columns:
         segments = segments.withColumn("part", F.lit(0))
     shapes = segments.select("venue_id", "ordinal", "shape_id").distinct()
-    here = until_enough(points, shapes, k, lambda rest, reach: _on_lines(rest, segments, reach))
+    by = (F.round("metres", 6), "shape_id")
+    here = until_enough(points, shapes, k, lambda rest, reach: _on_lines(rest, segments, reach), *by)
     order = Window.partitionBy("venue_id", "point_id").orderBy(F.round("metres", 6), "shape_id")
     rank = lambda rows, n: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     # a floor without edges: all floors of the venue are one
     lost = points.join(shapes.select("venue_id", "ordinal").distinct(), ["venue_id", "ordinal"], "left_anti").withColumn("ordinal", F.lit(0.0))
-    anywhere = until_enough(lost, shapes.withColumn("ordinal", F.lit(0.0)), 1, lambda rest, reach: _on_lines(rest, segments.withColumn("ordinal", F.lit(0.0)), reach))
+    anywhere = until_enough(lost, shapes.withColumn("ordinal", F.lit(0.0)), 1, lambda rest, reach: _on_lines(rest, segments.withColumn("ordinal", F.lit(0.0)), reach), *by)
     return rank(here, k).unionByName(rank(anywhere, 1)).select("venue_id", "point_id", "rank", "shape_id", "metres", "part", "share", "on_lon", "on_lat")
 
 
