@@ -405,8 +405,11 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     met = banded.groupBy("band").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("docs"), F.sum("n").alias("shingles")).where("first < last")
     met = _flipped(banded, "band", "doc").join(_flipped(met, "band", "first", "last", "docs", "shingles"), "_k")
     met = scratch.keep("met", met.select((-F.col("_k")).alias("band"), "doc", "first", "last", "docs", "shingles"))
-    by_hub = _hub_links(texts, items, met, scratch, config)
-    by_band = _band_links(texts, items, met, component_stars(by_hub, scratch, "clusters"), scratch, config)
+    # only documents that meet another send their texts on
+    meeting = _flipped(met.select("doc").distinct(), "doc")
+    near = scratch.keep("texts", _flipped(texts, "doc_id", "text").join(meeting, "_k", "left_semi").select((-F.col("_k")).alias("doc_id"), "text"))
+    by_hub = _hub_links(near, items, met, scratch, config)
+    by_band = _band_links(near, items, met, component_stars(by_hub, scratch, "clusters"), scratch, config)
     # rows of one id with different sets are one node
     split = some.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y").select(F.col("doc_id").alias("_d"))
     split = some.select("doc_id", "h1", "h2").join(split, F.col("doc_id") == F.col("_d"), "left_semi").join(classes, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
