@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from atrium.llm import ball_tree, chat_format, kneser_ney, language_id, metric_join, near_dup, packing, quality, secrets, sentence_pieces
+from atrium.llm import ball_tree, chat_format, importance, kneser_ney, language_id, metric_join, near_dup, packing, phrases, quality, secrets, sentence_pieces, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -109,6 +109,27 @@ def op10_metric_range_join(spark: SparkSession, folder: str) -> DataFrame:
     return metric_join.join_embeddings(table(spark, folder, "embeddings"))
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2000 collocations of each language over all documents."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of all documents drawn by their likeness to all benchmark texts."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    drawn = importance.resample(docs, table(spark, folder, "benchmark"))
+    return drawn.select("doc.doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents by a model of the labels whose id's CRC-32 is not 0 modulo 5."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    remainder = language_id.id_remainder("doc_id", 5)
+    labels = table(spark, folder, "labels").where(remainder != 0)
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
+    return scored.select("doc.doc_id", "score", "predicted", F.size("passages").alias("n_passages")).withColumn("held_out", remainder == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -123,6 +144,9 @@ QUERIES = {
         op8_guess_cost_secrets,
         op9_kneser_ney_scores,
         op10_metric_range_join,
+        op11_phrase_collocations,
+        op12_importance_resampling,
+        op13_toxic_segments,
         pipeline,
     )
 }

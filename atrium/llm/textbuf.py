@@ -99,12 +99,15 @@ def slices(batch: pa.RecordBatch, *column: str, most: int = 1 << 20, rows: int =
     release_memory()
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and for each text the number of words before it (n + 1 values)."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SEPARATORS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and for each text the number of words before it (n + 1 values).
+
+    ``separators`` tells for each of the 256 bytes whether it stands between words.
+    """
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
-    gap = SEPARATORS[data]
+    gap = separators[data]
     opens, closes = np.ones(len(data), bool), np.ones(len(data), bool)
     opens[1:] = gap[:-1]
     closes[:-1] = gap[1:]
