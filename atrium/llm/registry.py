@@ -118,7 +118,7 @@ def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """A tenth of all documents drawn by their likeness to all benchmark texts."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     drawn = importance.resample(docs, table(spark, folder, "benchmark"))
-    return drawn.select("doc.doc_id", "n_features", "weight", "score", "rank")
+    return drawn.select("doc.doc_id", "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def op13_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,6 +153,8 @@ QUERIES = {
 
 _USABLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
 
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
     "op2_ball_tree_top_k": f"""
         with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e from embeddings where {_USABLE}),
@@ -184,4 +186,32 @@ ORACLES: dict[str, str] = {
         links as (select a.vec_id as a, b.vec_id as b from v a join v b on b.vec_id <> a.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95e0),
         reach(vec_id, seen) as (select vec_id, vec_id from embeddings union select r.vec_id, l.b from reach r join links l on l.a = r.seen)
         select vec_id, (select count(*) from links l where l.a = r.vec_id) as n_links, min(seen) as component_id, vec_id = min(seen) as kept from reach r group by vec_id""",
+    "op11_phrase_collocations": rf"""
+        with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_FOLDED}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+        worded as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+        placed as (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from worded, (select unnest([1, 2, 3, 4, 5]) as k)),
+        f as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as a from placed group by all having count(*) >= 100),
+        totals as (select lang, sum(len(w)) as n from worded group by lang),
+        cut as (select lang, k, phrase, a, unnest(range(1, k)) as c, string_split(phrase, ' ') as w from f where k > 1),
+        scored as (select cut.lang, cut.k, cut.phrase, cut.a, c, x.a as l, y.a as r, n, cast(cast(1000 as hugeint) * cut.a * n // (cast(x.a as hugeint) * y.a) as bigint) as score
+            from cut join f x on x.lang = cut.lang and x.phrase = array_to_string(w[1:c], ' ') join f y on y.lang = cut.lang and y.phrase = array_to_string(w[c + 1:], ' ') join totals on totals.lang = cut.lang),
+        weakest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+        kept as (select * from weakest p where not exists (select 1 from f z where z.lang = p.lang and z.k > p.k and 100 * z.a >= 100 * p.a and contains(' ' || z.phrase || ' ', ' ' || p.phrase || ' '))),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+        select lang, rank, phrase, cast(k as int) as size, a, l, r, cast(n as bigint) as n, score from ranked where rank <= 2000""",
+    "op12_importance_resampling": rf"""
+        with crc as (select list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+        words as (select 0 as kind, doc_id, unnest(regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from documents
+            union all select 1, null, unnest(regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) from benchmark),
+        hexed as (select w, hex(encode(w)) as h from (select distinct w from words)),
+        bytes as (select w, list_transform(range(len(h) // 2), lambda i: cast('0x' || h[2 * i + 1:2 * i + 2] as bigint)) as b from hexed),
+        bucket as (select w, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as k from bytes, crc),
+        s as (select k, count(*) as s from words join bucket using (w) where kind = 0 group by k), t as (select k, count(*) as t from words join bucket using (w) where kind = 1 group by k),
+        gain as (select n.k, floor(1000.0e0 * ln((coalesce(t, 0) + 1.0e0) * ((select coalesce(sum(s), 0) from s) + 10000.0e0) / ((coalesce(s, 0) + 1.0e0) * ((select coalesce(sum(t), 0) from t) + 10000.0e0)))) as g
+            from (select unnest(range(10000)) as k) n left join s using (k) left join t using (k)),
+        summed as (select doc_id, count(*) as n, sum(g) as g from words join bucket using (w) join gain using (k) where kind = 0 group by doc_id),
+        weighed as (select d.doc_id, coalesce(n, 0) as n_features, cast(coalesce(floor(g / n), 0) as bigint) as weight, cast('0x' || sha256('2024:' || d.doc_id)[1:8] as bigint) as h from documents d left join summed using (doc_id)),
+        scored as (select *, weight + cast(floor(-1000.0e0 * ln(-ln((h + 0.5e0) / 4294967296.0e0))) as bigint) as score from weighed),
+        ranked as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as p, count(*) filter (where n_features >= 20) over () as able from scored)
+        select doc_id, n_features, weight, score, case when n_features >= 20 and p <= 10 * able // 100 then p end as rank from ranked""",
 }
