@@ -31,8 +31,10 @@ _GAPS = _BREAKS.copy()
 _GAPS[[0x20, 0x09]] = True
 #: A-Z are lower-cased, and a tab between words reads as a space.
 _PLAIN = bytes(c + 0x20 if 0x41 <= c <= 0x5A else 0x20 if c == 0x09 else c for c in range(256))
-#: Longs that one row of the filter's parts holds.
-_SLICE = 1 << 15
+#: The floored score in whole numbers of up to 38 digits.
+SCORE = "cast(1000 * a as decimal(19,0)) * cast(n as decimal(19,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
+#: Bits of a block of the filter.
+_BLOCK = 1 << 20
 _PROBES = 4
 #: Languages up to which their totals are broadcast; more are joined.
 _LANGS = 10_000
@@ -43,14 +45,14 @@ class PhraseConfig:
     """Phrases of 2 to ``longest`` words that occur ``support`` times; the first ``top`` of each language.
 
     A candidate inside a longer one is dropped if the longer one occurs at least ``inside`` percent as often. ``flush`` is
-    the tokens of a shard, ``filter_bits`` (a power of two) bounds the broadcast filter.
+    about the bytes of a shard, ``filter_bits`` (a power of two) bounds the broadcast filter.
     """
 
     longest: int = 5
     support: int = 100
     inside: int = 100
     top: int = 2000
-    flush: int = 4 << 20
+    flush: int = 24 << 20
     filter_bits: int = 1 << 27
 
 
@@ -58,10 +60,7 @@ class _Shard:
     """Words of many texts: hashes that depend on the language, where they stand, and which follow one another."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
-        self.parts, self.data, self.langs, self.size, self.bytes = [], [], [], 0, 0
+        self.parts, self.data, self.langs, self.bytes = [], [], [], 0
 
     def add(self, lang: pa.Array, text: pa.Array) -> None:
         coded = lang.dictionary_encode()
@@ -80,9 +79,8 @@ class _Shard:
         joined[:-1] = (breaks[1:] == breaks[:-1]) & (of_text[1:] == of_text[:-1])
         salt = np.array([_lang_hash(x) for x in names], _U)[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, _U)
         hashes = textbuf.mix64(textbuf.word_hashes(data, starts, ends) ^ salt[of_text])
-        self.parts.append((hashes, joined, code[of_text].astype(np.int32), starts + self.bytes, ends + self.bytes))
+        self.parts.append((hashes, joined, code[of_text].astype(np.int32), (starts + self.bytes).astype(np.int32), (ends + self.bytes).astype(np.int32)))
         self.data.append(data)
-        self.size += len(starts)
         self.bytes += len(data)
 
     def close(self) -> None:
@@ -94,7 +92,7 @@ class _Shard:
     def levels(self, longest: int, choose):
         """For each length, the places and hashes of the phrases that ``choose`` lets through.
 
-        ``choose(keys, at)`` gets the hashes of the windows at the places ``at`` and returns for distinct ones: their first
+        ``choose(k, keys, at)`` gets the hashes of the windows at the places ``at`` and returns for distinct ones: their first
         windows' numbers, their counts, whether they pass, and of each window which it is.
         """
         at, keys = np.arange(len(self.hashes)), self.hashes
@@ -102,7 +100,7 @@ class _Shard:
         for k in range(1, longest + 1):
             if not len(at):
                 return
-            firsts, counts, passes, back = choose(keys, at)
+            firsts, counts, passes, back = choose(k, keys, at)
             yield k, at[firsts][passes], keys[firsts][passes], counts[passes]
             good = passes[back]
             at, keys = at[good], keys[good]
@@ -110,7 +108,7 @@ class _Shard:
             live[at] = True
             on = live[at + 1] & self.joined[at + k - 1]
             at, keys = at[on], keys[on]
-            keys = textbuf.mix64(keys * _U(0x9E3779B97F4A7C15) + self.hashes[at + k])
+            keys = _longer(keys, self.hashes[at + k])
 
     def phrases(self, firsts: np.ndarray, words: int) -> list[str]:
         """The phrases that start at the given words: lower-cased, with one space between words."""
@@ -121,9 +119,15 @@ class _Shard:
         return out
 
 
+def _longer(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of windows with one more word."""
+    return textbuf.mix64(keys * _U(0x9E3779B97F4A7C15) + words)
+
+
 def _lang_hash(lang: str) -> int:
     raw = np.frombuffer(lang.encode() or b"\0", np.uint8)
-    return int(textbuf.word_hashes(raw, np.zeros(1, np.int64), np.array([len(raw)]))[0])
+    # mixed once more: a language's name may be a word as well
+    return int(textbuf.mix64(textbuf.word_hashes(raw, np.zeros(1, np.int64), np.array([len(raw)])) + _U(1))[0])
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,66 +137,88 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _shards(batches, flush: int):
-    """Closed shards of about ``flush`` tokens from a task's batches of ``lang`` and ``text`` (and totals)."""
-    shard = _Shard()
-    for whole in batches:
-        for batch in textbuf.slices(whole, "text"):
-            if not shard.size and not shard.parts:
-                weights = {}
+    """Closed shards of about ``flush`` bytes from a task's batches, with each language's bytes in all texts and in the shard.
+
+    A cut waits for a second ``flush`` and the rest is halved, so that no small shard, whose support would be one, is left over.
+    """
+    held: list[pa.RecordBatch] = []
+    sizes: list[int] = []
+
+    def build(n: int):
+        shard, weights = _Shard(), {}
+        for batch in held[:n]:
             for lang, total, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                known = weights.setdefault(lang, [total, 0])
-                known[1] += size
+                weights.setdefault(lang, [total, 0])[1] += size
             shard.add(batch.column(0), batch.column(1))
-            if shard.size >= flush:
-                shard.close()
-                yield shard, weights
-                shard.clear()
-    if shard.parts:
+        del held[:n], sizes[:n]
         shard.close()
-        yield shard, weights
+        return shard, weights
+
+    def first(most: float) -> int:
+        return max(1, int(np.searchsorted(np.cumsum(sizes), most, "right")))
 
+    for whole in batches:
+        for batch in textbuf.slices(whole, "text"):
+            held.append(batch)
+            sizes.append(sum(batch.column(3).to_pylist()))
+            if sum(sizes) >= 2 * flush:
+                yield build(first(flush))
+    if sum(sizes) > 1.4 * flush and len(held) > 1:
+        yield build(first(sum(sizes) / 2))
+    if held:
+        yield build(len(held))
+
+
+class _Filter:
+    """A Bloom filter in blocks: a key's leading bits choose its block, its probes stay inside."""
+
+    def __init__(self, blocks: np.ndarray):
+        self.blocks = blocks  # (blocks, bytes)
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        count, width = self.blocks.shape
+        block, out = _block(keys, count), np.ones(len(keys), bool)
+        for bit in _probes(keys, 8 * width):
+            out &= (self.blocks[block, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+        return out
 
-def _probe(keys: np.ndarray, bits: int):
-    """The filter's bits of each key."""
+
+def _block(keys: np.ndarray, count: int) -> np.ndarray:
+    return ((keys >> _U(32)) * _U(count) >> _U(32)).astype(np.int64)
+
+
+def _probes(keys: np.ndarray, bits: int):
     step = textbuf.mix64(keys ^ _U(0xC0FFEE)) | _U(1)
     for k in range(_PROBES):
-        yield (keys + _U(k) * step) & _U(bits - 1)
+        yield ((keys + _U(k) * step) & _U(bits - 1)).astype(np.int64)
 
 
-def _filter_of(found: DataFrame, most: int) -> np.ndarray:
-    """A Bloom filter of the keys, built in slices by range of bits; its size follows the keys, up to ``most`` bits."""
-    rows = found.count()
-    bits = min(most, 1 << max(21, (16 * max(rows, 1) - 1).bit_length()))
-    slices = max(1, bits // (64 * _SLICE))
-    width = bits // slices
+def _filter_of(keys: DataFrame, most: int) -> _Filter:
+    """A filter of the column ``key``; blocks are filled apart, and together take 16 bits a key, at most ``most`` bits."""
+    bits = min(most, 1 << max(21, (16 * max(keys.count(), 1) - 1).bit_length()))
+    count, width = bits // _BLOCK, _BLOCK
 
-    def spread(batches):
+    def deal(batches):
         for batch in batches:
-            keys = batch.column(0).to_numpy().view(_U)
-            all_bits = np.unique(np.concatenate(list(_probe(keys, bits)))) if len(keys) else keys
-            yield pa.RecordBatch.from_arrays([textbuf.int64s(all_bits // _U(width)), textbuf.int64s(all_bits % _U(width))], ["slice", "bit"])
+            found = np.unique(batch.column(0).to_numpy().view(_U))
+            yield pa.RecordBatch.from_arrays([textbuf.int64s(_block(found, count)), pa.array(textbuf.as_signed(found))], ["block", "key"])
 
     def fill(batches):
-        held = {}
+        filled: dict[int, np.ndarray] = {}
         for batch in batches:
-            part, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for p in np.unique(part).tolist():
-                held.setdefault(p, np.zeros(width, bool))[bit[part == p]] = True
-        packed = [np.packbits(x, bitorder="little").tobytes() for x in held.values()]
-        yield pa.RecordBatch.from_arrays([textbuf.int64s(list(held)), textbuf.binaries(packed)], ["slice", "bits"])
-
-    pieces = found.mapInArrow(spread, "slice long, bit long").repartition(slices, "slice").mapInArrow(fill, "slice long, bits binary").collect()
-    out = np.zeros(bits // 8, np.uint8)
+            block, found = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(_U)
+            for b in np.unique(block).tolist():
+                bit = filled.setdefault(b, np.zeros(width, bool))
+                for probe in _probes(found[block == b], width):
+                    bit[probe] = True
+        packed = [np.packbits(x, bitorder="little").tobytes() for x in filled.values()]
+        yield pa.RecordBatch.from_arrays([textbuf.int64s(list(filled)), textbuf.binaries(packed)], ["block", "bits"])
+
+    pieces = keys.mapInArrow(deal, "block long, key long").repartition(count, "block").mapInArrow(fill, "block long, bits binary").collect()
+    out = np.zeros((count, width // 8), np.uint8)
     for row in pieces:  # together at most the filter's size
-        out[row.slice * width // 8 : (row.slice + 1) * width // 8] = np.frombuffer(row.bits, np.uint8)
-    return out
-
-
-def _passes(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    out = np.ones(len(keys), bool)
-    for bit in _probe(keys, 8 * len(filled)):
-        out &= (filled[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
-    return out
+        out[row.block] = np.frombuffer(row.bits, np.uint8)
+    return _Filter(out)
 
 
 def _weighed(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -207,9 +233,11 @@ def _weighed(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) -> DataFrame:
     """Exact counts of all phrases of 1 to ``longest`` words that reach the support: ``lang``, ``phrase``, ``size``, ``f``.
 
-    A row with ``size`` 0 for each language holds all its words' occurrences.
+    A row with ``size`` 0 for each language holds all its words' occurrences. Words and pairs are counted first; longer
+    phrases are then looked at only where all their pairs reach the support over all texts.
     """
-    scratch = Scratch(docs.sparkSession, "phrases")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "phrases")
     texts = _weighed(docs, scratch)
     support, longest, flush = config.support, config.longest, config.flush
 
@@ -219,7 +247,7 @@ def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) ->
             # a hair below the exact bound, so that rounding loses no phrase
             least = np.maximum(1, np.ceil(support * size / np.maximum(total, 1) - 1e-6)).astype(np.int64)
 
-            def choose(keys, at):
+            def choose(k, keys, at):
                 firsts, counts, back = _distinct(keys)
                 return firsts, counts, counts >= least[shard.code[at[firsts]]], back
 
@@ -228,27 +256,51 @@ def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) ->
         textbuf.release_memory()
 
     found = scratch.keep("candidates", texts.mapInArrow(mine, "key long"))
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(found, config.filter_bits))
-
-    def count(batches):
-        filled = shared.value
-        for shard, _ in _shards(batches, flush):
-
-            def choose(keys, at):
-                firsts, counts, back = _distinct(keys)
-                return firsts, counts, _passes(filled, keys[firsts]), back
-
-            words = np.bincount(shard.code, minlength=len(shard.langs))
-            yield _counted(shard.langs, [""] * len(words), [0] * len(words), words)
-            for k, at, _, counts in shard.levels(longest, choose):
-                for low in range(0, len(at), 1 << 16):
-                    some = at[low : low + (1 << 16)]
-                    yield _counted([shard.langs[c] for c in shard.code[some].tolist()], shard.phrases(some, k), [k] * len(some), counts[low : low + (1 << 16)])
-        textbuf.release_memory()
-
-    counted = texts.mapInArrow(count, "lang string, phrase string, size int, f long")
-    summed = counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where((F.col("size") == 0) | (F.col("f") >= support))
-    return scratch.keep("frequent", summed)
+    candidates = spark.sparkContext.broadcast(_filter_of(found, config.filter_bits))
+
+    def counts(name: str, low: int, high: int, frequent) -> DataFrame:
+        """Phrases of ``low`` to ``high`` words; ``frequent`` holds those of fewer words that reach the support."""
+
+        def count(batches):
+            for shard, _ in _shards(batches, flush):
+
+                def choose(k, keys, at):
+                    firsts, counts, back = _distinct(keys)
+                    passed = candidates if k >= low else frequent
+                    return firsts, counts, passed.value.passes(keys[firsts]), back
+
+                if low == 1:
+                    words = np.bincount(shard.code, minlength=len(shard.langs))
+                    yield _counted(shard.langs, [""] * len(words), [0] * len(words), words)
+                for k, at, _, times in shard.levels(high, choose):
+                    for i in range(0, len(at) if k >= low else 0, 1 << 16):
+                        some = at[i : i + (1 << 16)]
+                        yield _counted([shard.langs[c] for c in shard.code[some].tolist()], shard.phrases(some, k), [k] * len(some), times[i : i + (1 << 16)])
+            textbuf.release_memory()
+
+        counted = texts.mapInArrow(count, "lang string, phrase string, size int, f long")
+        summed = counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
+        return scratch.keep(name, summed.where((F.col("size") == 0) | (F.col("f") >= support)))
+
+    short = counts("short", 1, min(2, longest), None)
+    if longest <= 2:
+        return short
+    keys = short.where("size > 0").select("lang", "phrase", "size").mapInArrow(_phrase_keys, "key long")
+    frequent = spark.sparkContext.broadcast(_filter_of(scratch.keep("keys", keys), config.filter_bits))
+    return short.unionByName(counts("long", 3, longest, frequent))
+
+
+def _phrase_keys(batches):
+    """The windows' hashes of phrases of one or two words."""
+    for batch in batches:
+        shard, size = _Shard(), batch.column(2).to_numpy()
+        shard.add(batch.column(0), batch.column(1))
+        shard.close()
+        first = np.cumsum(size) - size
+        keys = shard.hashes[first]
+        pairs = np.flatnonzero(size == 2)
+        keys[pairs] = _longer(keys[pairs], shard.hashes[first[pairs] + 1])
+        yield pa.RecordBatch.from_arrays([pa.array(textbuf.as_signed(keys))], ["key"])
 
 
 def _counted(langs: list, phrases: list, sizes: list, counts: np.ndarray) -> pa.RecordBatch:
@@ -275,7 +327,7 @@ def collocations(docs: DataFrame, config: PhraseConfig = PhraseConfig()) -> Data
     cut = cut.select("lang", "phrase", "size", "a", "k", _words(F.lit(1), F.col("k")).alias("first"), _words(F.col("k") + 1, F.col("size") - F.col("k")).alias("rest"))
     left, right = (named.select("lang", F.col("phrase").alias(part), F.col("f").alias(c)) for part, c in (("first", "l"), ("rest", "r")))
     cut = cut.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).join(totals, "lang")
-    scored = cut.withColumn("score", F.expr("cast(1000 * a as decimal(19,0)) * cast(n as decimal(19,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"))
+    scored = cut.withColumn("score", F.expr(SCORE))
     weakest = scored.groupBy("lang", "phrase", "size", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
 
     # what a phrase is inside of occurs at most as often, so the phrases longer by one word decide
