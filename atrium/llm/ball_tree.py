@@ -22,11 +22,15 @@ from atrium.scratch import Scratch
 
 @dataclass(frozen=True)
 class TopKConfig:
-    """``scale`` turns components into integers by ``floor(scale * x)``; the others bound a task."""
+    """``scale`` turns components into integers by ``floor(scale * x)``; the others bound a task.
+
+    A shard holds an eighth of the vectors, ``least_shard`` at least and ``shard`` at most, so that floors are shared at any size.
+    """
 
     k: int = 10
     scale: float = 1024.0
     shard: int = 8192
+    least_shard: int = 64
     block: int = 4096
     leaf: int = 64
     first_wave: float = 0.25
@@ -173,7 +177,8 @@ def top_k(vectors: DataFrame, is_query: Column, config: TopKConfig = TopKConfig(
     scratch = Scratch(spark, "topk")
     rows = scratch.keep("rows", quantised(vectors, config.scale).distinct())
     n, asked = rows.agg(F.count("*"), F.count_if(is_query)).collect()[0]
-    shards, blocks = max(1, -(-n // config.shard)), max(1, -(-asked // config.block))
+    size = min(config.shard, max(config.least_shard, -(-n // 8)))
+    shards, blocks = max(1, -(-n // size)), max(1, -(-asked // config.block))
     early = max(1, int(shards * config.first_wave))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
@@ -190,7 +195,7 @@ def top_k(vectors: DataFrame, is_query: Column, config: TopKConfig = TopKConfig(
     found = wave(asking.select("*", *none), 0, early)
     if early < shards:
         found = scratch.keep("first", _best(found, config.k).drop("rank"))
-        floors = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min(F.struct("score", (-F.col("vec_id")).alias("id"))).alias("last"))
-        floors = floors.where(F.col("n") >= config.k).select(F.col("query_id").alias("vec_id"), F.col("last.score").cast("double").alias("floor"), (-F.col("last.id")).alias("floor_id"))
+        floors = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min(F.struct("score", F.bitwise_not("vec_id").alias("id"))).alias("last"))
+        floors = floors.where(F.col("n") >= config.k).select(F.col("query_id").alias("vec_id"), F.col("last.score").cast("double").alias("floor"), F.bitwise_not(F.col("last.id")).alias("floor_id"))
         found = found.union(wave(asking.join(floors, "vec_id", "left"), early, shards))
     return _best(found, config.k).select("query_id", "rank", "vec_id", "score")

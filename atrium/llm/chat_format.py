@@ -41,16 +41,26 @@ class ChatConfig:
     document_tokens_per_page: int = 800
 
 
+def _measure(value: float | None) -> float:
+    return value if value is not None and 0 < value < math.inf else 0
+
+
 @dataclass
 class PartVisitor:
-    """Flattens typed parts; ``visit`` dispatches on the part's type."""
+    """Flattens typed parts; ``visit`` dispatches on the part's type.
+
+    A null part leaves nothing. A null, negative or not finite measure counts as none, so that an attachment is at least one
+    token. A type without a method of its own is an attachment of kind ``other``, one token.
+    """
 
     config: ChatConfig
     before: int = 0  # attachments of earlier turns, which their numbers go on from
     pieces: list[str] = field(default_factory=list)
     attachments: list[tuple[str, str, int, int]] = field(default_factory=list)  # kind, reference, tokens, offset
 
-    def visit(self, part: dict) -> None:
+    def visit(self, part: dict | None) -> None:
+        if part is None:
+            return
         getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
@@ -58,17 +68,17 @@ class PartVisitor:
 
     def visit_image(self, part: dict) -> None:
         patch = self.config.image_patch
-        tokens = max(1, math.ceil((part.get("width") or patch) / patch) * math.ceil((part.get("height") or patch) / patch))
-        self._attach("image", part, tokens)
+        sides = [_measure(part.get(side)) or patch for side in ("width", "height")]
+        self._attach("image", part, max(1, math.ceil(sides[0] / patch) * math.ceil(sides[1] / patch)))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, math.ceil((part.get("seconds") or 0.0) * self.config.audio_tokens_per_second)))
+        self._attach("audio", part, max(1, math.ceil(_measure(part.get("seconds")) * self.config.audio_tokens_per_second)))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, max(1, part.get("pages") or 1) * self.config.document_tokens_per_page)
+        self._attach("document", part, max(1, _measure(part.get("pages"))) * self.config.document_tokens_per_page)
 
     def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"content part of unknown type {part.get('type')!r}")
+        self._attach("other", part, 1)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         offset = sum(map(len, self.pieces))
@@ -100,7 +110,7 @@ def format_turns(conversations: DataFrame, config: ChatConfig = ChatConfig()) ->
 
     Reads ``conv_id, turn, role, text`` and, where present, ``parts`` (array of structs with ``type``
     and any of ``text, ref, width, height, seconds, pages``); a turn with null parts has its text as the only
-    one. Null roles and texts are empty ones. Rows of equal ``conv_id`` and ``turn`` all stay; ``tie`` puts
+    one. Null roles and texts are empty ones; ``PartVisitor`` says what odd parts give. Rows of equal ``conv_id`` and ``turn`` all stay; ``tie`` puts
     them in order (by role, then text). Attachments are numbered through the conversation in that order. Other columns are
     ignored; an empty table gives an empty result.
     """
@@ -108,7 +118,7 @@ def format_turns(conversations: DataFrame, config: ChatConfig = ChatConfig()) ->
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), parts.alias("parts"))
     if "parts" in conversations.columns:
-        attached = F.coalesce(F.size(F.filter("parts", lambda p: F.coalesce(p["type"], F.lit("text")) != "text")), F.lit(0))
+        attached = F.coalesce(F.size(F.filter("parts", lambda p: p.isNotNull() & (F.coalesce(F.nullif(p["type"], F.lit("")), F.lit("text")) != "text"))), F.lit(0))
         earlier = Window.partitionBy("conv_id").orderBy("turn", "role", F.sha2("text", 256)).rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("before", F.coalesce(F.sum(attached).over(earlier), F.lit(0)))
     else:

@@ -12,7 +12,8 @@ copy vectors more often than ``copies`` times on average, the cell is joined in
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,13 @@ from atrium.scratch import Scratch
 class MetricJoinConfig:
     """Cells of more than ``cell`` vectors are cut by up to ``pivots`` pivots; ``block`` bounds a side of a task.
 
+    Without ``cell`` it follows the table: twice the square root of its different vectors, 32 to ``block``.
     A round of cuts may copy each vector ``copies`` times on average; ``rounds`` bounds the rounds (a cell
     that is still too large is then joined in blocks).
     """
 
     cosine: float = 0.95
-    cell: int = 4096
+    cell: int | None = None
     pivots: int = 64
     copies: float = 4.0
     rounds: int = 9
@@ -227,6 +229,8 @@ def join_embeddings(vectors: DataFrame, config: MetricJoinConfig = MetricJoinCon
     first = keyed.select("key", F.col("vec_id").alias("rep"), "vector").dropDuplicates(["key", "rep"])
     chosen = classes.join(first, ["key", "rep"]).withColumns({"dim": F.size("vector"), "cid": F.monotonically_increasing_id()})
     chosen = scratch.keep("classes", chosen)
+    if config.cell is None:
+        config = replace(config, cell=min(config.block, max(32, 2 * isqrt(chosen.count()))))
     reach = float(np.sqrt(max(2.0 - 2.0 * config.cosine, 0.0))) + 1e-9
     rows = chosen.select("dim", F.lit(0).cast("long").alias("cell"), "cid", "rep", "size", F.lit(0).cast("long").alias("copied"), "vector")
     turn, ready = 0, None

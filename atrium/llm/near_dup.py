@@ -329,8 +329,8 @@ def _confirm(config: NearDupConfig):
 
 
 def _flipped(frame: DataFrame, column: str, *others: str) -> DataFrame:
-    """The frame keyed by ``-column`` as ``_k``: a join on it has plain exchanges on both sides, which may be split."""
-    return frame.select((-F.col(column)).alias("_k"), *others)
+    """The frame keyed by the complement of ``column`` as ``_k`` (any long has one): a join on it has plain exchanges on both sides, which may be split."""
+    return frame.select((F.bitwise_not(F.col(column))).alias("_k"), *others)
 
 
 def _hub_links(texts: DataFrame, items: DataFrame, met: DataFrame, scratch: Scratch, config: NearDupConfig) -> DataFrame:
@@ -338,16 +338,16 @@ def _hub_links(texts: DataFrame, items: DataFrame, met: DataFrame, scratch: Scra
     hubs = met.select("doc", F.explode(F.array("first", "last")).alias("hub")).where("doc <> hub").distinct()
     sides = hubs.join(items.select("doc", "n", "sketch"), "doc")
     sides = _flipped(sides, "hub", "doc", "n", "sketch").join(_flipped(items, "doc", F.col("n").alias("m"), F.col("sketch").alias("other")), "_k")
-    sides = sides.select("doc", (-F.col("_k")).alias("hub"), "n", "sketch", "m", "other")
+    sides = sides.select("doc", (F.bitwise_not(F.col("_k"))).alias("hub"), "n", "sketch", "m", "other")
     near = sides.mapInArrow(_near_hubs(config), "doc long, hub long, near double")
-    picked = near.groupBy("doc").agg(F.max_by("hub", F.struct("near", (-F.col("hub")).alias("_h"))).alias("hub"))
+    picked = near.groupBy("doc").agg(F.max_by("hub", F.struct("near", (F.bitwise_not(F.col("hub"))).alias("_h"))).alias("hub"))
     picked = scratch.keep("picked", picked)
     slots = picked.groupBy("hub").agg(F.ceil(F.count("*") / 256).cast("int").alias("slots"))
     members = _flipped(picked, "hub", "doc").join(_flipped(slots, "hub", "slots"), "_k")
-    members = members.select((-F.col("_k")).alias("hub"), F.pmod(F.xxhash64("doc"), F.col("slots")).cast("int").alias("slot"), "doc")
+    members = members.select((F.bitwise_not(F.col("_k"))).alias("hub"), F.pmod(F.xxhash64("doc"), F.col("slots")).cast("int").alias("slot"), "doc")
     each = slots.select("hub", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("hub").alias("doc"))
     wanted = _flipped(members.union(each), "doc", "hub", "slot").join(_flipped(texts, "doc_id", "text"), "_k")
-    wanted = wanted.select("hub", "slot", (-F.col("_k")).alias("doc"), "text")
+    wanted = wanted.select("hub", "slot", (F.bitwise_not(F.col("_k"))).alias("doc"), "text")
     return scratch.keep("hub-links", wanted.groupBy("hub", "slot").applyInArrow(_confirm_hub(config), "a long, b long"))
 
 
@@ -359,8 +359,8 @@ def _band_links(texts: DataFrame, items: DataFrame, met: DataFrame, components:
     open_bands = scratch.keep("open-bands", open_bands.select("band", "docs", blocks.alias("blocks")))
     chunks = max(1, (open_bands.agg(F.sum("docs")).collect()[0][0] or 0) // (8 * config.block))
     # sketches join only the documents of bands that are still open
-    rows = _flipped(named, "band", "doc", "component").join(_flipped(open_bands, "band", "blocks"), "_k").select("doc", "component", "blocks", (-F.col("_k")).alias("band"))
-    rows = _flipped(rows, "doc", "component", "blocks", "band").join(_flipped(items, "doc", "n", "sketch"), "_k").withColumn("doc", -F.col("_k"))
+    rows = _flipped(named, "band", "doc", "component").join(_flipped(open_bands, "band", "blocks"), "_k").select("doc", "component", "blocks", (F.bitwise_not(F.col("_k"))).alias("band"))
+    rows = _flipped(rows, "doc", "component", "blocks", "band").join(_flipped(items, "doc", "n", "sketch"), "_k").withColumn("doc", F.bitwise_not(F.col("_k")))
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
@@ -375,7 +375,7 @@ def _band_links(texts: DataFrame, items: DataFrame, met: DataFrame, components:
     chunks = F.lit(max(1, weight // config.block_bytes))
     wanted = _flipped(marked, "doc", "low", "high", "side", "band", "component", "n", "sketch").join(_flipped(texts, "doc_id", "text"), "_k")
     chunk = F.when(F.col("low") >= 0, F.col("band")).otherwise(F.pmod(F.xxhash64("band"), chunks))
-    wanted = wanted.select(chunk.alias("chunk"), "low", "high", "side", "band", (-F.col("_k")).alias("doc"), "component", "n", "sketch", "text")
+    wanted = wanted.select(chunk.alias("chunk"), "low", "high", "side", "band", (F.bitwise_not(F.col("_k"))).alias("doc"), "component", "n", "sketch", "text")
     return scratch.keep("band-links", wanted.groupBy("chunk", "low", "high").applyInArrow(_confirm(config), "a long, b long"))
 
 
@@ -404,10 +404,10 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     banded = items.select("doc", "n", F.explode("bands").alias("band"))
     met = banded.groupBy("band").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("docs"), F.sum("n").alias("shingles")).where("first < last")
     met = _flipped(banded, "band", "doc").join(_flipped(met, "band", "first", "last", "docs", "shingles"), "_k")
-    met = scratch.keep("met", met.select((-F.col("_k")).alias("band"), "doc", "first", "last", "docs", "shingles"))
+    met = scratch.keep("met", met.select((F.bitwise_not(F.col("_k"))).alias("band"), "doc", "first", "last", "docs", "shingles"))
     # only documents that meet another send their texts on
     meeting = _flipped(met.select("doc").distinct(), "doc")
-    near = scratch.keep("texts", _flipped(texts, "doc_id", "text").join(meeting, "_k", "left_semi").select((-F.col("_k")).alias("doc_id"), "text"))
+    near = scratch.keep("texts", _flipped(texts, "doc_id", "text").join(meeting, "_k", "left_semi").select((F.bitwise_not(F.col("_k"))).alias("doc_id"), "text"))
     by_hub = _hub_links(near, items, met, scratch, config)
     by_band = _band_links(near, items, met, component_stars(by_hub, scratch, "clusters"), scratch, config)
     # rows of one id with different sets are one node
@@ -415,9 +415,9 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     split = some.select("doc_id", "h1", "h2").join(split, F.col("doc_id") == F.col("_d"), "left_semi").join(classes, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     linked = component_stars(by_hub.union(by_band).union(split), scratch, "links")
     named = classes.join(linked, classes.rep == linked.node, "left").select(
-        (-F.col("h1")).alias("_k1"), (-F.col("h2")).alias("_k2"), F.coalesce("component", "rep").alias("component_id")
+        (F.bitwise_not(F.col("h1"))).alias("_k1"), (F.bitwise_not(F.col("h2"))).alias("_k2"), F.coalesce("component", "rep").alias("component_id")
     )
-    by_class = some.select("doc_id", "n_shingles", (-F.col("h1")).alias("_k1"), (-F.col("h2")).alias("_k2")).join(named, ["_k1", "_k2"])
+    by_class = some.select("doc_id", "n_shingles", (F.bitwise_not(F.col("h1"))).alias("_k1"), (F.bitwise_not(F.col("h2"))).alias("_k2")).join(named, ["_k1", "_k2"])
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     rows = by_class.select("doc_id", "n_shingles", "component_id").union(alone)
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -430,9 +430,9 @@ def keep_one_of_each(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -
     text is kept; rows with a null doc_id all stay. An empty table gives an empty result.
     """
     found = near_duplicates(docs, config).where("kept and doc_id is not null")
-    found = found.groupBy((-F.col("doc_id")).alias("_k")).agg(F.count("*").alias("n"))
+    found = found.groupBy((F.bitwise_not(F.col("doc_id"))).alias("_k")).agg(F.count("*").alias("n"))
     # the document's columns stay inside a struct, so that no name of theirs meets one of ours
-    packed = docs.select(F.struct("*").alias("doc"), (-F.col("doc_id").cast("long")).alias("_k"), F.col("text").alias("_text"))
+    packed = docs.select(F.struct("*").alias("doc"), F.bitwise_not(F.col("doc_id").cast("long")).alias("_k"), F.col("text").alias("_text"))
     kept = packed.join(found, "_k")
     first = Window.partitionBy("_k").orderBy("_text", F.xxhash64("_text"))
     again = kept.where("n > 1").withColumn("_n", F.row_number().over(first)).where("_n = 1")

@@ -59,8 +59,17 @@ def test_typed_parts_leave_placeholders_and_records(spark):
     for a, name in zip(first.attachments, ("<|image_1|>", "<|audio_2|>", "<|document_3|>")):
         assert first.piece[a.offset :].startswith(name)
     assert second.loss and not first.loss
-    with pytest.raises(ValueError):
-        chat_format.format_turn("user", [{"type": "video"}], chat_format.ChatConfig())
+
+
+def test_odd_parts(spark):
+    """Null parts, unknown and empty types, and measures that are no lengths; numbers go on after them."""
+    kind = "conv_id long, turn long, role string, text string, parts array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
+    part = lambda t, **given: (t, *[given.get(k) for k in ("text", "ref", "width", "height", "seconds", "pages")])
+    odd = [None, part("video", ref="v"), part("", text="t"), part(None, text="u"), part("audio", seconds=float("nan")), part("audio", seconds=float("inf")), part("audio", seconds=-3.0), part("image", width=-5, height=0), part("document", pages=-1)]
+    rows = [(1, 0, "user", "", odd), (1, 1, "user", None, [None]), (1, 2, None, None, []), (1, 3, "user", "", [part("image", ref="i")])]
+    found = {r.turn: r for r in chat_format.format_turns(spark.createDataFrame(rows, kind)).collect()}
+    assert [(a.kind, a.tokens) for a in found[0].attachments] == [("other", 1)] + [("audio", 1)] * 3 + [("image", 1), ("document", 800)]
+    assert "tu" in found[0].piece and found[1].attachments == [] and "<|image_7|>" in found[3].piece
 
 
 def test_attachments_are_numbered_through_a_conversation_and_read_back(spark):

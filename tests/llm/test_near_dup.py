@@ -125,3 +125,21 @@ def test_short_texts_and_widths():
     sets = near_dup.shingle_sets(pa.array(["a b c", "A B", "a b", "a", "", None, "b a"]), 3)
     assert [len(s) for s in sets] == [1, 1, 1, 1, 0, 0, 1]
     assert np.array_equal(sets[1], sets[2]) and not np.array_equal(sets[2], sets[6])
+
+
+def test_ids_at_the_ends_of_their_range(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(low, "a b c d e f g"), (high, "a b c d e f g"), (0, "h i j k l m n"), (5, "a b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect()} == {(low, low), (high, low), (5, low), (0, 0)}
+    assert sorted(r.doc_id for r in near_dup.keep_one_of_each(docs).collect()) == [low, 0]
+
+
+def test_recall_of_linked_pairs(spark):
+    """Every pair that links by the rule shares a component, at both widths."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for width in (2, 5):
+        want = brute(list(texts.items()), width)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, near_dup.NearDupConfig(width=width)).collect()}
+        assert got == want and sum(i != c for i, (_, c) in want.items()) > 50

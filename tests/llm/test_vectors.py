@@ -159,3 +159,14 @@ def test_links_of_odd_vectors(odd_vectors):
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute_links(rows)
     assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
     assert metric_join.join_embeddings(odd_vectors.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dim", [8, 64])
+def test_thousands_of_links_by_the_registered_sizes(spark, dim):
+    """Clusters around many centres, with the default sizes: cells and shards follow the table."""
+    rng = np.random.default_rng(dim)
+    centres = rng.normal(size=(150, dim))
+    rows = [(i, [float(x) for x in np.float32(centres[i % 150] + rng.normal(size=dim) * 0.2 * (i % 3))]) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in metric_join.join_embeddings(frame).collect()), key=str)
+    assert got == brute_links(rows) and sum(x[1] for x in got) > 4_000
