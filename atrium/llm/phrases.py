@@ -90,25 +90,35 @@ class _Shard:
         self.parts, self.data = [], []
 
     def levels(self, longest: int, choose):
-        """For each length, the places and hashes of the phrases that ``choose`` lets through.
+        """For each language and length, the places, hashes and counts of the phrases that ``choose`` lets through.
 
-        ``choose(k, keys, at)`` gets the hashes of the windows at the places ``at`` and returns for distinct ones: their first
-        windows' numbers, their counts, whether they pass, and of each window which it is.
+        ``choose(lang, k, keys, counts)`` gets the language's number and the distinct hashes of windows of k words
+        with their counts, and returns which of them pass. One language is looked at after the other.
         """
-        at, keys = np.arange(len(self.hashes)), self.hashes
         live = np.zeros(len(self.hashes) + 1, bool)
-        for k in range(1, longest + 1):
-            if not len(at):
-                return
-            firsts, counts, passes, back = choose(k, keys, at)
-            yield k, at[firsts][passes], keys[firsts][passes], counts[passes]
-            good = passes[back]
-            at, keys = at[good], keys[good]
-            live[:] = False
-            live[at] = True
-            on = live[at + 1] & self.joined[at + k - 1]
-            at, keys = at[on], keys[on]
-            keys = _longer(keys, self.hashes[at + k])
+        for lang in range(len(self.langs)):
+            at = np.flatnonzero(self.code == lang)
+            keys = self.hashes[at]
+            for k in range(1, longest + 1):
+                if not len(at):
+                    break
+                distinct, counts = np.unique(keys, return_counts=True)
+                passes = choose(lang, k, distinct, counts)
+                distinct, counts = distinct[passes], counts[passes]
+                if not len(distinct):
+                    break
+                which = np.minimum(np.searchsorted(distinct, keys), len(distinct) - 1)
+                good = distinct[which] == keys
+                at, keys, which = at[good], keys[good], which[good]
+                first = np.empty(len(distinct), np.int64)
+                first[which[::-1]] = at[::-1]
+                del which, good
+                yield lang, k, first, distinct, counts
+                live[:] = False
+                live[at] = True
+                on = live[at + 1] & self.joined[at + k - 1]
+                at, keys = at[on], keys[on]
+                keys = _longer(keys, self.hashes[at + k])
 
     def phrases(self, firsts: np.ndarray, words: int) -> list[str]:
         """The phrases that start at the given words: lower-cased, with one space between words."""
@@ -130,12 +140,6 @@ def _lang_hash(lang: str) -> int:
     return int(textbuf.mix64(textbuf.word_hashes(raw, np.zeros(1, np.int64), np.array([len(raw)])) + _U(1))[0])
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First place and count of each distinct key, and of each key which it is."""
-    _, firsts, back, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    return firsts, counts, back
-
-
 def _shards(batches, flush: int):
     """Closed shards of about ``flush`` bytes from a task's batches, with each language's bytes in all texts and in the shard.
 
@@ -247,11 +251,7 @@ def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) ->
             # a hair below the exact bound, so that rounding loses no phrase
             least = np.maximum(1, np.ceil(support * size / np.maximum(total, 1) - 1e-6)).astype(np.int64)
 
-            def choose(k, keys, at):
-                firsts, counts, back = _distinct(keys)
-                return firsts, counts, counts >= least[shard.code[at[firsts]]], back
-
-            for _, _, keys, _ in shard.levels(longest, choose):
+            for _, _, _, keys, _ in shard.levels(longest, lambda lang, k, keys, counts: counts >= least[lang]):
                 yield pa.RecordBatch.from_arrays([pa.array(textbuf.as_signed(keys))], ["key"])
         textbuf.release_memory()
 
@@ -264,18 +264,13 @@ def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) ->
         def count(batches):
             for shard, _ in _shards(batches, flush):
 
-                def choose(k, keys, at):
-                    firsts, counts, back = _distinct(keys)
-                    passed = candidates if k >= low else frequent
-                    return firsts, counts, passed.value.passes(keys[firsts]), back
-
                 if low == 1:
                     words = np.bincount(shard.code, minlength=len(shard.langs))
                     yield _counted(shard.langs, [""] * len(words), [0] * len(words), words)
-                for k, at, _, times in shard.levels(high, choose):
+                for lang, k, at, _, times in shard.levels(high, lambda lang, k, keys, counts: (candidates if k >= low else frequent).value.passes(keys)):
                     for i in range(0, len(at) if k >= low else 0, 1 << 16):
                         some = at[i : i + (1 << 16)]
-                        yield _counted([shard.langs[c] for c in shard.code[some].tolist()], shard.phrases(some, k), [k] * len(some), times[i : i + (1 << 16)])
+                        yield _counted([shard.langs[lang]] * len(some), shard.phrases(some, k), [k] * len(some), times[i : i + (1 << 16)])
             textbuf.release_memory()
 
         counted = texts.mapInArrow(count, "lang string, phrase string, size int, f long")
