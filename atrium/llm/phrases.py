@@ -156,6 +156,7 @@ def _shards(batches, flush: int):
             shard.add(batch.column(0), batch.column(1))
         del held[:n], sizes[:n]
         shard.close()
+        textbuf.release_memory()
         return shard, weights
 
     def first(most: float) -> int:
@@ -262,8 +263,8 @@ def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) ->
         """Phrases of ``low`` to ``high`` words; ``frequent`` holds those of fewer words that reach the support."""
 
         def count(batches):
-            for shard, _ in _shards(batches, flush):
-
+            # counting adds up over any parts, so smaller ones do here
+            for shard, _ in _shards(batches, flush // 3):
                 if low == 1:
                     words = np.bincount(shard.code, minlength=len(shard.langs))
                     yield _counted(shard.langs, [""] * len(words), [0] * len(words), words)
