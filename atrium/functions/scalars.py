@@ -106,9 +106,17 @@ def due_class(due: Column, today: Column) -> Column:
     return F.when(days < 0, "overdue").when(days <= 3, "due_soon")
 
 
+@F.pandas_udf(StringType())
+def _nfkd(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+
+
 def slugify(name: Column) -> Column:
-    """Lower-case ASCII letters and digits joined by dashes; ``venue`` where none is left."""
-    plain = F.regexp_replace(F.lower(F.translate(name, "áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc")), "[^a-z0-9]+", "-")
+    """Lower-case ASCII letters and digits of the decomposed name, joined by dashes; ``venue`` where none is left.
+
+    Whatever is no such letter parts words, so the mark of a decomposed letter does too (``Café`` is ``cafe``, ``Éa`` is ``e-a``). No built-in decomposes.
+    """
+    plain = F.regexp_replace(F.lower(_nfkd(name)), "[^a-z0-9]+", "-")
     trimmed = F.regexp_replace(plain, "^-+|-+$", "")
     return F.when(F.length(trimmed) > 0, trimmed).otherwise("venue")
 

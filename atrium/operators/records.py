@@ -5,6 +5,10 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from atrium.functions import scalars
+from atrium.operators import numbering
+from atrium.scratch import Scratch
+
 
 def seconds(c: Column) -> Column:
     """Seconds since the epoch of a timestamp with or without time zone."""
@@ -90,9 +94,89 @@ def dedupe_requests(mutations: DataFrame) -> DataFrame:
 
 
 def revision_numbers(mutations: DataFrame) -> DataFrame:
-    """Accepted mutations of each version, numbered from 1 in order of (ts, event_id)."""
-    order = Window.partitionBy("version_id").orderBy("ts", "event_id")
-    return mutations.where("outcome = 'accepted'").withColumn("revision", F.row_number().over(order))
+    """Accepted mutations of each version, numbered from 1 in order of (ts, event_id); a version may have any number of them."""
+    return numbering.numbered(mutations.where("outcome = 'accepted'"), ["version_id"], ["ts", "event_id"], "revision")
+
+
+def judge_versions(rows: DataFrame) -> DataFrame:
+    """Compare-and-set of mutations against their comment's row version: ``comment_id, event_id, op, outcome, row_version, deleted``.
+
+    ``rows``: ``comment_id, at, event_id, op, expected, version, gone``; an ``op`` of ``state`` carries what is known from before
+    (``version``, 0 if there is no comment, and ``gone``) and comes first. A ``create`` of a comment that exists is ``exists``; any other
+    mutation is ``not_found`` without a comment, ``deleted`` on a tombstone, ``stale`` if it expects another version than the
+    present one, and else ``accepted``, which adds one. ``delete`` leaves a tombstone: the comment keeps its place and version. Rows of
+    a comment stream by in order of (at, event_id); a task holds the present comment's version only.
+    """
+
+    def run(batches):
+        held, version, gone = object(), 0, False
+        for batch in batches:
+            outcomes, versions, tombs = [], [], []
+            for comment, op, expected, known, tomb in zip(batch.comment_id, batch.op, batch.expected, batch.version, batch.gone):
+                if comment != held:
+                    held, version, gone = comment, 0, False
+                if op == "state":
+                    version, gone, outcome = int(known), bool(tomb), "state"
+                elif op == "create":
+                    outcome = "exists" if version else "accepted"
+                    version = version or 1
+                elif not version:
+                    outcome = "not_found"
+                elif gone:
+                    outcome = "deleted"
+                elif expected != version:
+                    outcome = "stale"
+                else:
+                    outcome, version, gone = "accepted", version + 1, op == "delete"
+                outcomes.append(outcome)
+                versions.append(version)
+                tombs.append(gone)
+            yield batch[["comment_id", "event_id", "op"]].assign(outcome=outcomes, row_version=versions, deleted=tombs)
+
+    dealt = rows.repartition("comment_id").sortWithinPartitions("comment_id", F.col("op") != "state", "at", "event_id")
+    columns = dealt.select("comment_id", "event_id", "op", F.coalesce("expected", F.lit(-1)).alias("expected"), F.coalesce("version", F.lit(0)).alias("version"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    return columns.mapInPandas(run, "comment_id long, event_id long, op string, outcome string, row_version long, deleted boolean")
+
+
+def unique_slugs(venues: DataFrame) -> DataFrame:
+    """``tenant_id, venue_id, slug`` where venues, in order of (created, venue_id), take their name's slug or the first free ``-2``, ``-3`` ...
+
+    ``venues``: ``tenant_id, venue_id, name, created``, whole numbers but for the name. ``b-k`` can be wanted by the rows of slug ``b``
+    that find ``b`` taken, and by the first row of slug ``b-k``; whoever comes first has it. So a slug's rows count up, skip
+    the numbers that such first rows took before them, and start at 2 where the bare form is gone. Slugs are placed by
+    the count of numbers at their end, as a slug needs only those shorter by one number. No slug's rows are held by one task.
+    """
+    scratch = Scratch(venues.sparkSession, "slugs")
+    key, time = ["tenant_id", "base"], F.struct("created", "venue_id")
+    named = venues.select("tenant_id", F.col("venue_id").cast("long").alias("venue_id"), F.col("created").cast("long").alias("created"), scalars.slugify(F.col("name")).alias("base"))
+    rows = scratch.keep("rows", numbering.numbered(named, key, ["created", "venue_id"], "i"))
+    number = "^(.+)-([2-9]|[1-9][0-9]{1,17})$"
+    firsts = rows.where("i = 1").select(*key, time.alias("t"))
+    rivals = firsts.where(F.col("base").rlike(number)).select("tenant_id", F.col("base").alias("rival"), F.regexp_extract("base", number, 1).alias("base"), F.regexp_extract("base", number, 2).cast("long").alias("k"), "t")
+    rivals = rivals.join(firsts.select(*key), key, "left_semi").withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("k")))
+    rivals = scratch.keep("rivals", rivals)
+    late = rivals.select("tenant_id", F.col("rival").alias("base")).where("false")
+    depth = F.size(F.split(F.regexp_extract("base", "((-([2-9]|[1-9][0-9]{1,17}))*)$", 1), "-")) - 1
+    out, most = [], rows.agg(F.max(depth)).collect()[0][0] or 0
+    none = F.expr("cast(array() as array<bigint>)")
+    for level in range(most + 1):
+        mine = rows.where(depth == level).join(late.withColumn("late", F.lit(1).cast("long")), key, "left").withColumn("i", F.col("i") + F.coalesce("late", F.lit(0))).drop("late")
+        # the row that would take k, after s skips, is the one that counts k - s
+        wanted = rivals.select(*key, F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("k") - F.col("r") + 1), F.col("k"))).alias("i")).distinct()
+        times = wanted.join(mine.select(*key, "i", time.alias("t")), [*key, "i"]).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("i", "t"))).alias("at"))
+        listed = rivals.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("rivals")).join(times, key)
+        row_at = lambda s, x: F.try_element_at("at", x["k"] - F.size(s))
+        skipped = F.aggregate("rivals", none, lambda s, x: F.when(F.coalesce(x["t"] < row_at(s, x), F.lit(False)), F.concat(s, F.array(x["k"]))).otherwise(s))
+        placed = mine.join(listed.select(*key, skipped.alias("skips")), key, "left")
+        before = F.filter(F.transform(F.coalesce("skips", none), lambda k, j: k - j), lambda x: x <= F.col("i"))
+        placed = scratch.keep(f"placed-{level}", placed.select("tenant_id", "venue_id", "created", "base", (F.col("i") + F.size(before)).alias("n")))
+        out.append(placed)
+        taken = placed.select("tenant_id", F.concat_ws("-", "base", F.col("n").cast("string")).alias("rival"), time.alias("by")).join(rivals.select("tenant_id", "rival", "t"), ["tenant_id", "rival"])
+        late = taken.where("by < t").select("tenant_id", F.col("rival").alias("base"))
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every.select("tenant_id", "venue_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))).alias("slug"))
 
 
 def lagging_clients(observed: DataFrame, applied: DataFrame) -> DataFrame:
@@ -234,9 +318,9 @@ def _resolved(path: Column, target: Column) -> tuple[Column, Column]:
     """A reference's path inside its package, and what is wrong with the reference."""
     folder = F.regexp_extract(path, "^(.*/)?[^/]*$", 1)
     clean = F.regexp_replace(F.regexp_replace(F.concat(folder, target), "(^|/)(\\./)+", "$1"), "//+", "/")
-    # as many parents as the folders before them; each replacement takes one away
-    for _ in range(8):
-        clean = F.regexp_replace(clean, "(^|/)(?!\\.\\./)[^/]+/\\.\\./", "$1")
+    # a parent takes away the folder before it; those that find none stay in front
+    step = lambda done, part: F.when((part == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("..")) != ".."), F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+    clean = F.array_join(F.aggregate(F.split(clean, "/"), F.expr("cast(array() as array<string>)"), step), "/")
     wrong = (
         F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), "external_reference")
         .when(target.rlike("^[/\\\\]"), "absolute_reference")

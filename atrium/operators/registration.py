@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from atrium.functions import scalars
+from atrium.operators import numbering
 
 
 def triangle_area(a: Column, b: Column, c: Column) -> Column:
@@ -131,3 +132,69 @@ def apply_transform(matrix: Column, x: Column, y: Column, z: Column) -> tuple[Co
     m = lambda k: F.element_at(matrix, k + 1)
     out = [m(r) * x + m(4 + r) * y + m(8 + r) * z + m(12 + r) for r in range(3)]
     return tuple(F.when(matrix.isNull(), same).otherwise(new) for same, new in zip((x, y, z), out))
+
+
+def octahedral(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """A direction folded on the octahedron: two signed 16-bit numbers. The lower half is folded over the diagonals."""
+    size = F.greatest(F.abs(x) + F.abs(y) + F.abs(z), F.lit(1.1920928955078125e-07))
+    u, v = x / size, y / size
+    sign = lambda c: F.when(c >= 0, 1.0).otherwise(-1.0)
+    folded = [F.when(z < 0, (1 - F.abs(b)) * sign(a)).otherwise(a) for a, b in ((u, v), (v, u))]
+    return tuple(F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)) * 32767).cast("int") for c in folded)
+
+
+def from_octahedral(a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """The unit direction of two folded numbers."""
+    u, v = a / F.lit(32767.0), b / F.lit(32767.0)
+    z = 1 - F.abs(u) - F.abs(v)
+    sign = lambda c: F.when(c >= 0, 1.0).otherwise(-1.0)
+    x, y = (F.when(z < 0, (1 - F.abs(q)) * sign(p)).otherwise(p) for p, q in ((u, v), (v, u)))
+    size = F.greatest(F.sqrt(x * x + y * y + z * z), F.lit(1.1920928955078125e-07))
+    return x / size, y / size, z / size
+
+
+def activation_gates(packages: DataFrame, levels: DataFrame, objects: DataFrame, context: DataFrame, floors: DataFrame, clusters: DataFrame, tolerance_m: float = 1.5, shift_m: float = 1.0, coherent_m: float = 1.0) -> DataFrame:
+    """What blocks a package from becoming a venue's view: ``venue_id, gate_order, code, subject, measured, band``.
+
+    ``packages``: ``venue_id, asset_version, integrity_verified, capability_profile``; ``levels``: ``venue_id, composite_id, level_key`` (empty: no
+    floor), ``plane_m, floor_id, floor_plane_m, ambiguous, verdict``; ``objects``: ``venue_id, composite_id, object_id, opaque``; ``context``:
+    ``venue_id, object_id`` of what the producer called contextual; ``floors``: ``venue_id, floor_id, p90_m, band_m, median_shift_m``; ``clusters``: ``venue_id,
+    floor_id, east_m, north_m, distance_m``. Package-wide gates come first, then those of levels, of the mapping, and of floors. A level
+    all of whose objects are contextual needs no floor; one without a plane is asked nothing more. A row's order within its venue
+    is fixed, so the same package gives the same list.
+    """
+    none = F.lit(None).cast("double")
+    blank = F.lit("")
+
+    def gate(rows: DataFrame, stage: int, within: int, code: str, subject, key, measured=none, band=none) -> DataFrame:
+        cast = lambda c: (c if not isinstance(c, float) else F.lit(c)).cast("double")
+        return rows.select("venue_id", F.lit(stage).alias("_s"), key.cast("string").alias("_k"), F.lit(within).alias("_w"), subject.cast("string").alias("subject"), F.lit(code).alias("code"), cast(measured).alias("measured"), cast(band).alias("band"))
+
+    marked = objects.join(context.distinct().withColumn("_known", F.lit(True)), ["venue_id", "object_id"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    about = marked.groupBy("venue_id", "composite_id").agg(F.bool_and("_known").alias("_context"))
+    keyed = levels.where("level_key <> ''").join(about, ["venue_id", "composite_id"], "left").where("not coalesce(_context, true)")
+    loose = marked.where("opaque and not _known").join(levels.where("level_key = ''").select("venue_id", "composite_id"), ["venue_id", "composite_id"], "left_semi")
+    level, flat = F.col("composite_id"), keyed.where("plane_m is not null")
+    order = Window.partitionBy("venue_id").orderBy("plane_m", "composite_id")
+    placed = levels.where("plane_m is not null and floor_plane_m is not null").withColumn("_below", F.lag("floor_plane_m").over(order))
+    spread = levels.where("plane_m is not null and floor_id is not null").groupBy("venue_id", "floor_id").agg((F.max("plane_m") - F.min("plane_m")).alias("spread"))
+    asset, floor = F.col("asset_version"), F.col("floor_id")
+    place = F.concat(floor, F.lit(" @ "), F.round("east_m").cast("bigint").cast("string"), F.lit(","), F.round("north_m").cast("bigint").cast("string"))
+    found = [
+        gate(packages.where("not integrity_verified"), 0, 0, "integrityUnresolved", asset, blank),
+        gate(packages.where("capability_profile is null"), 0, 1, "capabilityProfileMissing", asset, blank),
+        gate(loose, 1, 0, "unclassifiedOpaqueContent", F.col("object_id"), level),
+        gate(keyed.where("plane_m is null"), 1, 1, "levelPlaneUnresolved", level, level),
+        gate(flat.where("floor_id is null"), 1, 2, "levelNotMapped", level, level),
+        gate(flat.where("verdict = 'contradicts'"), 1, 3, "levelLabelContradiction", level, level),
+        gate(levels.where("ambiguous"), 2, 0, "levelMappingAmbiguous", level, level, band=tolerance_m),
+        gate(placed.where("floor_plane_m < _below"), 3, 0, "levelMappingScrambled", level, F.format_string("%020.6f", F.col("plane_m") + 1e9), F.col("floor_plane_m"), F.col("_below")),
+        gate(spread.where(F.col("spread") > tolerance_m), 4, 0, "levelMappingCollapsed", floor, floor, F.col("spread"), tolerance_m),
+        gate(floors.where("p90_m > band_m"), 5, 0, "registrationOutOfBand", floor, floor, F.col("p90_m"), F.col("band_m")),
+        gate(floors.where(F.col("median_shift_m") > shift_m), 5, 1, "coherentShiftOutOfBand", floor, floor, F.col("median_shift_m"), shift_m),
+        gate(clusters, 5, 2, "coherentResidual", place, floor, F.col("distance_m"), coherent_m),
+    ]
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return numbering.numbered(every, ["venue_id"], ["_s", "_k", "_w", "subject", "measured"], "gate_order").select("venue_id", "gate_order", "code", "subject", "measured", "band")

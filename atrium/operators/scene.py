@@ -240,3 +240,29 @@ def render_projection(features: DataFrame, levels: DataFrame) -> DataFrame:
     order = Window.partitionBy("venue_id", "ordinal", "feature_id").orderBy("_rank", "_level", "pos")
     once = context.unionByName(here).withColumn("_n", F.row_number().over(order)).where("_n = 1")
     return once.select("venue_id", "ordinal", "feature_id", "shape", "restricted", "color")
+
+
+def project_primitives(primitives: DataFrame, confidence: DataFrame, locators: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Primitives with what their references name, and the references that name nothing.
+
+    ``primitives``: ``scene_id, primitive_id, role, level_id, occlusion, feature_id, conveyance, confidence_ref, locator_refs, evidence_refs`` (arrays of
+    places in the scene's registries); the registries: ``scene_id, ref`` with ``kind, value``, ``value``, and ``method, detail``. Lists
+    keep the order of the references; one that names nothing is left out and is a row ``scene_id, primitive_id, registry, place, ref`` (place from 0).
+    """
+    key = ["scene_id", "primitive_id"]
+
+    def follow(refs: str, registry: DataFrame, name: str, *values: str) -> tuple[DataFrame, DataFrame]:
+        spread = primitives.select(*key, F.posexplode(refs).alias("place", "ref"))
+        met = spread.join(registry.select("scene_id", "ref", F.struct(*values).alias("_v")), ["scene_id", "ref"], "left")
+        lists = met.where("_v is not null").groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "_v"))), lambda x: x["_v"]).alias(name))
+        return lists, met.where("_v is null").select(*key, F.lit(name).alias("registry"), "place", F.col("ref").cast("long").alias("ref"))
+
+    named = confidence.select("scene_id", F.col("ref").alias("confidence_ref"), F.struct("kind", "value").alias("confidence"))
+    rows = primitives.join(named, ["scene_id", "confidence_ref"], "left")
+    lost = rows.where("confidence is null").select(*key, F.lit("confidence").alias("registry"), F.lit(0).alias("place"), F.col("confidence_ref").cast("long").alias("ref"))
+    for refs, registry, name, values in (("locator_refs", locators, "source_object_ids", ("value",)), ("evidence_refs", evidence, "evidence", ("method", "detail"))):
+        lists, missing = follow(refs, registry, name, *values)
+        rows, lost = rows.join(lists, key, "left"), lost.unionByName(missing)
+    objects = F.transform(F.coalesce("source_object_ids", F.expr("cast(array() as array<struct<value:string>>)")), lambda x: x["value"])
+    proof = F.coalesce("evidence", F.expr("cast(array() as array<struct<method:string,detail:string>>)"))
+    return rows.select(*key, "role", "level_id", "occlusion", "confidence", "feature_id", "conveyance", objects.alias("source_object_ids"), proof.alias("evidence")), lost

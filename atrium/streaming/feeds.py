@@ -44,26 +44,39 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return _collected(stream.sparkSession, scratch.path("out"), StructType([*stream.schema, *StructType.fromDDL("_batch int")]))
 
 
-def fold_to_end(stream: DataFrame, name: str, step: Callable[[DataFrame, DataFrame], dict[str, DataFrame]], kinds: dict[str, str], state: str) -> dict[str, DataFrame]:
+def _last_batch(spark: SparkSession, folder: str) -> int | None:
+    """The highest number of the batches that were written whole under a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    done = [x.getPath().getName() for x in files.listStatus(path) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+    return max((int(n[2:]) for n in done if n[2:].isdigit()), default=None)
+
+
+def fold_to_end(stream: DataFrame, name: str, step: Callable[[DataFrame, DataFrame], dict[str, DataFrame]], kinds: dict[str, str], state: str, at: str | None = None) -> dict[str, DataFrame]:
     """Run a stream whose batches read the state that the batch before left, and return its tables.
 
     ``step(batch, state)`` gives the tables of ``kinds`` (name: schema), of which ``state`` replaces the one before. Batches are sorted
-    and joined by Spark, so no key's rows are held by one Python process.
+    and joined by Spark, so no key's rows are held by one Python process. With a folder ``at`` a later call goes on after the
+    last batch that an earlier one finished there; its tables hold the rows of all batches. The state is written last, and a batch that is
+    repeated replaces its rows.
     """
     spark = stream.sparkSession
     scratch = Scratch(spark, f"stream-{name}")
+    if at is not None:
+        scratch.root = at.rstrip("/")
 
     def write(batch: DataFrame, number: int) -> None:
         before = scratch.path(f"{state}/b-{number - 1:09d}")
         old = spark.read.schema(kinds[state]).parquet(before) if number else spark.createDataFrame([], kinds[state])
-        for key, frame in step(batch, old).items():
+        for key, frame in sorted(step(batch, old).items(), key=lambda x: x[0] == state):
             frame.write.mode("overwrite").parquet(scratch.path(f"{key}/b-{number:09d}"))
-        write.last = number
 
-    write.last = None
     stream.writeStream.option("checkpointLocation", scratch.path("checkpoint")).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     out = {key: _collected(spark, scratch.path(key), StructType.fromDDL(kind)) for key, kind in kinds.items() if key != state}
-    out[state] = spark.createDataFrame([], kinds[state]) if write.last is None else spark.read.schema(kinds[state]).parquet(scratch.path(f"{state}/b-{write.last:09d}"))
+    last = _last_batch(spark, scratch.path(state))
+    out[state] = spark.createDataFrame([], kinds[state]) if last is None else spark.read.schema(kinds[state]).parquet(scratch.path(f"{state}/b-{last:09d}"))
     return out
 
 
@@ -186,3 +199,23 @@ def retention_sweep(attachments: DataFrame, staged_hours: int, kept_days: int) -
     newest = attachments.schema["changed_at"].dataType.simpleString()
     kinds = {"expired": f"attachment_id {attachments.schema['attachment_id'].dataType.simpleString()}", "pending": f"{kind}, newest {newest}"}
     return fold_to_end(attachments, "retention", step, kinds, "pending")["expired"].distinct()
+
+
+def version_checks(mutations: DataFrame, at: str | None = None) -> dict[str, DataFrame]:
+    """Compare-and-set of mutations in a stream (see ``records.judge_versions``): ``out`` and the comments as they are, ``state``.
+
+    ``mutations``: ``comment_id, version_id, at, event_id, op, expected``. ``out`` has each one's outcome and the comment's row version after it;
+    ``state`` holds every comment, tombstones too, so a thread keeps its place. Batches follow one another in time. With ``at`` the
+    stream resumes.
+    """
+
+    def step(batch: DataFrame, old: DataFrame) -> dict[str, DataFrame]:
+        none = lambda kind: F.lit(None).cast(kind)
+        known = old.select("comment_id", none("double").alias("at"), none("long").alias("event_id"), F.lit("state").alias("op"), none("long").alias("expected"), F.col("row_version").alias("version"), F.col("deleted").alias("gone"))
+        fresh = batch.select("comment_id", "at", "event_id", "op", F.col("expected").cast("long").alias("expected"), F.lit(0).cast("long").alias("version"), F.lit(False).alias("gone"))
+        judged = records.judge_versions(known.unionByName(fresh))
+        state = judged.groupBy("comment_id").agg(F.max("row_version").alias("row_version"), F.bool_or("deleted").alias("deleted")).where("row_version > 0")
+        return {"out": judged.where("outcome <> 'state'").select("event_id", "comment_id", "outcome", "row_version", "deleted"), "state": state}
+
+    kinds = {"out": "event_id long, comment_id long, outcome string, row_version long, deleted boolean", "state": "comment_id long, row_version long, deleted boolean"}
+    return fold_to_end(mutations, "row-versions", step, kinds, "state", at)
