@@ -50,7 +50,22 @@ def near_segments(points: DataFrame, segments: DataFrame, reach_m: float | None)
 FIRST_M, GROWTH, FLOOR_M = 30.0, 4.0, 100_000.0
 
 
-def until_enough(points: DataFrame, shapes: DataFrame, k: int, find, *order) -> DataFrame:
+def first_reach(points: DataFrame, shapes: DataFrame, k: int, metres: Column | float) -> float:
+    """A reach in metres for a first look: where about ``k`` shapes are expected, and cells hold about as many shapes as points look into.
+
+    ``shapes`` has ``ax, ay, bx, by``, the corners of each one's box; ``metres`` is the length by which it fills its floor. Only sums over floors reach the driver.
+    """
+    width = scalars.haversine_m(F.col("w"), F.col("s"), F.col("e"), F.col("s"))
+    height = scalars.haversine_m(F.col("w"), F.col("s"), F.col("w"), F.col("n"))
+    boxes = shapes.groupBy("venue_id", "ordinal").agg(F.min(F.least("ax", "bx")).alias("w"), F.max(F.greatest("ax", "bx")).alias("e"), F.min(F.least("ay", "by")).alias("s"), F.max(F.greatest("ay", "by")).alias("n"), F.sum(metres if isinstance(metres, Column) else F.lit(metres)).alias("_long"))
+    area, long = boxes.agg(F.sum(width * height), F.sum("_long")).collect()[0]
+    n = points.count()
+    if not area or not long or not n:
+        return FIRST_M
+    return min(FIRST_M, max(0.5, k * area / long, (area / (9.0 * n)) ** 0.5))
+
+
+def until_enough(points: DataFrame, shapes: DataFrame, k: int, find, *order, first_m: float = FIRST_M) -> DataFrame:
     """The first ``k`` rows by ``order`` of ``find(points, reach_m)`` at a reach that holds so many shapes, or all of the floor's, for each point.
 
     ``find`` returns ``venue_id, point_id, shape_id`` and more, each pair once; ``shapes`` has ``venue_id, ordinal, shape_id``. The
@@ -59,7 +74,7 @@ def until_enough(points: DataFrame, shapes: DataFrame, k: int, find, *order) ->
     scratch = Scratch(points.sparkSession, "nearest")
     have = shapes.groupBy("venue_id", "ordinal").agg(F.countDistinct("shape_id").alias("_have"))
     rest = scratch.keep("rest-0", points.join(have, ["venue_id", "ordinal"]))
-    reach, turn, done = FIRST_M, 0, []
+    reach, turn, done = first_m, 0, []
     while True:
         first = Window.partitionBy("venue_id", "point_id").orderBy(*order)
         ranked = find(rest.drop("_have"), reach).withColumn("_first", F.row_number().over(first)).where(F.col("_first") <= k).drop("_first")
@@ -141,16 +156,41 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, reach_m: float | None = N
     """The ``k`` nearest nodes of the same floor, within ``reach_m`` where one is given; ties go to the smaller node id."""
     if reach_m is None:
         find = lambda rest, reach: _node_pairs(rest, nodes, reach).select("venue_id", "point_id", F.col("node_id").alias("shape_id"), "metres")
-        both = until_enough(points, nodes.select("venue_id", "ordinal", F.col("node_id").alias("shape_id")), k, find, "metres", "shape_id").withColumnRenamed("shape_id", "node_id")
+        at = nodes.select("venue_id", "ordinal", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
+        first = first_reach(points, at, k, 1.0) ** 0.5 if nodes.limit(1).count() else FIRST_M  # a node fills no length: areas, not widths, are compared
+        both = until_enough(points, nodes.select("venue_id", "ordinal", F.col("node_id").alias("shape_id")), k, find, "metres", "shape_id", first_m=max(0.5, first)).withColumnRenamed("shape_id", "node_id")
     else:
         both = nodes_within(points, nodes, reach_m)
     order = Window.partitionBy("venue_id", "point_id").orderBy("metres", "node_id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("venue_id", "point_id", "rank", "node_id", "metres")
 
 
+def _along(segments: DataFrame, cell: float) -> DataFrame:
+    """Segments in parts no longer than a cell on either axis, each with the cell of its middle.
+
+    A small file of segments makes many rows here, so they are dealt to all tasks first, by number: such a shuffle is not coalesced.
+    """
+    dealt = segments.repartition(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shape_id")
+    dealt = dealt.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))) / cell)).cast("int"))
+    dealt = dealt.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    middle = lambda a, b: F.floor((F.col(a) + (F.col(b) - F.col(a)) * ((F.col("_k") - 0.5) / F.col("_n"))) / cell).cast("bigint")
+    return dealt.withColumns({"cx": middle("ax", "bx"), "cy": middle("ay", "by")}).drop("_n", "_k")
+
+
+def _near_lines(points: DataFrame, segments: DataFrame, reach_m: float | None) -> DataFrame:
+    """Pairs of a point and a segment that may lie within reach; a pair may come more than once."""
+    if reach_m is None:
+        return points.join(segments, ["venue_id", "ordinal"])
+    pad_lat = reach_m / scalars.DEGREE_M * 1.01
+    pad_lon = F.lit(pad_lat) / F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + pad_lat)))
+    # half a cell more: a part reaches so far from its middle
+    look = points.withColumn("cx", F.explode(cells(F.col("lon"), pad_lon + pad_lat / 2, pad_lat))).withColumn("cy", F.explode(cells(F.col("lat"), F.lit(pad_lat * 1.5), pad_lat)))
+    return look.join(_along(segments, pad_lat), ["venue_id", "ordinal", "cx", "cy"]).drop("cx", "cy")
+
+
 def _on_lines(points: DataFrame, segments: DataFrame, reach_m: float | None) -> DataFrame:
     """For each point and line within reach: the nearest place on the line, by the share along its nearest segment in degrees."""
-    near = near_segments(points, segments, reach_m)
+    near = _near_lines(points, segments, reach_m)
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     size = dx * dx + dy * dy
     share = F.when(size > 2.220446049250313e-16, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("lon") - F.col("ax")) * dx + (F.col("lat") - F.col("ay")) * dy) / size))).otherwise(F.lit(0.0))
@@ -171,14 +211,17 @@ def snap_to_edges(points: DataFrame, segments: DataFrame, k: int = 3) -> DataFra
     """
     if "part" not in segments.columns:
         segments = segments.withColumn("part", F.lit(0))
-    shapes = segments.select("venue_id", "ordinal", "shape_id").distinct()
+    scratch = Scratch(points.sparkSession, "snap")
+    points, segments = scratch.keep("points", points), scratch.keep("segments", segments.select("venue_id", "ordinal", "shape_id", "part", "ax", "ay", "bx", "by"))
+    shapes = scratch.keep("shapes", segments.select("venue_id", "ordinal", "shape_id").distinct())
     by = (F.round("metres", 6), "shape_id")
-    here = until_enough(points, shapes, k, lambda rest, reach: _on_lines(rest, segments, reach), *by)
+    first = first_reach(points, segments, k, scalars.haversine_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    here = until_enough(points, shapes, k, lambda rest, reach: _on_lines(rest, segments, reach), *by, first_m=first)
     order = Window.partitionBy("venue_id", "point_id").orderBy(F.round("metres", 6), "shape_id")
     rank = lambda rows, n: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     # a floor without edges: all floors of the venue are one
     lost = points.join(shapes.select("venue_id", "ordinal").distinct(), ["venue_id", "ordinal"], "left_anti").withColumn("ordinal", F.lit(0.0))
-    anywhere = until_enough(lost, shapes.withColumn("ordinal", F.lit(0.0)), 1, lambda rest, reach: _on_lines(rest, segments.withColumn("ordinal", F.lit(0.0)), reach), *by)
+    anywhere = until_enough(lost, shapes.withColumn("ordinal", F.lit(0.0)), 1, lambda rest, reach: _on_lines(rest, segments.withColumn("ordinal", F.lit(0.0)), reach), *by, first_m=first)
     return rank(here, k).unionByName(rank(anywhere, 1)).select("venue_id", "point_id", "rank", "shape_id", "metres", "part", "share", "on_lon", "on_lat")
 
 
