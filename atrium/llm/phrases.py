@@ -317,6 +317,8 @@ def collocations(docs: DataFrame, config: PhraseConfig = PhraseConfig()) -> Data
     rows = frequent_phrases(docs, config)
     named = rows.where("size > 0").select("lang", "phrase", "size", "f")
     totals = rows.where("size = 0").select("lang", F.col("f").alias("n"))
+    if totals.count() <= _LANGS:  # one row for each language
+        totals = F.broadcast(totals)
     long = named.where("size > 1").withColumns({"words": F.split("phrase", " "), "a": F.col("f")})
 
     cut = long.select("lang", "phrase", "size", "a", "words", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
