@@ -27,16 +27,16 @@ def ring_segments(rings: DataFrame) -> DataFrame:
 CELL = 0.00025
 
 
-def near_segments(points: DataFrame, segments: DataFrame, reach_m: float | None) -> DataFrame:
+def near_segments(points: DataFrame, segments: DataFrame, reach_m: float | None, size: float = CELL) -> DataFrame:
     """Pairs of a point and a segment of its floor within ``reach_m`` (None: all of them); adds ``metres`` and ``share``.
 
-    Segments are dealt to every cell of their padded box, so a point looks in one cell only; cells grow with the reach.
+    Segments are dealt to every cell of their padded box, so a point looks in one cell only; cells are ``size`` degrees and grow with the reach.
     """
     metres, share = scalars.segment_offset(*[F.col(c) for c in ("lon", "lat", "ax", "ay", "bx", "by")])
     if reach_m is None:
         return points.join(segments, ["venue_id", "ordinal"]).withColumns({"metres": metres, "share": share})
     pad_lat = reach_m / scalars.DEGREE_M * 1.01
-    cell = max(CELL, pad_lat)
+    cell = max(size, pad_lat)
     pad_lon = F.lit(pad_lat) / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("ay"), F.abs("by")) + pad_lat)))
     grid = lambda low, high, pad: F.sequence(F.floor((low - pad) / cell).cast("bigint"), F.floor((high + pad) / cell).cast("bigint"))
     dealt = segments.withColumn("cx", F.explode(grid(F.least("ax", "bx"), F.greatest("ax", "bx"), pad_lon)))
