@@ -130,6 +130,32 @@ def reference_integrity(features: DataFrame, levels: DataFrame) -> DataFrame:
     return twice.union(lost)
 
 
+def venue_integrity(venues: DataFrame, features: DataFrame, levels: DataFrame) -> DataFrame:
+    """What keeps a venue from being whole, beside ``reference_integrity``: ``venue_id, code, subject``.
+
+    ``venues``: ``venue_id``, the id that names the venue's feature; ``features``: ``venue_id, feature_type, feature_id``; ``levels``: the listed ``venue_id, level_id``.
+    Codes: ``venue_count`` (not exactly one venue feature), ``venue_unnamed`` (none has the venue's id), ``duplicate_level`` (listed twice),
+    ``level_without_feature`` (listed only) and ``unlisted_level`` (a level feature that is not listed). Null ids have no row.
+    """
+    row = lambda rows, code, subject: rows.select("venue_id", F.lit(code).alias("code"), F.col(subject).alias("subject"))
+    own = features.where("feature_type = 'venue'").select("venue_id", "feature_id")
+    count = venues.select("venue_id").distinct().join(own.groupBy("venue_id").agg(F.count("*").alias("n")), "venue_id", "left").where(F.coalesce("n", F.lit(0)) != 1)
+    unnamed = venues.select("venue_id").distinct().join(own.where("feature_id = venue_id"), "venue_id", "left_anti")
+    listed = levels.where("level_id is not null").groupBy("venue_id", "level_id").agg(F.count("*").alias("n"))
+    drawn = features.where("feature_type = 'level' and feature_id is not null").select("venue_id", F.col("feature_id").alias("level_id")).distinct()
+    found = [
+        row(count, "venue_count", "venue_id"),
+        row(unnamed, "venue_unnamed", "venue_id"),
+        row(listed.where("n > 1"), "duplicate_level", "level_id"),
+        row(listed.join(drawn, ["venue_id", "level_id"], "left_anti"), "level_without_feature", "level_id"),
+        row(drawn.join(listed, ["venue_id", "level_id"], "left_anti"), "unlisted_level", "level_id"),
+    ]
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out
+
+
 def plane_answers(levels: DataFrame, planes: DataFrame) -> DataFrame:
     """Resolved plane of every level, or an explicit unknown row."""
     found = levels.select("venue_id", "level_id").join(planes.select("venue_id", "level_id", "height_mm"), ["venue_id", "level_id"], "left")

@@ -195,6 +195,26 @@ def reference_integrity(spark, folder):
     return resolve.reference_integrity(rows, fixture(spark, folder, "fx_levels").where("pos <> 7"))
 
 
+@query("venue_integrity", """
+    with v as (select distinct venue_id from fx_levels),
+    f as (select venue_id, feature_type, feature_id from fx_features where not (feature_type = 'level' and pos % 9 = 4) union all select venue_id, 'venue', venue_id from v where venue_id not in ('V2', 'V3') union all select venue_id, 'venue', venue_id || 'x' from v where venue_id in ('V1', 'V2')),
+    l as (select venue_id, level_id from fx_levels where pos <> 7 union all select venue_id, level_id from fx_levels where pos % 11 = 0),
+    n as (select v.venue_id, count(f.venue_id) as n, count(case when f.feature_id = v.venue_id then 1 end) as own from v left join f on f.venue_id = v.venue_id and f.feature_type = 'venue' group by 1)
+    select venue_id, 'venue_count' as code, venue_id as subject from n where n <> 1
+    union all select venue_id, 'venue_unnamed', venue_id from n where own = 0
+    union all select venue_id, 'duplicate_level', level_id from l group by 1, 3 having count(*) > 1
+    union all select distinct venue_id, 'level_without_feature', level_id from l where not exists (select 1 from f where f.venue_id = l.venue_id and f.feature_type = 'level' and f.feature_id = l.level_id)
+    union all select venue_id, 'unlisted_level', feature_id from f where feature_type = 'level' and not exists (select 1 from l where l.venue_id = f.venue_id and l.level_id = f.feature_id)""")
+def venue_integrity(spark, folder):
+    """Some level features and list entries are left out or doubled, and three venues have no feature of their name or two features."""
+    levels = fixture(spark, folder, "fx_levels")
+    venues = levels.select("venue_id").distinct()
+    made = venues.where("venue_id not in ('V2', 'V3')").selectExpr("venue_id", "'venue' as feature_type", "venue_id as feature_id").union(venues.where("venue_id in ('V1', 'V2')").selectExpr("venue_id", "'venue'", "concat(venue_id, 'x')"))
+    rows = fixture(spark, folder, "fx_features").where("not (feature_type = 'level' and pos % 9 = 4)").select("venue_id", "feature_type", "feature_id").union(made)
+    listed = levels.where("pos <> 7").union(levels.where("pos % 11 = 0")).select("venue_id", "level_id")
+    return resolve.venue_integrity(venues, rows, listed)
+
+
 def shapes(spark, folder):
     units = fixture(spark, folder, "fx_units")
     edge = lambda base, c: (F.lit(base) + F.col(c)) / F.lit(200000.0)
