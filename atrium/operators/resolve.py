@@ -23,6 +23,22 @@ def feature_warnings(levels: DataFrame) -> DataFrame:
     return levels.select("venue_id", "level_id", F.explode(F.array_compact(codes)).alias("code"))
 
 
+#: Feature types that should have a display point.
+POINTED = ("unit", "opening", "amenity", "kiosk", "occupant")
+
+
+def shape_warnings(features: DataFrame) -> DataFrame:
+    """Levels without a geometry and features of ``POINTED`` types without a display point: ``venue_id, feature_id, code``.
+
+    ``features``: ``venue_id, feature_id, feature_type, has_geometry, point_lon, point_lat``. A null ``has_geometry`` is false; a point with a
+    coordinate that is null or not finite is none. Repeated rows are warned of each.
+    """
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    level = F.when((F.col("feature_type") == "level") & ~F.coalesce("has_geometry", F.lit(False)), F.lit("missing_level_geometry"))
+    point = F.when(F.col("feature_type").isin(*POINTED) & ~(fine("point_lon") & fine("point_lat")), F.lit("missing_display_point"))
+    return features.select("venue_id", "feature_id", F.coalesce(level, point).alias("code")).where("code is not null")
+
+
 def resolve_levels(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Level of every feature by its own reference, its unit, its anchor's unit, then its first usable unit.
 

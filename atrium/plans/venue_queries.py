@@ -151,6 +151,17 @@ def feature_warnings(spark, folder):
     return resolve.feature_warnings(levels.withColumn("labels", labels))
 
 
+@query("shape_warnings", """
+    select venue_id, feature_id, case when feature_type = 'level' then 'missing_level_geometry' else 'missing_display_point' end as code from fx_features f
+    where (feature_type = 'level' and not exists (select 1 from fx_units u where u.venue_id = f.venue_id and u.level_id = f.feature_id and u.category = 'elevator'))
+       or (feature_type in ('unit', 'occupant', 'amenity') and (lon is null or pos % 17 = 0))""")
+def shape_warnings(spark, folder):
+    """Levels count as drawn where they have a lift; every seventeenth point is not a number."""
+    drawn = fixture(spark, folder, "fx_units").where("category = 'elevator'").select("venue_id", F.col("level_id").alias("feature_id")).distinct().withColumn("has_geometry", F.lit(True))
+    rows = fixture(spark, folder, "fx_features").join(drawn, ["venue_id", "feature_id"], "left")
+    return resolve.shape_warnings(rows.select("venue_id", "feature_id", "feature_type", "has_geometry", F.when(F.col("pos") % 17 == 0, float("nan")).otherwise(F.col("lon")).alias("point_lon"), F.col("lat").alias("point_lat")))
+
+
 def features(spark, folder):
     return fixture(spark, folder, "fx_features").withColumn("unit_refs", F.when(F.col("unit_refs").isNotNull(), F.split("unit_refs", ",")))
 
