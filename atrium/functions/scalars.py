@@ -204,6 +204,31 @@ def semantic_role(category: Column) -> Column:
     return F.coalesce(*[F.when(low.contains(needle), role) for needle, role in ROLE_RULES], F.lit("context"))
 
 
+#: Unit categories of each role; matched whole, any other is public.
+UNIT_ROLES = {
+    "elevator": ("elevator",),
+    "escalator": ("escalator",),
+    "stairs": ("stairs", "steps"),
+    "ramp": ("ramp", "movingwalkway"),
+    "walkable": ("walkway", "pedestrian", "concourse", "corridor", "lobby", "plaza", "footbridge", "parkingcirculation", "platform", "walkwayisland"),
+    "service": ("office", "mechanicalroom", "electricalroom", "serverroom", "storage", "structure", "utilityroom", "serviceyard", "loadingdock", "phoneroom", "smokingarea", "laboratory", "kitchen"),
+    "restricted": ("nonpublic", "restricted", "unenclosedarea", "road", "parking", "driveway"),
+}
+
+
+def primitive_role(kind: Column, feature_type: Column, category: Column) -> Column:
+    """Role of a scene primitive from its kind and the feature that it stands for (null: none).
+
+    A conveyance has a transport role only if the unit's category names one; a surface of a level, or without a category, is context.
+    An unknown or null kind gives null.
+    """
+    of = lambda *roles: F.coalesce(*[F.when(category.isin(*UNIT_ROLES[r]), r) for r in roles])
+    surface = F.when(feature_type.isNull() | (feature_type == "level") | category.isNull(), "context").otherwise(F.coalesce(of(*UNIT_ROLES), F.lit("public")))
+    moving = F.coalesce(F.when(feature_type.isNotNull(), of("elevator", "escalator", "stairs", "ramp")), F.lit("conveyance"))
+    plain = F.when(kind == "wall", "structure").when(kind == "ceiling", "ceiling").when(kind == "portal", "opening")
+    return F.coalesce(plain, F.when(kind == "conveyance", moving).when(kind == "surface", surface))
+
+
 def occlusion_class(role: Column) -> Column:
     return F.when(role == "ceiling", "protected_corridor").when(role.isin("structure", "context"), "context").otherwise("never")
 

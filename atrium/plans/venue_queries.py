@@ -151,6 +151,26 @@ def feature_warnings(spark, folder):
     return resolve.feature_warnings(levels.withColumn("labels", labels))
 
 
+PRIMITIVE_COLUMNS = (
+    "case k % 7 when 0 then 'wall' when 1 then 'ceiling' when 2 then 'portal' when 3 then 'conveyance' when 6 then 'other' else 'surface' end as kind",
+    "case when k % 11 = 0 then null when k % 13 = 0 then 'level' else 'unit' end as feature_type",
+    "case k % 9 when 0 then 'steps' when 1 then 'kitchen' when 2 then 'parking' when 3 then 'kiosk' when 4 then 'movingwalkway' when 5 then 'walkwayisland' else category end as named",
+)
+PRIMITIVES = ", ".join(PRIMITIVE_COLUMNS)
+
+
+@query("primitive_roles", f"""
+    select unit_id, case when kind = 'wall' then 'structure' when kind = 'ceiling' then 'ceiling' when kind = 'portal' then 'opening' when kind = 'other' then null
+      when kind = 'conveyance' then case when feature_type is null then 'conveyance' when named in ('elevator', 'escalator', 'stairs') then named when named = 'steps' then 'stairs' when named = 'movingwalkway' then 'ramp' else 'conveyance' end
+      when feature_type is null or feature_type = 'level' or named is null then 'context'
+      when named in ('elevator', 'escalator', 'stairs') then named when named = 'steps' then 'stairs' when named = 'movingwalkway' then 'ramp'
+      when named in ('walkway', 'corridor', 'walkwayisland') then 'walkable' when named = 'kitchen' then 'service' when named = 'parking' then 'restricted' else 'public' end as role
+    from (select unit_id, {PRIMITIVES} from fx_units)""")
+def primitive_roles(spark, folder):
+    rows = fixture(spark, folder, "fx_units").selectExpr("unit_id", *PRIMITIVE_COLUMNS)
+    return rows.select("unit_id", scalars.primitive_role(F.col("kind"), F.col("feature_type"), F.col("named")).alias("role"))
+
+
 @query("shape_warnings", """
     select venue_id, feature_id, case when feature_type = 'level' then 'missing_level_geometry' else 'missing_display_point' end as code from fx_features f
     where (feature_type = 'level' and not exists (select 1 from fx_units u where u.venue_id = f.venue_id and u.level_id = f.feature_id and u.category = 'elevator'))
