@@ -3,7 +3,7 @@
 A phrase that reaches a support over all texts reaches, in some shard, the support lowered in proportion to
 the shard's part of its language. The first pass mines every shard completely at that lowered support, level by
 level: a phrase of k words is looked at only where both of its parts of k - 1 words are
-frequent in the shard. The union of what the shards find goes into a Bloom filter of bounded size. The second pass counts
+frequent in the shard. The union of what the shards find goes into a Bloom filter of bounded size. A second pass counts
 every phrase that the filter lets through over all texts, by the phrase itself, so hashes decide nothing but what is looked
 at: the filter never refuses a candidate, and what it lets through by chance falls short of the support.
 
@@ -238,29 +238,34 @@ def _weighed(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) -> DataFrame:
     """Exact counts of all phrases of 1 to ``longest`` words that reach the support: ``lang``, ``phrase``, ``size``, ``f``.
 
-    A row with ``size`` 0 for each language holds all its words' occurrences. Words and pairs are counted first; longer
-    phrases are then looked at only where all their pairs reach the support over all texts.
+    A row with ``size`` 0 for each language holds all its words' occurrences. Words and pairs are mined and counted first; longer
+    phrases are then mined and counted only where all their pairs reach the support over all texts.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "phrases")
     texts = _weighed(docs, scratch)
     support, longest, flush = config.support, config.longest, config.flush
 
-    def mine(batches):
-        for shard, weights in _shards(batches, flush):
-            total, size = (np.array([weights[x][k] for x in shard.langs], np.float64) for k in (0, 1))
-            # a hair below the exact bound, so that rounding loses no phrase
-            least = np.maximum(1, np.ceil(support * size / np.maximum(total, 1) - 1e-6)).astype(np.int64)
+    def mined(name: str, low: int, high: int, frequent):
+        """A filter of the phrases of ``low`` to ``high`` words that reach the lowered support in some shard."""
 
-            for _, _, _, keys, _ in shard.levels(longest, lambda lang, k, keys, counts: counts >= least[lang]):
-                yield pa.RecordBatch.from_arrays([pa.array(textbuf.as_signed(keys))], ["key"])
-        textbuf.release_memory()
+        def mine(batches):
+            for shard, weights in _shards(batches, flush):
+                total, size = (np.array([weights[x][k] for x in shard.langs], np.float64) for k in (0, 1))
+                # a hair below the exact bound, so that rounding loses no phrase
+                least = np.maximum(1, np.ceil(support * size / np.maximum(total, 1) - 1e-6)).astype(np.int64)
+
+                for _, k, _, keys, _ in shard.levels(high, lambda lang, k, keys, counts: counts >= least[lang] if k >= low else frequent.value.passes(keys)):
+                    if k >= low:
+                        yield pa.RecordBatch.from_arrays([pa.array(textbuf.as_signed(keys))], ["key"])
+            textbuf.release_memory()
 
-    found = scratch.keep("candidates", texts.mapInArrow(mine, "key long"))
-    candidates = spark.sparkContext.broadcast(_filter_of(found, config.filter_bits))
+        found = scratch.keep(f"candidates-{name}", texts.mapInArrow(mine, "key long"))
+        return spark.sparkContext.broadcast(_filter_of(found, config.filter_bits))
 
     def counts(name: str, low: int, high: int, frequent) -> DataFrame:
         """Phrases of ``low`` to ``high`` words; ``frequent`` holds those of fewer words that reach the support."""
+        candidates = mined(name, low, high, frequent)
 
         def count(batches):
             # counting adds up over any parts, so smaller ones do here
