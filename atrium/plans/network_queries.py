@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from atrium.functions import scalars
-from atrium.operators import graph, network
+from atrium.operators import graph, network, travel
 from atrium.plans.fixtures import fixture, oracle
 
 QUERIES: dict = {}
@@ -283,3 +285,47 @@ def shortest_paths(spark, folder):
     later = F.lead("node_id", 20).over(Window.partitionBy("venue_id").orderBy("ordinal", "rn"))
     pairs = nodes.select(F.col("node_id").alias("od_id"), "venue_id", F.col("node_id").alias("source"), later.alias("target"))
     return graph.shortest_paths(directed(edges), pairs.where("target is not null")).select("od_id", "cost")
+
+
+#: Edges open at ten in the morning, and what closes more to a wheelchair or to walkers, in SQL.
+AT_TEN = """barrier = 0 and (start_minute < 0 or end_minute < 0 or (start_minute <= end_minute and 600 >= start_minute and 600 < end_minute)
+      or (start_minute > end_minute and (600 >= start_minute or 600 < end_minute)))"""
+WHEELED = f"{AT_TEN} and coalesce(vertical, '') not in ('stairs', 'escalator') and coalesce(clearance, 9) >= 0.8 and order_key % 11 <> 0"
+WALKED = f"{AT_TEN} and gate = 0"
+
+
+def travel_sql(passable: str, ahead: int) -> str:
+    """Ways over passable edges from each node to the one that stands ``ahead`` places after it in its venue."""
+    return f"""{CLEAN}, passable as (select * from good_edges where {passable}),
+    links as (select venue_id, a, b, s.w, s.e from (select venue_id, a, b, min({{'w': w, 'e': e}}) as s from (select venue_id, from_id as a, to_id as b, cast(cost as double) as w, path_id as e from passable where coalesce(direction, 0) <> 2
+              union all select venue_id, to_id, from_id, cast(cost as double), path_id from passable where coalesce(direction, 0) <> 1) where a <> b group by 1, 2, 3)),
+    asked as (select * from (select node_id as od_id, venue_id, node_id as source, lead(node_id, {ahead}) over (partition by venue_id order by ordinal, rn) as target from good_nodes) where target is not null),
+    walk(od_id, venue_id, node, s) using key (od_id, venue_id, node) as (
+      select od_id, venue_id, source, {{'c': 0e0, 'o': cast(-1 as bigint), 'h': 0, 'p': cast(-1 as bigint)}} from asked
+      union select n.od_id, n.venue_id, n.b, min(n.s) from (select w.od_id, w.venue_id, t.b, {{'c': w.s.c + t.w, 'o': case when w.s.h = 0 then t.e else w.s.o end, 'h': w.s.h + 1, 'p': w.node}} as s from walk w join links t on t.venue_id = w.venue_id and t.a = w.node) n
+            left join recurring.walk r on r.od_id = n.od_id and r.venue_id = n.venue_id and r.node = n.b where r.s is null or n.s < r.s group by 1, 2, 3)"""
+
+
+def travelled(spark, folder, profile, ahead):
+    """The same of a profile at ten in the morning."""
+    from pyspark.sql import Window
+
+    nodes, paths = clean(spark, folder)
+    edges = paths.withColumns({"edge_id": F.col("path_id"), "accessible_only": F.col("gate") == 1, "barrier": F.col("barrier") == 1, "wheelchair": F.col("order_key") % 11 != 0})
+    later = F.lead("node_id", ahead).over(Window.partitionBy("venue_id").orderBy("ordinal", "rn"))
+    pairs = nodes.select(F.col("node_id").alias("od_id"), "venue_id", F.col("node_id").alias("source"), later.alias("target"))
+    return travel.settled_paths(edges, pairs.where("target is not null"), replace(profile, at_minute=600))
+
+
+@query("profile_paths", f"""with recursive {travel_sql(WHEELED, 3)}
+    select a.od_id, w.s.c as cost, w.s.h as hops, case when w.s.o >= 0 then w.s.o end as first_edge from asked a left join walk w on w.od_id = a.od_id and w.node = a.target""")
+def profile_paths(spark, folder):
+    return travelled(spark, folder, travel.WHEELCHAIR, 3)[0]
+
+
+@query("profile_path_steps", f"""with recursive {travel_sql(WALKED, 20)},
+    way(od_id, venue_id, node, s) as (select w.* from walk w join asked a on w.od_id = a.od_id and w.node = a.target
+      union all select w.* from way y join walk w on w.od_id = y.od_id and w.node = y.s.p where y.s.h > 0)
+    select y.od_id, y.s.h as position, y.node, t.e as edge_id from way y left join links t on t.venue_id = y.venue_id and t.a = y.s.p and t.b = y.node""")
+def profile_path_steps(spark, folder):
+    return travelled(spark, folder, travel.WALKING, 20)[1]
