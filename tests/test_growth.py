@@ -44,3 +44,10 @@ def same_as_sql(spark, folder, name):
 
 def test_near_wall_keeps_vertices_at_the_place_of_a_lock(spark, copies):
     same_as_sql(spark, copies, "near_wall")
+
+
+def test_paths_join_by_place_in_their_venue(spark):
+    """The join that finds a path's end has all its keys: its plan meets no node but the one looked for."""
+    plan = fixtures.fixture(spark, SOURCE, "fx_paths")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "rn#" in line]
+    assert joins and not any(" OR " in line or "||" in line for line in joins)
