@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from atrium.functions import scalars
 from atrium.operators import spatial
 from atrium.operators.registration import project_local_mm
+from atrium.scratch import Scratch
 
 
 def conveyance_links(units: DataFrame, segments: DataFrame, links: DataFrame) -> DataFrame:
@@ -83,10 +84,22 @@ def residuals(samples: DataFrame, segments: DataFrame, carve_m: float = 1.0, cel
             at = at.where(F.col("residual_m") <= reach)
         return at.groupBy(*key, "sample_id").agg(F.min(F.struct("residual_m", "dx", "dy")).alias("b")).select(*key, "sample_id", "b.*")
 
-    # one round near the walls, one over the floor for what is left
-    close = nearest(samples, cell_m)
-    rest = samples.join(close.select(*key, "sample_id"), [*key, "sample_id"], "left_anti")
-    measured = close.unionByName(nearest(rest, None))
+    # the reach grows for the samples that have no edge yet; a level without any has nothing to find
+    scratch = Scratch(samples.sparkSession, "residuals")
+    rest = scratch.keep("rest-0", samples.join(segments.select(*key).distinct(), key, "left_semi"))
+    reach, turn, done = cell_m, 0, []
+    while True:
+        done.append(scratch.keep(f"found-{turn}", nearest(rest, reach)))
+        if reach is None:
+            break
+        turn += 1
+        rest = scratch.keep(f"rest-{turn}", rest.join(done[-1].select(*key, "sample_id"), [*key, "sample_id"], "left_anti"))
+        if not rest.limit(1).count():
+            break
+        reach = reach * spatial.GROWTH if reach * spatial.GROWTH <= spatial.FLOOR_M else None
+    measured = done[0]
+    for found in done[1:]:
+        measured = measured.unionByName(found)
     rows = samples.join(measured, [*key, "sample_id"], "left")
     # a ray to the east from the samples that only the rings can save
     open_rows = rows.where(F.col("residual_m") > carve_m).select(*key, "sample_id", "x", "y", F.floor(F.col("y") / cell_m).cast("bigint").alias("cy"))

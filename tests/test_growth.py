@@ -51,3 +51,15 @@ def test_paths_join_by_place_in_their_venue(spark):
     plan = fixtures.fixture(spark, SOURCE, "fx_paths")._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join Inner" in line and "rn#" in line]
     assert joins and not any(" OR " in line or "||" in line for line in joins)
+
+
+def test_residuals_far_from_walls_search_by_cells(spark):
+    """No join of samples and segments by level alone, and the distance is right however far the wall is."""
+    from atrium.operators import scene
+
+    samples = spark.createDataFrame([("v", "a", 1, 0.5, 0.0), ("v", "a", 2, 0.0, 90.0), ("v", "a", 3, 70000.0, 0.0), ("v", "a", 4, 250000.0, 0.0), ("v", "b", 5, 0.0, 0.0)], "venue_id string, level_key string, sample_id long, x double, y double")
+    walls = spark.createDataFrame([("v", "a", -1.0, 0.0, 0.0, 0.0), ("v", "a", 0.0, 0.0, 0.0, -1.0)], "venue_id string, level_key string, ax double, ay double, bx double, by double")
+    found = scene.residuals(samples, walls, carve_m=1e9)
+    assert {r.sample_id: r.residual_m for r in found.collect()} == {1: 0.5, 2: 90.0, 3: 70000.0, 4: 250000.0, 5: None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join Inner" in line and line.count("level_key#") and not any(c in line for c in ("cx#", "cy#", "sample_id#"))]
