@@ -63,3 +63,22 @@ def test_residuals_far_from_walls_search_by_cells(spark):
     assert {r.sample_id: r.residual_m for r in found.collect()} == {1: 0.5, 2: 90.0, 3: 70000.0, 4: 250000.0, 5: None}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join Inner" in line and line.count("level_key#") and not any(c in line for c in ("cx#", "cy#", "sample_id#"))]
+
+
+def test_nearest_nodes_search_once_from_a_place(spark, monkeypatch):
+    """A hundred points and a thousand nodes at two places: no more than ``k`` nodes of a place meet one point of a place."""
+    from atrium.operators import spatial
+
+    real, sizes = spatial._node_pairs, []
+
+    def spied(points, nodes, reach_m):
+        sizes.append(points.count() * nodes.count())
+        return real(points, nodes, reach_m)
+
+    monkeypatch.setattr(spatial, "_node_pairs", spied)
+    points = spark.range(100).selectExpr("'v' as venue_id", "0d as ordinal", "id as point_id", "139.7d as lon", "35.6d as lat")
+    nodes = spark.range(1000).selectExpr("'v' as venue_id", "0d as ordinal", "1000 - id as node_id", "139.7d + (id % 2) * 0.00001d as lon", "35.6d as lat")
+    for reach in (8.0, None):
+        got = spatial.nearest_nodes(points, nodes, reach, 3).groupBy("point_id").agg({"node_id": "collect_list"}).collect()
+        assert len(got) == 100 and all(sorted(r[1]) == [2, 4, 6] for r in got)
+    assert sizes and max(sizes) <= 6
