@@ -33,7 +33,7 @@ def mutations(spark, folder):
 
 @query("stream_dedupe_requests", f"with {DEDUPED} select event_id, outcome from out")
 def stream_dedupe_requests(spark, folder):
-    return feeds.run_to_end(feeds.dedupe_requests(mutations(spark, folder)), "dedupe").drop("_batch")
+    return feeds.dedupe_requests(mutations(spark, folder))
 
 
 @query("stream_revision_feed", "select version_id, event_id, row_number() over (partition by version_id order by ts, event_id) as revision from fx_mutations where op <> 'patch'")

@@ -7,11 +7,9 @@ late rows where an operator has a watermark; it is never dropped in silence.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from atrium.operators import records
@@ -81,20 +79,31 @@ def fold_to_end(stream: DataFrame, name: str, step: Callable[[DataFrame, DataFra
 
 
 def dedupe_requests(mutations: DataFrame) -> DataFrame:
-    """Outcome of each mutation as it arrives: ``event_id, outcome``; the first hash of every request is kept as state."""
-
-    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        known = state.get[0] if state.exists else None
-        outcomes = []
-        for digest in rows["request_hash"]:
-            outcomes.append("accepted" if known is None else "replayed" if digest == known else "conflict")
-            known = digest if known is None else known
-        state.update((known,))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "outcome": outcomes})
-
-    keyed = mutations.select("author", "request_id", "request_hash", "ts", "event_id").groupBy("author", "request_id")
-    return keyed.applyInPandasWithState(judge, "event_id long, outcome string", "hash string", "append", GroupStateTimeout.NoTimeout)
+    """Outcome of each mutation as it arrives: ``event_id, outcome``; the first hash of every request is kept as state.
+
+    A batch adds the requests that it is the first to name, in a folder of its number, and reads those of the batches before: the
+    state is never written again, and Spark sorts and joins the requests.
+    """
+    spark = mutations.sparkSession
+    scratch = Scratch(spark, "stream-dedupe")
+    key = ["author", "request_id"]
+    kind = StructType([*mutations.select(*key).schema, *StructType.fromDDL("known string")])
+    inside = Window.partitionBy(*key).orderBy("ts", "event_id")
+
+    def write(batch: DataFrame, number: int) -> None:
+        first = scratch.path(f"first/b-{number:09d}")
+        before = [scratch.path(f"first/b-{n:09d}") for n in range(number)]
+        old = (spark.read.schema(kind).parquet(*before) if before else spark.createDataFrame([], kind)).alias("old")
+        rows = batch.withColumns({"_n": F.row_number().over(inside), "_hash": F.first("request_hash").over(inside)}).alias("new")
+        same = F.col("new.author").eqNullSafe(F.col("old.author")) & F.col("new.request_id").eqNullSafe(F.col("old.request_id"))
+        seen = rows.join(old.withColumn("_seen", F.lit(True)), same, "left").select("new.*", "known", F.col("_seen").isNotNull().alias("_seen"))
+        judged = seen.withColumn("outcome", F.when(~F.col("_seen") & (F.col("_n") == 1), "accepted").when(F.col("request_hash") == F.when(F.col("_seen"), F.col("known")).otherwise(F.col("_hash")), "replayed").otherwise("conflict"))
+        judged.where("outcome = 'accepted'").select(*key, F.col("request_hash").alias("known")).write.mode("overwrite").parquet(first)
+        judged.select("event_id", "outcome").write.mode("overwrite").parquet(scratch.path(f"out/b-{number:09d}"))
+
+    rows = mutations.select(*key, "request_hash", "ts", "event_id")
+    rows.writeStream.option("checkpointLocation", scratch.path("checkpoint")).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return _collected(spark, scratch.path("out"), StructType.fromDDL("event_id long, outcome string"))
 
 
 def revision_feed(mutations: DataFrame) -> DataFrame:
