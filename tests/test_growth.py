@@ -97,3 +97,62 @@ def test_stream_dedupe_over_batches(spark, tmp_path):
     assert not found.isStreaming
     want = {1: "accepted", 2: "replayed", 3: "conflict", 4: "accepted", 5: "accepted", 6: "conflict", 7: "conflict", 8: "accepted", 9: "replayed"}
     assert {r.event_id: r.outcome for r in found.collect()} == want
+
+
+def test_bridges_between_crowded_places(spark, monkeypatch):
+    """300 nodes at 25 places with a wall between some: as a plain pass over all pairs, and chords are those of places."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from atrium.functions import scalars
+    from atrium.operators import skeleton
+    from tests.test_skeleton import HALL, boundary_frame, edges_frame, lonlat, nodes_frame
+
+    rng = random.Random(7)
+    spots = [(1.5 * i, 1.5 * j) for i in range(5) for j in range(5)]
+    points = {k: rng.choice(spots) for k in rng.sample(range(1000), 300)}
+    edges = [tuple(rng.sample(sorted(points), 2)) for _ in range(150)]
+    wall = [(2.2, -1), (2.3, -1), (2.3, 3.4), (2.2, 3.4)]  # blocks some places from some, not all
+    root = {k: k for k in points}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def join(a, b):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+
+    def clear(a, b):
+        (ax, ay), (bx, by) = points[a], points[b]
+        inner = [(ax + (bx - ax) * k / 10, ay + (by - ay) * k / 10) for k in range(1, 10)]
+        return all(((max(2.2 - x, 0, x - 2.3)) ** 2 + (max(-1 - y, 0, y - 3.4)) ** 2) ** 0.5 >= 0.4 for x, y in inner)
+
+    for a, b in edges:
+        join(a, b)
+    place = nodes_frame(spark, points).withColumnsRenamed({"lon": "x", "lat": "y"})
+    both = place.crossJoin(place.selectExpr("node_id as b", "x as bx", "y as by")).where("node_id < b")
+    far = both.select("node_id", "b", scalars.haversine_m(*[F.col(c) for c in ("x", "y", "bx", "by")]).alias("m")).where("m <= 2")
+    best = {}
+    for a, b, m in far.collect():
+        if find(a) != find(b):
+            key = tuple(sorted((find(a), find(b))))
+            best[key] = min(best.get(key, (9e9,)), (m, a, b))
+    want = set()
+    for key in sorted(best):
+        _, a, b = best[key]
+        if find(a) != find(b) and clear(a, b):
+            join(a, b)
+            want.add((a, b))
+    real, sizes = skeleton.clear_segments, []
+
+    def spied(chords, *rest):
+        sizes.append(chords.count())
+        return real(chords, *rest)
+
+    monkeypatch.setattr(skeleton, "clear_segments", spied)
+    got = skeleton.bridge_components(nodes_frame(spark, points), edges_frame(spark, edges), boundary_frame(spark, HALL, wall)).collect()
+    assert {(r.a, r.b) for r in got} == want and len(want) > 50
+    assert sum(sizes) <= 25 * 9
