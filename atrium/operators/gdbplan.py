@@ -44,12 +44,17 @@ def needs_family(kind: Column) -> Column:
 
 
 def suggest_plan(layers: DataFrame) -> DataFrame:
-    """One plan row for each layer: type, whether included, building prefix and floor ordinal from the name's token."""
+    """One plan row for each layer: type, whether included, building prefix and floor ordinal from the name's token.
+
+    Patterns are most of the work, so each distinct name is matched once; names are dealt to all tasks by number, as a small table of them would be one task.
+    """
     kind, crosses = infer_target_type(F.col("layer_name"))
     prefix, token, _ = structured_name(F.col("layer_name"))
-    rows = layers.withColumns({"target_type": kind, "building": prefix, "ordinal": scalars.extract_floor_ordinal(token)})
-    fits = F.coalesce(needs_family(F.col("target_type")) == F.col("family"), F.lit(False))
-    return rows.withColumn("included", fits & ~crosses & (F.col("feature_count") > 0))
+    names = layers.select("layer_name").distinct().repartition(layers.sparkSession.sparkContext.defaultParallelism)
+    names = names.select(F.col("layer_name").alias("_name"), kind.alias("target_type"), prefix.alias("building"), scalars.extract_floor_ordinal(token).alias("ordinal"), needs_family(kind).alias("_needs"), crosses.alias("_crosses"))
+    fits = F.coalesce(F.col("_needs") == F.col("family"), F.lit(False))
+    rows = layers.join(names, F.col("layer_name").eqNullSafe(F.col("_name")))
+    return rows.withColumn("included", fits & ~F.col("_crosses") & (F.col("feature_count") > 0)).drop("_name", "_needs", "_crosses")
 
 
 def plan_issues(plan: DataFrame) -> DataFrame:

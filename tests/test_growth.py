@@ -156,3 +156,16 @@ def test_bridges_between_crowded_places(spark, monkeypatch):
     got = skeleton.bridge_components(nodes_frame(spark, points), edges_frame(spark, edges), boundary_frame(spark, HALL, wall)).collect()
     assert {(r.a, r.b) for r in got} == want and len(want) > 50
     assert sum(sizes) <= 25 * 9
+
+
+def test_plan_matches_each_name_once(spark):
+    """Patterns read distinct names, dealt to all tasks, and a null name keeps its row."""
+    from atrium.operators import gdbplan
+
+    layers = spark.range(0, 1000, 1, 1).selectExpr("case id % 4 when 0 then 'Station1_B1_Floor' when 1 then null else 'a_to_b_Floor' end as layer_name", "id as pos", "'polygon' as family", "1 as feature_count")
+    plan = gdbplan.suggest_plan(layers)
+    found = {(r.layer_name, r.building, r.ordinal, r.included): r["count"] for r in plan.groupBy("layer_name", "building", "ordinal", "included").count().collect()}
+    assert found == {("Station1_B1_Floor", "Station1", -1.0, True): 250, (None, None, None, False): 250, ("a_to_b_Floor", None, None, False): 500}
+    lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(k for k, line in enumerate(lines) if "regexp_extract" in line)
+    assert "Repartition" in lines[at + 1] and "Aggregate [layer_name" in lines[at + 2]
