@@ -53,9 +53,12 @@ def portals(openings: DataFrame, segments: DataFrame, frames: DataFrame, toleran
     reach = tolerance_mm / 1000 * 1.5 + 0.05
     ends = openings.select("venue_id", "ordinal", "opening_id", F.col("ax").alias("lon"), F.col("ay").alias("lat"), F.col("bx").alias("_lon"), F.col("by").alias("_lat"))
     ends = _in_mm(ends, frames, p=("lon", "lat"), q=("_lon", "_lat"))
-    near = spatial.near_segments(ends, _in_mm(segments, frames, a=("ax", "ay"), b=("bx", "by")), reach)
-    on = near.where(_near("p", tolerance_mm) & _near("q", tolerance_mm))
-    found = on.groupBy("venue_id", "opening_id").agg(F.array_sort(F.collect_set("shape_id")).alias("s"))
+    # openings at one place meet the same units, so each place is looked at once
+    spot = ["venue_id", "ordinal", "lon", "lat", "_lon", "_lat"]
+    near = spatial.near_segments(ends.drop("opening_id").dropDuplicates(spot), segments, reach)
+    on = _in_mm(near, frames, a=("ax", "ay"), b=("bx", "by")).where(_near("p", tolerance_mm) & _near("q", tolerance_mm))
+    lists = on.groupBy(*spot).agg(F.array_sort(F.collect_set("shape_id")).alias("s"))
+    found = ends.select(*spot, "opening_id").distinct().join(lists, spot)
     return found.select("venue_id", "opening_id", F.col("s")[0].alias("first"), F.try_element_at("s", F.lit(2)).alias("second"))
 
 

@@ -169,3 +169,18 @@ def test_plan_matches_each_name_once(spark):
     lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = next(k for k, line in enumerate(lines) if "regexp_extract" in line)
     assert "Repartition" in lines[at + 1] and "Aggregate [layer_name" in lines[at + 2]
+
+
+def test_portals_look_once_at_a_place(spark, copies, monkeypatch):
+    """Openings at one place are one search, and have the rows of SQL."""
+    from atrium.operators import spatial
+
+    real, sizes = spatial.near_segments, []
+
+    def spied(points, *rest):
+        sizes.append((points.count(), points.select("ordinal", "venue_id", "lon", "lat", "_lon", "_lat").distinct().count()))
+        return real(points, *rest)
+
+    monkeypatch.setattr(spatial, "near_segments", spied)
+    same_as_sql(spark, copies, "portals")
+    assert sizes and all(a == b for a, b in sizes)
