@@ -184,3 +184,31 @@ def test_portals_look_once_at_a_place(spark, copies, monkeypatch):
     monkeypatch.setattr(spatial, "near_segments", spied)
     same_as_sql(spark, copies, "portals")
     assert sizes and all(a == b for a, b in sizes)
+
+
+def test_touching_hubs_are_looked_for_close_by(spark, monkeypatch):
+    """A lift among 400 small units meets the walls around it only, and has the rows of a look at all walls."""
+    from pyspark.sql import functions as F
+
+    from atrium.functions import scalars
+    from atrium.operators import spatial
+
+    real, sizes = spatial._near_lines, []
+
+    def spied(points, segments, reach_m):
+        out = real(points, segments, reach_m)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "_near_lines", spied)
+    edge, corner = 0.00004, lambda i, j: F.struct((139.7 + 0.00004 * (F.col("id") % 20 + i)).alias("lon"), (35.6 + 0.00004 * (F.floor(F.col("id") / 20) + j)).alias("lat"))
+    units = spark.range(400).select(F.lit("v").alias("venue_id"), F.lit(0.0).alias("ordinal"), F.format_string("u%03d", "id").alias("shape_id"), F.array(*[corner(i, j) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]).alias("points"))
+    middle = units.select("venue_id", "shape_id", (F.col("points")[0]["lon"] + edge / 2).alias("centre_lon"), (F.col("points")[0]["lat"] + edge / 2).alias("centre_lat"))
+    hubs = spatial.ring_segments(units).join(middle, ["venue_id", "shape_id"])
+    lifts = middle.where("shape_id in ('u000', 'u210')").select("venue_id", F.lit(0.0).alias("ordinal"), F.col("shape_id").alias("point_id"), F.col("centre_lon").alias("lon"), F.col("centre_lat").alias("lat"))
+    none = spark.createDataFrame([], "venue_id string, shape_id string, other_id string")
+    got = {(r.shape_id, r.other_id) for r in spatial.transit_touch_links(lifts, hubs, none).collect()}
+    metres, _ = scalars.segment_offset(*[F.col(c) for c in ("lon", "lat", "ax", "ay", "bx", "by")])
+    every = lifts.join(hubs, ["venue_id", "ordinal"]).where("point_id <> shape_id").where(metres <= 3.0).select(F.least("point_id", "shape_id"), F.greatest("point_id", "shape_id")).distinct()
+    assert got == {tuple(r) for r in every.collect()} and len(got) > 5
+    assert sizes and max(sizes) < 300
