@@ -17,8 +17,11 @@ def conveyance_links(units: DataFrame, segments: DataFrame, links: DataFrame) ->
     ``low_ordinal, low_lon, low_lat`` and the same of ``high``. A link counts if its end on the unit's floor lies in the unit; the nearest far
     floor wins, then the lower one, then the smaller path id. The arrow is ``up`` or ``down``.
     """
+    # few links join two floors: they are found once and read for each end and its place
+    sides = [f"{side}_{c}" for side in ("low", "high") for c in ("ordinal", "lon", "lat")]
+    links = Scratch(links.sparkSession, "conveyances").keep("links", links.where("low_ordinal <> high_ordinal").select("venue_id", "path_id", *sides))
     end = lambda near, far: links.select("venue_id", "path_id", F.col(f"{near}_ordinal").alias("ordinal"), F.col(f"{near}_lon").alias("lon"), F.col(f"{near}_lat").alias("lat"), F.col(f"{far}_ordinal").alias("far_ordinal"))
-    ends = end("low", "high").union(end("high", "low")).where("ordinal <> far_ordinal").withColumn("point_id", F.concat_ws(":", "path_id", "ordinal"))
+    ends = end("low", "high").union(end("high", "low")).withColumn("point_id", F.concat_ws(":", "path_id", "ordinal"))
     held = spatial.inside_shapes(ends.select("venue_id", "ordinal", "point_id", "lon", "lat"), segments).select("venue_id", "point_id", F.col("shape_id").alias("unit_id"))
     rows = held.join(ends, ["venue_id", "point_id"]).join(units.select("venue_id", "unit_id", "ordinal"), ["venue_id", "unit_id", "ordinal"], "left_semi")
     best = rows.groupBy("venue_id", "unit_id", "ordinal").agg(F.min(F.struct(F.abs(F.col("far_ordinal") - F.col("ordinal")).alias("gap"), "far_ordinal", "path_id")).alias("b"))
