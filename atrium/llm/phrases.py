@@ -3,12 +3,14 @@
 A phrase that reaches a support over all texts reaches, in some shard, the support lowered in proportion to
 the shard's part of its language. The first pass mines every shard completely at that lowered support, level by
 level: a phrase of k words is looked at only where both of its parts of k - 1 words are
-frequent in the shard. The union of what the shards find goes into a Bloom filter of bounded size. A second pass counts
+frequent in the shard. What the shards find is added up by hash: a phrase that a shard leaves out occurs there at most one time less than the
+lowered support, so the known counts and these remainders bound its count over all texts, and only where this bound reaches the support the
+hash goes into a Bloom filter of bounded size. A second pass counts
 every phrase that the filter lets through over all texts, by the phrase itself, so hashes decide nothing but what is looked
 at: the filter never refuses a candidate, and what it lets through by chance falls short of the support.
 
 Scores, the choice of the weakest cut and the comparison with longer phrases are joins over the frequent
-phrases. Where shards outnumber the support, the lowered support is one and the filter passes most of what it sees; the result
+phrases. Where shards outnumber the support, the lowered support is one and the bound is the count itself; the result
 stays exact and the work stays proportional to the input.
 """
 
@@ -226,13 +228,13 @@ def _filter_of(keys: DataFrame, most: int) -> _Filter:
     return _Filter(out)
 
 
-def _weighed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``lang``, ``text``, all bytes of the language and the text's own."""
+def _weighed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """``lang``, ``text``, all bytes of the language and the text's own; and whether languages are few enough to broadcast."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("size", F.octet_length("text").cast("long"))
     totals = scratch.keep("totals", texts.groupBy("lang").agg(F.sum("size").alias("total")))
     few = totals.count() <= _LANGS
-    return texts.join(F.broadcast(totals) if few else totals, "lang").select("lang", "text", "total", "size")
+    return texts.join(F.broadcast(totals) if few else totals, "lang").select("lang", "text", "total", "size"), few
 
 
 def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) -> DataFrame:
@@ -243,11 +245,14 @@ def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) ->
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "phrases")
-    texts = _weighed(docs, scratch)
+    texts, few = _weighed(docs, scratch)
     support, longest, flush = config.support, config.longest, config.flush
 
     def mined(name: str, low: int, high: int, frequent):
-        """A filter of the phrases of ``low`` to ``high`` words that reach the lowered support in some shard."""
+        """A filter of the phrases of ``low`` to ``high`` words whose count may reach the support, by what the shards know of it.
+
+        A shard tells of each phrase above its remainder (the lowered support less one) how far it is above, and of each language the remainder.
+        """
 
         def mine(batches):
             for shard, weights in _shards(batches, flush):
@@ -255,13 +260,19 @@ def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) ->
                 # a hair below the exact bound, so that rounding loses no phrase
                 least = np.maximum(1, np.ceil(support * size / np.maximum(total, 1) - 1e-6)).astype(np.int64)
 
-                for _, k, _, keys, _ in shard.levels(high, lambda lang, k, keys, counts: counts >= least[lang] if k >= low else frequent.value.passes(keys)):
+                # languages of one part would share their remainders, which only lets more through
+                part = np.array([_lang_hash(x) >> 33 for x in shard.langs], np.int32)
+                yield _above(part, pa.nulls(len(part), pa.int64()), least - 1)
+                for lang, k, _, keys, times in shard.levels(high, lambda lang, k, keys, counts: counts >= least[lang] if k >= low else frequent.value.passes(keys)):
                     if k >= low:
-                        yield pa.RecordBatch.from_arrays([pa.array(textbuf.as_signed(keys))], ["key"])
+                        yield _above(np.full(len(keys), part[lang]), pa.array(textbuf.as_signed(keys)), times - (least[lang] - 1))
             textbuf.release_memory()
 
-        found = scratch.keep(f"candidates-{name}", texts.mapInArrow(mine, "key long"))
-        return spark.sparkContext.broadcast(_filter_of(found, config.filter_bits))
+        sums = texts.mapInArrow(mine, "part int, key long, above long").groupBy("part", "key").agg(F.sum("above").alias("above"))
+        sums = scratch.keep(f"candidates-{name}", sums)
+        held = sums.where("key is null").select("part", F.col("above").alias("held"))  # one row for each language
+        found = sums.where("key is not null").join(F.broadcast(held) if few else held, "part").where(F.col("above") + F.col("held") >= support)
+        return spark.sparkContext.broadcast(_filter_of(found.select("key"), config.filter_bits))
 
     def counts(name: str, low: int, high: int, frequent) -> DataFrame:
         """Phrases of ``low`` to ``high`` words; ``frequent`` holds those of fewer words that reach the support."""
@@ -304,6 +315,10 @@ def _phrase_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(textbuf.as_signed(keys))], ["key"])
 
 
+def _above(part: np.ndarray, keys: pa.Array, above: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), keys, textbuf.int64s(above)], ["part", "key", "above"])
+
+
 def _counted(langs: list, phrases: list, sizes: list, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), textbuf.int64s(counts)], ["lang", "phrase", "size", "f"])
 

@@ -97,3 +97,19 @@ def test_filter_refuses_no_key(spark):
     filled = phrases._filter_of(frame, 1 << 27)
     assert filled.passes(keys.view(np.uint64)).all()
     assert filled.passes(rng.integers(0, (1 << 63) - 1, 100_000).view(np.uint64)).mean() < 0.01
+
+
+def test_shards_bound_a_phrase_by_what_they_know(spark, monkeypatch):
+    """Forty shards, each with words of its own that reach its lowered support of one: only what may reach the support over all texts is looked for."""
+    real, sizes = phrases._filter_of, []
+
+    def spied(keys, most):
+        sizes.append(keys.count())
+        return real(keys, most)
+
+    monkeypatch.setattr(phrases, "_filter_of", spied)
+    rows = [("en", f"own{i} own{i} of shard{i} in all") for i in range(40)]
+    config = phrases.PhraseConfig(support=30, flush=1)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(40)
+    assert rows_of(phrases.collocations(docs, config)) == sorted(brute(rows, config)) and len(brute(rows, config)) == 1
+    assert sizes[0] == 4  # of, in, all, in all
